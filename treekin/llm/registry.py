@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+from treekin.llm import mixing, quality
+from treekin.llm.chat import op7_chat_formatting
+from treekin.llm.decontaminate import op6_benchmark_decontamination
+from treekin.llm.html_text import op8_html_extraction
+from treekin.llm.licenses import op10_license_scan
+from treekin.llm.mixing import op2_mixing
 from treekin.llm.ngram_join import op1_ngram_jaccard_join
+from treekin.llm.pii import op4_pii
+from treekin.llm.quality import op5_quality_rules
+from treekin.llm.tokens import op3_token_counts, op9_token_output
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_mixing": op2_mixing,
+    "op3_token_counts": op3_token_counts,
+    "op4_pii": op4_pii,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_token_output": op9_token_output,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE,
+    "op5_quality_rules": quality.ORACLE,
+}
