@@ -1 +1 @@
-
+"""Plans: pair scores, cohorts, the store."""

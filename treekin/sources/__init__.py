@@ -1 +1 @@
-
+"""Sources: submissions, the C front end."""
