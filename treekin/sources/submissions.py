@@ -15,11 +15,14 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder: (name, filename, source_code, reject_reason); rejected files have no source."""
+    """Files of a folder, checked.  Spark's reader leaves out files without a byte, which would be rejected as empty."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    filename = F.element_at(F.split("path", "/"), -1)
-    reason = upload_reject(filename, F.col("content"))
-    rows = rows.select(F.when(filename == "", "submission.c").otherwise(filename).alias("filename"), "content", reason.alias("reject_reason"))
+    return check_uploads(rows.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content"))
+
+
+def check_uploads(rows: DataFrame) -> DataFrame:
+    """rows: (filename, content).  (name, filename, source_code, reject_reason); rejected files have no source."""
+    rows = rows.select(F.when(F.col("filename") == "", "submission.c").otherwise(F.col("filename")).alias("filename"), "content", upload_reject(F.col("filename"), F.col("content")).alias("reject_reason"))
     source = F.when(F.col("reject_reason").isNull(), F.decode("content", "UTF-8"))
     return rows.select(F.col("filename").alias("name"), "filename", source.alias("source_code"), "reject_reason")
 
