@@ -11,7 +11,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,5 +45,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def row_estimate(df: DataFrame) -> int:
-    return df.select(F.count(F.lit(1))).first()[0]
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows and 16 MB at most, unless the session has smaller ones: texts are long, and both the executor
+    and its Python worker hold a batch and what is made of it."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if _bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m")) > 16 << 20:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
+def _bytes(size: str) -> int:
+    number, unit = size.rstrip("bB"), 1
+    if number and number[-1].lower() in "kmgt":
+        number, unit = number[:-1], 1024 ** (" kmgt".index(number[-1].lower()))
+    return int(number) * unit if int(number) > 0 else 1 << 62
