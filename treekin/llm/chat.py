@@ -9,7 +9,7 @@ choices is rendered; of equally cheap ones, the first in the fixed order of choi
 A step depends on the turn's role only, so it is a small matrix in the (min, +) algebra, and a stretch of turns is the product of its
 matrices.  The turns are range-partitioned by (conversation, turn), so one huge conversation lies over many partitions.
 Each partition gives the products of its first and last conversation only; the driver scans these, two matrices at most for
-each partition, and tells each partition the state in which it begins and the cost still to come.  Then all partitions choose
+each partition, and tells each partition the states in which it begins and ends.  Then all partitions choose
 and render on their own.
 
 Rendering: ``<|im_start|>role``, a line feed and the text; ``<|im_end|>`` and a line feed at a turn's end.  A row's piece
@@ -164,7 +164,7 @@ def _edge_rows(part, first, last, many):
 
 def boundaries(edges: list[tuple[int, int, int | None, np.ndarray]], costs: Costs) -> dict[int, tuple[int, bool, np.ndarray, bool]]:
     """edges: (part, place, conv, matrix) in order.  Per part: the state in which it begins, whether its first conversation began
-    before, the cost to go after its last conversation, and whether that goes on in a later part."""
+    before, the cost after its last conversation's last turn by state, and whether that goes on in a later part."""
     end = _end_costs(costs)
     chains: list[list[int]] = []
     for i, (part, _, conv, _) in enumerate(edges):
@@ -183,9 +183,9 @@ def boundaries(edges: list[tuple[int, int, int | None, np.ndarray]], costs: Cost
             part = edges[i][0]
             if k:
                 out[part][0], out[part][1] = state, True
-            if k + 1 < len(chain):
-                out[part][2], out[part][3] = rest[k + 1], True
             state = int(np.argmin(edges[i][3][state] + rest[k + 1]))
+            if k + 1 < len(chain):  # of equally cheap ways, one that ends where the next part begins
+                out[part][2], out[part][3] = np.where(np.arange(4) == state, 0.0, INF), True
     return {k: tuple(v) for k, v in out.items()}
 
 
@@ -218,20 +218,23 @@ def render(turns: list[tuple[int, str]], state: int, rest_after: np.ndarray, las
 def _format(where, costs: Costs):
     def run(batches):
         known = where.value
-        part = now = None
+        part, now, row = None, None, 0
         convs: list[list] = []  # of the conversation that is being read: turn, role, text
 
         def done(is_last_of_part: bool, is_first_of_part: bool):
+            nonlocal row
             state, began, rest, goes_on = known[part]
             if not is_first_of_part:
                 state, began = START, False
             if not is_last_of_part:
                 rest, goes_on = _end_costs(costs), False
             rows = list(render([(r, t) for _, r, t in convs], state, rest, not goes_on, began, costs))
+            places = np.arange(row, row + len(rows)) + (part << 40)
+            row = 0 if is_last_of_part else row + len(rows)
             return pa.record_batch(
-                [pa.array([now] * len(rows), pa.int64()), pa.array([c[0] for c in convs], pa.int64()), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]),
+                [pa.array([now] * len(rows), pa.int64()), pa.array(places), pa.array([c[0] for c in convs], pa.int64()), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]),
                  pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.float64()), pa.array([r[4] for r in rows])],
-                ["conv_id", "turn", "role", "action", "n_inserted", "cost", "piece"],
+                ["conv_id", "place", "turn", "role", "action", "n_inserted", "cost", "piece"],
             )
 
         first = True
@@ -250,7 +253,7 @@ def _format(where, costs: Costs):
 
 
 def format_chats(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
-    """Per row of turns: (conv_id, turn, role, action, n_inserted, cost, piece); see the module."""
+    """Per row of turns: (conv_id, place, turn, role, action, n_inserted, cost, piece); place orders the pieces of a conversation."""
     spark = turns.sparkSession
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     order = ["conv_id", "turn", "role", "text"]
@@ -261,7 +264,7 @@ def format_chats(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
     found = edges.mapInArrow(_edges(costs), "part int, place int, conv_id long, matrix array<double>").collect()
     found = sorted(((r[0], r[1], r[2], np.array(r[3]).reshape(4, 4)) for r in found), key=lambda r: r[:2])
     where = spark.sparkContext.broadcast(boundaries(found, costs))
-    return by_part(dealt, *order).select("part", *order).mapInArrow(_format(where, costs), "conv_id long, turn long, role string, action string, n_inserted int, cost double, piece string")
+    return by_part(dealt, *order).select("part", *order).mapInArrow(_format(where, costs), "conv_id long, place long, turn long, role string, action string, n_inserted int, cost double, piece string")
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
