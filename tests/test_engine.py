@@ -177,3 +177,32 @@ def test_settings(spark):
     spark.conf.set("treekin.match_threshold", "0.7")
     assert Settings.of(spark).match_threshold == 0.7
     spark.conf.unset("treekin.match_threshold")
+
+
+def test_tree_json(spark):
+    from treekin.functions.register import register
+    from treekin.sources.ast_json import ast_from_json, tree_from_json, tree_to_json
+
+    flat = [("root", None, 0, 2), ("a", "x\"é", 1, 1), ("b", None, 2, 0), ("c", None, 1, 0)]
+    assert tree_to_json(flat) == '{"label": "root", "children": [{"label": "a", "value": "x\\"é", "children": [{"label": "b"}]}, {"label": "c"}]}'
+    assert tree_from_json(tree_to_json(flat)) == flat
+    register(spark)
+    df = spark.createDataFrame([(PROGRAM,)], "source string")
+    df.createOrReplaceTempView("programs")
+    rows = spark.sql("SELECT f.name, f.ast, ast_to_json(f.ast) AS j FROM programs, LATERAL parse_c(source) f")
+    back = rows.select("ast", ast_from_json(F.col("j")).alias("again")).collect()
+    assert len(back) == 2 and all(r["ast"] == r["again"] for r in back)
+
+
+def test_component_count(spark):
+    from treekin.operators.components import STRATEGIES, component_count
+
+    nodes = spark.createDataFrame([(1,), (2,), (3,)], "node long")
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (9, 9)], "src long, dst long")
+    assert component_count(nodes, edges) == 3 and component_count(nodes, edges.where("src < 0")) == 3
+    assert STRATEGIES["dfs"](edges).collect() == STRATEGIES["bfs"](edges).collect()
+
+
+def test_keys():
+    assert scalar.provider_configured(" k ") and not scalar.provider_configured(" ") and not scalar.provider_configured("your-key", "your-key")
+    assert scalar.workspace_token() != scalar.workspace_token()

@@ -55,3 +55,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         raise RuntimeError("components did not settle")
     roots = now.select("v").distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("v", "v"))
+
+
+#: The partition doesn't depend on how a graph is walked; both names of the walk mean this operator.
+STRATEGIES = {"dfs": connected_components, "bfs": connected_components}
+
+
+def component_count(nodes: DataFrame, edges: DataFrame, node: str = "node", src: str = "src", dst: str = "dst") -> int:
+    """Components of a graph, isolated nodes and ends that are not among the nodes included."""
+    found = connected_components(edges, src, dst)
+    loose = nodes.select(F.col(node).alias("node")).union(edges.select(src)).union(edges.select(dst)).where("node IS NOT NULL").distinct()
+    return loose.join(found, "node", "left").select(F.countDistinct(F.coalesce("component", "node"))).first()[0]

@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from treekin.config import Settings
 from treekin.functions import hashing, scalar
 from treekin.operators import sets
-from treekin.operators.callgraph import component_counts, degree_counts, graph_shapes, graph_similarity
+from treekin.operators.callgraph import call_edges, component_counts, degree_counts, graph_shapes, graph_similarity
 from treekin.operators.components import connected_components
 from treekin.operators.matching import match_groups
 from treekin.operators.trees import tree_distances
 from treekin.plans import store
 from treekin.plans.cohort import clusters
+from treekin.plans.pairs import analyze, compare
 from treekin.shared import stage, table
+from treekin.sources.normalize import parse_functions
 from treekin.sources.submissions import reject_reason
 
 SPLIT = r"[ \n]+"
@@ -253,12 +255,42 @@ def rank_pairs(spark, sf_dir):
     return by.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.col("returned") / F.col("n")), "p_type"))).select("rank", "p_type", "returned", "n")
 
 
+def _programs(spark, sf_dir):
+    """A C program for each nation: a function for each customer, longer or shorter by the customer's key, that calls the next one."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("id"), "c_custkey")
+    body = F.concat(F.lit("int f"), F.col("c_custkey"), F.lit("(int a) { "), F.repeat(F.lit("a = 1; "), F.pmod("c_custkey", F.lit(4)).cast("int")), F.lit("return f"), F.col("c_custkey") + 4, F.lit("(a); }"))
+    parts = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c_custkey", body.alias("body")))).alias("f"))
+    return parts.select("id", F.array_join(F.transform("f", lambda x: x["body"]), "\n").alias("source_code"))
+
+
+def parsed_functions(spark, sf_dir):
+    found = parse_functions(_programs(spark, sf_dir))
+    return found.select("submission_id", "name", F.col("order_index").cast("long").alias("order_index"), F.size("ast").cast("long").alias("n_nodes"), F.array_join("callees", ",").alias("callees"))
+
+
+def parsed_call_edges(spark, sf_dir):
+    return call_edges(parse_functions(_programs(spark, sf_dir)))
+
+
+def fused_pairs(spark, sf_dir):
+    """Scores of all pairs of programs with a function for each market segment of a nation."""
+    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("id"), "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    name = F.concat(F.lit("f"), F.ascii("c_mktsegment"))
+    body = F.concat(F.lit("int "), name, F.lit("(int a) { "), F.repeat(F.lit("if (a > 2) { a = g(a) + 1; } "), F.pmod("n", F.lit(5)).cast("int")), F.repeat(F.lit("while (a) a--; "), F.pmod("n", F.lit(3)).cast("int")), F.lit("return a; }"))
+    programs = rows.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list(body)), "\n").alias("source_code"))
+    functions = stage(analyze(parse_functions(programs)), "functions")
+    ids = functions.select("submission_id").distinct()
+    pairs = ids.select(F.col("submission_id").alias("a")).join(ids.select(F.col("submission_id").alias("b")), F.col("a") < F.col("b"))
+    return compare(functions, stage(pairs, "pairs"))[0]
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         token_stream, token_hash, kgram_hash, winnow_fingerprints, fingerprint_count, jaccard_pairs, similar_documents, document_components, suspicious_clusters, reference_best,
         call_graph_edges, degree_signature, component_count, call_graph_similarity, multiset_jaccard, ted_flat, matching_size, list_submissions, find_pair, comparisons_of, cascade_delete,
-        cache_misses, label_lookup, comparison_matches, best_of_group, presentation, source_names, source_validation, fenced_replies, report_json, schema_migration, rank_pairs,
+        cache_misses, label_lookup, comparison_matches, best_of_group, presentation, source_names, source_validation, fenced_replies, report_json, schema_migration, rank_pairs, parsed_functions,
+        parsed_call_edges, fused_pairs,
     )
 }
 
@@ -365,6 +397,8 @@ ORACLES = {
     "fenced_replies": "SELECT conv_id, turn, " + _STRIP.format(x="text") + " AS code FROM conversations WHERE text IS NOT NULL",
     "report_json": "SELECT c_custkey AS id, c_name AS label, count(o_orderkey) AS submission_count, coalesce(max(o_totalprice), 0.0::DOUBLE) AS highest_similarity FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL",
     "schema_migration": "SELECT CAST(s_suppkey AS BIGINT) AS id, s_name AS name, 'legacy' AS workspace FROM supplier UNION ALL SELECT c_custkey, c_name, coalesce(c_mktsegment, 'legacy') FROM customer",
+    "parsed_functions": "SELECT CAST(c_nationkey AS BIGINT) AS submission_id, 'f' || c_custkey AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS order_index, 14 + 4 * (c_custkey % 4) AS n_nodes, 'f' || (c_custkey + 4) AS callees FROM customer",
+    "parsed_call_edges": "SELECT CAST(a.c_nationkey AS BIGINT) AS submission_id, 'f' || a.c_custkey AS caller, 'f' || b.c_custkey AS callee FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND b.c_custkey = a.c_custkey + 4",
     "rank_pairs": "WITH t AS (SELECT p_type, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS returned, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_type) SELECT CAST(row_number() OVER (ORDER BY returned / n DESC, p_type) AS INTEGER) AS rank, p_type, returned, n FROM t",
 }
 
