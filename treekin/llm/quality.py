@@ -98,7 +98,8 @@ def _too_many_repeats(text: Column) -> Column:
 
 
 def _repeated_lines(text: Column) -> Column:
-    return bind(line_stats(text), lambda s: 100 * s["n_dup_lines"] > 30 * s["n_lines"])
+    """Over 30 of 100 lines, and three at least: one line that comes back in a short text is no sign of anything."""
+    return bind(line_stats(text), lambda s: (s["n_dup_lines"] >= 3) & (100 * s["n_dup_lines"] > 30 * s["n_lines"]))
 
 
 def _shouting(text: Column) -> Column:
@@ -193,7 +194,7 @@ WITH t AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 100 * n_symbols > 30 * n_words OR 100 * n_dup_lines > 30 * n_lines
+       NOT (base_failed OR 100 * n_symbols > 30 * n_words OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)
             OR word_chars < 2 * n_words OR word_chars > 15 * n_words
             OR (n_upper > 0 AND 100 * n_upper > 60 * (n_upper + n_lower)) OR 2 * n_letters < word_chars) AS kept
 FROM f
