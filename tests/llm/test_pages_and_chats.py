@@ -33,6 +33,12 @@ def test_broken_pages(page):
     html_text.main_text(page, html_text.PRIOR)
 
 
+def test_layout_names_and_quotes():
+    page = """<body class="has-sidebar comments-open"><p title=it's>One plain paragraph of text.</p><article class=post-sidebar><header class="entry-header"><h1>Title</h1></header>
+    <p>It's "quoted" & a < b.</p><div class='post-comments'>Great!</div></article></body>"""
+    assert html_text.main_text(page, html_text.PRIOR) == "One plain paragraph of text.\n\nTitle\n\nIt's \"quoted\" & a < b."
+
+
 def test_cut_off_pages_keep_what_is_there():
     cut = PAGE[: PAGE.index("in it.")]
     assert html_text.main_text(cut, html_text.PRIOR).startswith(WANT[:60])

@@ -41,14 +41,17 @@ BLOCK_TAGS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select".split())
 ENDS_P = BLOCK_TAGS - {"button", "option", "optgroup", "legend", "head", "html", "body"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _BAD = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-?bar|menu\w*|nav\w*|breadcrumbs?|footer|header|masthead|cookies?|consent|notice|gdpr|popup|modal|"
-    r"comments?|disqus|replies|reply|share|sharing|social|related|recommend\w*|subscribe|newsletter|signup|login|search|widget|toolbar|pagination|tags?|legal|copyright|skip)(?:$|[-_\s\d])",
+    r"comment\w*|respond|reviews?|disqus\w*|adsbygoogle|adslot|adbox|replies|reply|share|sharing|social|related|recommend\w*|subscribe|newsletter|signup|login|search|widget|toolbar|pagination|tags?|legal|copyright|skip)(?:$|[-_\s\d])",
     re.I,
 )
+#: Names of layouts, which say nothing about the element itself; within an article, those of its own header.
+_LAYOUT = re.compile(r"\b(?:has|with|no|without|left|right)-?_?sidebars?\b|\bcomments?-(?:open|closed)\b", re.I)
+_OWN_HEADER = re.compile(r"(?:^|(?<=[-_\s]))header(?=$|[-_\s\d])", re.I)
 _GOOD = re.compile(r"(?:^|[-_\s])(?:article|content|post|entry|story|main|body|text|prose)(?:$|[-_\s\d])", re.I)
 _SPACE = re.compile(r"\s+")
 FEATURES = ("bias", "in_article", "in_boilerplate", "good_name", "bad_name", "hidden", "link_share", "paragraph", "heading", "list_or_cell", "words", "sentence")
@@ -76,7 +79,10 @@ def _flags(tag: str, attrs: str, above: int, in_article: bool) -> int:
         flags |= _BOIL
     if attrs:
         names = " ".join("".join(x) for x in _NAMES.findall(attrs))
-        if names:
+        if names and tag not in ("html", "body", "main", "article"):
+            names = _LAYOUT.sub(" ", names)
+            if in_article:
+                names = _OWN_HEADER.sub(" ", names)
             if _BAD.search(names):
                 flags |= _BADN
             elif _GOOD.search(names):
