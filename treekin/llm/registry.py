@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treekin.llm import mixing, quality
+from treekin.llm import mixing, quality, sql
 from treekin.llm.chat import op7_chat_formatting
 from treekin.llm.decontaminate import op6_benchmark_decontamination
 from treekin.llm.html_text import op8_html_extraction
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": sql.NGRAM_JOIN,
     "op2_mixing": mixing.ORACLE,
     "op5_quality_rules": quality.ORACLE,
 }
