@@ -199,9 +199,23 @@ def test_mixing_prefers_quality_and_takes_whole_documents(spark):
     assert good > 180 and sum(r["taken"] for r in got) == 2000 and {r["taken"] for r in got} <= {0, 10}
     assert mixing.mix(rows.where("size < 0")).count() == 0
     docs = frame(spark, ["a b c", None, "d e"] * 5)
-    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "doc_id long, quality int")
-    mixed = mixing.mix_documents(docs, labels)
+    mixed = mixing.mix_documents(docs)
     assert mixed.columns == docs.columns and mixed.where("text IS NULL").count() <= 15
+    assert mixing.mix_documents(docs.where("doc_id < 0")).count() == 0
+
+
+def test_mixed_documents_are_those_of_the_mix(spark):
+    rng = random.Random(21)
+    docs = frame(spark, [prose(rng, rng.randrange(0, 50)) for _ in range(250)], extra=False)
+    rows = docs.select("doc_id", "source", mixing.text_size(F.col("text")).alias("size"), mixing.text_quality(F.col("text")).alias("quality"))
+    want = {r["doc_id"]: r["copies"] for r in mixing.mix(rows, whole=True).collect() if r["copies"]}
+    assert Counter(r["doc_id"] for r in mixing.mix_documents(docs).collect()) == want
+
+
+def test_quality_weights(spark):
+    docs = frame(spark, ["a", "b", "c"])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, 0)], "doc_id long, quality int")
+    assert {r["doc_id"]: r["quality"] for r in mixing.with_quality(docs, labels).collect()} == {0: 1.0, 1: 2.0, 2: 0.5}
 
 
 def test_mixing_limits_sources(spark):

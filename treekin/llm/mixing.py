@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from treekin.llm.quality import bind, line_stats
 from treekin.shared import drop_stage, stage, table
 
 BINS = 4096
@@ -42,6 +43,11 @@ def uniform(id_: Column, seed: int = 0) -> Column:
     return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def order_key(id_: Column, quality: Column, seed: int = 0) -> Column:
+    """The exponential key: a document of weight w comes before others with a probability in proportion to w."""
+    return -F.log(uniform(id_, seed)) / F.when(quality > 0, quality).otherwise(F.lit(1.0))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
     """sizes: (source, source_size), a row for each source.  Adds weight and target.
 
@@ -65,11 +71,11 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     """rows: (doc_id, source, size, quality, ...).  Adds source_size, target and taken: how many words of the row the mix takes.
 
     whole: a document is taken as a whole or not at all in an incomplete epoch, whichever is nearer to the budget;
-    otherwise the last one gives the words that are left.  The column copies holds the number of whole copies.
+    otherwise the last one gives the words that are left.  The columns copies and epochs hold the whole copies of the row and the
+    complete epochs of its source.
     """
     extra = [c for c in rows.columns if c not in ("doc_id", "source", "size", "quality")]
-    quality = F.when(F.col("quality") > 0, F.col("quality")).otherwise(F.lit(1.0))
-    key = -F.log(uniform(F.col("doc_id"), seed)) / quality
+    key = order_key(F.col("doc_id"), F.col("quality"), seed)
     # 1 - exp(-key) is uniform for weight 1, and monotone in the key for all
     place = F.least(F.floor((F.lit(1.0) - F.exp(-key)) * BINS), F.lit(BINS - 1)).cast("int")
     keyed = rows.select("doc_id", "source", "size", F.struct(F.lit(0).alias("_"), *extra).alias("rest"), key.alias("k"), place.alias("bin"))
@@ -101,7 +107,7 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     copies = F.col("epochs") + F.when((F.col("part") == F.col("size")) & (F.col("size") > 0) & (F.col("left") > 0), 1).otherwise(0)
     return out.select(
         "doc_id", "source", "size", *[F.col("rest")[c].alias(c) for c in extra], "source_size", "target",
-        (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), copies.cast("int").alias("copies"),
+        (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), copies.cast("int").alias("copies"), "epochs",
     )
 
 
@@ -122,16 +128,31 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(rows).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
-    """The mixed corpus: every document as often as the mix takes it, with the columns it had."""
+def text_quality(text: Column) -> Column:
+    """A weight from the text itself: the share of its lines that come for the first time, 1/20 at least."""
+    share = bind(line_stats(F.coalesce(text, F.lit(""))), lambda s: 1 - s["n_dup_lines"] / F.greatest(s["n_lines"], F.lit(1)))
+    return F.greatest(share, F.lit(0.05))
+
+
+def mix_documents(docs: DataFrame, quality: Column | None = None, seed: int = 0) -> DataFrame:
+    """The mixed corpus: every document as often as the mix takes it, with the columns it had.
+
+    The mix is made of the documents' sizes alone.  What it takes of an incomplete epoch is all up to one key of each source, so
+    the texts are read once more and compared with it, and never shuffled.
+    """
     names = docs.columns
-    rows = docs.select(F.col("doc_id"), F.col("source"), text_size(F.col("text")).alias("size"), F.struct(*names).alias("document"))
-    sizes = stage(with_quality(rows.select("doc_id", "source", "size"), labels), "mix-sizes")
-    taken = stage(mix(sizes, seed=seed, whole=True).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")), "mix-copies")
+    weight = text_quality(F.col("text").cast("string")) if quality is None else quality
+    rows = docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), weight.alias("quality"), F.struct(*names).alias("document"))
+    rows = rows.withColumn("place", F.struct(order_key(F.col("doc_id"), F.col("quality"), seed).alias("k"), "doc_id", "size"))
+    sizes = stage(rows.select("doc_id", "source", "size", "quality", "place"), "mix-sizes")
+    more = F.when(F.col("copies") > F.col("epochs"), F.col("place"))
+    cuts = stage(mix(sizes, seed=seed, whole=True).groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(more).alias("cut")), "mix-cuts")
     drop_stage(sizes)
-    d, t = docs.alias("d"), taken.alias("t")
-    joined = d.join(t, F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")))
-    return joined.select(*[F.col(f"d.`{c}`") for c in names], F.explode(F.sequence(F.lit(1), F.col("t.copies"))).alias("_copy")).drop("_copy")
+    r, c = rows.select("source", "size", "place", "document").alias("r"), cuts.alias("c")
+    joined = r.join(c, F.col("r.source").eqNullSafe(F.col("c.source"))).select("document", "size", "place", "epochs", "cut")
+    taken = F.col("epochs") + F.when(F.col("cut").isNotNull() & (F.col("size") > 0) & (F.col("place") <= F.col("cut")), 1).otherwise(0)
+    copies = F.explode(F.sequence(F.lit(1), taken.cast("int")))
+    return joined.where(taken > 0).select("document", copies.alias("copy")).select("document.*")
 
 
 ORACLE = r"""
