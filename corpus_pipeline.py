@@ -9,6 +9,7 @@ from treekin.llm.mixing import mix_documents
 from treekin.llm.ngram_join import ngram_jaccard_join
 from treekin.llm.quality import quality_filter
 from treekin.llm.tokens import read_token_file, write_token_file
+from treekin.operators.prefilter import anti_join
 from treekin.shared import new_path, stage, table
 
 
@@ -23,8 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that share a doc_id are one document and stay or go together; a null doc_id links nothing and stays.
     """
     groups = ngram_jaccard_join(docs)
-    keep = groups.where("component_id IS NULL OR component_id = doc_id").select("doc_id").distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
+    return anti_join(docs, groups.where("component_id != doc_id"), "doc_id")
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mix_documents(docs, table(spark, sf_dir, "labels"))
+    return mix_documents(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
