@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treekin.llm.wordhash import ALNUM, shingle_hashes, text_groups, words_of
-from treekin.shared import table
+from treekin.shared import small_batches, table
 
 SEGMENT_WORDS = 64
 STRIDE = SEGMENT_WORDS
@@ -162,6 +162,7 @@ class Index:
 def indexes(items: DataFrame, threshold: float, overlap: float, shard_chars: int = SHARD_CHARS):
     """Broadcast indexes of (item_id, text), each of about shard_chars characters at most."""
     spark = items.sparkSession
+    small_batches(spark)
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, math.ceil(chars / shard_chars))

@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treekin.llm.wordhash import SPACED, text_groups, words_of
-from treekin.shared import drop_stage, stage, table
+from treekin.shared import drop_stage, small_batches, stage, table
 
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 21
 #: Distinct words that a Python worker remembers; beyond that it starts anew.
-WORDS_HELD = 1_500_000
+WORDS_HELD = 1_000_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -200,6 +200,7 @@ def _segment_writer(path: str, end: int, unit: str, level: int):
 
 def write_token_file(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 2, id_col: str = "doc_id", text_col: str = "text", unit: str = "byte", level: int = 3) -> None:
     """Write the ids of all texts in ascending order of the ids of the documents."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(_segment_writer(tokenizer or tokenizer_path(), end, unit, level), SEGMENTS).write.option("compression", "none").parquet(path)

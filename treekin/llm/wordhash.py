@@ -7,14 +7,22 @@ prefix sums over a whole block, and then finalised; equal words have equal hashe
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
+# Python workers live on after a task.  With glibc, arrays of 1 MB or more get pages of their own, which go back when the array does;
+# the C library would otherwise raise that limit by itself and keep what was freed.  Elsewhere nothing changes.
+with contextlib.suppress(OSError, AttributeError):
+    for _option in (-3, -1):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+        ctypes.CDLL(None).mallopt(_option, 1 << 20)
+
 #: Bytes of text handled at once; a longer document is cut at a delimiter, a longer word is kept whole.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,7 +129,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED, l
     return Words(s, np.concatenate(ends), np.concatenate(hashes), np.searchsorted(s, offsets))
 
 
-def text_groups(column: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_groups(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of groups of rows with about `size` bytes of text; null is empty."""
     column = column.cast(pa.large_string()).fill_null("") if column.null_count or column.type != pa.large_string() else column
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
