@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treekin.llm.wordhash import SPACED, text_groups, words_of
-from treekin.shared import drop_stage, small_batches, stage, table
+from treekin.shared import small_batches, stage, table
 
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 21
 #: Distinct words that a Python worker remembers; beyond that it starts anew.
-WORDS_HELD = 1_000_000
+WORDS_HELD = 1_500_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -15,11 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-# Python workers live on after a task.  With glibc, arrays of 1 MB or more get pages of their own, which go back when the array does;
+# Python workers live on after a task.  With glibc, arrays of 4 MB or more get pages of their own, which go back when the array does;
 # the C library would otherwise raise that limit by itself and keep what was freed.  Elsewhere nothing changes.
 with contextlib.suppress(OSError, AttributeError):
     for _option in (-3, -1):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
-        ctypes.CDLL(None).mallopt(_option, 1 << 20)
+        ctypes.CDLL(None).mallopt(_option, 4 << 20)
 
 #: Bytes of text handled at once; a longer document is cut at a delimiter, a longer word is kept whole.
 BLOCK = 1 << 19
