@@ -339,6 +339,31 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, bench.where("item_id < 0")).count() == 0 and decontaminate.contaminated(docs.where("doc_id < 0"), bench).count() == 0
 
 
+def test_decontamination_with_short_answers_and_items(spark):
+    """Answers and whole items of 1 to 4 words are found where their words stand one after the other, and not where they are apart."""
+    rng = random.Random(15)
+    answers = [f"A{n}x A{n}y A{n}z A{n}t".split(" ")[:n] for n in range(1, 5)]
+    questions = [prose(rng, 25, 3000) for _ in answers]
+    items = [f"{q}\n{' '.join(a)}." for q, a in zip(questions, answers, strict=True)]
+    items += [f"I{n}x I{n}y I{n}z I{n}t".split(" ")[:n] for n in range(1, 5)]
+    items = [" ".join(x) if isinstance(x, list) else x for x in items]
+    texts, want = [], set()
+    for k, item in enumerate(items):
+        for place in (0, 70, 300):
+            words = prose(rng, 300, 3000).split(" ")
+            want.add((len(texts), k))
+            texts.append(" ".join([*words[:place], item.lower(), *words[place:]]))
+        want.add((len(texts), k))
+        texts.append(item)
+    for q, a in zip(questions, answers, strict=True):  # the question alone, or beside the answer's words in another order
+        texts += [f"{prose(rng, 100, 3000)} {q} {prose(rng, 100, 3000)}", *([f"{q} {' '.join(a[::-1])}"] if len(a) > 1 else [])]
+    docs = frame(spark, texts)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontaminate.contaminated(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want and all(r["question_overlap"] == r["answer_overlap"] == 1.0 for r in rows)
+    assert {r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
 def test_wand_equals_exhaustive_scoring():
     rng = random.Random(12)
     items = [(i, prose(rng, rng.randrange(1, 90), 60)) for i in range(80)]

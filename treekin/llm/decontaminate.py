@@ -11,12 +11,14 @@ of every document (windows of twice that length, half overlapping, so that each
 * the pairs that remain are scored in full, and all above the threshold are retrieved.
 
 A retrieved item is verified on the whole document: of the question's five-word shingles, and of those of the answer (the last
-line, where an item has several), at least ``overlap`` must occur in it.
+line, where an item has several), at least ``overlap`` must occur in it.  A question or an answer of under five words is one
+shingle of that length, and is compared with the document's runs of as many words.
 
 The index is a broadcast.  Its size is checked: items are dealt into shards of at most ``SHARD_CHARS`` characters, and the
 documents are read once for each shard.
 
-Edge cases.  Null or empty text, of documents or items, matches nothing.  Items of under five words count as one shingle.
+Edge cases.  Null or empty text, of documents or items, matches nothing.  Items of under five words count as one shingle, and
+so are found wherever their words stand one after the other.
 Equal items are reported each; repeated documents too.  An empty table on either side gives an empty result.  Other columns
 are ignored by ``contaminated`` and kept by ``decontaminate``.
 """
@@ -37,6 +39,7 @@ SEGMENT_WORDS = 64
 STRIDE = SEGMENT_WORDS
 BLOCK = 32
 SHARD_CHARS = 8_000_000
+SHINGLE = 5
 K1, B = 1.2, 0.75
 
 
@@ -48,8 +51,14 @@ def _words(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _shingles(words: np.ndarray) -> np.ndarray:
-    return np.unique(shingle_hashes(words, np.array([0, len(words)]))[0])
+def _shingles(words: np.ndarray, k: int) -> np.ndarray:
+    return np.unique(shingle_hashes(words, np.array([0, len(words)]), k)[0])
+
+
+def _part(words: np.ndarray) -> tuple[int, np.ndarray]:
+    """The length of a part's shingles, under SHINGLE where the part is shorter, and the shingles."""
+    k = max(1, min(SHINGLE, len(words)))
+    return k, _shingles(words, k)
 
 
 class Index:
@@ -57,14 +66,14 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], threshold: float, overlap: float):
         self.threshold, self.overlap, self.ids = threshold, overlap, []
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[tuple[int, np.ndarray], tuple[int, np.ndarray]]] = []
         segments, owner = [], []
         for (name, text), words in zip(items, _words([t for _, t in items]), strict=True):
             if not len(words):
                 continue
             lines = [x for x in text.split("\n") if x.strip()]
             question, answer = _words(["\n".join(lines[:-1] if len(lines) > 1 else lines), lines[-1] if len(lines) > 1 else ""])
-            self.parts.append((_shingles(question), _shingles(answer)))
+            self.parts.append((_part(question), _part(answer)))
             cuts = np.linspace(0, len(words), -(-len(words) // SEGMENT_WORDS) + 1).astype(int)
             for a, b in zip(cuts, cuts[1:], strict=False):
                 segments.append(words[a:b])
@@ -143,9 +152,10 @@ class Index:
 
     def verify(self, words: np.ndarray, item: int) -> tuple[float, float]:
         """Shares of the question's and the answer's shingles in the text; an item without an answer has it in full."""
-        mine = _shingles(words)
-        share = lambda x: float(np.isin(x, mine).mean()) if len(x) else 1.0
-        return share(self.parts[item][0]), share(self.parts[item][1])
+        (k, question), (m, answer) = self.parts[item]
+        mine = {length: _shingles(words, length) for length in {k, m}}
+        share = lambda x, length: float(np.isin(x, mine[length]).mean()) if len(x) else 1.0
+        return share(question, k), share(answer, m)
 
     def find(self, texts: pa.Array):
         """(row, item id, score, question share, answer share) of verified items."""
