@@ -120,6 +120,21 @@ def test_ngram_join_with_small_blocks(spark, monkeypatch):
     assert joined(frame(spark, texts).repartition(3)) == sorted(components(texts))
 
 
+def test_ngram_join_of_copies_in_any_order(spark):
+    """Groups of exact copies keep their near copies where the smallest doc_id of a partition is not read first."""
+    rng = random.Random(16)
+    texts = []
+    for _ in range(4):
+        text = prose(rng, 80)
+        texts += [text] * 4 + near_copies(rng, text, 1, 1) * 3 + near_copies(rng, text, 2, 1)
+    for ids in (range(len(texts))[::-1], rng.sample(range(len(texts)), len(texts))):
+        assert joined(frame(spark, texts, ids=list(ids)).coalesce(1)) == sorted(components(texts, list(ids)))
+    # a doc_id with two texts, one of them a copy of another document's
+    a, b = prose(rng, 80), prose(rng, 80)
+    texts, ids = [a, b, b, near_copies(rng, a, 1, 1)[0], a, b], [5, 5, 2, 1, 7, 8]
+    assert joined(frame(spark, texts, ids=ids).coalesce(1)) == sorted(components(texts, ids)) and len({c for _, _, c in components(texts, ids)}) == 1
+
+
 def test_trie_finds_all_links():
     rng = random.Random(9)
     for _ in range(200):

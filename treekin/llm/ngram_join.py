@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from treekin.llm.wordhash import SPACED, mix, shingle_hashes, text_groups, words_of
 from treekin.operators.components import connected_components
+from treekin.operators.prefilter import anti_join
 from treekin.shared import drop_stage, small_batches, stage, table
 
 #: Shingles of a partition that are counted at once (4 bytes each).
@@ -125,20 +126,21 @@ def _ordered(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
 def _prefixes(k: int, percent: int, hot):
     """Rows (bucket, shingle, doc_id, n, pos): a bucket is a shingle, or a shingle and a salt where it is frequent.
 
-    The column shingle is null where the bucket is the shingle itself.
+    The column shingle is null where the bucket is the shingle itself.  Of equal sets, one is left out only after one of the
+    same doc_id or a smaller one: rows come in any order, and the smallest doc_id stands for its class.
     """
 
     def run(batches):
         tokens, counts = hot.value
-        seen: set[tuple[int, int]] = set()
+        seen: dict[tuple[int, int], int] = {}
         for batch in batches:
             ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             out: list[list[np.ndarray]] = [[], [], [], [], []]
             for r, s in _sets(batch.column(1), k):
-                if not len(s) or not known[r] or (key := _digest(s)) in seen:
+                if not len(s) or not known[r] or seen.get(key := _digest(s), ids[r] + 1) <= ids[r]:
                     continue
-                seen.add(key)
+                seen[key] = int(ids[r])
                 n = len(s)
                 s, _ = _ordered(s, tokens)
                 p = n - (-(-n * percent // 100)) + 1
@@ -487,11 +489,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by = np.argsort(tokens)
     hot = sc.broadcast((tokens[by], np.array([r[1] for r in top], np.int64)[by]))
 
-    # one document stands for each class of equal sets
+    # one document stands for each class of equal sets; those that stand for none are left out by their doc_id, not by the order of rows
     reps = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    buckets = base.mapInArrow(_prefixes(k, percent, hot), "bucket long, shingle long, doc_id long, n int, pos int")
+    standing = reps.select(F.col("rep").alias("doc_id")).distinct()
+    copies = stage(rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id").distinct().join(standing, "doc_id", "left_anti"), "ngram-copies")
+    buckets = anti_join(base, copies, "doc_id").mapInArrow(_prefixes(k, percent, hot), "bucket long, shingle long, doc_id long, n int, pos int")
     buckets = buckets.repartition("bucket").sortWithinPartitions("bucket", "n").mapInArrow(_with_partners(percent), buckets.schema)
-    buckets = buckets.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     same = "PARTITION BY bucket"
     buckets = stage(buckets.withColumn("members", F.expr(f"count(*) OVER ({same})")).where("members > 1").drop("members"), "ngram-buckets")
     first = buckets.groupBy("doc_id").agg(F.min_by("bucket", F.struct("pos", "bucket")).alias("grp"))
@@ -557,7 +560,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         rows.doc_id, F.col("n").alias("n_shingles"), F.coalesce("component", rows.doc_id).alias("component_id")
     )
     out = stage(out, "ngram-components")
-    for t in (buckets, packed, links, opened, more, described):
+    for t in (copies, buckets, packed, links, opened, more, described):
         drop_stage(t)
     return out
 
