@@ -135,6 +135,15 @@ def test_ngram_join_of_copies_in_any_order(spark):
     assert joined(frame(spark, texts, ids=ids).coalesce(1)) == sorted(components(texts, ids)) and len({c for _, _, c in components(texts, ids)}) == 1
 
 
+def test_ngram_join_of_rows_alone_in_a_salted_bucket(spark, monkeypatch):
+    """A pair of near copies, each copied in every partition: its shingles count as frequent and get more salts than there are sets."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 1)
+    rng = random.Random(17)
+    texts = [x for text in (prose(rng, 80) for _ in range(8)) for x in (text, *near_copies(rng, text, 1, 1))]
+    texts = (texts + [prose(rng, 80)]) * 4
+    assert joined(spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 4), "doc_id long, text string")) == sorted(components(texts))
+
+
 def test_trie_finds_all_links():
     rng = random.Random(9)
     for _ in range(200):

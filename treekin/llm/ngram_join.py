@@ -495,9 +495,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies = stage(rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id").distinct().join(standing, "doc_id", "left_anti"), "ngram-copies")
     buckets = anti_join(base, copies, "doc_id").mapInArrow(_prefixes(k, percent, hot), "bucket long, shingle long, doc_id long, n int, pos int")
     buckets = buckets.repartition("bucket").sortWithinPartitions("bucket", "n").mapInArrow(_with_partners(percent), buckets.schema)
+    # a salted bucket holds a part of its shingle's rows: a row alone in it goes only if the shingle has no other one
     same = "PARTITION BY bucket"
-    buckets = stage(buckets.withColumn("members", F.expr(f"count(*) OVER ({same})")).where("members > 1").drop("members"), "ngram-buckets")
-    first = buckets.groupBy("doc_id").agg(F.min_by("bucket", F.struct("pos", "bucket")).alias("grp"))
+    held = stage(buckets.withColumn("alone", F.expr(f"count(*) OVER ({same}) = 1")).where("NOT alone OR shingle IS NOT NULL"), "ngram-buckets")
+    lone = stage(held.where("shingle IS NOT NULL").groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c = 1").select("shingle"), "ngram-lone")
+    buckets = held.join(F.broadcast(lone), "shingle", "left_anti")
+    first = buckets.groupBy("doc_id").agg(F.min_by("bucket", F.struct("alone", "pos", "bucket")).alias("grp"))
     packed = base.where("doc_id IS NOT NULL").mapInArrow(_pack, "doc_id long, packed binary")
     packed = packed.join(first, "doc_id").select("grp", "doc_id", "packed")
     packed = stage(packed.mapInArrow(_with_prefix(k, percent, hot), "grp long, doc_id long, packed binary, n int, prefix binary"), "ngram-texts", "none")
@@ -560,7 +563,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         rows.doc_id, F.col("n").alias("n_shingles"), F.coalesce("component", rows.doc_id).alias("component_id")
     )
     out = stage(out, "ngram-components")
-    for t in (copies, buckets, packed, links, opened, more, described):
+    for t in (copies, held, lone, packed, links, opened, more, described):
         drop_stage(t)
     return out
 
