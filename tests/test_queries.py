@@ -29,6 +29,16 @@ def test_query(spark, con, name):
     assert sorted(map(near, got.select(*names).collect()), key=key) == sorted(map(near, want.fetchall()), key=key)
 
 
+def test_scores_of_all_users_can_be_recovered(spark):
+    """Each user has one representative, and the pairs of call_graph_similarity are all pairs of these."""
+    rows = QUERIES["call_graph_members"](spark, SMALL).collect()
+    stands = sorted({r["representative"] for r in rows})
+    users = spark.read.parquet(f"{SMALL}/events.parquet").select("user_id").distinct().collect()
+    assert sorted(r["user_id"] for r in rows) == sorted(r["user_id"] for r in users)
+    pairs = QUERIES["call_graph_similarity"](spark, SMALL).collect()
+    assert sorted((r["a"], r["b"]) for r in pairs) == [(a, b) for a in stands for b in stands if a < b]
+
+
 def test_entry(spark):
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["component", "size", "ids"]

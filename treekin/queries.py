@@ -110,11 +110,23 @@ def component_count(spark, sf_dir):
     return component_counts(*_event_graph(spark, sf_dir), "user_id").select("user_id", "n_components")
 
 
-def call_graph_similarity(spark, sf_dir):
-    """Of all pairs of different graph shapes; how many users have each is in the membership query."""
+def _shapes(spark, sf_dir):
+    """(user_id, g, k) of every user: the graph's shape, and the shape as a key."""
     nodes, edges = (stage(x, "graph") for x in _event_graph(spark, sf_dir))
     shapes = graph_shapes(nodes, edges, "user_id").select("user_id", F.struct("degrees", "n_nodes", "n_edges", "n_components").alias("g"))
-    distinct = shapes.groupBy(F.to_json("g").alias("k")).agg(F.min("user_id").alias("user_id"), F.first("g").alias("g"), F.count(F.lit(1)).alias("users"))
+    return shapes.withColumn("k", F.to_json("g"))
+
+
+def call_graph_members(spark, sf_dir):
+    """Of each user the one that stands for the graph's shape in call_graph_similarity; users of one shape have similarity 1."""
+    shapes = stage(_shapes(spark, sf_dir).select("user_id", "k"), "members")
+    return shapes.join(shapes.groupBy("k").agg(F.min("user_id").alias("representative")), "k").select("user_id", "representative")
+
+
+def call_graph_similarity(spark, sf_dir):
+    """Of all pairs of different graph shapes, each by the smallest user_id that has it; call_graph_members has all users of each."""
+    shapes = _shapes(spark, sf_dir)
+    distinct = shapes.groupBy("k").agg(F.min("user_id").alias("user_id"), F.first("g").alias("g"))
     distinct = stage(distinct, "shapes")
     a, b = (distinct.select(F.col("user_id").alias(x), F.col("g").alias(f"g{x}")) for x in "ab")
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", graph_similarity(F.col("ga"), F.col("gb")).alias("score"))
@@ -288,7 +300,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_stream, token_hash, kgram_hash, winnow_fingerprints, fingerprint_count, jaccard_pairs, similar_documents, document_components, suspicious_clusters, reference_best,
-        call_graph_edges, degree_signature, component_count, call_graph_similarity, multiset_jaccard, ted_flat, matching_size, list_submissions, find_pair, comparisons_of, cascade_delete,
+        call_graph_edges, degree_signature, component_count, call_graph_members, call_graph_similarity, multiset_jaccard, ted_flat, matching_size, list_submissions, find_pair, comparisons_of, cascade_delete,
         cache_misses, label_lookup, comparison_matches, best_of_group, presentation, source_names, source_validation, fenced_replies, report_json, schema_migration, rank_pairs, parsed_functions,
         parsed_call_edges, fused_pairs,
     )
@@ -363,6 +375,13 @@ ORACLES = {
     "call_graph_edges": _with(*_GRAPH) + "SELECT user_id, caller, callee FROM ed",
     "degree_signature": _with(*_GRAPH, *_DEGREES) + "SELECT user_id, in_degree, out_degree, n_nodes FROM sg",
     "component_count": _with(*_GRAPH, *_REACH, recursive=True) + "SELECT user_id, n_components FROM cc",
+    "call_graph_members": _with(
+        *_GRAPH, *_DEGREES, *_REACH,
+        "sh AS (SELECT user_id, string_agg(in_degree || ',' || out_degree || ':' || n_nodes, ';' ORDER BY in_degree, out_degree) AS degrees, sum(n_nodes) AS n_nodes FROM sg GROUP BY user_id)",
+        "ec AS (SELECT user_id, count(*) AS n_edges FROM ed GROUP BY user_id)",
+        "fu AS (SELECT sh.user_id, degrees, n_nodes, coalesce(n_edges, 0) AS n_edges, n_components FROM sh LEFT JOIN ec USING (user_id) JOIN cc USING (user_id))", recursive=True,
+    )
+    + "SELECT user_id, min(user_id) OVER (PARTITION BY degrees, n_nodes, n_edges, n_components) AS representative FROM fu",
     "call_graph_similarity": _with(
         *_GRAPH, *_DEGREES, *_REACH,
         "sh AS (SELECT user_id, string_agg(in_degree || ',' || out_degree || ':' || n_nodes, ';' ORDER BY in_degree, out_degree) AS degrees, sum(n_nodes) AS n_nodes FROM sg GROUP BY user_id)",
