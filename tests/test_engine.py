@@ -1,4 +1,6 @@
 import datetime
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,16 +9,16 @@ from treekin.config import Settings
 from treekin.functions import scalar
 from treekin.plans.cohort import AnalysisRequest, analyze_cohort
 from treekin.plans.pairs import analyze, compare
-from treekin.plans.store import Store
+from treekin.plans.store import Store, Transaction
 from treekin.sources.normalize import functions_of, parse_functions
-from treekin.sources.submissions import check_uploads, file_names, read_uploads
+from treekin.sources.submissions import file_names, read_json, read_uploads
 
-ADD = "int add(int a, int b) {\n    int result = a + b; // sum\n    return result;\n}\n"
-COMPUTE = "int compute(int x, int y) {\n    int total = x + y;\n    return total;\n}\n"
-NOOP = "void noop(void) {\n    while (1) {\n        break;\n    }\n}\n"
-PROGRAM = "int add(int a, int b) {\n  int result = a + b;\n  return result;\n}\n\nint run(void) {\n  return add(2, 3);\n}\n"
-CLONE = "// another order, other names\nint execute(void) {\n  return sum(2, 3);\n}\n\nint sum(int x, int y) {\n  int total = x + y; /* add them */\n  return total;\n}\n"
-UNRELATED = "void spin(void) {\n  for (int i = 0; i < 10; i = i + 1) {\n    while (i) {\n      i = i - 1;\n    }\n  }\n}\n"
+MAX = "int max(int p, int q) {\n    if (p > q) return p; // the larger one\n    return q;\n}\n"
+BIGGER = "int bigger(int left, int right) {\n    if (left > right) return left;\n    return right;\n}\n"
+WAIT = "void wait(void) {\n    do { tick(); } while (!done);\n}\n"
+PROGRAM = "double area(double w, double h) {\n  return w * h;\n}\n\nvoid report(double w) {\n  double a = area(w, 4);\n  print(a);\n}\n"
+CLONE = "// another order, other names\nvoid show(double side) {\n  double size = space(side, 4); /* four */\n  print(size);\n}\n\ndouble space(double x, double y) {\n  return x * y;\n}\n"
+UNRELATED = "int count(char *s) {\n  int n = 0;\n  while (s[n]) {\n    n = n + 1;\n    if (n > 99) { break; }\n  }\n  return n;\n}\n"
 
 
 def stream(source):
@@ -24,11 +26,16 @@ def stream(source):
 
 
 def test_front_end():
-    assert [f["name"] for f in functions_of(ADD)] == ["add"]
-    assert stream(ADD) == stream(COMPUTE) != stream(NOOP)
-    assert ("identifier", None) in stream(ADD) and ("binary_expression", "+") in stream(ADD)
-    main = next(f for f in functions_of("int helper(int x) { return x; }\nint main(void) { return helper(3); }") if f["name"] == "main")
-    assert main["callees"] == ["helper"]
+    assert [f["name"] for f in functions_of(MAX)] == ["max"]
+    assert stream(MAX) == stream(BIGGER) != stream(WAIT)
+    assert ("identifier", None) in stream(MAX) and ("binary_expression", ">") in stream(MAX)
+    report = next(f for f in functions_of(PROGRAM) if f["name"] == "report")
+    assert report["callees"] == ["print", "area"]
+
+
+def test_calls_come_last_one_first():
+    source = "int f(int a[g(1)]) { h(i(j()), k(2)); if (x) { y.z(3); (*p)(4); } int inner(void) { return l(); } return (m)(5) + n(o(6)); }\nint q(void) { $ r( ; s(7); }"
+    assert [(f["name"], f["callees"]) for f in functions_of(source)] == [("f", ["n", "o", "l", "h", "k", "i", "j", "g"]), ("q", ["s"])]
 
 
 def test_functions_in_containers_come_after_the_others():
@@ -82,7 +89,13 @@ def test_cohort(spark):
     assert len(pairs) == 3 and (pairs[0]["a"], pairs[0]["b"]) == (1, 2) and pairs[0]["overall_score"] > 0.85
     clusters = report.clusters.collect()
     assert len(clusters) == 1 and [m["submission_id"] for m in clusters[0]["members"]] == [1, 2]
-    assert report.highest().first()[0] == pairs[0]["overall_score"] and '"warnings":[]' in report.to_json().first()[0]
+    made = json.loads(report.to_json().first()["report"])
+    assert (made["submission_count"], made["ai_reference_enabled"], made["ai_reference_count"], made["problem_description"], made["warnings"]) == (3, False, 0, None, [])
+    assert made["highest_student_score"] == report.highest().first()[0] == pairs[0]["overall_score"] and made["ai_references"] == made["reference_results"] == made["reference_summaries"] == []
+    assert [(p["submission_a_id"], p["submission_a_name"], p["submission_b_id"], p["overall_score"]) for p in made["student_pairs"]] == [(p["a"], p["name_a"], p["b"], p["overall_score"]) for p in pairs]
+    assert made["student_pairs"][0]["submission_a_name"] == "Alice" and set(made["student_pairs"][0]) == {"submission_a_id", "submission_a_name", "submission_b_id", "submission_b_name", "overall_score", "ted_score", "winnow_score", "callgraph_score", "aligned_function_count"}
+    assert made["clusters"] == [{"members": [{"submission_id": 1, "name": "Alice"}, {"submission_id": 2, "name": "Bob"}], "size": 2, "average_similarity": pairs[0]["overall_score"]}]
+    datetime.datetime.strptime(made["generated_at"], "%Y-%m-%dT%H:%M:%SZ")
     with pytest.raises(LookupError):
         analyze_cohort(cohort(spark), "w", AnalysisRequest((1, 4)))
 
@@ -93,6 +106,12 @@ def test_references(spark):
     best = report.reference_summary.orderBy("rank").first()
     assert best["submission_id"] == 1 and best["max_reference_score"] > 0.85 and best["best_reference_label"] == "AI Reference 1"
     assert any("AI Reference 2" in w for w in report.warnings)
+    assert report.reference_source("AI Reference 1") == PROGRAM.strip() and report.reference_source("AI Reference 2") is None
+    made = json.loads(report.to_json().first()["report"])
+    assert made["ai_references"] == [{"label": "AI Reference 1", "source_code": PROGRAM.strip()}] and (made["ai_reference_count"], made["problem_description"]) == (1, "add two numbers")
+    assert [(r["submission_id"], r["submission_name"], r["reference_label"]) for r in made["reference_results"]] == [(1, "Alice", "AI Reference 1"), (2, "Bob", "AI Reference 1"), (3, "Carol", "AI Reference 1")]
+    assert made["reference_summaries"][0] == {"submission_id": 1, "submission_name": "Alice", "max_reference_score": best["max_reference_score"], "best_reference_label": "AI Reference 1"}
+    assert made["reference_results"][0]["overall_score"] == best["max_reference_score"]
 
     def broken(text, n):
         raise RuntimeError("quota")
@@ -118,27 +137,97 @@ def test_store(spark, tmp_path):
     assert store.by_submission(1).count() == 1
     with pytest.raises(ValueError):
         store.compare([(1, 1)])
-    store.save_lab(" Lab 1 ", "secret", '{"submission_count": 2, "highest_similarity": 0.9}')
+    store.save_lab(" Lab 1 ", "secret", store.analyze("w"))
     with pytest.raises(ValueError):
         store.save_lab("lab 1", "x", "{}")
     assert store.unlock_lab("LAB 1", "secret")["submission_count"] == 2 and store.unlock_lab("lab 1", "no") is None and store.unlock_lab("lab", "x") is None
-    assert store.labs().first()["highest_similarity"] == 0.9
+    lab = store.labs().first()
+    assert lab["highest_student_score"] == first["overall_score"] and lab["submission_count"] == 2
     store.delete_submission("w", 1)
     assert not store.table("comparisons").count() and not store.table("matches").count() and store.table("functions").count() == 2
     assert store.ready() and store.capabilities(" ")["references_configured"] is False
 
 
+def test_nothing_of_a_broken_change_stays(spark, tmp_path):
+    """A crash between the tables of one change leaves the version before; the change can be made again."""
+    store = Store(spark, f"file://{tmp_path}/store")
+    rows = spark.createDataFrame([(1, "Alice", "a.c", PROGRAM)], "id long, name string, filename string, source_code string")
+    write = Transaction._write
+
+    def broken(self, name, rows):
+        if name == "submissions":
+            raise OSError("disk")
+        return write(self, name, rows)
+
+    Transaction._write = broken
+    try:
+        with pytest.raises(OSError):
+            store.add_submissions("w", rows)
+    finally:
+        Transaction._write = write
+    assert not store.table("functions").count() and not list((tmp_path / "store" / "functions").glob("part=*"))
+    store.add_submissions("w", rows)
+    assert store.table("functions").count() == 2 and store.table("submissions").count() == 1
+    with pytest.raises(OSError), store.transaction() as t:  # two writers: the second one fails
+        t.insert("labs", id="x", label="x", report="{}")
+        with store.transaction() as other:
+            other.insert("labs", id="y", label="y", report="{}")
+    assert [r["id"] for r in store.table("labs").collect()] == ["y"]
+
+
+def test_appends_read_nothing_and_merge(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("treekin.plans.store.MERGE", 3)
+    store = Store(spark, f"file://{tmp_path}/store")
+    for i in range(7):
+        with store.transaction() as t:
+            t.insert("comparisons", id=f"c{i}", a=i, b=i + 1, overall_score=0.5)
+    assert sorted(level for _, level in store._head()[1]["comparisons"]) == [0, 1, 1] and store.table("comparisons").count() == 7
+    assert len(list((tmp_path / "store" / "comparisons").glob("part=*"))) <= 6  # this version and the one before
+    store.delete_comparison("c3")
+    assert sorted(r["id"] for r in store.table("comparisons").collect()) == ["c0", "c1", "c2", "c4", "c5", "c6"]
+
+
+def test_a_pair_reads_the_functions_of_two_submissions(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/store")
+    rows = [(i, f"s{i}", "s.c", UNRELATED if i > 2 else PROGRAM) for i in range(1, 9)]
+    store.add_submissions("w", spark.createDataFrame(rows, "id long, name string, filename string, source_code string"))
+    seen = []
+
+    def watched(functions, pairs, *rest):
+        plan = functions._jdf.queryExecution().executedPlan().toString()
+        seen.append((functions.select("submission_id").distinct().count(), "PushedFilters" in plan and "In(submission_id" in plan.replace("In(submission_id, ", "In(submission_id")))
+        return compare(functions, pairs, *rest)
+
+    monkeypatch.setattr("treekin.plans.store.compare", watched)
+    assert store.compare([(1, 2), (2, 1)]).first()["overall_score"] == 1.0 and seen == [(2, True)]
+    assert "PartitionFilters: [isnotnull(workspace" in store.table("submissions").where("workspace = 'w'")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_older_tables(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    old = spark.createDataFrame([(7, "Ann", "a.c", "int f;", 3.0)], "id int, name string, filename string, source_code string, score double")
+    store.adopt("submissions", old)
+    row = store.table("submissions").first()
+    assert (row["id"], row["workspace"], row["language"], row["created_at"]) == (7, "legacy", "c", None) and "score" not in store.table("submissions").columns
+    assert store.list_submissions("legacy").first()["function_count"] == 0
+
+
 def test_uploads(spark, tmp_path):
-    for name, body in (("a.c", PROGRAM.encode()), ("b.txt", b"x"), ("d.c", b"\xff\xfe"), ("e.C", b"x" * (2 * 1024 * 1024 + 1))):
+    for name, body in (("a.c", PROGRAM.encode()), ("b.txt", b"x"), ("c.h", b""), ("d.c", b"\xff\xfe"), ("e.C", b"x" * (2 * 1024 * 1024 + 1))):
         (tmp_path / name).write_bytes(body)
     rows = read_uploads(spark, str(tmp_path))
-    assert {r["filename"]: r["reject_reason"] for r in rows.collect()} == {"a.c": None, "b.txt": "extension", "d.c": "not UTF-8", "e.C": "too large"}
-    rows = check_uploads(spark.createDataFrame([("c.h", bytearray(b""))], "filename string, content binary"))
-    assert rows.first()["reject_reason"] == "empty"
+    assert {r["filename"]: r["reject_reason"] for r in rows.collect()} == {"a.c": None, "b.txt": "extension", "c.h": "empty", "d.c": "not UTF-8", "e.C": "too large"}
     many = spark.createDataFrame([(1, "Ann", "a.c"), (2, "Ann", "b.c"), (2, "Ann", "c.c")], "batch int, typed string, filename string")
     assert {(r["filename"], r["name"]) for r in file_names(many, "typed").collect()} == {("a.c", "Ann"), ("b.c", "b.c"), ("c.c", "c.c")}
 
 
+def test_requests(spark, tmp_path):
+    rows = [{"name": "é" * 255, "filename": "f" * 512, "source_code": "x"}, {"name": "", "filename": "f", "source_code": "x"}, {"name": "n" * 256, "filename": "f", "source_code": "x"}, {"name": "n", "filename": "f" * 513, "source_code": "x"}, {"name": "n", "filename": "f"}]
+    (tmp_path / "r.json").write_text("\n".join(map(json.dumps, rows)))
+    got = read_json(spark, f"file://{tmp_path}/r.json").collect()
+    assert [r["reject_reason"] for r in got] == [None, "name is missing", "name is too long", "filename is too long", "source_code is missing"]
+
+
 def test_stream(spark, tmp_path):
     from treekin.streaming.ingest import compare_new, ingest
 
@@ -156,8 +245,11 @@ def test_scalars(spark):
     assert [tuple(r) for r in df.collect()] == [("81.2%", "high", "#dc2626"), ("100.0%", "high", "#dc2626"), ("60.0%", "medium", "#d97706"), ("20.0%", "low", "#16a34a")]
     df = spark.createDataFrame([("x ```c\nint a;\n``` y", "int a;"), (" raw ", "raw"), ("```C++ \nq```", "q")], "s string, w string")
     assert all(a == b for a, b in df.select(scalar.fenced_code(F.col("s")), "w").collect())
-    df = spark.createDataFrame([(1 / 128,), (1 / 640,), (None,)], "x double")
-    assert [r[0] for r in df.select(scalar.round6("x")).collect()] == [round(1 / 128, 6), round(1 / 640, 6), None]
+    rng = random.Random(7)
+    values = [None, 0.0, 1.0, 1 / 128, 1 / 640, 5e-7, 1.5e-6, 0.30000000000000004, *(k / 128 for k in range(128)), *((2 * k + 1) / 2e6 for k in rng.sample(range(10**6), 3000)), *(rng.random() * 10.0 ** -rng.randrange(9) for _ in range(3000)), 1234.5678905]
+    values += [x + d * 2.0**-53 for x in ((2 * k + 1) / 2e6 for k in rng.sample(range(10**6), 500)) for d in (-1, 1)]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    assert [r[0] for r in df.select(scalar.round6("x")).collect()] == [None if x is None else round(x, 6) for x in values]
     df = spark.createDataFrame([(" My Prog! ", "my_prog.c"), ("!!", "submission.c")], "s string, w string")
     assert all(a == b for a, b in df.select(scalar.filename(F.col("s")), "w").collect())
     assert [scalar.reference_count(x) for x in (None, 0, 3, 99)] == [5, 5, 3, 15]
@@ -165,10 +257,24 @@ def test_scalars(spark):
 
 def test_passwords():
     stored = scalar.hash_password("pw")
+    import hashlib
+
+    known = f"pbkdf2_sha256$1000$00ff${hashlib.pbkdf2_hmac('sha256', b'pw', bytes.fromhex('00ff'), 1000).hex()}"
+    assert scalar.verify_password("pw", known) and scalar.verify_password("pw", known.replace("00ff", "00FF")) and not scalar.verify_password("pW", known)
     assert scalar.verify_password("pw", stored) and not scalar.verify_password("", stored) and stored != scalar.hash_password("pw")
     assert not any(scalar.verify_password("pw", x) for x in ("", "a$b", "md5$1$00$00", "pbkdf2_sha256$x$zz$1"))
 
 
+def test_errors():
+    class Failure(Exception):
+        def __init__(self, body=None, message=None):
+            super().__init__("as text")
+            self.body, self.message = body, message
+
+    cases = [(Failure(), "as text"), (Failure(None, "own"), "own"), (Failure({"message": "outer"}, "own"), "outer"), (Failure({"error": {"message": "inner"}, "message": "outer"}), "inner"), (Failure({"error": "x", "message": 3}, "own"), "own"), (ValueError("v"), "v")]
+    assert [scalar.error_message(e) for e, _ in cases] == [w for _, w in cases]
+
+
 def test_settings(spark):
     assert Settings().ted_share == 0.5 / 0.85 and sum(Settings(weight_ted=2).weights) == pytest.approx(1)
     assert Settings(weight_ted=0, weight_winnow=0, weight_callgraph=0).weights == (1 / 3, 1 / 3, 1 / 3)
@@ -190,6 +296,9 @@ def test_tree_json(spark):
     df = spark.createDataFrame([(PROGRAM,)], "source string")
     df.createOrReplaceTempView("programs")
     rows = spark.sql("SELECT f.name, f.ast, ast_to_json(f.ast) AS j FROM programs, LATERAL parse_c(source) f")
+    assert [r["d"] for r in spark.sql("SELECT tree_distance(f.ast, g.ast) AS d FROM programs, LATERAL parse_c(source) f, LATERAL parse_c(source) g WHERE f.name <= g.name").collect()].count(0) == 2
+    made = spark.sql("SELECT fingerprints(split('a b c d e f g h i j', ' ')) AS f, winnow(kgram_hashes(token_hashes(split('a b c d e f g h i j', ' ')), 5), 4) AS w, token_hash('identifier') AS t, jaccard(array(1L, 2L), array(2L)) AS j, round6(0.0078125D) AS r, tree_similarity(ast, ast) AS s FROM (SELECT f.ast FROM programs, LATERAL parse_c(source) f) LIMIT 1").first()
+    assert made["f"] == made["w"] and (made["t"], made["j"], made["r"], made["s"]) == (348638641506766093, 0.5, 0.007812, 1.0)
     back = rows.select("ast", ast_from_json(F.col("j")).alias("again")).collect()
     assert len(back) == 2 and all(r["ast"] == r["again"] for r in back)
 

@@ -31,6 +31,7 @@ def run(spark, rows, k, w):
 
 def test_token_hash_values(spark):
     want = {"identifier": 348638641506766093, "if_statement": 18062459147732763, "binary_expression:+": 661456148245138213, "größe": 2256358942226314391, "": 0, "a😀b": poly(map(ord, "a😀b"))}
+    want[None] = None
     df = spark.createDataFrame([(t,) for t in want], "t string").select("t", hashing.token_hash(F.col("t")).alias("h"))
     assert {r["t"]: r["h"] for r in df.collect()} == want
 
@@ -45,11 +46,23 @@ def test_winnowing_equals_the_literal_algorithm(spark):
 
 
 def test_winnowing_properties(spark):
-    swapped = run(spark, [list("xyzpqr"), list("pqrxyz")], 2, 2)
-    assert set(swapped[0]) & set(swapped[1])
-    apart = run(spark, [list("abcdef"), list("mnopqr")], 2, 2)
+    words = "open read parse check store close".split()
+    moved = run(spark, [words, words[3:] + words[:3]], 2, 2)
+    assert set(moved[0]) & set(moved[1])
+    apart = run(spark, [words, "alpha beta gamma delta epsilon zeta".split()], 2, 2)
     assert not set(apart[0]) & set(apart[1])
-    assert run(spark, [["a", "b"]], 5, 4)[0]
+    assert len(run(spark, [["alone"]], 5, 4)[0]) == 1 and run(spark, [None], 5, 4)[0] == []
+
+
+def test_parts_of_the_hash(spark):
+    rng = random.Random(5)
+    rows = [None, [], *([rng.choice(["", "a", "é", "x" * 200, "😀" * 70, "if"]) for _ in range(n)] for n in (1, 3, 4, 5, 30))]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, t array<string>")
+    out = df.select("id", hashing.token_hashes("t").alias("h")).select("id", "h", hashing.kgram_hashes(F.col("h"), 4).alias("g")).select("*", hashing.winnow(F.col("g"), 3).alias("w"))
+    for r in out.collect():
+        hs = [poly(map(ord, t)) for t in rows[r["id"]] or []]
+        grams = [poly(hs[i : i + 4]) for i in range(max(1, len(hs) - 3))] if hs else []
+        assert r["h"] == hs and r["g"] == grams and r["w"] == sorted({min(grams[i : i + 3]) for i in range(max(1, len(grams) - 2))} if grams else [])
 
 
 @pytest.mark.parametrize("k, w", [(0, 4), (5, 0)])

@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from treekin.operators import callgraph, matching, sets, trees
 from treekin.operators.components import connected_components
+from treekin.operators.ranking import global_rank
 
 
 def test_jaccard(spark):
-    rows = [([1, 2, 3], [1, 2, 3], 1.0), ([1, 2], [3, 4], 0.0), ([], [], 1.0), ([1, 2, 3], [2, 3, 4], 0.5)]
+    rows = [([9, 8, 7, 6], [6, 9], 0.5), ([5], [], 0.0), ([], [], 1.0), ([1, 2, 3, 4, 5], [5, 4, 3, 2, 1], 1.0), ([10, 20, 30], [30, 40, 50], 0.2)]
     df = spark.createDataFrame(rows, "a array<long>, b array<long>, want double")
-    for r in df.select("want", sets.jaccard_detail(F.col("a"), F.col("b")).alias("d")).collect():
-        assert r["d"]["score"] == r["want"]
-    assert (r["d"]["intersection"], r["d"]["union"]) == (2.0, 4.0)
+    for r in df.select("*", sets.jaccard_detail(F.col("a"), F.col("b")).alias("d")).collect():
+        a, b = set(r["a"]), set(r["b"])
+        assert r["d"].asDict() == {"score": r["want"], "intersection": len(a & b), "union": len(a | b), "size_a": len(a), "size_b": len(b)}
 
 
 def test_pairs_equal_brute_force(spark):
@@ -48,8 +49,9 @@ def distance(a, b):
 
 
 TREES = [
-    (("root", ["a", "b"]), ("root", ["a", "b"]), 0), (("root", ["a", "b"]), ("root", ["a", "c"]), 1), (("root", ["a"]), ("root", ["a", "b"]), 1),
-    (("f", [("d", ["a", ("c", ["b"])])]), ("f", [("c", [("d", ["a", "b"])])]), 2), (("binary_expression:+", ["id", "id"]), ("binary_expression:-", ["id", "id"]), 1),
+    ("while", "while", 0), ("while", "for", 1), (("call", ["name", ("args", ["1", "2", "3"])]), ("call", ["name", ("args", ["1", "3"])]), 1),
+    (("block", [("if", ["cond", "then"]), "return"]), ("block", [("if", ["cond", "then", "else"]), "return"]), 1),
+    (("p", [("q", [("r", ["s"])])]), ("p", ["s"]), 2), (("sum", ["x", "y", "z"]), ("sum", ["z", "y", "x"]), 2), (("m", [("n", ["o"]), "o"]), ("m", ["o", ("n", ["o"])]), 2),
 ]
 
 
@@ -97,10 +99,43 @@ def test_tree_distance_equals_the_recurrence():
 
 def test_matching():
     m = matching.maximum_matching
-    assert len(m({0: [0, 1], 1: [0], 2: [2]}, [0, 1, 2], [0, 1, 2])) == 3
-    assert len(m({0: [0], 1: [0]}, [0, 1], [0])) == 1
-    assert m({}, [], []) == {} and m({0: [], 1: []}, [0, 1], []) == {}
-    assert len(m({"a": ["x"], "b": ["x", "y"], "c": ["y", "z"]}, list("abc"), list("xyz"))) == 3
+    assert m({7: [3, 4], 8: [3]}, [7, 8], [3, 4]) == {7: 4, 8: 3}  # an augmenting path moves the first one
+    assert m({7: [3], 8: [3], 9: [3]}, [7, 8, 9], [3]) == {7: 3} and m({7: []}, [7], [3]) == {} == m({}, [], [3])
+    assert m({"p": ["u", "v", "w"], "q": ["u"], "r": ["u", "v"]}, ["p", "q", "r"], ["u", "v", "w"]) == {"p": "w", "q": "u", "r": "v"}
+    with pytest.raises(KeyError):
+        m({1: [2]}, [1], [3])
+
+
+def test_groups_are_matched_one_by_one(spark):
+    """Many groups in a batch, groups over several batches, null keys, and ties by weight."""
+    rng = random.Random(11)
+    rows = [(g if g else None, f"h{g % 3}", u, v, rng.choice([0.5, 1.0]), f"{u}-{v}") for g in range(40) for u in range(rng.randrange(6)) for v in rng.sample(range(6), rng.randrange(5))]
+    df = spark.createDataFrame(rows, "g long, h string, left long, right long, weight double, note string").repartition(3)
+    want = set()
+    for g in {r[0] for r in rows}:
+        mine = sorted((u, -w, v) for x, _, u, v, w, _ in rows if x == g)
+        lists = {u: [v for x, _, v in mine if x == u] for u, _, _ in mine}
+        want |= {(g, f"h{(g or 0) % 3}", u, v, f"{u}-{v}") for u, v in matching.maximum_matching(lists, list(lists), [v for _, _, v in mine]).items()}
+    for size in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        assert {tuple(r) for r in matching.match_groups(df, ["g", "h"], ("note",)).collect()} == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert matching.match_groups(df.where("left < 0"), ["g", "h"]).count() == 0
+
+
+def test_global_rank(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.randrange(20), None if i % 9 == 0 else rng.random()) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, k long, rank double").repartition(7)
+    got = global_rank(df, F.desc("k"), F.col("id"), name="place").collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["place"])] == [i for i, _, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    assert sorted(r["place"] for r in got) == list(range(1, 501)) and global_rank(df.where("id < 0"), F.col("id"), name="place").count() == 0
+
+
+def test_representatives(spark):
+    data = [(5, [1, 2]), (3, [2, 1, 1]), (9, [12]), (4, []), (7, None), (8, [3])]
+    got = sets.representatives(spark.createDataFrame(data, "id long, elements array<long>")).collect()
+    assert {r["id"]: r["representative"] for r in got} == {5: 3, 3: 3, 9: 9, 4: 4, 7: 4, 8: 8}
 
 
 def test_matching_is_maximum():
@@ -114,8 +149,8 @@ def test_matching_is_maximum():
 
 
 @pytest.mark.parametrize("edges, want", [
-    ([(1, 2), (2, 3), (4, 5)], {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}), ([], {}), ([(1, 1)], {}), ([(i, i + 1) for i in range(60)], {i: 0 for i in range(61)}),
-    ([(0, 1), (1, 2), (3, 4), (5, 6), (6, 7), (7, 5), (None, 3)], {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 5, 7: 5}),
+    ([(3, 9), (9, 4), (8, 6), (6, 6)], {3: 3, 9: 3, 4: 3, 6: 6, 8: 6}), ([], {}), ([(1, 1)], {}), ([(i, i + 1) for i in range(60)], {i: 0 for i in range(61)}),
+    ([(50, 40), (40, 30), (20, 30), (11, 12), (12, 13), (13, 11), (None, 3)], {50: 20, 40: 20, 30: 20, 20: 20, 11: 11, 12: 11, 13: 11}),
 ])
 def test_components(spark, edges, want):
     df = spark.createDataFrame(edges, "src long, dst long")
@@ -128,18 +163,23 @@ def graph(spark, rows):
 
 
 def test_call_graph(spark):
-    df, edges = graph(spark, [("main", ["helper", "printf", "helper"]), ("helper", [])])
-    assert [(r["caller"], r["callee"]) for r in edges.collect()] == [("main", "helper")]
-    df, edges = graph(spark, [("main", ["a", "b"]), ("a", []), ("b", [])])
-    assert {(r["in_degree"], r["out_degree"]): r["n_nodes"] for r in callgraph.degree_counts(df.select("submission_id", "name"), edges).collect()} == {(0, 2): 1, (1, 0): 2}
-    df, edges = graph(spark, [("a", ["b", "a"]), ("b", []), ("c", [])])
+    df, edges = graph(spark, [("read", ["parse", "fopen", "parse", "read"]), ("parse", ["emit"]), ("emit", []), ("unused", ["malloc"])])
+    assert {(r["caller"], r["callee"]) for r in edges.collect()} == {("read", "parse"), ("read", "read"), ("parse", "emit")}
+    nodes = df.select("submission_id", "name")
+    assert {(r["in_degree"], r["out_degree"]): r["n_nodes"] for r in callgraph.degree_counts(nodes, edges).collect()} == {(1, 2): 1, (1, 1): 1, (1, 0): 1, (0, 0): 1}
     assert callgraph.component_counts(df, edges).first()["n_components"] == 2
+    shape = callgraph.graph_shapes(nodes, edges).first()
+    assert (shape["n_nodes"], shape["n_edges"], shape["n_components"]) == (4, 3, 2)
 
 
 def test_call_graph_similarity(spark):
-    a = spark.createDataFrame([(1, "main", ["a", "b"]), (1, "a", []), (1, "b", []), (2, "root", ["x", "y"]), (2, "x", []), (2, "y", [])], "submission_id long, name string, callees array<string>")
+    named = [(k, f"{k}{n}", [f"{k}{c}" for c in calls]) for k in (1, 2) for n, calls in (("top", ("mid", "low")), ("mid", ("low",)), ("low", ()))]
+    a = spark.createDataFrame(named, "submission_id long, name string, callees array<string>")
     g = [r["g"] for r in callgraph.graph_shapes(a, callgraph.call_edges(a)).select(F.struct("degrees", "n_nodes", "n_edges", "n_components").alias("g")).collect()]
     assert g[0] == g[1]
     kind = "struct<degrees:map<string,long>,n_nodes:long,n_edges:long,n_components:long>"
-    rows = spark.createDataFrame([(({}, 0, 0, 0), ({}, 0, 0, 0), 1.0), (({}, 0, 0, 0), ({"0,0": 1}, 1, 0, 1), 0.2)], f"a {kind}, b {kind}, want double")
-    assert all(r[0] == r[1] for r in rows.select("want", callgraph.graph_similarity(F.col("a"), F.col("b"))).collect())
+    rows = spark.createDataFrame([(({}, 0, 0, 0), ({}, 0, 0, 0), 1.0), (({}, 0, 0, 0), ({"0,0": 1}, 1, 0, 1), 0.2), (({"0,1": 1, "1,0": 1}, 2, 1, 1), ({"0,1": 1, "1,1": 1, "1,0": 1}, 3, 2, 1), 0.6 * 2 / 3 + 0.1 + 0.2)], f"a {kind}, b {kind}, want double")
+    got = rows.select("want", callgraph.graph_similarity(F.col("a"), F.col("b")), callgraph.graph_similarity_detail(F.col("a"), F.col("b")).alias("d")).collect()
+    assert all(abs(r[0] - r[1]) < 1e-12 and r["d"]["score"] == r[1] for r in got)
+    assert got[2]["d"].asDict() == {"score": got[2][1], "degree_similarity": 2 / 3, "edge_similarity": 0.5, "component_similarity": 1.0, "nodes_a": 2.0, "nodes_b": 3.0, "edges_a": 1.0, "edges_b": 2.0}
+    assert got[0]["d"]["degree_similarity"] is None and got[0]["d"]["nodes_a"] == 0.0

@@ -50,8 +50,19 @@ def graph_shapes(nodes: DataFrame, edges: DataFrame, by: str = "submission_id")
     return degrees.join(count, by, "left").join(component_counts(nodes, edges, by), by).select(by, "degrees", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "n_components")
 
 
+def graph_similarity_detail(a: Column, b: Column) -> Column:
+    """a, b: structs of degrees, n_nodes, n_edges and n_components.  A struct of the score, its three parts and the sizes on both sides.
+
+    Both without nodes: score 1, the parts null.
+    """
+    none = (a["n_nodes"] == 0) & (b["n_nodes"] == 0)
+    parts = (multiset_jaccard(a["degrees"], b["degrees"]), ratio(a["n_edges"], b["n_edges"]), ratio(a["n_components"], b["n_components"]))
+    score = sum((share * part for share, part in zip(SHARES[1:], parts[1:], strict=True)), SHARES[0] * parts[0])
+    named = [F.when(~none, part).alias(f"{name}_similarity") for name, part in zip(("degree", "edge", "component"), parts, strict=True)]
+    sizes = [x[f"n_{what}"].cast("double").alias(f"{what}_{side}") for what in ("nodes", "edges") for x, side in ((a, "a"), (b, "b"))]
+    return F.struct(F.when(none, F.lit(1.0)).otherwise(clamp(score)).alias("score"), *named, *sizes)
+
+
 def graph_similarity(a: Column, b: Column) -> Column:
     """a, b: structs of degrees, n_nodes, n_edges and n_components; both without nodes: 1."""
-    degree, edge, component = SHARES
-    score = degree * multiset_jaccard(a["degrees"], b["degrees"]) + edge * ratio(a["n_edges"], b["n_edges"]) + component * ratio(a["n_components"], b["n_components"])
-    return F.when((a["n_nodes"] == 0) & (b["n_nodes"] == 0), F.lit(1.0)).otherwise(clamp(score))
+    return graph_similarity_detail(a, b)["score"]

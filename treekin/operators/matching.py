@@ -7,16 +7,22 @@ partners in the order of the edge list.
 from __future__ import annotations
 
 from collections.abc import Hashable, Mapping, Sequence
+from itertools import pairwise
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from treekin.operators.grouped import whole_groups
 
 
 def maximum_matching(edges: Mapping[Hashable, Sequence], left: Sequence, right: Sequence) -> dict:
     """left vertex -> right vertex."""
     partner_l: dict = {}
     partner_r: dict = {}
-    if not all(v in set(right) for u in left for v in edges.get(u, ())):
+    known = set(right)
+    if not all(known.issuperset(edges.get(u, ())) for u in left):
         raise KeyError("an edge leads to an unknown right vertex")
     while True:
         layer = {u: 0 for u in left if u not in partner_l}
@@ -58,20 +64,35 @@ def maximum_matching(edges: Mapping[Hashable, Sequence], left: Sequence, right:
                         taken.pop()
 
 
-def match_groups(edges: DataFrame, by: list[str]) -> DataFrame:
-    """edges: (by..., left, right, weight), left and right longs.  The matching of each group: (by..., left, right).
+def matched_rows(left: np.ndarray, right: np.ndarray, begin: list[int]) -> np.ndarray:
+    """Rows of the matched edges.  Groups begin at `begin`; their edges come in the order in which they are tried."""
+    out: list[int] = []
+    for a, b in pairwise(begin):
+        if b - a == 1:
+            out.append(a)
+            continue
+        lists: dict[int, list[int]] = {}
+        at: dict[tuple[int, int], int] = {}
+        for i, (u, v) in enumerate(zip(left[a:b].tolist(), right[a:b].tolist(), strict=True), a):
+            lists.setdefault(u, []).append(v)
+            at.setdefault((u, v), i)
+        out += [at[x] for x in maximum_matching(lists, list(lists), right[a:b].tolist()).items()]
+    return np.array(out, np.int64)
+
+
+def match_groups(edges: DataFrame, by: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """edges: (by..., left, right, weight, keep...), left and right longs.  The matched edges of each group: (by..., left, right, keep...).
 
-    Left vertices are visited in ascending order, their partners by descending weight, then ascending.
+    Left vertices are visited in ascending order, their partners by descending weight, then ascending.  One shuffle brings groups
+    together, and a batch of rows is matched at once, however many groups it holds; a group lies in memory as a whole.
     """
-    schema = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in by) + ", left long, right long"
+    rows = edges.select(*by, "left", "right", *keep, "weight").repartition(*by).sortWithinPartitions(*by, "left", F.desc("weight"), "right")
+    names = [*by, "left", "right", *keep]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["left", "weight", "right"], ascending=[True, False, True])
-        lists = rows.groupby("left", sort=True)["right"].apply(list).to_dict()
-        found = maximum_matching(lists, list(lists), sorted(set(rows["right"])))
-        out = pd.DataFrame({"left": list(found), "right": list(found.values())}, dtype="int64")
-        for c in reversed(by):
-            out.insert(0, c, rows[c].iloc[0])
-        return out
+    def run(batches):
+        for group, begin in whole_groups(batches, len(by)):
+            left, right = (group.column(c).to_numpy() for c in ("left", "right"))
+            found = group.take(pa.array(matched_rows(left, right, begin))).select(names)
+            yield from found.to_batches()
 
-    return edges.select(*by, "left", "right", "weight").groupBy(*by).applyInPandas(run, schema)
+    return rows.mapInArrow(run, rows.select(*names).schema)

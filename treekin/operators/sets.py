@@ -27,6 +27,13 @@ def multiset_jaccard(a: Column, b: Column) -> Column:
     return F.when(F.size(keys) == 0, F.lit(1.0)).otherwise(F.transform(F.array(both), lambda s: s["lo"] / s["hi"])[0])
 
 
+def representatives(sets: DataFrame, item: str = "id", elements: str = "elements") -> DataFrame:
+    """(id, representative): the smallest id with the same elements.  Sets are told apart by a 256-bit digest of their sorted elements."""
+    listed = F.array_join(F.array_sort(F.array_distinct(F.coalesce(F.col(elements), F.array().cast(sets.schema[elements].dataType)))).cast("array<string>"), "\n", "null")
+    rows = sets.select(F.col(item).alias("id"), F.sha2(listed, 256).alias("digest"))
+    return rows.join(rows.groupBy("digest").agg(F.min("id").alias("representative")), "digest").select("id", "representative")
+
+
 def shared_counts(sets: DataFrame, item: str = "id", elements: str = "elements") -> DataFrame:
     """(a, b, n_shared) of all pairs a < b that share an element: an inverted index joined with itself on the element."""
     rows = sets.select(F.col(item).alias("id"), F.explode(F.array_distinct(elements)).alias("e"))
@@ -35,7 +42,11 @@ def shared_counts(sets: DataFrame, item: str = "id", elements: str = "elements")
 
 
 def jaccard_pairs(sets: DataFrame, item: str = "id", elements: str = "elements") -> DataFrame:
-    """(a, b, n_shared, n_union, score) of all pairs that share an element."""
+    """(a, b, n_shared, n_union, score) of all pairs that share an element.
+
+    Two empty sets share none and so are no pair here, though jaccard() gives them 1.  Equal sets give as many pairs as others: where there
+    can be many, pairs are taken of representatives().
+    """
     sizes = sets.select(F.col(item).alias("id"), F.size(F.array_distinct(elements)).cast("long").alias("n"))
     out = shared_counts(sets, item, elements)
     out = out.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")

@@ -1,7 +1,8 @@
 """Tree edit distance of ordered labelled trees, unit costs.
 
-Trees come as preorder arrays of (label, value, depth, n_children).  The distance is computed once for each distinct pair of shapes, in
-Arrow batches; equal trees and pairs that a bound on the common labels rules out never reach Python.
+Trees come as preorder arrays of (label, value, depth, n_children).  Each distinct shape is annotated once, and the distance is
+computed once for each pair of distinct shapes, in Arrow batches; equal trees and pairs that a bound on the common labels rules
+out never reach Python.
 """
 
 from __future__ import annotations
@@ -9,10 +10,10 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from treekin.functions.hashing import token_stream
 
@@ -38,21 +39,43 @@ def annotate(labels: list, counts: list[int]) -> tuple[list, np.ndarray, list[in
     return order, np.array(leftmost, np.int32), sorted(last.values())
 
 
+def _leaf_rows(ca: np.ndarray, left_a: np.ndarray, cb: np.ndarray, left_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves of the first tree, and their distances to every subtree of the second: its size, less one if it has the leaf's label."""
+    leaves = np.flatnonzero(left_a == np.arange(len(ca)))
+    seen = np.zeros((len(leaves), len(cb) + 1), np.int32)
+    np.cumsum(ca[leaves][:, None] == cb, axis=1, out=seen[:, 1:])
+    there = seen[:, 1:] > seen[:, left_b]
+    return leaves, (np.arange(len(cb)) - left_b + 1 - there).astype(np.int32)
+
+
 def tree_distance(a: tuple, b: tuple) -> int:
     """Zhang and Shasha's recurrence over annotated trees; the rows of a forest table are NumPy vectors.
 
-    Of a row, the costs without an insertion come from the row above; insertions are then one running minimum.
+    Distances of leaves come for all of them at once.  Of a row, the costs without an insertion come from the row above; insertions are
+    then one running minimum.
     """
     (la, left_a, keys_a), (lb, left_b, keys_b) = a, b
-    if not la or not lb:
+    if not len(la) or not len(lb):
         return len(la) + len(lb)
-    codes = {x: i for i, x in enumerate(dict.fromkeys([*la, *lb]))}
-    ca, cb = np.array([codes[x] for x in la]), np.array([codes[x] for x in lb])
+    if isinstance(la, np.ndarray) and isinstance(lb, np.ndarray):
+        ca, cb = la, lb
+    else:
+        codes = {x: i for i, x in enumerate(dict.fromkeys([*la, *lb]))}
+        ca, cb = np.array([codes[x] for x in la]), np.array([codes[x] for x in lb])
     trees = np.zeros((len(la), len(lb)), np.int32)
+    leaves, costs = _leaf_rows(ca, left_a, cb, left_b)
+    trees[leaves] = costs
+    leaves, costs = _leaf_rows(cb, left_b, ca, left_a)
+    trees[:, leaves] = costs.T
     for i in keys_a:
+        i0 = int(left_a[i])
+        if i0 == i:
+            continue
         for j in keys_b:
-            i0, j0 = int(left_a[i]), int(left_b[j])
-            m, n = i - i0 + 1, j - j0 + 1
+            j0 = int(left_b[j])
+            if j0 == j:
+                continue
+            m, n = int(i) - i0 + 1, int(j) - j0 + 1
             steps = np.arange(n + 1, dtype=np.int32)
             forest = np.empty((m + 1, n + 1), np.int32)
             forest[0] = steps
@@ -75,19 +98,38 @@ def tree_distance(a: tuple, b: tuple) -> int:
     return int(trees[-1, -1])
 
 
-def _distance_of(a: list, b: list) -> int:
-    """a, b: rows with sig and n_children."""
-    return tree_distance(*(annotate([x["sig"] for x in t], [x["n_children"] for x in t]) for t in (a, b)))
-
-
 def shape(ast: Column) -> Column:
     """What the distance depends on: signatures and numbers of children, in preorder."""
     return F.transform(ast, lambda x: F.struct(F.concat_ws(":", x["label"], x["value"]).alias("sig"), x["n_children"].alias("n_children")))
 
 
-@F.pandas_udf(IntegerType())
-def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else _distance_of(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
+TREE = StructType([StructField("labels", ArrayType(LongType())), StructField("leftmost", ArrayType(IntegerType())), StructField("keyroots", ArrayType(IntegerType()))])
+
+
+@F.arrow_udf(TREE)
+def _annotated(codes: pa.Array, counts: pa.Array) -> pa.Array:
+    out = []
+    for c, n in zip(codes.to_pylist(), counts.to_pylist(), strict=True):
+        labels, leftmost, keyroots = annotate(c or [], n or [])
+        out.append({"labels": labels, "leftmost": leftmost.tolist(), "keyroots": keyroots})
+    return pa.array(out, pa.struct([("labels", pa.list_(pa.int64())), ("leftmost", pa.list_(pa.int32())), ("keyroots", pa.list_(pa.int32()))]))
+
+
+def annotated(shape_col: Column) -> Column:
+    """A shape as the distance takes it: hashes of the signatures in postorder, leftmost leaves, keyroots."""
+    return _annotated(F.transform(shape_col, lambda x: F.xxhash64(x["sig"])), F.transform(shape_col, lambda x: x["n_children"].cast("int")))
+
+
+def _parts(trees: pa.Array) -> list:
+    """Annotated trees of a column of structs; None for null."""
+    known = trees.is_valid().to_pylist()
+    fields = [[np.asarray(x.values) if x.is_valid else None for x in trees.field(k)] for k in range(3)]
+    return [tuple(f[i] for f in fields) if ok else None for i, ok in enumerate(known)]
+
+
+@F.arrow_udf(IntegerType())
+def _distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None else tree_distance(x, y) for x, y in zip(_parts(a), _parts(b), strict=True)], pa.int32())
 
 
 def label_counts(ast: Column) -> Column:
@@ -101,13 +143,14 @@ def ted_score(distance: Column, n: Column, m: Column) -> Column:
 
 
 def tree_distances(trees: DataFrame, pairs: DataFrame) -> DataFrame:
-    """trees: (tree_id, shape); pairs: (a, b) of tree ids, a <= b.  Adds distance, na, nb, ted."""
-    t = trees.select("tree_id", "shape", F.size("shape").alias("n"))
-    rows = pairs.join(t.select(F.col("tree_id").alias("a"), F.col("shape").alias("sa"), F.col("n").alias("na")), "a")
-    rows = rows.join(t.select(F.col("tree_id").alias("b"), F.col("shape").alias("sb"), F.col("n").alias("nb")), "b")
+    """trees: (tree_id, shape), or (tree_id, tree) with the shape annotated; pairs: (a, b) of tree ids, a <= b.  Adds distance, na, nb, ted."""
+    tree = F.col("tree") if "tree" in trees.columns else annotated(F.col("shape"))
+    t = trees.select("tree_id", tree.alias("tree")).select("tree_id", "tree", F.size("tree.labels").alias("n"))
+    rows = pairs.join(t.select(F.col("tree_id").alias("a"), F.col("tree").alias("ta"), F.col("n").alias("na")), "a")
+    rows = rows.join(t.select(F.col("tree_id").alias("b"), F.col("tree").alias("tb"), F.col("n").alias("nb")), "b")
     same = F.col("a") == F.col("b")
-    # a null on one side keeps equal trees out of Python
-    distance = F.when(same, F.lit(0)).otherwise(_distance(F.when(~same, F.col("sa")), F.col("sb")))
+    # a null on one side keeps equal trees out of the recurrence
+    distance = F.when(same, F.lit(0)).otherwise(_distance(F.when(~same, F.col("ta")), F.col("tb")))
     rows = rows.withColumn("distance", distance.cast("int"))
     return rows.select("a", "b", "distance", "na", "nb", ted_score(F.col("distance"), F.col("na"), F.col("nb")).alias("ted"))
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treekin.config import Settings
-from treekin.functions.scalar import fenced_code, reference_count, round6
+from treekin.functions.scalar import error_message, fenced_code, reference_count, round6
 from treekin.operators.components import connected_components
+from treekin.operators.ranking import global_rank
 from treekin.plans.pairs import analyze, compare
 from treekin.shared import stage
 from treekin.sources.normalize import parse_functions
@@ -33,11 +33,28 @@ class AnalysisRequest:
             raise ValueError("1 to 50 references can be asked for")
 
 
+# Fixed names of a report's parts and of their columns: the column here, the name in JSON.
+_PAIRS = (("a", "submission_a_id"), ("name_a", "submission_a_name"), ("b", "submission_b_id"), ("name_b", "submission_b_name"))
+_SCORES = tuple((c, c) for c in ("overall_score", "ted_score", "winnow_score", "callgraph_score"))
+_LISTED = {
+    "student_pairs": (*_PAIRS, *_SCORES, ("aligned_function_count", "aligned_function_count")),
+    "clusters": (("members", "members"), ("size", "size"), ("average_similarity", "average_similarity")),
+    "ai_references": (("label", "label"), ("source_code", "source_code")),
+    "reference_results": (("submission_id", "submission_id"), ("submission_name", "submission_name"), ("reference_label", "reference_label"), *_SCORES),
+    "reference_summaries": tuple((c, c) for c in ("submission_id", "submission_name", "max_reference_score", "best_reference_label")),
+}
+
+
 @dataclass
 class Report:
+    """A cohort's analysis.  All but the matches have a column rank, the order in which they are listed."""
+
+    submission_count: int
     pairs: DataFrame
     matches: DataFrame
     clusters: DataFrame
+    request: AnalysisRequest = AnalysisRequest()
+    references: DataFrame | None = None
     reference_pairs: DataFrame | None = None
     reference_summary: DataFrame | None = None
     warnings: list[str] = field(default_factory=list)
@@ -45,15 +62,33 @@ class Report:
     def highest(self) -> DataFrame:
         return self.pairs.agg(F.coalesce(F.max("overall_score"), F.lit(0.0)).alias("highest_similarity"))
 
+    def reference_source(self, label: str) -> str | None:
+        """The source code of the reference solution with that label, or None."""
+        row = self.references.where(F.col("label") == label).first() if self.references is not None else None
+        return row["source_code"] if row else None
+
     def to_json(self) -> DataFrame:
-        """One row: the report as JSON."""
-        listed = lambda df, name, *order: df.agg(F.sort_array(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in order]))).alias(name))
-        parts = [listed(self.pairs, "pairs", "rank"), listed(self.clusters, "clusters", "rank"), self.highest()]
-        if self.reference_summary is not None:
-            parts.append(listed(self.reference_summary, "reference_summary", "rank"))
-        keyed = [p.withColumn("_", F.lit(1)) for p in parts]
-        row = functools.reduce(lambda a, b: a.join(b, "_"), keyed).drop("_")
-        return row.select(F.to_json(F.struct(*row.columns, F.array(*[F.lit(w) for w in self.warnings]).cast("array<string>").alias("warnings"), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("generated_at"))).alias("report"))
+        """One row: the report as JSON.  Its lists are as long as the cohort has pairs, which is what bounds it."""
+        parts = {"student_pairs": self.pairs, "clusters": self.clusters, "ai_references": self.references, "reference_results": self.reference_pairs, "reference_summaries": self.reference_summary}
+        spark, on = self.pairs.sparkSession, self.request.use_references
+        row = spark.createDataFrame([(1,)], "key int")
+        out = []
+        for name, df in parts.items():
+            if df is None:
+                out.append(F.array().alias(name))
+                continue
+            entry = F.struct("rank", F.struct(*[F.col(c).alias(n) for c, n in _LISTED[name]]).alias("x"))
+            row = row.join(df.agg(F.lit(1).alias("key"), F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["x"]).alias(name)), "key")
+            out.append(F.col(name))
+        row = row.join(self.highest().select(F.lit(1).alias("key"), round6("highest_similarity").alias("highest_student_score")), "key")
+        now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        count = self.references.count() if self.references is not None else 0
+        head = [
+            now.alias("generated_at"), F.lit(self.submission_count).alias("submission_count"), F.lit(on).alias("ai_reference_enabled"), F.lit(count).alias("ai_reference_count"),
+            F.lit(self.request.problem_description if on else None).cast("string").alias("problem_description"), F.col("highest_student_score"),
+        ]
+        said = F.array(*[F.lit(w) for w in self.warnings]).cast("array<string>").alias("warnings")
+        return row.select(F.to_json(F.struct(*head, *out, said), {"ignoreNullFields": "false"}).alias("report"))
 
 
 def select_cohort(submissions: DataFrame, workspace: str, ids: tuple[int, ...] = (), limit: int = 500) -> DataFrame:
@@ -66,16 +101,21 @@ def select_cohort(submissions: DataFrame, workspace: str, ids: tuple[int, ...] =
         if missing:
             raise LookupError(f"no such submissions: {sorted(missing)}")
         return found
-    newest = mine.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+    newest = mine.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)  # so the window below has that many rows at most
     return newest.withColumn("place", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("id"))) - 1)
 
 
 def all_pairs(cohort: DataFrame) -> DataFrame:
-    """(a, b) of all unordered pairs, the one with the earlier place first.  A cohort is bounded by its limit."""
+    """(a, b) of all unordered pairs, the one with the earlier place first.  A cohort has as many members as its limit or its list of ids."""
     a, b = cohort.select(F.col("id").alias("a"), F.col("place").alias("p")), cohort.select(F.col("id").alias("b"), F.col("place").alias("q"))
     return a.join(b, F.col("p") < F.col("q")).select("a", "b", "p", "q")
 
 
+def ranked_pairs(scores: DataFrame, *ties: str) -> DataFrame:
+    """scores by descending overall_score, those of equal score by the columns `ties`; adds rank."""
+    return global_rank(scores, F.desc("overall_score"), *[F.col(c) for c in ties])
+
+
 def clusters(scores: DataFrame, names: DataFrame, threshold: float = 0.75) -> DataFrame:
     """scores: (a, b, overall_score); names: (id, name).  Components of the pairs at or above the threshold, of two members or more.
 
@@ -88,15 +128,16 @@ def clusters(scores: DataFrame, names: DataFrame, threshold: float = 0.75) -> Da
     )
     inside = strong.join(member.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.avg("overall_score").alias("mean"))
     out = people.join(inside, "component").select("members", "size", round6("mean").alias("average_similarity"), "component")
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), F.desc("average_similarity"), "component")))
+    return global_rank(out, F.desc("size"), F.desc("average_similarity"), F.col("component"))
 
 
 def reference_summary(submissions: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs: (submission_id, reference_order, reference_label, overall_score).  Each submission's best reference; the first of equal ones."""
+    """pairs: (submission_id, reference_order, reference_label, overall_score).  Each submission's best reference; the first of equal ones;
+    none: 0 and null."""
     best = pairs.groupBy("submission_id").agg(F.max_by(F.struct("overall_score", "reference_label"), F.struct("overall_score", -F.col("reference_order"))).alias("best"))
     rows = submissions.select(F.col("id").alias("submission_id"), F.col("name").alias("submission_name"), "place").join(best, "submission_id", "left")
     rows = rows.select("submission_id", "submission_name", "place", F.coalesce("best.overall_score", F.lit(0.0)).alias("max_reference_score"), F.col("best.reference_label").alias("best_reference_label"))
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("max_reference_score"), "place"))).drop("place")
+    return global_rank(rows, F.desc("max_reference_score"), F.col("place")).drop("place")
 
 
 def references_of(replies: list[str], asked: int | None, settings: Settings) -> list[tuple[int, str, str]]:
@@ -115,30 +156,31 @@ def analyze_cohort(submissions: DataFrame, workspace: str, request: AnalysisRequ
     functions = stage(analyze(parse_functions(cohort), settings), "functions")
     pairs = all_pairs(cohort)
     scores, matches = compare(functions, pairs, settings)
-    ranked = stage(scores.join(pairs, ["a", "b"]), "scores")
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("overall_score"), "p", "q"))).drop("p", "q")
-    report = Report(ranked, matches, clusters(ranked, cohort, settings.cluster_threshold))
-    if cohort.count() < 2:
-        report.warnings.append("At least two submissions are needed for comparison.")
+    names = [cohort.select(F.col("id").alias(k), F.col("name").alias(f"name_{k}")) for k in "ab"]
+    ranked = ranked_pairs(scores.join(pairs, ["a", "b"]).join(names[0], "a").join(names[1], "b"), "p", "q").drop("p", "q")
+    count = cohort.count()
+    report = Report(count, ranked, matches, clusters(ranked, cohort, settings.cluster_threshold), request)
+    if count < 2:
+        report.warnings.append("There is nothing to compare: the cohort has fewer than two submissions.")
     if request.use_references:
         try:
             if provider is None:
                 raise ValueError("no provider of reference solutions is configured")
             made = references_of(list(provider(request.problem_description, reference_count(request.references, settings.reference_default, settings.reference_max))), request.references, settings)
         except Exception as error:  # a provider can fail in any way; the comparison of submissions stands
-            from treekin.functions.scalar import error_message
-
-            report.warnings.append(f"Reference generation failed: {error_message(error)}")
+            report.warnings.append(f"There are no reference solutions: {error_message(error)}")
             made = []
         refs = spark.createDataFrame(made, "id long, label string, reply string").withColumn("source_code", fenced_code(F.col("reply")))
         ref_functions = stage(analyze(parse_functions(refs), settings), "reference-functions")
-        usable = refs.join(ref_functions.select(F.col("submission_id").alias("id")).distinct(), "id", "left_semi")
+        usable = stage(refs.join(ref_functions.select(F.col("submission_id").alias("id")).distinct(), "id", "left_semi"), "references")
         skipped = refs.join(usable, "id", "left_anti").orderBy("id").select("label").collect()
-        report.warnings += [f"{r[0]} produced no parseable C functions and was skipped." for r in skipped]
-        to_score = cohort.select(F.col("id").alias("a")).join(usable.select(F.col("id").alias("b")), F.lit(True))
+        report.warnings += [f"{r[0]} was left out: no function could be read from it." for r in skipped]
+        # a cohort by a handful of references, both bounded
+        to_score = cohort.select(F.col("id").alias("a")).join(F.broadcast(usable.select(F.col("id").alias("b"))), F.lit(True))
         compared, _ = compare(functions, to_score, settings, ref_functions)
-        named = compared.join(refs.select(F.col("id").alias("b"), F.col("label").alias("reference_label")), "b").withColumnRenamed("a", "submission_id").withColumnRenamed("b", "reference_order")
-        named = stage(named, "reference-scores")
-        report.reference_pairs = named.orderBy(F.desc("overall_score"), "submission_id", "reference_order")
-        report.reference_summary = reference_summary(cohort, named)
+        named = compared.join(usable.select(F.col("id").alias("b"), F.col("label").alias("reference_label")), "b").withColumnRenamed("a", "submission_id").withColumnRenamed("b", "reference_order")
+        named = named.join(cohort.select(F.col("id").alias("submission_id"), F.col("name").alias("submission_name"), "place"), "submission_id")
+        report.references = usable.select((F.col("id") + 1).alias("rank"), "label", "source_code")
+        report.reference_pairs = ranked_pairs(named, "place", "reference_order").drop("place")
+        report.reference_summary = reference_summary(cohort, report.reference_pairs)
     return report

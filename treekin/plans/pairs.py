@@ -7,7 +7,6 @@ from an inverted index; bounds on sizes and common labels drop further pairs bef
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,13 +14,11 @@ from treekin.config import Settings
 from treekin.functions.hashing import fingerprints, token_stream
 from treekin.functions.scalar import clamp, round6
 from treekin.operators.callgraph import call_edges, graph_shapes, graph_similarity
-from treekin.operators.matching import maximum_matching
+from treekin.operators.matching import match_groups
 from treekin.operators.sets import jaccard_pairs
-from treekin.operators.trees import shape, tree_distances
+from treekin.operators.trees import annotated, shape, tree_distances
 from treekin.shared import stage
 
-MATCH = "a long, b long, index_a int, index_b int, similarity double, ted_similarity double, winnow_similarity double"
-
 
 def analyze(functions: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """functions: (submission_id, name, order_index, ast, callees).  Adds fingerprints, ast_node_count, shape and tree_id."""
@@ -37,7 +34,8 @@ def analyze(functions: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def shape_scores(functions: DataFrame, settings: Settings) -> DataFrame:
     """(x, y, ted, winnow, combined) of distinct shapes that may reach the threshold, in both directions and with themselves."""
     shapes = functions.groupBy("tree_id").agg(F.first("shape").alias("shape"), F.first("fingerprints").alias("elements"))
-    shapes = stage(shapes.withColumn("n", F.size("shape")).withColumn("labels", F.transform("shape", lambda x: x["sig"])), "shapes")
+    labels = F.transform("shape", lambda x: x["sig"])
+    shapes = stage(shapes.select("tree_id", "elements", F.size("shape").alias("n"), labels.alias("labels"), annotated(F.col("shape")).alias("tree")), "shapes")
     share, least = settings.ted_share, settings.match_threshold
     sides = [shapes.select(F.col("tree_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("labels").alias(f"l_{k}")) for k in "ab"]
     if share <= least:
@@ -67,32 +65,32 @@ def shape_scores(functions: DataFrame, settings: Settings) -> DataFrame:
     return stage(both.union(itself), "shape-scores")
 
 
-def _match(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["i", "combined", "j"], ascending=[True, False, True])
-    lists = rows.groupby("i", sort=True)["j"].apply(list).to_dict()
-    found = maximum_matching(lists, list(lists), sorted(set(rows["j"])))
-    by = rows.set_index(["i", "j"])
-    out = [(rows["a"].iloc[0], rows["b"].iloc[0], i, j, *(round(float(by.at[(i, j), c]), 6) for c in ("combined", "ted", "winnow"))) for i, j in found.items()]
-    out.sort(key=lambda r: -r[4])
-    return pd.DataFrame(out, columns=["a", "b", "index_a", "index_b", "similarity", "ted_similarity", "winnow_similarity"])
-
-
 def function_matches(functions: DataFrame, others: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
     """The aligned functions of each pair (a, b): a in functions, b in others, both analyzed."""
     every = functions if others is functions else functions.select("tree_id", "shape", "fingerprints").union(others.select("tree_id", "shape", "fingerprints"))
     scores = shape_scores(every, settings)
-    fa = functions.select(F.col("submission_id").alias("a"), F.col("order_index").alias("i"), F.col("tree_id").alias("x"))
-    fb = others.select(F.col("submission_id").alias("b"), F.col("order_index").alias("j"), F.col("tree_id").alias("y"))
+    fa = functions.select(F.col("submission_id").alias("a"), F.col("order_index").cast("long").alias("left"), F.col("tree_id").alias("x"))
+    fb = others.select(F.col("submission_id").alias("b"), F.col("order_index").cast("long").alias("right"), F.col("tree_id").alias("y"))
     edges = fa.join(scores, "x").join(fb, "y").join(pairs.select("a", "b"), ["a", "b"], "left_semi")
-    return edges.select("a", "b", "i", "j", "ted", "winnow", "combined").groupBy("a", "b").applyInPandas(_match, MATCH)
+    found = match_groups(edges.withColumnRenamed("combined", "weight").withColumn("similarity", F.col("weight")), ["a", "b"], ("similarity", "ted", "winnow"))
+    return found.select(
+        "a", "b", F.col("left").cast("int").alias("index_a"), F.col("right").cast("int").alias("index_b"),
+        round6("similarity").alias("similarity"), round6("ted").alias("ted_similarity"), round6("winnow").alias("winnow_similarity"),
+    )
 
 
 def compare(functions: DataFrame, pairs: DataFrame, settings: Settings = Settings(), others: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """functions (and others): analyzed; pairs: (a, b).  The scores of all pairs, and their aligned functions.
 
-    A pair whose submissions have no functions at all scores 1.
+    Functions of submissions in no pair are left out before anything is scored.  A pair whose submissions have no functions at all
+    scores 1.
     """
-    others = functions if others is None else others
+    of = lambda side: pairs.select(F.col(side).alias("submission_id"))
+    if others is None:
+        functions = others = functions.join(of("a").union(of("b")).distinct(), "submission_id", "left_semi")
+    else:
+        functions = functions.join(of("a").distinct(), "submission_id", "left_semi")
+        others = others.join(of("b").distinct(), "submission_id", "left_semi")
     matches = stage(function_matches(functions, others, pairs, settings), "matches")
     sums = matches.groupBy("a", "b").agg(F.sum("ted_similarity").alias("ted_sum"), F.sum("winnow_similarity").alias("winnow_sum"), F.count(F.lit(1)).alias("aligned_function_count"))
     count = lambda df, side: df.groupBy(F.col("submission_id").alias(side)).agg(F.count(F.lit(1)).alias(f"n_{side}"))

@@ -1,13 +1,17 @@
 """Stored submissions, comparisons and reports: tables of Parquet in one folder, and the queries on them.
 
-A change of a table writes a new version and then renames a pointer, so readers see one version or the other.  There is one
-writer at a time.
+A table is a list of folders of Parquet files.  The lists of all tables are in one small file, a version; a transaction writes its new
+folders and then one new version, so that all its changes appear together or not at all, and readers see one version or the other.  An
+append adds a folder and reads none; small folders are merged into larger ones, ``MERGE`` at a time, so a row is written again as often
+as the logarithm of their number.  There is one writer at a time.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +19,9 @@ from pyspark.sql import functions as F
 from treekin.config import Settings
 from treekin.functions.scalar import hash_password, strip, verify_password
 from treekin.plans.cohort import AnalysisRequest, Report, analyze_cohort
+from treekin.plans.migrations import migrate
 from treekin.plans.pairs import analyze, compare
+from treekin.shared import drop_stage, stage
 from treekin.sources.normalize import parse_functions
 from treekin.sources.submissions import accepted, rejected
 
@@ -26,6 +32,11 @@ SCHEMAS = {
     "matches": "comparison_id string, index_a int, index_b int, similarity double, ted_similarity double, winnow_similarity double",
     "labs": "id string, label string, password_hash string, report string, created_at timestamp",
 }
+#: Columns by which a folder's files are laid out, so that a query on one value reads that part only.
+PARTITIONS = {"submissions": ("workspace",)}
+SORTED = {"functions": "submission_id", "matches": "comparison_id", "comparisons": "a"}
+#: So many folders of one level are merged into one of the next.
+MERGE = 16
 
 
 # --- queries on tables, whatever they are stored in
@@ -77,7 +88,64 @@ def label_is(rows: DataFrame, label, column: str = "label") -> DataFrame:
 
 def summary_of_reports(labs: DataFrame) -> DataFrame:
     at = lambda path, kind: F.coalesce(F.get_json_object("report", path).cast(kind), F.lit(0).cast(kind))
-    return labs.select("id", "label", "created_at", at("$.submission_count", "long").alias("submission_count"), at("$.highest_similarity", "double").alias("highest_similarity"))
+    return labs.select("id", "label", "created_at", at("$.submission_count", "long").alias("submission_count"), at("$.highest_student_score", "double").alias("highest_student_score"))
+
+
+def cascade(gone: DataFrame, parents: DataFrame, *children: tuple[DataFrame, str, str]) -> list[DataFrame]:
+    """What is left of tables when parents go, whose keys are `id` in gone.
+
+    children: (rows, key that names a row of the table before, own key), from the parents down; a row goes with the one it names.
+    """
+    left = [parents.join(gone.select("id"), "id", "left_anti")]
+    for rows, above, own in children:
+        dead = rows.join(gone.select(F.col("id").alias(above)).distinct(), above, "left_semi")
+        left.append(rows.join(gone.select(F.col("id").alias(above)).distinct(), above, "left_anti"))
+        gone = dead.select(F.col(own).alias("id"))
+    return left
+
+
+class Transaction:
+    """Changes of several tables that become visible together; table() shows them already."""
+
+    def __init__(self, store: Store):
+        self.store, (self.version, before) = store, store._head()
+        self.parts = {name: list(parts) for name, parts in before.items()}
+        self.made: list[str] = []
+
+    def table(self, name: str) -> DataFrame:
+        return self.store._read(name, self.parts.get(name, []))
+
+    def _write(self, name: str, rows: DataFrame) -> str:
+        folder = f"part={uuid.uuid4().hex}"
+        self.made.append(f"{self.store.path}/{name}/{folder}")
+        rows = migrate(rows, SCHEMAS[name], {})
+        if name in SORTED:
+            rows = rows.sortWithinPartitions(SORTED[name])
+        rows.write.partitionBy(*PARTITIONS.get(name, ())).parquet(self.made[-1])
+        return folder
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        parts = self.parts.setdefault(name, [])
+        parts.append([self._write(name, rows), 0])
+        level = 0
+        while len(small := [p for p in parts if p[1] == level]) >= MERGE:
+            merged = self._write(name, self.store._read(name, small))
+            parts[:] = [p for p in parts if p[1] != level]
+            level += 1
+            parts.append([merged, level])
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        level = max((p[1] for p in self.parts.get(name, [])), default=0)
+        self.parts[name] = [[self._write(name, rows), level]]
+
+    def insert(self, name: str, **row) -> None:
+        """One row."""
+        kind = self.store.table(name).schema
+        self.append(name, self.store.spark.createDataFrame([tuple(row.get(f.name) for f in kind.fields)], kind))
+
+    def delete(self, name: str, key, column: str = "id") -> None:
+        """The rows with that key; the table is written anew without them."""
+        self.replace(name, self.table(name).where(~F.col(column).eqNullSafe(F.lit(key))))
 
 
 class Store:
@@ -87,45 +155,93 @@ class Store:
         self._path = jvm.Path
         self._fs = jvm.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    # -- tables
+    # -- versions and tables
 
-    def _versions(self, name: str) -> list[str]:
-        folder = self._path(f"{self.path}/{name}")
+    def _versions(self) -> list[int]:
+        folder = self._path(f"{self.path}/_versions")
         if not self._fs.exists(folder):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return sorted(n for n in names if n.startswith("v"))
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("_"))
 
-    def table(self, name: str) -> DataFrame:
-        versions = self._versions(name)
-        if not versions:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}/{versions[-1]}")
+    def _file(self, version: int) -> str:
+        return f"{self.path}/_versions/{version:012d}.json"
+
+    def _parts(self, version: int) -> dict[str, list]:
+        stream = self._fs.open(self._path(self._file(version)))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
-    def _replace(self, name: str, rows: DataFrame) -> None:
-        versions = self._versions(name)
-        number = int(versions[-1][1:]) + 1 if versions else 0
-        temporary = f"{self.path}/{name}/_new-{uuid.uuid4().hex}"
-        rows.select(*self.table(name).columns).write.parquet(temporary)
-        if not self._fs.rename(self._path(temporary), self._path(f"{self.path}/{name}/v{number:012d}")):
-            raise OSError(f"{name} could not be replaced")
-        for old in versions[:-1]:  # the version before may still be read
-            self._fs.delete(self._path(f"{self.path}/{name}/{old}"), True)
+    def _head(self) -> tuple[int, dict[str, list]]:
+        versions = self._versions()
+        return (versions[-1], self._parts(versions[-1])) if versions else (0, {})
+
+    def _read(self, name: str, parts: list) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        base = f"{self.path}/{name}"
+        columns = [c.split(" ", 1)[0] for c in SCHEMAS[name].split(", ")]
+        return self.spark.read.schema(SCHEMAS[name]).option("basePath", base).parquet(*[f"{base}/{folder}" for folder, _ in parts]).select(*columns)
 
-    def _append(self, name: str, rows: DataFrame) -> None:
-        self._replace(name, self.table(name).unionByName(rows.select(*self.table(name).columns)))
+    def table(self, name: str) -> DataFrame:
+        return self._read(name, self._head()[1].get(name, []))
+
+    @contextlib.contextmanager
+    def transaction(self) -> Iterator[Transaction]:
+        """All changes or none: an error leaves the version that was there, and its new folders go."""
+        t = Transaction(self)
+        try:
+            yield t
+            self._commit(t)
+        except BaseException:
+            for folder in t.made:
+                self._fs.delete(self._path(folder), True)
+            raise
+
+    def _commit(self, t: Transaction) -> None:
+        number = t.version + 1
+        new = self._path(f"{self.path}/_versions/_new-{uuid.uuid4().hex}")
+        stream = self._fs.create(new, False)
+        stream.write(bytearray(json.dumps(t.parts).encode()))
+        stream.close()
+        target = self._path(self._file(number))
+        if self._fs.exists(target) or not self._fs.rename(new, target):
+            self._fs.delete(new, False)
+            raise OSError(f"version {number} was written by another writer")
+        # folders that neither this version nor the one before names; the one before may still be read
+        kept = {f"{self.path}/{name}/{folder}" for v in (t.version, number) if v for name, parts in self._parts(v).items() for folder, _ in parts}
+        for old in [v for v in self._versions() if v < t.version]:
+            for name, parts in self._parts(old).items():
+                for folder, _ in parts:
+                    if f"{self.path}/{name}/{folder}" not in kept:
+                        self._fs.delete(self._path(f"{self.path}/{name}/{folder}"), True)
+            self._fs.delete(self._path(self._file(old)), False)
+        for folder in set(t.made) - kept:
+            self._fs.delete(self._path(folder), True)
+
+    def adopt(self, name: str, rows: DataFrame) -> None:
+        """Appends rows of an older layout of the table."""
+        with self.transaction() as t:
+            t.append(name, migrate(rows, SCHEMAS[name]))
 
     # -- submissions
 
     def add_submissions(self, workspace: str, rows: DataFrame) -> DataFrame:
-        """rows: (id, name, filename, source_code).  Stores those that are accepted; returns the others with their reason."""
+        """rows: (id, name, filename, source_code).  Stores those that are accepted; returns the others with their reason.
+
+        Sources are parsed once; submissions and their functions appear together.
+        """
         workspace = _workspace(workspace)
-        functions = parse_functions(rows)
+        functions = stage(parse_functions(rows), "parsed")
         counts = functions.groupBy(F.col("submission_id").alias("id")).agg(F.count(F.lit(1)).alias("n_functions"), F.sum(F.size("ast")).cast("int").alias("ast_node_count"))
-        checked = rows.join(counts, "id", "left")
+        checked = stage(rows.select("id", "name", "filename", "source_code").join(counts, "id", "left"), "checked")
         good = accepted(checked)
-        self._append("functions", analyze(functions.join(good.select(F.col("id").alias("submission_id")), "submission_id", "left_semi"), self.settings))
-        self._append("submissions", good.select("id", F.lit(workspace).alias("workspace"), "name", "filename", F.lit("c").alias("language"), "source_code", "ast_node_count", F.current_timestamp().alias("created_at")))
+        with self.transaction() as t:
+            t.append("functions", analyze(functions.join(good.select(F.col("id").alias("submission_id")), "submission_id", "left_semi"), self.settings))
+            t.append("submissions", good.select("id", F.lit(workspace).alias("workspace"), "name", "filename", F.lit("c").alias("language"), "source_code", "ast_node_count", F.current_timestamp().alias("created_at")))
+        drop_stage(functions)
         return rejected(checked)
 
     def list_submissions(self, workspace: str, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -142,36 +258,45 @@ class Store:
         gone = by_id(self.table("submissions").where(F.col("workspace") == _workspace(workspace)), key).select("id")
         if not gone.count():
             raise LookupError(key)
-        comparisons = self.table("comparisons")
-        dead = comparisons.where((F.col("a") == key) | (F.col("b") == key)).select(F.col("id").alias("comparison_id"))
-        self._replace("matches", self.table("matches").join(dead, "comparison_id", "left_anti"))
-        self._replace("comparisons", comparisons.where((F.col("a") != key) & (F.col("b") != key)))
-        self._replace("functions", self.table("functions").where(F.col("submission_id") != key))
-        self._replace("submissions", self.table("submissions").where(F.col("id") != key))
+        with self.transaction() as t:
+            submissions, functions = cascade(gone, t.table("submissions"), (t.table("functions"), "submission_id", "submission_id"))
+            dead = t.table("comparisons").where((F.col("a") == key) | (F.col("b") == key)).select("id")
+            comparisons, matches = cascade(dead, t.table("comparisons"), (t.table("matches"), "comparison_id", "comparison_id"))
+            for name, rows in (("submissions", submissions), ("functions", functions), ("comparisons", comparisons), ("matches", matches)):
+                t.replace(name, rows)
 
     # -- comparisons
 
     def compare(self, pairs: list[tuple[int, int]], force: bool = False) -> DataFrame:
-        """Scores of pairs, from the cache where they are there for these settings; force computes them anew."""
+        """Scores of pairs, from the cache where they are there for these settings; force computes them anew.
+
+        Only the functions of the submissions asked for are read.
+        """
         if any(a == b or a <= 0 or b <= 0 for a, b in pairs):
             raise ValueError("a pair needs two different positive ids")
+        ids = sorted({x for p in pairs for x in p})
         wanted = self.spark.createDataFrame(pairs, "a long, b long")
-        known = {r[0] for r in self.table("submissions").select("id").where(F.col("id").isin([x for p in pairs for x in p])).collect()}
-        if missing := {x for p in pairs for x in p} - known:
+        known = {r[0] for r in self.table("submissions").select("id").where(F.col("id").isin(ids)).collect()}
+        if missing := set(ids) - known:
             raise LookupError(f"no such submissions: {sorted(missing)}")
-        stored = self.table("comparisons")
-        mine = stored.where(F.col("settings") == self.settings.key())
-        todo = wanted if force else cache_misses(wanted, mine)
+        key = F.lit(self.settings.key())
+        todo = wanted if force else cache_misses(wanted, self.table("comparisons").where(F.col("settings") == key))
+        todo = stage(canonical(todo).dropDuplicates(["lo", "hi"]).select("a", "b"), "asked")
         if todo.count():
-            scores, matches = compare(self.table("functions"), todo, self.settings)
-            named = scores.withColumn("id", F.sha2(F.concat_ws(":", F.least("a", "b"), F.greatest("a", "b"), F.lit(self.settings.key())), 256))
-            kept = canonical(stored).join(canonical(todo).select("lo", "hi").withColumn("settings", F.lit(self.settings.key())), ["lo", "hi", "settings"], "left_anti")
-            fresh = named.withColumn("settings", F.lit(self.settings.key())).withColumn("created_at", F.current_timestamp())
-            listed = matches.join(named.select("a", "b", F.col("id").alias("comparison_id")), ["a", "b"]).dropna(subset=["index_a", "index_b"])
-            old = self.table("matches").join(named.select(F.col("id").alias("comparison_id")), "comparison_id", "left_anti")
-            self._replace("matches", old.unionByName(listed.select(*old.columns)))
-            self._replace("comparisons", kept.select(*stored.columns).unionByName(fresh.select(*stored.columns)))
-        both = canonical(self.table("comparisons").where(F.col("settings") == self.settings.key()))
+            scores, matches = compare(self.table("functions").where(F.col("submission_id").isin(ids)), todo, self.settings)
+            scores = scores.withColumn("id", F.sha2(F.concat_ws(":", F.least("a", "b"), F.greatest("a", "b"), key), 256)).withColumn("settings", key)
+            fresh = stage(scores.withColumn("created_at", F.current_timestamp()), "fresh")
+            listed = matches.join(fresh.select("a", "b", F.col("id").alias("comparison_id")), ["a", "b"]).dropna(subset=["index_a", "index_b"])
+            with self.transaction() as t:
+                if force:
+                    left = cascade(fresh.select("id"), t.table("comparisons"), (t.table("matches"), "comparison_id", "comparison_id"))
+                    for name, rows in zip(("comparisons", "matches"), left, strict=True):
+                        t.replace(name, rows)
+                t.append("comparisons", fresh)
+                t.append("matches", listed)
+            drop_stage(fresh)
+        drop_stage(todo)
+        both = canonical(self.table("comparisons").where(F.col("settings") == key))
         return both.join(canonical(wanted).select("lo", "hi").distinct(), ["lo", "hi"], "left_semi").drop("lo", "hi")
 
     def comparison(self, key: str) -> DataFrame:
@@ -180,6 +305,12 @@ class Store:
     def by_submission(self, key: int) -> DataFrame:
         return comparisons_of(self.table("comparisons"), key).select("id", "a", "b", "overall_score", "created_at")
 
+    def delete_comparison(self, key: str) -> None:
+        """With its matches."""
+        with self.transaction() as t:
+            t.delete("comparisons", key)
+            t.delete("matches", key, "comparison_id")
+
     # -- analysis and reports
 
     def analyze(self, workspace: str, request: AnalysisRequest = AnalysisRequest(), provider=None) -> Report:
@@ -188,14 +319,18 @@ class Store:
     def capabilities(self, provider_key: str | None = None) -> dict:
         return {"references_configured": bool((provider_key or "").strip()), "default_references": self.settings.reference_default, "max_references": self.settings.reference_max}
 
-    def save_lab(self, label: str, password: str, report: str) -> str:
+    def save_lab(self, label: str, password: str, report: str | Report) -> str:
+        """Keeps a report, or its JSON, under a new name."""
+        if isinstance(report, Report):
+            report = report.to_json().first()["report"]
         json.loads(report)
         label = label.strip()
         if not label or label_is(self.table("labs"), label).count():
             raise ValueError("the name is blank or taken")
         key = uuid.uuid4().hex
         row = self.spark.createDataFrame([(key, label, hash_password(password), report)], "id string, label string, password_hash string, report string")
-        self._append("labs", row.withColumn("created_at", F.current_timestamp()))
+        with self.transaction() as t:
+            t.append("labs", row.withColumn("created_at", F.current_timestamp()))
         return key
 
     def unlock_lab(self, label: str, password: str) -> dict | None:

@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset (tests, a local run) a
+The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset and the master is local (tests) a
 temporary folder of this machine is made and used.  A table written here survives the loss of executors and cuts the
-lineage of what follows.
+lineage of what follows.  Results may read such tables lazily, so a caller that is done with its results calls ``drop_all``.
 """
 
 from __future__ import annotations
@@ -14,16 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; sets one of this machine where the session has none."""
+    """The shared folder; sets one of this machine where a local session has none.  On a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="treekin-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+#: One folder for each Python process, so that drop_all leaves other programs' tables alone.
+_RUN = uuid.uuid4().hex
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/treekin/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/treekin/{_RUN}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -33,12 +40,20 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more; a missing one is no error."""
-    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete all tables and token files that this process has put into the shared folder, those that results still read included."""
+    _delete(spark, f"{shared_dir(spark)}/treekin/{_RUN}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

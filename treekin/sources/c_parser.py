@@ -41,16 +41,20 @@ ASSIGN = frozenset(("=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=",
 
 @dataclass(slots=True)
 class Node:
-    """A named node; fields: the children with a role, by that role."""
+    """A named node; fields: the children with a role, by that role; calls: of a definition, see Parser."""
 
     kind: str
     children: list[Node] = field(default_factory=list)
     text: str = ""
     operator: str | None = None
     fields: dict[str, Node] = field(default_factory=dict)
+    calls: list[str] = field(default_factory=list)
+    parent: Node | None = field(default=None, repr=False, compare=False)
+    index: int = 0
 
     def add(self, child: Node | None, role: str | None = None) -> Node:
         if child is not None:
+            child.parent, child.index = self, len(self.children)
             self.children.append(child)
             if role:
                 self.fields.setdefault(role, child)
@@ -75,9 +79,13 @@ _END = Token("end", "")
 
 
 class Parser:
+    """Definitions and the names of direct calls are noted as they are completed, and forgotten again with what turns out broken."""
+
     def __init__(self, source: str):
         self.tokens, self.at, self.depth = tokens(source), 0, 0
         self.typedefs: set[str] = set()
+        self.definitions: list[Node] = []
+        self.calls: list[str] = []
 
     # -- reading
 
@@ -128,11 +136,12 @@ class Parser:
             if self.peek().kind == "directive":
                 self.directive(open_)
                 continue
-            start = self.at
+            start, definitions, calls = self.at, len(self.definitions), len(self.calls)
             try:
                 open_[-1].add(one())
             except _Broken:
                 self.at = start
+                del self.definitions[definitions:], self.calls[calls:]
                 open_[-1].add(self.skip())
 
     def directive(self, open_: list[Node]) -> None:
@@ -297,7 +306,7 @@ class Parser:
         return node
 
     def declaration(self, outside: bool = False) -> Node:
-        node = Node("declaration")
+        node, calls = Node("declaration"), len(self.calls)
         is_type = self.sees("typedef")
         typed = self.specifiers(node, outside and self.peek(1).text != "(")
         if not typed and not outside:
@@ -309,13 +318,11 @@ class Parser:
         while True:
             d = self.declarator("type_identifier" if is_type else "identifier")
             if first and self.sees("{") and _is_function(d):
-                node.kind = "function_definition"
-                return node.add(d, "declarator").add(self.block(), "body")
+                return self.define(node, d, calls)
             if first and _is_function(d) and self.peek().kind == "name":  # parameters declared in the old style
                 while not self.sees("{", ";") and self.peek() is not _END:
                     node.add(self.declaration())
-                node.kind = "function_definition"
-                return node.add(d, "declarator").add(self.block(), "body")
+                return self.define(node, d, calls)
             if not typed:
                 raise _Broken("type")
             if is_type:
@@ -330,6 +337,14 @@ class Parser:
         self.need(";")
         return node
 
+    def define(self, node: Node, declarator: Node, calls: int) -> Node:
+        """A definition; its calls are those completed since `calls`, the last one first."""
+        node.kind = "function_definition"
+        node.add(declarator, "declarator").add(self.block(), "body")
+        node.calls = self.calls[calls:][::-1]
+        self.definitions.append(node)
+        return node
+
     def declarator(self, leaf: str, abstract: bool = False) -> Node:
         self.depth += 1
         if self.depth > MAX_DEPTH:
@@ -651,6 +666,8 @@ class Parser:
                     if not self.take(","):
                         break
                 self.need(")")
+                if node.kind == "identifier":
+                    self.calls.append(node.text)
                 node = Node("call_expression").add(node, "function").add(arguments, "arguments")
             elif self.take("["):
                 node = Node("subscript_expression").add(node, "argument").add(self.comma(), "index")
@@ -719,3 +736,18 @@ def _declared(node: Node | None) -> str:
 
 def parse_c(source: str) -> Node:
     return Parser(source).parse()
+
+
+def outer_definitions(source: str) -> list[Node]:
+    """Definitions that lie in no other one.  The order key is the place of the container, the later of two siblings first and a container
+    before those in it; then the place in the container."""
+    parser = Parser(source)
+    parser.parse()
+    keyed = []
+    for d in parser.definitions:
+        above: list[Node] = []
+        while (node := above[-1].parent if above else d.parent) is not None:
+            above.append(node)
+        if not any(x.kind == "function_definition" for x in above):
+            keyed.append(([-x.index for x in above[-2::-1]], d.index, d))
+    return [d for _, _, d in sorted(keyed, key=lambda x: x[:2])]

@@ -8,16 +8,43 @@ from pyspark.sql import functions as F
 from treekin.functions.scalar import strip, upload_reject
 
 JSON = "name string, filename string, source_code string"
+# Fixed limits of a request's fields, in characters; all need one at least.
+LENGTHS = {"name": 255, "filename": 512, "source_code": None}
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(JSON).json(path)
+    """Requests as JSON objects, checked."""
+    return check_requests(spark.read.schema(JSON).json(path))
+
+
+def check_requests(rows: DataFrame) -> DataFrame:
+    """rows with the column reject_reason: the first field that is missing, empty or too long, or null."""
+    reason = None
+    for name, most in LENGTHS.items():
+        size = F.coalesce(F.char_length(name), F.lit(0))
+        for wrong, why in ((size == 0, "is missing"), *([(size > most, "is too long")] if most else [])):
+            reason = F.when(wrong, f"{name} {why}") if reason is None else reason.when(wrong, f"{name} {why}")
+    return rows.withColumn("reject_reason", reason)
+
+
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files without a byte below a folder: Spark's reader leaves them out."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        if f.getLen() == 0 and not f.getPath().getName().startswith(("_", ".")):
+            out.append(f.getPath().getName())
+    return out
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder, checked.  Spark's reader leaves out files without a byte, which would be rejected as empty."""
+    """Files of a folder, checked; those without a byte come as empty ones."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return check_uploads(rows.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content"))
+    rows = rows.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+    empty = spark.createDataFrame([(name, bytearray()) for name in _empty_files(spark, path)], "filename string, content binary")
+    return check_uploads(rows.union(empty))
 
 
 def check_uploads(rows: DataFrame) -> DataFrame:
