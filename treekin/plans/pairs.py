@@ -92,7 +92,9 @@ def compare(functions: DataFrame, pairs: DataFrame, settings: Settings = Setting
         functions = functions.join(of("a").distinct(), "submission_id", "left_semi")
         others = others.join(of("b").distinct(), "submission_id", "left_semi")
     matches = stage(function_matches(functions, others, pairs, settings), "matches")
-    sums = matches.groupBy("a", "b").agg(F.sum("ted_similarity").alias("ted_sum"), F.sum("winnow_similarity").alias("winnow_sum"), F.count(F.lit(1)).alias("aligned_function_count"))
+    # similarities have six places: as whole millionths their sum is exact, in whatever order they come
+    total = lambda c: (F.sum(F.round(F.col(c) * 1e6).cast("long")) / 1e6).alias(c.replace("similarity", "sum"))
+    sums = matches.groupBy("a", "b").agg(total("ted_similarity"), total("winnow_similarity"), F.count(F.lit(1)).alias("aligned_function_count"))
     count = lambda df, side: df.groupBy(F.col("submission_id").alias(side)).agg(F.count(F.lit(1)).alias(f"n_{side}"))
     graph = lambda df, side: graph_shapes(df.select("submission_id", "name"), call_edges(df)).select(F.col("submission_id").alias(side), F.struct("degrees", "n_nodes", "n_edges", "n_components").alias(f"g_{side}"))
     rows = pairs.select("a", "b").join(sums, ["a", "b"], "left")
