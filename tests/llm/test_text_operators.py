@@ -388,8 +388,39 @@ def test_decontamination_with_short_answers_and_items(spark):
     assert {r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
 
 
-def test_wand_equals_exhaustive_scoring():
+def test_scores_do_not_depend_on_shards(spark):
+    rng = random.Random(22)
+    items = [(k % 30, prose(rng, rng.randrange(1, 150), 300)) for k in range(40)] + [(None, "a b c"), (7, None)]
+    texts = [prose(rng, 100, 300) + " " + items[k][1] for k in range(40)]
+    docs, bench = frame(spark, texts, ids=[k % 25 for k in range(40)]), spark.createDataFrame(items, "item_id long, text string")
+
+    def found(chars):
+        out = []
+        for index in decontaminate.indexes(bench, 0.5, 0.5, chars):
+            words = decontaminate._words(texts)
+            out += [(t, index.value.ids[i], round(s, 12)) for t, i, s in index.value.retrieve(np.concatenate(words), np.concatenate([[0], np.cumsum([len(w) for w in words])]))]
+        return sorted(out)
+
+    assert found(10**9) == found(2000) and len(list(decontaminate.indexes(bench, 0.5, 0.5, 2000))) > 3
+    rows = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect())
+    assert all(rows[k % 25, items[k][0]] >= 1 for k in range(40))
+
+
+def test_decontamination_query(spark, monkeypatch):
+    """Repeated documents and items, and documents and items without an id or a text."""
+    rng = random.Random(23)
+    item, text = prose(rng, 30, 3000), prose(rng, 200, 3000)
+    docs = frame(spark, [text + " " + item, text, None, text + "\n" + item, text + " " + item], ids=[1, 2, 3, 1, None])
+    bench = spark.createDataFrame([(5, item), (5, item), (6, item), (None, item), (7, None), (8, "")], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "table", lambda _, __, name: docs if name == "documents" else bench)
+    rows = decontaminate.op6_benchmark_decontamination(spark, "").collect()
+    assert Counter((r["doc_id"], r["item_id"]) for r in rows) == {(d, i): n * m for d, n in ((1, 2), (None, 1)) for i, m in ((5, 2), (6, 1))}
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()) == [2, 3]
+
+
+def test_wand_equals_exhaustive_scoring(monkeypatch):
     rng = random.Random(12)
+    monkeypatch.setattr(decontaminate, "BLOCK", 3)
     items = [(i, prose(rng, rng.randrange(1, 90), 60)) for i in range(80)]
     index = decontaminate.Index(items, 0.3, 0.5)
     texts = [prose(rng, rng.randrange(1, 400), 60) for _ in range(60)]

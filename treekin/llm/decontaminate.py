@@ -2,20 +2,26 @@
 
 Method.  The test items, cut into segments of at most ``SEGMENT_WORDS`` words, make an inverted index; a posting's impact is its
 BM25 weight divided by the segment's score against itself, so one threshold serves segments of all lengths.  Every passage
-of every document (windows of twice that length, half overlapping, so that each segment lies within one) is a query:
+of every document (windows of twice that length, half overlapping, so that each segment lies within one) is a query, and is
+answered by block-max WAND:
 
-* the most frequent terms are non-essential, as long as they cannot reach the threshold together in any segment; the other
-  lists are read first, for a batch of passages at once;
-* segments are held in blocks, and a block keeps the most that the non-essential terms can add to any of its segments; a
-  (passage, segment) pair whose score so far plus its block's maximum stays below the threshold is left (block-max WAND);
-* the pairs that remain are scored in full, and all above the threshold are retrieved.
+* each term of the passage has a cursor on its list of segments.  With the cursors sorted by segment, the pivot is the first
+  one at which the lists' greatest impacts add up to the threshold; no segment before it can reach it;
+* lists are held in blocks of ``BLOCK`` postings with the greatest impact and the last segment of each.  If the blocks around the
+  pivot cannot reach the threshold together, the cursors go on to the first segment after the nearest end of these blocks;
+* else, once all cursors before the pivot stand on it, the segment is scored in full.  What reaches the threshold is retrieved.
+
+Many passages are answered in step: a cursor is a cell of a NumPy array with a row for each passage, and rows leave as they
+finish.  Segments are numbered by length, and searched level by level of about one length, as impacts are alike there and their maxima
+tight.
 
 A retrieved item is verified on the whole document: of the question's five-word shingles, and of those of the answer (the last
 line, where an item has several), at least ``overlap`` must occur in it.  A question or an answer of under five words is one
 shingle of that length, and is compared with the document's runs of as many words.
 
 The index is a broadcast.  Its size is checked: items are dealt into shards of at most ``SHARD_CHARS`` characters, and the
-documents are read once for each shard.
+documents are read once for each shard.  Frequencies and lengths are those of all items in every shard, so scores do not depend on
+the number of shards.
 
 Edge cases.  Null or empty text, of documents or items, matches nothing.  Items of under five words count as one shingle, and
 so are found wherever their words stand one after the other.
@@ -26,6 +32,8 @@ are ignored by ``contaminated`` and kept by ``decontaminate``.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +45,9 @@ from treekin.shared import small_batches, table
 
 SEGMENT_WORDS = 64
 STRIDE = SEGMENT_WORDS
-BLOCK = 32
+BLOCK = 8
+#: Cells of the arrays in which passages are answered in step, and what sums of impacts may be off by.
+CELLS, SLACK = 1 << 16, 1e-9
 SHARD_CHARS = 8_000_000
 SHINGLE = 5
 K1, B = 1.2, 0.75
@@ -61,53 +71,81 @@ def _part(words: np.ndarray) -> tuple[int, np.ndarray]:
     return k, _shingles(words, k)
 
 
+def _segments(items: list[tuple[int, str]]) -> tuple[list[np.ndarray], list[np.ndarray], list[int]]:
+    """Words of each item, the segments, and the item of each segment."""
+    words, segments, owner = _words([t for _, t in items]), [], []
+    for k, w in enumerate(words):
+        cuts = np.linspace(0, len(w), -(-len(w) // SEGMENT_WORDS) + 1).astype(int)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            segments.append(w[a:b])
+            owner.append(k)
+    return words, segments, owner
+
+
+@dataclass
+class Statistics:
+    """Of all segments, of whatever shard: their number and words, and the terms in ascending order with the segments of each."""
+
+    n: int = 0
+    words: int = 0
+    terms: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    df: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    def add(self, segments: list[np.ndarray]) -> Statistics:
+        if not segments:
+            return self
+        mine, df = np.unique(np.concatenate([np.unique(s) for s in segments]), return_counts=True)
+        terms, at = np.unique(np.concatenate([self.terms, mine]), return_inverse=True)
+        return Statistics(self.n + len(segments), self.words + sum(map(len, segments)), terms, np.bincount(at, np.concatenate([self.df, df]), len(terms)).astype(np.int64))
+
+
 class Index:
-    """Postings of segments, in CSR form over the sorted hashes of their terms."""
+    """Postings of segments, ordered by term and segment, with the maxima and the ends of their blocks."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float, overlap: float):
-        self.threshold, self.overlap, self.ids = threshold, overlap, []
+    def __init__(self, items: list[tuple[int, str]], threshold: float, overlap: float, of: Statistics | None = None):
+        self.threshold, self.overlap, self.ids = threshold, overlap, [name for name, _ in items]
+        words, segments, owner = _segments(items)
+        of = Statistics().add(segments) if of is None else of
         self.parts: list[tuple[tuple[int, np.ndarray], tuple[int, np.ndarray]]] = []
-        segments, owner = [], []
-        for (name, text), words in zip(items, _words([t for _, t in items]), strict=True):
-            if not len(words):
-                continue
-            lines = [x for x in text.split("\n") if x.strip()]
+        for (_, text), w in zip(items, words, strict=True):
+            lines = [x for x in text.split("\n") if x.strip()] if len(w) else [""]
             question, answer = _words(["\n".join(lines[:-1] if len(lines) > 1 else lines), lines[-1] if len(lines) > 1 else ""])
             self.parts.append((_part(question), _part(answer)))
-            cuts = np.linspace(0, len(words), -(-len(words) // SEGMENT_WORDS) + 1).astype(int)
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                segments.append(words[a:b])
-                owner.append(len(self.ids))
-            self.ids.append(name)
-        self.owner, n = np.array(owner, np.int64), len(segments)
-        self.n_blocks = -(-n // BLOCK)
+        by = sorted(range(len(segments)), key=lambda i: len(segments[i]))
+        segments, self.owner, n = [segments[i] for i in by], np.array([owner[i] for i in by], np.int64), len(segments)
         if not n:
             self.terms = np.zeros(0, np.uint64)
             return
         term = np.concatenate(segments)
         seg = np.repeat(np.arange(n), [len(s) for s in segments])
         self.terms, at = np.unique(term, return_inverse=True)
-        pair, tf = np.unique(at * n + seg, return_counts=True)
-        t, s = pair // n, pair % n
-        df = np.bincount(t, minlength=len(self.terms))
+        self.posting, tf = np.unique(at * n + seg, return_counts=True)  # term * segments + segment
+        t, self.segment = self.posting // n, self.posting % n
+        df = of.df[np.searchsorted(of.terms, self.terms)]
         size = np.array([len(x) for x in segments], float)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        weight = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[s] / size.mean()))
-        weight /= np.bincount(s, weight, n)[s]
-        self.begin = np.concatenate([[0], np.cumsum(df)])
-        self.segment, self.impact = s, weight
-        # non-essential terms: the most frequent ones, while no segment can reach half the threshold by them
-        rest, self.essential = np.zeros(n), np.ones(len(self.terms), bool)
-        for k in np.argsort(-df, kind="stable"):
-            a, b = self.begin[k], self.begin[k + 1]
-            if df[k] < 3 or (rest[s[a:b]] + weight[a:b]).max() >= threshold / 2:
-                break
-            rest[s[a:b]] += weight[a:b]
-            self.essential[k] = False
-        self.block_rest = np.array([rest[i : i + BLOCK].max() for i in range(0, n, BLOCK)])
+        idf = np.log(1 + (of.n - df + 0.5) / (df + 0.5))
+        self.impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.segment] / (of.words / of.n)))
+        self.impact /= np.bincount(self.segment, self.impact, n)[self.segment]
+        self.begin = np.searchsorted(t, np.arange(len(self.terms) + 1))
+        # levels: segments of about one length, lo to hi - 1, where each list's part of them begins, and its greatest impact there
+        grade = np.floor(np.log2(size) * 2)
+        edges = [0, *(np.flatnonzero(grade[1:] != grade[:-1]) + 1).tolist(), n]
+        self.levels = list(pairwise(edges))
+        every = np.arange(len(self.terms)) * n
+        self.start = {x: np.searchsorted(self.posting, every + x) for x in edges}
+        self.top = {lo: np.zeros(len(self.terms)) for lo in edges[:-1]}
+        for lo, hi in self.levels:
+            p = np.flatnonzero((self.segment >= lo) & (self.segment < hi))
+            np.maximum.at(self.top[lo], t[p], self.impact[p])
+        # blocks: BLOCK postings of one list each
+        inside = np.arange(len(t)) - self.begin[t]
+        first = np.flatnonzero(inside % BLOCK == 0)
+        self.block = np.cumsum(inside % BLOCK == 0) - 1
+        self.block_top = np.maximum.reduceat(self.impact, first)
+        self.block_end = self.segment[np.append(first[1:], len(t)) - 1]
 
     def __len__(self):
-        return len(self.ids)
+        return len(self.owner)
 
     def retrieve(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float]]:
         """(text, item, score) of every item with a segment that some passage of the text reaches; the best score of each."""
@@ -123,32 +161,76 @@ class Index:
         ok = np.concatenate([np.ones(len(own), bool), (own > 0) & (own < windows[text])])
         key = np.unique(passage[ok] * len(self.terms) + np.concatenate([at, at])[ok])
         passage, term = key // len(self.terms), key % len(self.terms)
-        score = self._add(passage[self.essential[term]], term[self.essential[term]])
-        pairs, score = score
-        n = len(self.owner)
-        go = score + self.block_rest[(pairs % n) // BLOCK] >= self.threshold
-        pairs, score = pairs[go], score[go]
-        if not len(pairs):
-            return []
-        late = ~self.essential[term] & np.isin(passage, pairs // n)
-        more, extra = self._add(passage[late], term[late])
-        if len(more):
-            x = np.minimum(np.searchsorted(more, pairs), len(more) - 1)
-            score = score + np.where(more[x] == pairs, extra[x], 0.0)
         best: dict[tuple[int, int], float] = {}
-        for p, v in zip(pairs[score >= self.threshold].tolist(), score[score >= self.threshold].tolist(), strict=True):
-            k = (int(np.searchsorted(base, p // n, "right")) - 1, int(self.owner[p % n]))
-            best[k] = max(v, best.get(k, 0.0))
+        for lo, hi in self.levels:
+            # no pivot at all where the lists' greatest impacts cannot reach the threshold
+            top = self.top[lo]
+            live = np.bincount(passage, top[term], base[-1]) >= self.threshold - SLACK
+            mine = live[passage] & (top[term] > 0)
+            t, p = term[mine], passage[mine]
+            if not len(p):
+                continue
+            begin = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+            counts = np.diff(np.append(begin, len(p)))
+            by = np.argsort(counts, kind="stable")
+            at = 0
+            while at < len(by):  # passages with about as many terms share an array of about CELLS cells
+                rows = by[at : at + max(1, CELLS // int(counts[by[at]]))]
+                at += len(rows)
+                width = int(counts[rows[-1]])
+                terms = np.where(np.arange(width) < counts[rows][:, None], t[np.minimum(begin[rows][:, None] + np.arange(width), len(t) - 1)], -1)
+                for r, segment, score in zip(*self._wand(terms, lo, hi), strict=True):
+                    k = (int(np.searchsorted(base, p[begin[rows[r]]], "right")) - 1, int(self.owner[segment]))
+                    best[k] = max(score, best.get(k, 0.0))
         return [(t, i, v) for (t, i), v in sorted(best.items())]
 
-    def _add(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums of impacts by (passage, segment), coded passage * segments + segment, in ascending order."""
-        n = len(self.owner)
-        df = self.begin[term + 1] - self.begin[term]
-        at = np.repeat(self.begin[term] - np.concatenate([[0], np.cumsum(df)[:-1]]), df) + np.arange(df.sum()) if len(df) else np.zeros(0, np.int64)
-        code = np.repeat(passage, df) * n + self.segment[at]
-        pairs, inverse = np.unique(code, return_inverse=True)
-        return pairs, np.bincount(inverse, self.impact[at], len(pairs)) if len(pairs) else np.zeros(0)
+    def _wand(self, terms: np.ndarray, lo: int, hi: int) -> tuple[list[int], list[int], list[float]]:
+        """terms: a row of term numbers for each passage, -1 where it has fewer.  (row, segment, score) of all of the segments lo to hi - 1
+        that reach the threshold."""
+        n, least = len(self.owner), self.threshold - SLACK
+        row = np.arange(len(terms))
+        none = terms < 0
+        lists = terms * n
+        at = np.where(none, 0, self.start[lo][terms])
+        end = np.where(none, 0, self.start[hi][terms])
+        top = np.where(none, 0.0, self.top[lo][terms])
+        now = np.where(at < end, self.segment[np.minimum(at, len(self.segment) - 1)], n)
+        out: tuple[list, list, list] = ([], [], [])
+        while len(row):
+            order = np.argsort(now, axis=1)
+            sorted_ = np.take_along_axis(now, order, 1)
+            reach = np.cumsum(np.where(sorted_ < n, np.take_along_axis(top, order, 1), 0.0), axis=1) >= least
+            go = reach[:, -1]
+            if not go.all():
+                row, lists, at, end, now, top, sorted_, reach = (x[go] for x in (row, lists, at, end, now, top, sorted_, reach))
+                if not len(row):
+                    break
+            pivot = np.take_along_axis(sorted_, reach.argmax(1)[:, None], 1)
+            on = now == pivot
+            # where the lists up to the pivot would stand on or after it, and their blocks there
+            there = at.copy()
+            r, c = np.nonzero(now < pivot)
+            there[r, c] = np.searchsorted(self.posting, lists[r, c] + pivot[r, 0])
+            r, c = np.nonzero((now <= pivot) & (there < end))
+            block = self.block[there[r, c]]
+            fits = (np.bincount(r, self.block_top[block], len(row)) >= least)[:, None]
+            ends = np.full(len(row), n)
+            np.minimum.at(ends, r, self.block_end[block] + 1)
+            full = fits & (sorted_[:, :1] == pivot)
+            r, c = np.nonzero(on & full)
+            if len(r):
+                score = np.bincount(r, self.impact[at[r, c]], len(row))
+                good = np.flatnonzero(score >= self.threshold)
+                out[0].extend(row[good].tolist())
+                out[1].extend(pivot[good, 0].tolist())
+                out[2].extend(score[good].tolist())
+            # the next segment that can matter: the pivot for cursors before it, the one after a scored pivot, or the one after the blocks
+            beyond = np.where(now > pivot, now, n).min(1)
+            target = np.where(full, pivot + 1, np.where(fits, pivot, np.maximum(np.minimum(ends, beyond)[:, None], pivot + 1)))
+            r, c = np.nonzero(now < target)
+            at[r, c] = np.searchsorted(self.posting, lists[r, c] + target[r, 0])
+            now[r, c] = np.where(at[r, c] < end[r, c], self.segment[np.minimum(at[r, c], len(self.segment) - 1)], n)
+        return out
 
     def verify(self, words: np.ndarray, item: int) -> tuple[float, float]:
         """Shares of the question's and the answer's shingles in the text; an item without an answer has it in full."""
@@ -175,10 +257,19 @@ def indexes(items: DataFrame, threshold: float, overlap: float, shard_chars: int
     small_batches(spark)
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(chars / shard_chars))
-    for k in range(shards if chars else 0):
+    shards = max(1, math.ceil(chars / shard_chars)) if chars else 0
+
+    def shard(k: int) -> list[tuple[int, str]]:
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).orderBy("item_id", "text")
-        yield spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in part.collect()], threshold, overlap))
+        return [(r[0], r[1]) for r in part.collect()]
+
+    of = None
+    if shards > 1:
+        of = Statistics()
+        for k in range(shards):
+            of = of.add(_segments(shard(k))[1])
+    for k in range(shards):
+        yield spark.sparkContext.broadcast(Index(shard(k), threshold, overlap, of))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.5) -> DataFrame:
