@@ -442,28 +442,95 @@ def test_wand_equals_exhaustive_scoring(monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+def plain(template, rng=None):
+    """A text that a template accepts: without its regions, or with random choices."""
+    parts = licenses._MARKUP.findall(template)
+
+    def sequence():
+        out = []
+        while parts and parts[0] not in ("]]", "|"):
+            item = parts.pop(0)
+            if item == "[[":
+                choices = [sequence()]
+                while parts.pop(0) == "|":
+                    choices.append(sequence())
+                out += rng.choice([[], *choices]) if rng else []
+            elif item.startswith("<<"):
+                k, _, words = item[2:-2].partition(":")
+                options = [x.split() for x in words.split("|")] if words else []
+                free = [[f"any{rng.randrange(9)}"] * n for n in range(0 if not words else 1, int(k) + 1)] if rng else []
+                out += rng.choice([*options, *free]) if rng else options[0] if options else []
+            else:
+                out.append(item)
+        return out
+
+    return " ".join(sequence())
+
+
+def pattern(template):
+    """The template as a regular expression over words that each end in a space."""
+    out, any_ = "", "(?:[^ ]+ )"
+    for item in licenses._MARKUP.findall(template):
+        if item in ("[[", "]]", "|"):
+            out += {"[[": "(?:", "]]": ")?", "|": "|"}[item]
+        elif item.startswith("<<"):
+            k, _, words = item[2:-2].partition(":")
+            options = ["".join(f"{w} " for w in x.split()) for x in words.split("|")] if words else []
+            free = [f"{any_}{{{1 if words else 0},{k}}}"] if int(k) or not words else []
+            out += "(?:" + "|".join(options + free) + ")"
+        else:
+            out += f"{item} "
+    return out
+
+
 def test_licenses(spark):
+    rng = random.Random(31)
+    own = [(label, t) for label, ts in licenses.TEMPLATES.items() for t in ts]
     texts = list(ODD) + [
         "Released under the MIT License. And the mit, license!", "Licensed under the Apache License, Version 2.0. More words.", "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under CC BY-NC 4.0.", "licensed under something else", "general public, (license) general public license apache\nlicense", "MIT license" * 3, "mit" + " " * 5000 + "license",
-        licenses.TEMPLATES["mit"][0].replace("[[including the next paragraph]]", "").title(), licenses.TEMPLATES["mit"][0].replace("[[including the next paragraph]]", "").replace("granted", "given"),
-    ]
+        plain(licenses.TEMPLATES["mit"][0]).title(), plain(licenses.TEMPLATES["mit"][0]).replace("granted", "given"),
+        "Licensed under the GNU Lesser General Public License v2.1 or later", "gnu affero general public license", "SPDX-License-Identifier: GPL-2.0-only", "licensed under the gnu general public license version 3 or later",
+    ] + [plain(t, rng).title() for _, t in own]
     got = {r["doc_id"]: r for r in licenses.scan_licenses(frame(spark, texts)).collect()}
     for i, t in enumerate(texts):
-        w, places, labels = alnum(t), [], set()
+        w, places, labels, covered = alnum(t), [], set(), set()
         for phrase, label in licenses.PHRASES:
             p = phrase.split()
             hits = [k for k in range(len(w)) if w[k : k + len(p)] == p]
             places += hits
+            covered |= {k + j for k in hits for j in range(len(p))}
             labels |= {label} if hits else set()
         r = got[i]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
-        assert labels <= set(r["labels"].split(",")) | {""} and 0 <= r["score"] <= 1
+        if len(w) > 60:
+            continue
+        line = "".join(f"{x} " for x in w)  # labels and score by regular expressions: of each template the longest texts, from left to right
+        starts, found = [0, *(k + 1 for k, c in enumerate(line) if c == " ")], []
+        for label, template in own:
+            expression, at = re.compile(pattern(template)), 0
+            for k in starts:
+                if k >= at and (ends := [e for e in starts if e > k and expression.fullmatch(line, k, e)]):
+                    at = max(ends)
+                    found.append((k, at, label))
+        found = [x for x in found if not any(y[0] <= x[0] and x[1] <= y[1] and y[:2] != x[:2] for y in found)]
+        labels |= {x[2] for x in found}
+        covered |= {k for x in found for k in range(starts.index(x[0]), starts.index(x[1]))}
+        assert set(r["labels"].split(",")) - {""} == labels and abs(r["score"] - (len(covered) / len(w) if w else 0)) < 1e-9, t
     n = len(ODD)
-    assert [got[n + k]["labels"] for k in (3, 4, 8, 9)] == ["cc-by-nc", "", "mit", ""] and got[n + 8]["score"] == 1
+    assert [got[n + k]["labels"] for k in (3, 4, 8, 9, 10, 11, 12)] == ["cc-by-nc", "", "mit", "", "gpl,lgpl", "agpl,gpl", "gpl"]
+    assert [got[n + k]["score"] for k in (8, 10, 11, 12, 13)] == [1.0] * 5
+    assert all(label in got[n + 14 + k]["labels"].split(",") for k, (label, _) in enumerate(own))
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_license_query(spark, monkeypatch):
+    docs = frame(spark, ["Mit license, mit license", None, "Mit license, mit license", "Mit license, mit license"], ids=[4, 4, None, 4])
+    monkeypatch.setattr(licenses, "table", lambda *a: docs)
+    rows = sorted((tuple(r) for r in licenses.op10_license_scan(spark, "").collect()), key=str)
+    assert rows == sorted([(4, 4, 2, 0, 2, "mit", "mit", 1.0)] * 2 + [(4, 0, 0, None, None, "", "", 0.0), (None, 4, 2, 0, 2, "mit", "mit", 1.0)], key=str)
+
+
 def test_license_automata():
     def accepts(template, text):
         m = licenses.Automaton(template)
@@ -477,6 +544,34 @@ def test_license_automata():
     assert accepts("by <<0:cc by|gnu>> only", "by cc by only") and not accepts("by <<0:cc by|gnu>> only", "by bsd only")
 
 
+def test_license_automata_equal_regular_expressions():
+    rng = random.Random(32)
+
+    def template(depth=0):
+        out = []
+        for _ in range(rng.randrange(1, 4)):
+            x = rng.random()
+            if x < 0.3 and depth < 2:
+                out.append("[[" + "|".join(template(depth + 1) for _ in range(rng.randrange(1, 3))) + "]]")
+            elif x < 0.5:
+                out.append(rng.choice(["<<1>>", "<<2>>", "<<0:a|b c>>", "<<1:c>>"]))
+            else:
+                out.append(rng.choice("abc"))
+        return " ".join(out)
+
+    for _ in range(600):
+        t = template()
+        try:
+            m = licenses.Automaton(t)
+        except ValueError:  # no mandatory word
+            continue
+        words = [rng.choice("abcd") for _ in range(8)]
+        h = np.array(licenses._hashes(" ".join(words)), np.uint64)
+        for at in range(len(words)):
+            ends = [e for e in range(at, len(words) + 1) if re.fullmatch(pattern(t), "".join(f"{w} " for w in words[at:e]))]
+            assert m.run(h, at, len(h)) == max(ends, default=-1), (t, words[at:])
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 

@@ -1,14 +1,16 @@
 """Operator 10: license scans by template-markup matching.
 
 Method.  A template is text with optional regions ``[[ ... ]]`` and replaceable regions ``<<k>>`` (up to k words of any
-wording) or ``<<k:a|b>>`` (one of the given wordings, or up to k other words if k > 0).  Each is compiled into an automaton over
-word hashes.  A text is accepted from a word on if the automaton's mandatory wording matches exactly; optional regions
-may be left out and replaceable ones take any words they allow.  Where a run can begin is found with NumPy, for all texts
-of a block at once: at the template's first mandatory words.
+wording) or ``<<k:a|b>>`` (one of the given wordings, or up to k other words if k > 0).  ``[[a|b]]`` is one of several or none, and regions
+may stand in optional ones.  Each template is compiled into an automaton over word hashes.  A text is accepted from a word on if the
+automaton's mandatory wording matches exactly; the longest text that is accepted counts, so regions at its end belong to it.  Where a run
+can begin is found with NumPy, for all texts of a block at once: at a stretch of mandatory words, the regions before it being matched
+backwards from there.
 
 Base: places where the words of a phrase stand one after the other (``PHRASES``); they are counted whole.
 
-score: the share of the text's words that base phrases and accepted templates cover.
+score: the share of the text's words that base phrases and accepted templates cover.  An accepted text that lies within a longer one of another template gives no label
+(the name of one license may begin that of another); base labels always stay.
 
 Edge cases.  Null or empty text, or one without words: counts 0, first_word and last_word null, no labels, score 0.  Very long
 texts are scanned whole, and a run's states are bounded by its template.  Repeated rows give repeated results; an empty table
@@ -29,32 +31,92 @@ from treekin.llm.wordhash import ALNUM, text_groups, words_of
 from treekin.shared import table
 
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Standard wordings of licenses and their notices.
+_VERSION = "[[[[version|v]] <<0:1|1 0|2|2 0|2 1|3|3 0|v1|v1 0|v2|v2 0|v2 1|v3|v3 0>> [[of the license]] [[only|or later|or any later version|or at your option any later version]]]]"
+_GNU_TAIL = (
+    "[[this <<1>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose "
+    "see the gnu {name} for more details]] [[you should have received a copy of the gnu {name} along with this <<1>> [[if not see [[http|https]] [[www]] [[gnu org licenses]]]]]]"
+)
+_GNU = [
+    "[[released|licensed|distributed|available]] under the [[terms of the]] [[gnu]] {name} " + _VERSION,
+    "<<1>> is free software you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software foundation [[either]] " + _VERSION + " " + _GNU_TAIL,
+]
+_NO_WARRANTY = (
+    "[[this software is provided by the <<8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall <<10>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+    "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way "
+    "out of the use of this software even if advised of the possibility of such damage]]"
+)
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "[[1|a]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "[[2|b]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+)
+_CC = "[[creative commons]] <<0:{name}>> [[license]] [[version]] [[<<0:1 0|2 0|2 5|3 0|4 0>>]] [[international|unported]] [[license]]"
+#: Fixed wordings: license texts, their notices and names.
 TEMPLATES = {
+    "0bsd": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"],
+    "agpl": [x.format(name="affero general public license") for x in _GNU] + ["gnu affero general public license " + _VERSION],
     "apache": [
-        "licensed under the apache license [[version]] <<1>> [[the license]]",
-        "you may not use this file except in compliance with the license you may obtain a copy of the license at <<12>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+        "[[released|licensed]] under the apache license [[[[version]] <<0:1 0|1 1|2 0|v2|v2 0>>]] [[the license]] "
+        "[[you may not use this file except in compliance with the license [[you may obtain a copy of the license at <<12>>]] unless required by applicable law or agreed to in writing software distributed under the license "
+        "is distributed on an as is basis without warranties or conditions of any kind either express or implied [[see the license for the specific language governing permissions and limitations under the license]]]]",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at <<12>> unless required by applicable law or agreed to in writing software distributed under the license "
+        "is distributed on an as is basis without warranties or conditions of any kind either express or implied [[see the license for the specific language governing permissions and limitations under the license]]",
     ],
-    "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-        "[[released|licensed]] under the <<1>> [[clause]] bsd license",
-    ],
-    "cc-by-nc": [
-        "licensed under [[a|the]] [[creative commons]] <<0:cc by nc|attribution noncommercial|attribution non commercial>> [[sa|nd]] <<2>> [[international]] [[license]]",
+    "boost": [
+        "[[distributed]] under the boost software license [[version 1 0]]",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute "
+        "execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
     ],
-    "gpl": [
-        "licensed under the [[terms of the]] [[gnu]] [[lesser|affero]] general public license [[version]] <<2>>",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation [[either]] version <<1>> [[of the license]] [[or at your option any later version]]",
+    "bsd": [
+        _BSD + "[[[[3|c]] neither the name of <<12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]] " + _NO_WARRANTY,
+        "[[released|licensed]] under the [[<<0:0|2|3|4|two|three|new|simplified|modified|revised>>]] [[clause]] bsd license",
     ],
+    "cc-by": ["licensed under [[a|the]] " + _CC.format(name="cc by|attribution")],
+    "cc-by-nc": ["licensed under [[a|the]] " + _CC.format(name="cc by nc|cc by nc sa|cc by nc nd|attribution noncommercial|attribution non commercial|attribution noncommercial sharealike|attribution noncommercial noderivatives")],
+    "cc-by-sa": ["licensed under [[a|the]] " + _CC.format(name="cc by sa|attribution sharealike|attribution share alike")],
+    "cc0": ["cc0 1 0 universal [[public domain dedication]]", "creative commons zero [[v1 0 universal|1 0 universal]] [[public domain dedication]]", "dedicated to the public domain under cc0 [[1 0]]"],
+    "gpl": [x.format(name="general public license") for x in _GNU],
     "isc": [
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "[[the software is provided as is and <<4>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<4>> be liable for any special direct "
+        "indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use "
+        "or performance of this software]]",
+        "[[released|licensed]] under the isc license",
     ],
+    "lgpl": [x.format(name=f"{kind} general public license") for kind in ("lesser", "library") for x in _GNU] + ["gnu <<0:lesser|library>> general public license " + _VERSION],
     "mit": [
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation "
+        "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software "
+        "[[the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and <<0:noninfringement|non infringement>> "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software "
+        "or the use or other dealings in the software]]",
         "[[released|licensed]] under the [[terms of the]] mit license",
     ],
-    "mpl": ["this source code form is subject to the terms of the mozilla public license [[v]] <<3>>"],
+    "mpl": [
+        "this source code form is subject to the terms of the mozilla public license [[v|version]] [[<<0:1 1|2 0|v2 0>>]] [[if a copy of the mpl was not distributed with this file you can obtain one at <<6>>]]",
+        "[[released|licensed]] under the mozilla public license [[v|version]] [[<<0:1 1|2 0|v2 0>>]]",
+    ],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain [[anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
+        "for any purpose commercial or non commercial and by any means]]",
+    ],
+    "zlib": [
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "[[[[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be "
+        "appreciated but is not required [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may not be removed or altered "
+        "from any source distribution]]",
+    ],
+}
+#: Names in a file's head, by label: `spdx license identifier` and one of these.
+SPDX = {
+    "0bsd": "0bsd", "agpl": "agpl 3 0", "apache": "apache 2 0", "boost": "bsl 1 0", "bsd": "bsd <<0:2|3>> clause", "cc-by": "cc by <<0:3 0|4 0>>", "cc-by-nc": "cc by nc <<0:3 0|4 0>>", "cc-by-sa": "cc by sa <<0:3 0|4 0>>",
+    "cc0": "cc0 1 0", "gpl": "gpl <<0:2 0|3 0>>", "isc": "isc", "lgpl": "lgpl <<0:2 0|2 1|3 0>>", "mit": "mit", "mpl": "mpl 2 0", "unlicense": "unlicense", "zlib": "zlib",
 }
+for _label, _name in SPDX.items():
+    TEMPLATES[_label] = [*TEMPLATES[_label], f"spdx license identifier {_name} [[only|or later]]"]
 
 
 def _hashes(text: str) -> list[int]:
@@ -62,6 +124,9 @@ def _hashes(text: str) -> list[int]:
     return words_of(raw, np.array([0, len(raw)]), ALNUM, lower=True).hashes.tolist() if len(raw) else []
 
 
+_MARKUP = re.compile(r"\[\[|\]\]|\||<<[^>]*>>|[^\s\[\]|<>]+")
+
+
 class Automaton:
     """A nondeterministic automaton over word hashes.
 
@@ -72,28 +137,15 @@ class Automaton:
         self.step: list[dict[int, set[int]]] = [{}]
         self.any_: list[set[int]] = [set()]
         self.eps: list[set[int]] = [set()]
-        parts = [x for x in re.split(r"(\[\[.*?\]\]|<<.*?>>)", template) if x.strip()]
-        at, first = 0, []
-        mandatory = True
-        for part in parts:
-            if part.startswith("[["):
-                at = self._choice(at, part[2:-2].split("|"), True, 0)
-                mandatory = mandatory and not first
-            elif part.startswith("<<"):
-                k, _, words = part[2:-2].partition(":")
-                at = self._choice(at, words.split("|") if words else [], not words, int(k))
-                if first:
-                    mandatory = False
-            else:
-                h = _hashes(part)
-                if mandatory and not first:
-                    first, self.anchor_state = h, at
-                elif not first:
-                    first = h
-                at = self._line(at, h)
-        self.final = at
-        #: The first mandatory words: every accepted text holds them, so runs are looked for there.
-        self.anchor = first[:4]
+        #: Stretches of mandatory words: the state before each, its words, and the most words that may stand before it.
+        stretches: list[tuple[int, list[int], int]] = []
+        self.final, _ = self._sequence(0, _MARKUP.findall(template)[::-1], stretches)
+        if not stretches:
+            raise ValueError(f"a template needs a mandatory word: {template}")
+        long = [x for x in stretches if len(x[1]) >= 3]
+        self.anchor_state, words, self.before = long[0] if long else max(stretches, key=lambda x: len(x[1]))
+        #: Mandatory words in a row: every accepted text holds them, so runs are looked for there.
+        self.anchor = words[:6]
 
     def _new(self) -> int:
         for x, kind in ((self.step, dict), (self.any_, set), (self.eps, set)):
@@ -107,12 +159,45 @@ class Automaton:
             at = to
         return at
 
-    def _choice(self, at: int, options: list[str], skip: bool, free: int) -> int:
+    def _sequence(self, at: int, todo: list[str], stretches: list | None = None) -> tuple[int, int]:
+        """Compiles items, the next one last in todo, up to the end of a region or of one of its choices.  The state there, and the most words
+        on the way."""
+        most, row = 0, None
+        while todo and todo[-1] not in ("]]", "|"):
+            item = todo.pop()
+            if item == "[[":
+                row = None
+                end, longest = self._new(), 0
+                self.eps[at].add(end)
+                while True:
+                    last, n = self._sequence(at, todo)
+                    self.eps[last].add(end)
+                    longest = max(longest, n)
+                    if todo.pop() == "]]":
+                        break
+                at, most = end, most + longest
+            elif item.startswith("<<"):
+                row = None
+                k, _, words = item[2:-2].partition(":")
+                options = [_hashes(x) for x in words.split("|")] if words else []
+                at = self._choice(at, options, not words, int(k))
+                most += max([int(k), *map(len, options)])
+            else:
+                for h in _hashes(item):
+                    if row is None:
+                        row = []
+                        if stretches is not None:
+                            stretches.append((at, row, most))
+                    row.append(h)
+                    at, most = self._line(at, [h]), most + 1
+        return at, most
+
+    def _choice(self, at: int, options: list[list[int]], skip: bool, free: int) -> int:
         end = self._new()
         if skip:
             self.eps[at].add(end)
         for option in options:
-            self.eps[self._line(at, _hashes(option))].add(end)
+            self.eps[self._line(at, option)].add(end)
         here = at
         for _ in range(free):
             to = self._new()
@@ -130,21 +215,42 @@ class Automaton:
                     todo.append(x)
         return out
 
-    def run(self, words: np.ndarray, at: int, stop: int, start: int = 0) -> int:
-        """The end of the shortest text from `at` on that is accepted, or -1.
+    def _read(self, now: set[int], word: int) -> set[int]:
+        new: set[int] = set()
+        for s in now:
+            new |= self.step[s].get(word, set()) | self.any_[s]
+        return self._close(new)
 
-        The shortest: a replaceable region at the end of a template covers words only where wording follows it.
-        """
-        now = self._close({start})
-        while True:
+    def run(self, words: np.ndarray, at: int, stop: int, start: int = 0) -> int:
+        """The end of the longest text from `at` on that is accepted, or -1."""
+        now, found = self._close({start}), -1
+        while now:
             if self.final in now:
-                return at
-            if not now or at >= stop:
-                return -1
-            h, new = int(words[at]), set()
-            for s in now:
-                new |= self.step[s].get(h, set()) | self.any_[s]
-            now, at = self._close(new), at + 1
+                found = at
+            if at >= stop:
+                break
+            now, at = self._read(now, int(words[at])), at + 1
+        return found
+
+    def begin(self, words: np.ndarray, at: int, first: int) -> int:
+        """The first word from which on what comes before the anchor at `at` matches, or -1."""
+        for k in range(max(first, at - self.before), at + 1):
+            now = self._close({0})
+            for word in words[k:at].tolist():
+                now = self._read(now, word)
+            if self.anchor_state in now:
+                return k
+        return -1
+
+
+def outermost(found: list[tuple[int, int, str, bool]]) -> list[tuple[int, int, str, bool]]:
+    """Without the texts that lie within a longer one: the name of one license may begin the name of another."""
+    out, reach, last = [], -1, None
+    for x in sorted(found, key=lambda x: (x[0], -x[1])):
+        if x[1] > reach or (x[0], x[1]) == last:
+            out.append(x)
+            reach, last = x[1], (x[0], x[1])
+    return out
 
 
 @functools.lru_cache(maxsize=8)
@@ -187,12 +293,14 @@ def _scan(phrases: tuple, templates: tuple):
                         t = int(text_of[p])
                         if p < reach.get(t, 0):
                             continue
-                        end = machine.run(w.hashes, p, int(w.first[t + 1]), machine.anchor_state)
+                        begin = machine.begin(w.hashes, p, max(int(w.first[t]), reach.get(t, 0)))
+                        end = machine.run(w.hashes, p, int(w.first[t + 1]), machine.anchor_state) if begin >= 0 else -1
                         if end > p:
                             reach[t] = end
-                            hits.setdefault(t, []).append((p, end, label, False))
+                            hits.setdefault(t, []).append((begin, end, label, False))
                 for t in range(j - i):
-                    n, found = int(w.first[t + 1] - w.first[t]), sorted(hits.get(t, ()))
+                    n, found = int(w.first[t + 1] - w.first[t]), hits.get(t, [])
+                    found = sorted([x for x in found if x[3]] + outermost([x for x in found if not x[3]]))
                     starts = [a - int(w.first[t]) for a, _, _, is_base in found if is_base]
                     covered, upto = 0, 0
                     for a, b, _, _ in found:
