@@ -1,11 +1,14 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
+from tests.conftest import SMALL
 from treekin.llm import chat, html_text
+from treekin.shared import table
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style></head><body><header><a href=/>Home</a></header><nav><ul><li><a href=x>one</a></li><li><a>two</a></ul></nav>
 <div class="cookie-notice">We use cookies.</div><div class="ad">Buy this now.</div><article><h1>The  title</h1><p><b>First &amp; second<br>line &lt;x&gt; caf&eacute;.<p>Be.</p><aside>Related reading.</aside>
@@ -44,6 +47,68 @@ def test_cut_off_pages_keep_what_is_there():
     assert html_text.main_text(cut, html_text.PRIOR).startswith(WANT[:60])
 
 
+#: Pages marked up by hand: (html, text kept).
+HAND = [
+    (
+        """<body class="page comments-open"><div id="site-header"><h1>The Daily</h1></div><div class="main-menu"><a href=a>News</a> <a href=b>Sport</a></div>
+        <main><h2>Findings</h2><section id="related-work"><p>Others have looked at the same question before.</p></section><p class="tags-intro">Three tags are used below.</p>
+        <p>Let <math><mi>x</mi><mo>+</mo><mi>y</mi><annotation encoding="tex">x+y</annotation></math> be a number.</p><ul><li><a href=c>A list item that is a link</a></li><li>and one that is none</li></ul>
+        <object data=z><p>The text of an object.</p></object><div class="review"><p>We review all of the methods here, one after the other, in the order of their age.</p></div>
+        <div class="related"><ul><li><a href=d>More</a></li><li><a href=e>Even more</a></li></ul></div><div class="share-buttons"><a href=f>Share</a></div>
+        <div class="post-comments"><p>I have read this with great interest, and I agree with all of it, as you may imagine.</p></div></main>
+        <div class="cookie-notice"><p>We use cookies on this site to make it better for you.</p></div><div id="footer">All rights reserved.</div></body>""",
+        "Findings\n\nOthers have looked at the same question before.\n\nThree tags are used below.\n\nLet x+y be a number.\n\nA list item that is a link\n\nand one that is none\n\nThe text of an object.\n\n"
+        "We review all of the methods here, one after the other, in the order of their age.",
+    ),
+    (
+        """<div class=wrapper><noscript>Please enable scripts.</noscript><div class=navbar><ul><li><a href=1>Home</a><li><a href=2>Shop</a></ul></div><div class="post-content">
+        <h1>How to bake</h1><p>Take flour, water and salt, and mix them well.</p><div class="ad-slot">Buy our oven today, it is the best one.</div><p>Bake it.</p>
+        <table><tr><td>Flour</td><td>500 g</td></tr></table><div class=newsletter-signup><p>Get our letter every week.</p></div></div><div class="sidebar"><p>About the author of this page.</p></div></div>""",
+        "How to bake\n\nTake flour, water and salt, and mix them well.\n\nBake it.\n\nFlour\n\n500 g",
+    ),
+    (
+        """<article class="left-sidebar"><header class="entry-header"><h1>On headers</h1><p class="header">A header of the article is its own.</p></header><div class=commentsPolicy>Comments policy: be kind.</div>
+        <p>Text with <noscript>a fallback</noscript> in it.</p><aside>See also this.</aside><div style="display:none">Hidden.</div><div class="social-links"><a href=x>Follow us</a></div></article><p>Outside, a full sentence stands alone here.</p>""",
+        "On headers\n\nA header of the article is its own.\n\nComments policy: be kind.\n\nText with a fallback in it.\n\nOutside, a full sentence stands alone here.",
+    ),
+]
+
+
+@pytest.mark.parametrize("source", ["prior", "trained"])
+def test_pages_marked_up_by_hand(spark, source):
+    """Recall and precision of blocks, with names that are not what they seem."""
+    weights = html_text.PRIOR if source == "prior" else html_text.trained_weights(table(spark, SMALL, "pages"))
+    kept = right = wanted = 0
+    for page, text in HAND:
+        got, want = Counter(html_text.main_text(page, weights).split("\n\n")), Counter(text.split("\n\n"))
+        kept, wanted, right = kept + sum(got.values()), wanted + sum(want.values()), right + sum((got & want).values())
+    assert right >= 0.95 * wanted and right >= 0.95 * kept, (right, wanted, kept)
+
+
+def test_classifier_on_held_out_pages(spark):
+    """Labels by markup are told from the text alone, on pages that were not trained on."""
+    pages = [r["html"] for r in table(spark, SMALL, "pages").orderBy("page_id").collect()] + [p for p, _ in HAND]
+    counts = [sum((html_text.marked(p or "") for p in pages[k::2]), Counter()) for k in (0, 1)]
+    w = html_text.train(counts[0])
+    right = sum(n for (label, x), n in counts[1].items() if (np.array(x) @ w > 0) == label)
+    assert right >= 0.9 * sum(counts[1].values()) and {label for label, _ in counts[1]} == {0, 1}
+
+
+def test_training_takes_pages_of_any_length(spark):
+    long = "<article>" + "<p>One more sentence of it.</p>" * 20_000 + "</article><nav><ul><li><a href=x>y</a></ul></nav>"
+    df = spark.createDataFrame([(long,), (long,), ("",), (None,)], "html string")
+    w = html_text.trained_weights(df)
+    assert not np.allclose(w, html_text.PRIOR) and np.allclose(w, html_text.train(html_text.marked(long)))
+    assert np.array_equal(html_text.trained_weights(df.where("html = ''")), html_text.PRIOR)
+
+
+def test_page_query(spark, monkeypatch):
+    df = spark.createDataFrame([(None, None, PAGE), (7, "u", PAGE), (7, "u", PAGE), (8, "v", None)], "page_id long, url string, html string")
+    monkeypatch.setattr(html_text, "table", lambda *a: df)
+    rows = sorted((tuple(r) for r in html_text.op8_html_extraction(spark, "").collect()), key=str)
+    assert rows == sorted([(None, None, WANT, len(WANT)), (7, "u", WANT, len(WANT)), (7, "u", WANT, len(WANT)), (8, "v", "", 0)], key=str)
+
+
 def energy(cost, edges, labels):
     return sum(max(0, c) if not x else max(0, -c) for c, x in zip(cost, labels, strict=True)) + sum(w for i, j, w in edges if labels[i] != labels[j])
 

@@ -1,16 +1,22 @@
 """Operator 8: main text of web pages by minimum-cut labelling.
 
-Method.  A page is cut into blocks of text; a block ends where a block-level element begins or ends.  A logistic classifier over a
-block's own features and those of its ancestors gives each block a cost for being content and for being boilerplate.  Blocks
-are nodes, these costs the capacities to the two terminals; neighbouring blocks, and blocks of the same parent element, are
-joined by smoothness edges.  A minimum cut, found by maximum flow, labels the blocks.
+Method.  A page is cut into blocks of text; a block ends where a block-level element begins or ends.  A logistic classifier over the
+shape of a block's text (words, links, punctuation, kind of block) gives each block log odds of being content, within ``TEXT_ODDS`` either
+way; to these come the fixed odds of the markup around it (``EVIDENCE``).  The sum is a block's cost for being content and for being
+boilerplate.  Blocks are nodes, these costs the capacities to the two terminals; neighbouring blocks, and blocks of the same parent
+element, are joined by smoothness edges.  A minimum cut, found by maximum flow, labels the blocks.
 
 Blocks whose own cost outweighs all their smoothness edges have their label in every minimum cut; they are settled first
 and passed to their neighbours' terminals, so that the flow runs over undecided blocks only.
 
-The classifier is trained on a sample of at most ``SAMPLE_PAGES`` pages: blocks of ``article`` and ``main`` elements are positive,
-those of navigation, footers, asides, forms and adverts negative.  It is fitted by penalised logistic regression towards
-``PRIOR``, so that features which the sample lacks keep their prior weight.
+The classifier is trained on a sample of about ``SAMPLE_PAGES`` different pages of any length, whose authors have marked them up: blocks of ``article``
+and ``main`` elements are positive, those of navigation, footers, asides, forms, comments and adverts negative.  Labels come from markup and
+features from text, which have nothing in common.  It is fitted by penalised logistic regression towards ``PRIOR``, so that
+features which the sample lacks keep their prior weight.
+
+Markup.  A name (class, id, role) tells of boilerplate only if all its parts do or say nothing: ``site-footer``, ``post-comments``, but not
+``related-work`` or ``comments-open``.  Within an article, names that can also stand in one (``SOFT``) are outweighed by running text; those
+of comments, adverts and consent (``VETO``) are not.
 
 Text: character references decoded, white space within a block one space, trimmed; blocks in page order, joined by two line
 feeds.
@@ -24,7 +30,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import deque
+from collections import Counter, deque
 
 import numpy as np
 import pyarrow as pa
@@ -39,26 +45,39 @@ BLOCK_TAGS = frozenset(
     "head header hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul video audio".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select".split())
+#: Elements whose content is no text of the page, or (annotations of formulas) says it a second time.
+RAW = frozenset("script style template textarea title svg iframe canvas select annotation annotation-xml".split())
 ENDS_P = BLOCK_TAGS - {"button", "option", "optgroup", "legend", "head", "html", "body"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_BAD = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-?bar|menu\w*|nav\w*|breadcrumbs?|footer|header|masthead|cookies?|consent|notice|gdpr|popup|modal|"
-    r"comment\w*|respond|reviews?|disqus\w*|adsbygoogle|adslot|adbox|replies|reply|share|sharing|social|related|recommend\w*|subscribe|newsletter|signup|login|search|widget|toolbar|pagination|tags?|legal|copyright|skip)(?:$|[-_\s\d])",
-    re.I,
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Words in names: of comments, adverts and consent; of other boilerplate; of what can also be part of an article; of layout, which say nothing.
+VETO = frozenset(
+    "ad ads adbox adsbygoogle adsense adslot adunit advert advertisement advertising adverts comment commentary commentlist comments consent cookie cookies disqus gdpr modal popup promo promoted "
+    "replies respond sponsor sponsored sponsors".split()
+)
+BAD = frozenset(
+    "banner breadcrumb breadcrumbs copyright footer header login masthead menu menus nav navbar navigation newsletter notice notices pager pagination share sharing sidebar signup skip social "
+    "subscribe subscription toolbar widget widgets".split()
 )
-#: Names of layouts, which say nothing about the element itself; within an article, those of its own header.
-_LAYOUT = re.compile(r"\b(?:has|with|no|without|left|right)-?_?sidebars?\b|\bcomments?-(?:open|closed)\b", re.I)
-_OWN_HEADER = re.compile(r"(?:^|(?<=[-_\s]))header(?=$|[-_\s\d])", re.I)
-_GOOD = re.compile(r"(?:^|[-_\s])(?:article|content|post|entry|story|main|body|text|prose)(?:$|[-_\s\d])", re.I)
+SOFT = frozenset("legal recommendations recommended related reply review reviews search tag tags".split())
+LAYOUT = frozenset(
+    "area article articles bar block body bottom box btn button buttons card column container content entry fixed form global group icon icons inner item items left line link links list main message "
+    "mobile module outer page panel post posts primary reader right row secondary section side site slot stories story text thread title top unit user wrap wrapper".split()
+)
+GOOD = frozenset("article body content entry main post prose story text".split())
+#: Names of page layouts, which say nothing about the element itself.
+_SIDED = re.compile(r"\b(?:has|with|no|without|left|right)-?_?sidebars?\b", re.I)
 _SPACE = re.compile(r"\s+")
-FEATURES = ("bias", "in_article", "in_boilerplate", "good_name", "bad_name", "hidden", "link_share", "paragraph", "heading", "list_or_cell", "words", "sentence")
+FEATURES = ("bias", "link_share", "paragraph", "heading", "list", "cell", "words", "sentence")
 #: Prior weights of the features, towards content.
-PRIOR = np.array([-1.0, 4.0, -9.0, 2.0, -9.0, -12.0, -3.0, 1.5, 1.0, -0.5, 0.3, 0.5])
+PRIOR = np.array([-1.0, -3.0, 1.5, 1.0, -0.5, 0.0, 0.3, 0.5])
+TEXT_ODDS = 3.0
+_ART, _BOIL, _GOODN, _SOFTN, _BADN, _VETON, _HID = (1 << k for k in range(7))
+#: Log odds that an element's markup adds for the blocks in it.
+EVIDENCE = {_ART: 4.5, _BOIL: -9.0, _GOODN: 2.0, _SOFTN: -4.0, _BADN: -9.0, _VETON: -12.0, _HID: -12.0}
 ADJACENT, SAME_PARENT = 0.25, 0.5
-_ART, _BOIL, _GOODN, _BADN, _HID = 1, 2, 4, 8, 16
 
 
 class Block:
@@ -71,22 +90,33 @@ class Block:
         self.text = ""
 
 
+def name_flags(names: str, in_article: bool) -> int:
+    """What the names of an element say of it; a header of an article is its own."""
+    flags = 0
+    for name in _SIDED.sub(" ", names).split():
+        parts = {x.lower() for x in _PARTS.findall(name)}
+        if in_article:
+            parts.discard("header")
+        told = parts - LAYOUT
+        if told and told <= VETO | BAD | SOFT:
+            flags |= _VETON if told & VETO else _BADN if told & BAD else _SOFTN
+        elif parts & GOOD:
+            flags |= _GOODN
+    return flags & ~_GOODN if flags & (_VETON | _BADN | _SOFTN) else flags
+
+
 def _flags(tag: str, attrs: str, above: int, in_article: bool) -> int:
     flags = above
     if tag in ("article", "main"):
         flags |= _ART
     elif tag in ("nav", "footer", "aside", "form", "menu", "dialog", "button") or tag == "header" and not in_article:
         flags |= _BOIL
+    elif tag == "noscript":
+        flags |= _SOFTN
     if attrs:
         names = " ".join("".join(x) for x in _NAMES.findall(attrs))
         if names and tag not in ("html", "body", "main", "article"):
-            names = _LAYOUT.sub(" ", names)
-            if in_article:
-                names = _OWN_HEADER.sub(" ", names)
-            if _BAD.search(names):
-                flags |= _BADN
-            elif _GOOD.search(names):
-                flags |= _GOODN
+            flags |= name_flags(names, in_article)
         if _HIDDEN.search(attrs):
             flags |= _HID
     return flags
@@ -176,35 +206,44 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def features(blocks: list[Block]) -> np.ndarray:
+    """Of the text alone; shares in steps of 1/20 and words up to 40, so that there are some thousand different rows at most."""
     x = np.zeros((len(blocks), len(FEATURES)))
     for i, b in enumerate(blocks):
         words = b.text.count(" ") + 1
         x[i] = (
-            1.0, bool(b.flags & _ART), bool(b.flags & _BOIL), bool(b.flags & _GOODN), bool(b.flags & _BADN), bool(b.flags & _HID), b.link_chars / max(1, b.chars),
-            b.tag in ("p", "blockquote", "pre"), b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), b.tag in ("li", "td", "th", "dd", "dt"), min(words, 40) / 10, b.text[-1] in ".!?:;\"'…”»",
+            1.0, round(20 * b.link_chars / max(1, b.chars)) / 20, b.tag in ("p", "blockquote", "pre"), b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), b.tag in ("li", "dd", "dt"), b.tag in ("td", "th"),
+            min(words, 40) / 10, b.text[-1] in ".!?:;\"'…”»",
         )
     return x
 
 
-def train(pages: list[str], rounds: int = 50, strength: float = 4.0) -> np.ndarray:
-    """Weights by Newton steps of logistic regression with a Gaussian prior around PRIOR."""
-    rows, labels = [], []
-    for page in pages:
-        blocks = blocks_of(page)
-        for b, f in zip(blocks, features(blocks), strict=True):
-            bad = b.flags & (_BOIL | _BADN | _HID)
-            if bad or b.flags & _ART:
-                rows.append(f)
-                labels.append(0.0 if bad else 1.0)
+def odds(blocks: list[Block], weights: np.ndarray) -> np.ndarray:
+    """Log odds of content: those of the text, and the evidence of the markup."""
+    marks = np.array([sum(v for k, v in EVIDENCE.items() if b.flags & k) for b in blocks])
+    return np.clip(features(blocks) @ weights, -TEXT_ODDS, TEXT_ODDS) + marks
+
+
+def marked(page: str) -> Counter:
+    """(label, features) of the blocks whose label the markup tells, with their numbers."""
+    blocks, out = blocks_of(page), Counter()
+    for b, x in zip(blocks, features(blocks).tolist() if blocks else [], strict=True):
+        bad = b.flags & (_BOIL | _BADN | _VETON | _HID)
+        if bad or b.flags & _ART and not b.flags & _SOFTN:
+            out[0 if bad else 1, tuple(x)] += 1
+    return out
+
+
+def train(counts: dict[tuple[int, tuple[float, ...]], int], rounds: int = 50, strength: float = 4.0) -> np.ndarray:
+    """Weights by Newton steps of logistic regression with a Gaussian prior around PRIOR; counts of (label, features)."""
     w = PRIOR.copy()
-    if not rows:
+    if not counts:
         return w
-    x, y = np.array(rows), np.array(labels)
-    share = 2000 / max(2000, len(y))  # the data weigh as 2,000 blocks at most
+    x, y, n = np.array([f for _, f in counts]), np.array([label for label, _ in counts], float), np.array(list(counts.values()), float)
+    n *= 2000 / max(2000, n.sum())  # the data weigh as 2,000 blocks at most
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = share * (x.T @ (p - y)) + strength * (w - PRIOR)
-        step = np.linalg.solve(share * (x.T * (p * (1 - p))) @ x + strength * np.eye(len(w)), gradient)
+        gradient = x.T @ (n * (p - y)) + strength * (w - PRIOR)
+        step = np.linalg.solve((x.T * (n * p * (1 - p))) @ x + strength * np.eye(len(w)), gradient)
         w = w - step
         if np.abs(step).max() < 1e-6:
             break
@@ -309,20 +348,31 @@ def main_text(page: str, weights: np.ndarray) -> str:
         if b.parent in last:
             edges.append((last[b.parent], i, SAME_PARENT))
         last[b.parent] = i
-    keep = cut(np.clip(features(blocks) @ weights, -30, 30), edges)
+    keep = cut(odds(blocks, weights), edges)
     return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
 def trained_weights(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE_PAGES) -> np.ndarray:
-    """Weights from at most `sample` different pages, chosen by a hash of the page over all of them.
+    """Weights from about `sample` different pages, those whose hash lies below a cut-off.
 
-    The hash is cut off where about as many lie below, so hardly more rows than these are sorted or sent.
+    Executors count the pages' labelled blocks by their features, of which there are some thousand different rows, so neither pages nor blocks
+    come to the driver.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    rows = pages.select(html.alias("html")).where("length(html) BETWEEN 1 AND 100000").select("html", F.xxhash64("html").alias("h"))
+    rows = pages.select(html.alias("html")).where("html != ''").select("html", F.xxhash64("html").alias("h"))
     total = max(sample, pages.count())
     rows = rows.where(F.col("h") <= ((1 << 64) - 1) * sample // total - (1 << 63)).dropDuplicates(["h"])
-    return train([r[0] for r in rows.orderBy("h").limit(sample).collect()])
+
+    def run(batches):
+        for batch in batches:
+            counts: Counter = Counter()
+            for page in batch.column(0):
+                counts.update(marked(page.as_py()))
+            if counts:
+                yield pa.record_batch([pa.array([k for k, _ in counts], pa.int32()), pa.array([list(x) for _, x in counts], pa.list_(pa.float64())), pa.array(list(counts.values()), pa.int64())], ["label", "x", "n"])
+
+    found = rows.select("html").mapInArrow(run, "label int, x array<double>, n long").groupBy("label", "x").agg(F.sum("n").alias("n")).collect()
+    return train({(r["label"], tuple(r["x"])): r["n"] for r in sorted(found, key=lambda r: (r["label"], r["x"]))})
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: np.ndarray | None = None) -> DataFrame:
