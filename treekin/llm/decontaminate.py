@@ -11,9 +11,9 @@ answered by block-max WAND:
   pivot cannot reach the threshold together, the cursors go on to the first segment after the nearest end of these blocks;
 * else, once all cursors before the pivot stand on it, the segment is scored in full.  What reaches the threshold is retrieved.
 
-Many passages are answered in step: a cursor is a cell of a NumPy array with a row for each passage, and rows leave as they
-finish.  Segments are numbered by length, and searched level by level of about one length, as impacts are alike there and their maxima
-tight.
+Segments are numbered by length and cut into ranges, ``RANGES`` at most, so that impacts are alike in a range.  A passage is searched in
+those ranges only where its lists' greatest impacts add up to the threshold.  Many passages are answered in step: a cursor is a cell of a
+NumPy array with a row for each passage and range, and rows leave as they finish.
 
 A retrieved item is verified on the whole document: of the question's five-word shingles, and of those of the answer (the last
 line, where an item has several), at least ``overlap`` must occur in it.  A question or an answer of under five words is one
@@ -33,7 +33,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +44,7 @@ from treekin.shared import small_batches, table
 
 SEGMENT_WORDS = 64
 STRIDE = SEGMENT_WORDS
-BLOCK = 8
+BLOCK, RANGES = 8, 64
 #: Cells of the arrays in which passages are answered in step, and what sums of impacts may be off by.
 CELLS, SLACK = 1 << 16, 1e-9
 SHARD_CHARS = 8_000_000
@@ -127,16 +126,13 @@ class Index:
         self.impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.segment] / (of.words / of.n)))
         self.impact /= np.bincount(self.segment, self.impact, n)[self.segment]
         self.begin = np.searchsorted(t, np.arange(len(self.terms) + 1))
-        # levels: segments of about one length, lo to hi - 1, where each list's part of them begins, and its greatest impact there
-        grade = np.floor(np.log2(size) * 2)
-        edges = [0, *(np.flatnonzero(grade[1:] != grade[:-1]) + 1).tolist(), n]
-        self.levels = list(pairwise(edges))
-        every = np.arange(len(self.terms)) * n
-        self.start = {x: np.searchsorted(self.posting, every + x) for x in edges}
-        self.top = {lo: np.zeros(len(self.terms)) for lo in edges[:-1]}
-        for lo, hi in self.levels:
-            p = np.flatnonzero((self.segment >= lo) & (self.segment < hi))
-            np.maximum.at(self.top[lo], t[p], self.impact[p])
+        # stretches of a list: its postings in one range of segments, and the greatest impact there
+        self.ranges = min(RANGES, -(-n // BLOCK))
+        key = t * self.ranges + self.segment * self.ranges // n
+        self.stretch = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
+        self.stretch_range = key[self.stretch[:-1]] % self.ranges
+        self.stretch_top = np.maximum.reduceat(self.impact, self.stretch[:-1])
+        self.first_stretch = np.searchsorted(key[self.stretch[:-1]], np.arange(len(self.terms) + 1) * self.ranges)
         # blocks: BLOCK postings of one list each
         inside = np.arange(len(t)) - self.begin[t]
         first = np.flatnonzero(inside % BLOCK == 0)
@@ -161,40 +157,40 @@ class Index:
         ok = np.concatenate([np.ones(len(own), bool), (own > 0) & (own < windows[text])])
         key = np.unique(passage[ok] * len(self.terms) + np.concatenate([at, at])[ok])
         passage, term = key // len(self.terms), key % len(self.terms)
+        # a row for each passage and range whose lists can reach the threshold there, a cell for each list
+        many = self.first_stretch[term + 1] - self.first_stretch[term]
+        cell = np.repeat(self.first_stretch[term] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(many) else many
+        row = np.repeat(passage, many) * self.ranges + self.stretch_range[cell]
+        live = np.bincount(row, self.stretch_top[cell], base[-1] * self.ranges) >= self.threshold - SLACK
+        cell, row = cell[live[row]], row[live[row]]
         best: dict[tuple[int, int], float] = {}
-        for lo, hi in self.levels:
-            # no pivot at all where the lists' greatest impacts cannot reach the threshold
-            top = self.top[lo]
-            live = np.bincount(passage, top[term], base[-1]) >= self.threshold - SLACK
-            mine = live[passage] & (top[term] > 0)
-            t, p = term[mine], passage[mine]
-            if not len(p):
-                continue
-            begin = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-            counts = np.diff(np.append(begin, len(p)))
+        if len(row):
+            order = np.argsort(row, kind="stable")
+            cell, row = cell[order], row[order]
+            begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            counts = np.diff(np.append(begin, len(row)))
             by = np.argsort(counts, kind="stable")
             at = 0
-            while at < len(by):  # passages with about as many terms share an array of about CELLS cells
-                rows = by[at : at + max(1, CELLS // int(counts[by[at]]))]
-                at += len(rows)
-                width = int(counts[rows[-1]])
-                terms = np.where(np.arange(width) < counts[rows][:, None], t[np.minimum(begin[rows][:, None] + np.arange(width), len(t) - 1)], -1)
-                for r, segment, score in zip(*self._wand(terms, lo, hi), strict=True):
-                    k = (int(np.searchsorted(base, p[begin[rows[r]]], "right")) - 1, int(self.owner[segment]))
+            while at < len(by):  # rows with about as many cells share an array of about CELLS cells
+                some = by[at : at + max(1, CELLS // int(counts[by[at]]))]
+                at += len(some)
+                width = int(counts[some[-1]])
+                cells = np.where(np.arange(width) < counts[some][:, None], cell[np.minimum(begin[some][:, None] + np.arange(width), len(cell) - 1)], -1)
+                for r, segment, score in zip(*self._wand(cells), strict=True):
+                    k = (int(np.searchsorted(base, row[begin[some[r]]] // self.ranges, "right")) - 1, int(self.owner[segment]))
                     best[k] = max(score, best.get(k, 0.0))
         return [(t, i, v) for (t, i), v in sorted(best.items())]
 
-    def _wand(self, terms: np.ndarray, lo: int, hi: int) -> tuple[list[int], list[int], list[float]]:
-        """terms: a row of term numbers for each passage, -1 where it has fewer.  (row, segment, score) of all of the segments lo to hi - 1
-        that reach the threshold."""
+    def _wand(self, cells: np.ndarray) -> tuple[list[int], list[int], list[float]]:
+        """cells: a row of stretches of one range for each passage, -1 where it has fewer.  (row, segment, score) of all that reach the
+        threshold."""
         n, least = len(self.owner), self.threshold - SLACK
-        row = np.arange(len(terms))
-        none = terms < 0
-        lists = terms * n
-        at = np.where(none, 0, self.start[lo][terms])
-        end = np.where(none, 0, self.start[hi][terms])
-        top = np.where(none, 0.0, self.top[lo][terms])
-        now = np.where(at < end, self.segment[np.minimum(at, len(self.segment) - 1)], n)
+        row = np.arange(len(cells))
+        none = cells < 0
+        at, end = np.where(none, 0, self.stretch[cells]), np.where(none, 0, self.stretch[cells + 1])
+        lists = self.posting[at] - self.segment[at]
+        top = np.where(none, 0.0, self.stretch_top[cells])
+        now = np.where(none, n, self.segment[at])
         out: tuple[list, list, list] = ([], [], [])
         while len(row):
             order = np.argsort(now, axis=1)
