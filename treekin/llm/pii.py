@@ -1,11 +1,13 @@
 """Operator 4: personal data by weak supervision, with DataFrame functions only.
 
-Method.  Regular expressions find candidate spans of four kinds.  Three labelers vote on each candidate, or abstain: a
-pattern labeler (does the span meet the kind's own check), a gazetteer labeler (top-level domains, calling codes, card
-prefixes, address ranges) and a context labeler (words just before the span).  Expectation-maximisation over the counts of
-vote patterns, of which there are at most 27 for each kind, estimates every labeler's reliability and each pattern's
-posterior.  A naive Bayes span classifier is then trained on all candidates, weighted by those posteriors; it sees shape and
-context, not the votes.  Candidates it scores at ``threshold`` or more are added to the base spans, which always stay.
+Method.  Regular expressions find candidate spans of four kinds: those of the base, and other forms (``EXTRA``), which are never base spans:
+addresses written out (``name [at] host [dot] org``), IPv6, cards with dots, phone numbers in national forms or with 00.  Three labelers vote
+on each candidate, or abstain: a pattern labeler (does the span meet the kind's own check), a gazetteer labeler (top-level domains, calling
+codes, issuers of cards, reserved address ranges) and a context labeler (words just before the span).  Expectation-maximisation over the
+counts of vote patterns, of which there are at most 27 for each kind, estimates every labeler's reliability and each pattern's
+posterior.  A naive Bayes span classifier is then trained on all candidates, weighted by those posteriors; it sees the span's form (which
+pattern, length, separators) and the characters on both sides, not the votes.  Candidates it scores at ``threshold`` or more are added to
+the base spans, which always stay.
 
 Base spans, leftmost and not overlapping within a kind:
 email ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``; ip: four groups of digits joined by dots, none above 255;
@@ -37,22 +39,41 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Numbers in national form, candidates of kind phone that are never base spans.
-NATIONAL = r"(?<![0-9+().-])(?<![0-9+().-] )(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])"
+_AT, _DOT = r" ?(?:\[at\]|\(at\)|\{at\}) ?", r" ?(?:\[dot\]|\(dot\)|\{dot\}|\.) ?"
+_HOST = "[A-Za-z0-9-]++"
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: Other forms of each kind, candidates that are never base spans.
+EXTRA = {
+    "email": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+(?:{_AT}{_HOST}(?:{_DOT}{_HOST}){{1,4}}+| at {_HOST}(?: dot {_HOST}){{1,4}}+)",
+    "ip": rf"(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9.])[0-9]{4}(?:\.[0-9]{4}){3}(?![0-9.])",
+    "phone": "(?<![0-9+().-])(?<![0-9+().-] )(?:"
+    r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"  # North America
+    r"|00 ?[1-9][0-9]{0,2}[ .-][0-9](?:[ .-]?[0-9]){5,11}"  # with an international prefix
+    r"|\(0[1-9][0-9]{0,4}\) ?[0-9](?:[ .-]?[0-9]){4,8}"  # an area code in brackets
+    r"|0[1-9](?:[ .-][0-9]{2}){4}|0[1-9][0-9]{1,4}[ /-][0-9]{3,4}(?:[ .-]?[0-9]{2,4}){1,2}"  # groups after a leading zero
+    ")(?![0-9])(?!-[0-9])",
+}
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
+#: Country codes of the numbering plan, zone by zone: of one, two or three digits.
+_CODES = r"(?:1|7|2(?:[07]|[1-689][0-9])|3(?:[0-469]|[578][0-9])|4(?:[013-9]|2[0-9])|5(?:[1-8]|[09][0-9])|6(?:[0-6]|[7-9][0-9])|8(?:[1246]|[0578][0-9])|9(?:[0-58]|[679][0-9]))"
 GAZETTEER = {
-    "email": r"\.(?:com|org|net|edu|gov|info|io|eu|de|fr|es|it|nl|uk|us|ca|au|ch|at|be|pt|pl|se|no|dk|fi|ie|jp|cn|in|br|mx)$",
-    "ip": r"^(?!0\.|10\.|127\.|169\.254\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|22[4-9]\.|2[3-5][0-9]\.)",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|35|6011|65)",
-    "phone": r"^\+?(?:1|7|20|27|3[0-469]|4[0-13-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|^\(?[2-9]",
+    # country domains have two letters, and no others do; then generic ones
+    "email": r"\.(?:[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|pro|aero|coop|museum|jobs|mobi|travel|cat|tel|post|asia|app|dev|xyz|online|site|shop|store|blog|cloud|tech|email)$",
+    # not in a range reserved for special use; for version 6, global unicast
+    "ip": r"^(?!0\.|10\.|100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|127\.|169\.254\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|192\.0\.[02]\.|192\.168\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|22[4-9]\.|2[3-5][0-9]\.|[0-9a-f]*:)|^[23][0-9a-f]{3}:",
+    # issuers' ranges and lengths
+    "card": r"^(?:4[0-9]{12}(?:[0-9]{3}){0,2}|5[1-5][0-9]{14}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}|3[47][0-9]{13}|3(?:0[0-5]|[689][0-9])[0-9]{11,13}|35(?:2[89]|[3-8][0-9])[0-9]{12}"
+    r"|6(?:011|4[4-9][0-9]|5[0-9]{2})[0-9]{12}|62[0-9]{14,17}|(?:50|5[6-9]|6[0-9])[0-9]{10,17})$",
+    "phone": rf"^(?:\+|00 ?){_CODES}|^(?!00)\(?0?[1-9]",
 }
 CONTEXT = {
     "email": r"(?i)(?:e-?mail|contact|write|adresse|correo|courriel)\P{L}*$",
-    "ip": r"(?i)(?:\bip|host|server|addr\w*|client|login from)\P{L}*$",
+    "ip": r"(?i)(?:\bip(?:v[46])?|host|server|addr\w*|client|login from)\P{L}*$",
     "card": r"(?i)(?:card|visa|mastercard|credit|debit|karte|carte|tarjeta)\P{L}*$",
     "phone": r"(?i)(?:tel|phone|call|fax|mobile|cell|telefon|téléphone|teléfono)\w*\P{L}*$",
 }
-CANDIDATE = "array<struct<start:bigint,kind:int,end:bigint,base:boolean,a:int,b:int,c:int,shape:int,seps:int>>"
+CANDIDATE = "array<struct<start:bigint,kind:int,end:bigint,base:boolean,a:int,b:int,c:int,form:int,shape:int,seps:int,before:int,after:int>>"
 ROUNDS = 25
 
 
@@ -82,6 +103,20 @@ def _check(kind: str, m: Column, digits: Column) -> Column:
     return F.lit(True)
 
 
+def _plain(kind: str, m: Column) -> Column:
+    """A match as the gazetteer has it."""
+    if kind == "email":
+        at = F.regexp_replace(F.lower(m), r" ?(?:\[at\]|\(at\)|\{at\}) ?| at ", "@")
+        return F.regexp_replace(at, r" ?(?:\[dot\]|\(dot\)|\{dot\}) ?| dot | ?\. ?", ".")
+    return F.regexp_replace(m, "[ .-]", "") if kind == "card" else F.lower(m)
+
+
+def _side(c: Column) -> Column:
+    """Kinds of neighbouring characters: none, white space, punctuation that leads up to a value, brackets and quotes, letters and digits, others."""
+    case = F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike("[:=,;.]"), 2)
+    return case.when(c.rlike(r"[()\[\]{}<>\"']"), 3).when(c.rlike(r"[\p{L}\p{N}]"), 4).otherwise(5).cast("int")
+
+
 def _candidates(text: Column, kind: str, pattern: str, base: bool, gate: Column) -> Column:
     number = KINDS.index(kind)
 
@@ -93,16 +128,19 @@ def _candidates(text: Column, kind: str, pattern: str, base: bool, gate: Column)
                 def one(m: Column, i: Column) -> Column:
                     start = before[i] + F.length(pieces[i])
                     digits = F.regexp_replace(m, "[^0-9]", "")
-                    ok = _check(kind, m, digits)
-                    gaz = F.regexp_replace(m, "[ -]", "") if kind == "card" else F.lower(m)
-                    seps = F.least(F.length(m) - F.length(F.regexp_replace(m, "[ .@()-]", "")), F.lit(6)).cast("int")
+                    seps = F.least(F.length(m) - F.length(F.regexp_replace(m, r"[ .:@()\[\]{}/-]", "")), F.lit(9)).cast("int")
                     # what comes just before, by bytes of the piece: linear in the text
                     near = F.right(pieces[i], F.lit(32))
-                    strict = (ok & m.rlike(r"\.[A-Za-z]{2,}$")) if kind == "email" else (ok & ~m.rlike(r"(?:^|\.)0[0-9]")) if kind == "ip" else ok
+                    if base:
+                        ok = _check(kind, m, digits)
+                        strict = (ok & m.rlike(r"\.[A-Za-z]{2,}$")) if kind == "email" else (ok & ~m.rlike(r"(?:^|\.)0[0-9]")) if kind == "ip" else ok
+                    else:
+                        strict = _plain(kind, m).rlike(r"@.+\.[a-z]{2,}$") if kind == "email" else F.lit(True) if kind == "ip" else _check(kind, m, digits)
                     return F.struct(
                         start.alias("start"), F.lit(number).alias("kind"), (start + F.length(m)).alias("end"), (ok if base else F.lit(False)).alias("base"),
-                        strict.cast("int").alias("a"), gaz.rlike(GAZETTEER[kind]).cast("int").alias("b"), F.when(near.rlike(CONTEXT[kind]), 1).otherwise(-1).alias("c"),
-                        F.least(F.length(m if kind == "email" else digits), F.lit(40)).cast("int").alias("shape"), seps.alias("seps"),
+                        strict.cast("int").alias("a"), _plain(kind, m).rlike(GAZETTEER[kind]).cast("int").alias("b"), F.when(near.rlike(CONTEXT[kind]), 1).otherwise(-1).alias("c"),
+                        F.lit(0 if base else 1).alias("form"), F.least(F.length(m if kind in ("email", "ip") else digits), F.lit(40)).cast("int").alias("shape"), seps.alias("seps"),
+                        _side(F.right(near, F.lit(1))).alias("before"), _side(F.left(pieces[i + 1], F.lit(1))).alias("after"),
                     )
 
                 return F.transform(matches, one)
@@ -117,12 +155,16 @@ def _candidates(text: Column, kind: str, pattern: str, base: bool, gate: Column)
 
 def candidates(text: Column) -> Column:
     digit = text.rlike("[0-9]")
+    dots = text.contains(".") & digit
     return F.concat(
         _candidates(text, "email", PATTERNS["email"], True, text.contains("@")),
-        _candidates(text, "ip", PATTERNS["ip"], True, text.contains(".") & digit),
+        _candidates(text, "ip", PATTERNS["ip"], True, dots),
         _candidates(text, "card", PATTERNS["card"], True, digit),
         _candidates(text, "phone", PATTERNS["phone"], True, text.contains("+") & digit),
-        _candidates(text, "phone", NATIONAL, False, digit),
+        _candidates(text, "email", EXTRA["email"], False, text.rlike(r"[\[({]at[\])}]| at [^ ]++ dot ")),
+        _candidates(text, "ip", EXTRA["ip"], False, text.rlike(r"[0-9A-Fa-f]::?[0-9A-Fa-f]")),
+        _candidates(text, "card", EXTRA["card"], False, dots),
+        _candidates(text, "phone", EXTRA["phone"], False, digit),
     )
 
 
@@ -163,11 +205,11 @@ def reliabilities(patterns: DataFrame) -> DataFrame:
     return rows.select("kind", "r.*", posterior(F.col("s"), F.col("r")).alias("p"))
 
 
-FEATURES = ("shape", "seps", "c")
+FEATURES = ("form", "shape", "seps", "before", "after")
 
 
 def _classifier(counts: DataFrame) -> dict:
-    """Log odds by (kind, feature, value), and by (kind,): at most 4 * (41 + 7 + 2) + 4 numbers, so the driver can hold them."""
+    """Log odds by (kind, feature, value), and by (kind,): at most 4 * (2 + 41 + 10 + 6 + 6) + 4 numbers, so the driver can hold them."""
     votes = counts.groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n"))
     weighed = counts.join(reliabilities(votes).select("kind", "a", "b", "c", "p"), ["kind", "a", "b", "c"])
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("int").alias("value")) for f in FEATURES])).alias("x")
@@ -199,7 +241,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     """Per row: (doc_id, spans); a span has start, kind (a place in KINDS), end and base."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = stage(rows.select("doc_id", candidates(F.col("text")).alias("found")), "pii-candidates")
-    counts = stage(found.select(F.explode("found").alias("x")).groupBy(*[F.col(f"x.{c}").alias(c) for c in ("kind", "a", "b", "c", "shape", "seps")]).agg(F.count(F.lit(1)).alias("n")), "pii-counts")
+    counts = stage(found.select(F.explode("found").alias("x")).groupBy(*[F.col(f"x.{c}").alias(c) for c in ("kind", "a", "b", "c", *FEATURES)]).agg(F.count(F.lit(1)).alias("n")), "pii-counts")
     model = _classifier(counts)
     drop_stage(counts)
     # a candidate may lie within a base span of its kind; only those apart are added
@@ -222,4 +264,4 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["base"])
     of_kind = lambda i: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == i))).cast("long")
     counts = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), (F.size("spans") > 0).alias("has_personal_data"))
