@@ -277,9 +277,22 @@ def test_quality(spark):
 
 
 def test_quality_rules_are_ordered_by_rejection_per_cost(spark):
-    df = frame(spark, ["some words"] * 50)
-    never, always = quality.Rule("never", lambda t: F.length(t) < 0), quality.Rule("always", lambda t: F.length(t) > 0)
+    df = frame(spark, ["some words and some more of them"] * 400)
+    never, always = quality.Rule("never", lambda t, c: F.length(t) < 0), quality.Rule("always", lambda t, c: F.length(t) > 0)
     assert [r.name for r in quality.ordered_rules(df, "text", [never, always])] == ["always", "never"]
+    # both reject all rows; one does two hundred times the work, which a job's overhead does not hide
+    dear = quality.Rule("dear", lambda t, c: F.aggregate(F.sequence(F.lit(0), F.lit(200)), F.lit(0), lambda s, x: s + F.length(F.regexp_replace(t, "[aeiou]", ""))) > 0)
+    cheap = quality.Rule("cheap", lambda t, c: F.length(F.regexp_replace(t, "[aeiou]", "")) > 0)
+    (share, slow), (_, fast) = quality.measured(df.select("text"), [dear, cheap])
+    assert share == 1.0 and slow > 20 * fast and [r.name for r in quality.ordered_rules(df, "text", [dear, cheap])] == ["cheap", "dear"]
+    assert quality.ordered_rules(frame(spark, []), "text", [never, always]) == [never, always]
+
+
+def test_quality_of_repeated_rows(spark):
+    text = spelled(prose(random.Random(9), 120))
+    df = frame(spark, [text, None, text, text], ids=[3, 3, 3, None])
+    assert Counter((r["doc_id"], r["n_words"], r["kept"]) for r in quality.quality_report(df).collect()) == {(3, 120, True): 2, (3, 0, False): 1, (None, 120, True): 1}
+    assert sorted(quality.quality_filter(df).select("doc_id").collect(), key=str) == sorted([(3,), (3,), (None,)], key=str)
 
 
 KINDS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))

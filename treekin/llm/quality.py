@@ -1,9 +1,10 @@
 """Operator 5: quality rules as a short-circuit cascade, with DataFrame functions only.
 
-Method.  Every rule is one expression of the text.  Its cost (seconds a row) and its selectivity (share of rows it
-rejects) are estimated on a sample of about ``SAMPLE_ROWS`` rows drawn over the whole table; the rules are then ordered by
-rejection per cost, and one CASE expression tests them in that order and stops at the first that rejects.  The order
-changes the time only: a document is kept if no rule rejects it.
+Method.  Every rule is one expression of the text and of its counts.  Its cost and its selectivity (share of rows it rejects) are estimated
+on a sample of about ``SAMPLE_ROWS`` rows drawn over the whole table: one job evaluates all rules on each row and reads the executor's clock
+before and after each, so the cost is that of the rule and not of a job.  The rules are then ordered by rejection per cost, and one CASE
+expression tests them in that order and stops at the first that rejects.  The order changes the time only: a document is kept if no rule
+rejects it.  Words are counted once for all rules; counts that a report has anyway cost its rules nothing.
 
 Counts that need the words of a text at several places bind them once, by ``transform(array(x), x -> ...)``; so an
 expression stays linear in the text, whatever the optimiser moves or merges.
@@ -15,8 +16,7 @@ table gives an empty result (the order is then that of the list).
 
 from __future__ import annotations
 
-import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,21 +85,35 @@ def base_failed(n: Column, repeats: Column) -> Column:
     return (n < 50) | (100 * repeats > 50 * n)
 
 
+class Counts:
+    """Counts of a text: those that are known, and expressions for the others."""
+
+    def __init__(self, text: Column, **known: Column):
+        self._text, self._known = text, known
+
+    def __getattr__(self, name: str) -> Column:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return self._known[name] if name in self._known else _COUNTS[name](self._text)
+
+
+_COUNTS: dict[str, Callable[[Column], Column]] = {
+    "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols,
+    "n_repeat_words": lambda t: word_stats(t)["n_repeat_words"], "lines": line_stats,
+}
+
+
 @dataclass(frozen=True)
 class Rule:
-    """reject: of a text column that isn't null, whether the rule rejects it."""
+    """reject: of a text column that isn't null and its Counts, whether the rule rejects it."""
 
     name: str
-    reject: object
-
+    reject: Callable[[Column, Counts], Column]
 
-def _too_many_repeats(text: Column) -> Column:
-    return bind(word_stats(text), lambda s: 100 * s["n_repeat_words"] > 50 * s["n_words"])
 
-
-def _repeated_lines(text: Column) -> Column:
+def _repeated_lines(lines: Column) -> Column:
     """Over 30 of 100 lines, and three at least: one line that comes back in a short text is no sign of anything."""
-    return bind(line_stats(text), lambda s: (s["n_dup_lines"] >= 3) & (100 * s["n_dup_lines"] > 30 * s["n_lines"]))
+    return bind(lines, lambda s: (s["n_dup_lines"] >= 3) & (100 * s["n_dup_lines"] > 30 * s["n_lines"]))
 
 
 def _shouting(text: Column) -> Column:
@@ -109,45 +123,62 @@ def _shouting(text: Column) -> Column:
     return (upper > 0) & (100 * upper > 60 * (upper + lower))
 
 
-BASE_RULES = (Rule("few_words", lambda t: n_words(t) < 50), Rule("repeated_words", _too_many_repeats))
+BASE_RULES = (Rule("few_words", lambda t, c: c.n_words < 50), Rule("repeated_words", lambda t, c: 100 * c.n_repeat_words > 50 * c.n_words))
 RULES = (
-    Rule("symbols", lambda t: 100 * n_symbols(t) > 30 * n_words(t)),
-    Rule("repeated_lines", _repeated_lines),
-    Rule("word_length", lambda t: (word_chars(t) < 2 * n_words(t)) | (word_chars(t) > 15 * n_words(t))),
-    Rule("shouting", _shouting),
-    Rule("few_letters", lambda t: 2 * F.char_length(F.regexp_replace(t, r"[^\p{L}]+", "")) < word_chars(t)),
+    Rule("symbols", lambda t, c: 100 * c.n_symbols > 30 * c.n_words),
+    Rule("repeated_lines", lambda t, c: _repeated_lines(c.lines)),
+    Rule("word_length", lambda t, c: bind(c.word_chars, lambda n: (n < 2 * c.n_words) | (n > 15 * c.n_words))),
+    Rule("shouting", lambda t, c: _shouting(t)),
+    Rule("few_letters", lambda t, c: 2 * F.char_length(F.regexp_replace(t, r"[^\p{L}]+", "")) < c.word_chars),
 )
 
 
+def _clock() -> Column:
+    return F.call_function("reflect", F.lit("java.lang.System"), F.lit("nanoTime")).cast("long")
+
+
+def measured(sample: DataFrame, rules: Sequence[Rule]) -> list[tuple[float, float]]:
+    """sample: (text), none null.  Of each rule the share of rows that it rejects and its nanoseconds a row.
+
+    Fields of a struct are evaluated in their order, so a rule runs between two readings of the clock.
+    """
+
+    def timed(rule: Rule, text: Column, counts: Counts) -> Column:
+        hit = F.coalesce(rule.reject(text, counts), F.lit(False)).cast("long")
+        return bind(_clock(), lambda began: F.struct(hit.alias("hit"), (_clock() - began).alias("ns")))
+
+    t = F.col("text")
+    each = bind(n_words(t), lambda n: F.array(*[timed(rule, t, Counts(t, n_words=n)) for rule in rules]))
+    rows = sample.select(each.alias("r"))
+    out = rows.agg(F.count(F.lit(1)).alias("n"), *[f(F.col("r")[i][c]).alias(f"{c}{i}") for i in range(len(rules)) for c, f in (("hit", F.sum), ("ns", F.sum))]).first()
+    return [(out[f"hit{i}"] / out["n"], out[f"ns{i}"] / out["n"]) if out["n"] else (0.0, 1.0) for i in range(len(rules))]
+
+
 def ordered_rules(df: DataFrame, text_col: str, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejection per cost on a sample, best first; ties and rules that reject nothing keep their order."""
     total = df.count()
-    if not total:
+    if not total or not rules:
         return list(rules)
     part = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sample = stage(part.sample(min(1.0, sample_rows / total), seed=5).repartition(8) if total > sample_rows else part, "quality-sample")
-    n = max(1, sample.count())
-    gains = []
-    for rule in rules:
-        began = time.monotonic()
-        hits = sample.agg(F.sum(F.coalesce(rule.reject(F.col("text")), F.lit(False)).cast("long"))).first()[0] or 0
-        gains.append((hits / n) / max(time.monotonic() - began, 1e-3))
+    gains = [share / max(ns, 1.0) for share, ns in measured(sample, rules)]
     drop_stage(sample)
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: -gains[i])]
 
 
-def cascade(text: Column, rules: Sequence[Rule]) -> Column:
+def cascade(text: Column, rules: Sequence[Rule], counts: Counts) -> Column:
     """Whether no rule rejects; rules after the first that does aren't evaluated."""
-    t = F.coalesce(text.cast("string"), F.lit(""))
     case = None
     for rule in rules:
-        case = F.when(rule.reject(t), False) if case is None else case.when(rule.reject(t), False)
+        hit = rule.reject(text, counts)
+        case = F.when(hit, False) if case is None else case.when(hit, False)
     return case.otherwise(True) if case is not None else F.lit(True)
 
 
 def quality_filter(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = BASE_RULES + RULES) -> DataFrame:
     """The rows that no rule rejects, with the columns they had."""
-    return df.where(cascade(F.col(text_col), ordered_rules(df, text_col, rules)))
+    order, t = ordered_rules(df, text_col, rules), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return df.where(bind(n_words(t), lambda n: cascade(t, order, Counts(t, n_words=n))))
 
 
 def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -155,11 +186,12 @@ def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = ordered_rules(df, text_col, rules)
     t = F.col("text")
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", word_stats(t).alias("w"), word_chars(t).alias("word_chars"), n_symbols(t).alias("n_symbols"), line_stats(t)["n_dup_lines"].alias("n_dup_lines"))
-    failed = base_failed(F.col("w.n_words"), F.col("w.n_repeat_words"))
+    rows = rows.select("doc_id", "text", word_stats(t).alias("w"), word_chars(t).alias("word_chars"), n_symbols(t).alias("n_symbols"), line_stats(t).alias("lines"))
+    known = {"n_words": F.col("w.n_words"), "n_repeat_words": F.col("w.n_repeat_words"), **{c: F.col(c) for c in ("word_chars", "n_symbols", "lines")}}
+    failed = base_failed(known["n_words"], known["n_repeat_words"])
     return rows.select(
-        "doc_id", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", failed.alias("base_failed"),
-        F.when(failed, False).otherwise(cascade(t, order)).alias("kept"),
+        "doc_id", "w.n_words", "word_chars", "n_symbols", F.col("lines.n_dup_lines").alias("n_dup_lines"), "w.n_repeat_words", failed.alias("base_failed"),
+        F.when(failed, False).otherwise(cascade(t, order, Counts(t, **known))).alias("kept"),
     )
 
 
