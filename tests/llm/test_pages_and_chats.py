@@ -179,6 +179,29 @@ def test_chats(spark):
             assert legal("".join(r["piece"] for r in mine))
 
 
+def test_chats_with_ids_of_other_types(spark):
+    """Ids that are no numbers; few conversations over many partitions, one of them in all."""
+    rows = [(c, t, "user" if t % 2 else "assistant", f"{c} {t}") for c, n in (("a", 3), ("b", 400), ("c", 1)) for t in range(n)] + [(None, 1, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = chat.format_chats(df).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert Counter(r["conv_id"] for r in got) == {"a": 3, "b": 400, "c": 1, None: 1} and len({r["place"] for r in got}) == len(rows)
+    for conv in ("a", "b", "c", None):
+        mine = sorted((r for r in got if r["conv_id"] == conv), key=lambda r: r["place"])
+        assert [r["turn"] for r in mine] == sorted(t for c, t, _, _ in rows if c == conv) and legal("".join(r["piece"] for r in mine))
+        assert abs(sum(r["cost"] for r in mine) - best_cost([chat.role_number(r) for c, _, r, _ in rows if c == conv], chat.Costs())) < 1e-9
+
+
+def test_chat_query(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 0, "user", "u"), (1, 1, "assistant", None)] * 2, "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(chat, "table", lambda *a: df)
+    rows = sorted(chat.op7_chat_formatting(spark, "").collect(), key=lambda r: r["place"])
+    assert [(r["turn"], r["action"]) for r in rows] == [(0, "keep"), (0, "merge"), (1, "keep"), (1, "merge")] and legal("".join(r["piece"] for r in rows))
+
+
 def test_clean_chats_stay(spark):
     df = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a")], "conv_id long, turn long, role string, text string")
     rows = chat.format_chats(df).orderBy("place").collect()

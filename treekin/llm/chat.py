@@ -7,10 +7,11 @@ and which empty turns are put in before it; at the end, which empty turns close
 choices is rendered; of equally cheap ones, the first in the fixed order of choices.
 
 A step depends on the turn's role only, so it is a small matrix in the (min, +) algebra, and a stretch of turns is the product of its
-matrices.  The turns are range-partitioned by (conversation, turn), so one huge conversation lies over many partitions.
-Each partition gives the products of its first and last conversation only; the driver scans these, two matrices at most for
-each partition, and tells each partition the states in which it begins and ends.  Then all partitions choose
-and render on their own.
+matrices.  The turns are range-partitioned by (conversation, turn), so one huge conversation lies over many partitions.  In one pass,
+each partition chooses and renders on its own for all conversations that begin and end in it; its first and its last one may go on elsewhere,
+so of these it gives the turns as they are, and the products of their matrices.  The driver scans the products, two matrices at most for
+each partition, and tells each partition the states in which it begins and ends; then the turns left over are rendered.  Texts are
+shuffled once, but for those of first and last conversations.
 
 Rendering: ``<|im_start|>role``, a line feed and the text; ``<|im_end|>`` and a line feed at a turn's end.  A row's piece
 ends what is open, holds inserted turns, and begins or continues its own turn; the pieces of a conversation, joined in order,
@@ -19,7 +20,8 @@ are its rendering.
 Edge cases.  Null text is empty.  Roles are compared in lower case; ``human`` and ``prompter`` mean user, ``bot``, ``model`` and ``gpt``
 assistant, ``developer`` system; null or other roles can become any role at the cost ``unknown``.  Turns of equal number are
 ordered by role, then text, and null numbers come first; repeated rows stay, and are merged like other neighbours of one role.
-Null conversation ids are one conversation.  An empty table gives an empty result.  Other columns are ignored.
+Null conversation ids are one conversation; ids are of any type that can be sorted, and keep it.  An empty table gives an empty result.  Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treekin.shared import stage, table
+from treekin.shared import small_batches, stage, table
 
 ROLES = ("system", "user", "assistant")
 ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "model": "assistant", "gpt": "assistant", "developer": "system"}
@@ -129,39 +131,6 @@ def _end_costs(costs: Costs) -> np.ndarray:
     return np.array([ending(s, costs)[0] for s in range(4)])
 
 
-def _edges(costs: Costs):
-    """Of a sorted partition, (part, place, conv, known, matrix): the products of its first and last conversation."""
-
-    def run(batches):
-        mats = [matrix(r, costs) for r in range(4)]
-        part, first, now, total, many = None, None, None, None, False
-        for batch in batches:
-            roles = [role_number(x) for x in batch.column(2).to_pylist()]
-            for p, conv, role in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), roles, strict=True):
-                if part is None:
-                    part, now, total = p, conv, mats[role]
-                elif p != part:
-                    yield from _edge_rows(part, first, (now, total), many)
-                    part, first, now, total, many = p, None, conv, mats[role], False
-                elif conv != now:
-                    first = first or (now, total)
-                    now, total, many = conv, mats[role], True
-                else:
-                    total = product(total, mats[role])
-        if part is not None:
-            yield from _edge_rows(part, first, (now, total), many)
-
-    return run
-
-
-def _edge_rows(part, first, last, many):
-    rows = [(part, 0, *first), (part, 1, *last)] if many else [(part, 0, *last)]
-    yield pa.record_batch(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3].ravel().tolist() for r in rows], pa.list_(pa.float64()))],
-        ["part", "place", "conv_id", "matrix"],
-    )
-
-
 def boundaries(edges: list[tuple[int, int, int | None, np.ndarray]], costs: Costs) -> dict[int, tuple[int, bool, np.ndarray, bool]]:
     """edges: (part, place, conv, matrix) in order.  Per part: the state in which it begins, whether its first conversation began
     before, the cost after its last conversation's last turn by state, and whether that goes on in a later part."""
@@ -215,39 +184,100 @@ def render(turns: list[tuple[int, str]], state: int, rest_after: np.ndarray, las
         yield ROLES[to - 1], action, n, cost, piece
 
 
-def _format(where, costs: Costs):
+OUT = ["conv_id", "place", "turn", "role", "action", "n_inserted", "cost", "piece"]
+
+
+def _schema(conv: str) -> str:
+    return f"conv_id {conv}, place long, turn long, role string, action string, n_inserted int, cost double, piece string"
+
+
+def _rows(conv, kind: pa.DataType, at: int, turns: list, columns: list) -> pa.RecordBatch:
+    """Rows of one conversation with places from `at` on; columns: role, action, n_inserted, cost, piece."""
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.string())
+    n = len(turns)
+    return pa.record_batch([pa.array([conv] * n, kind), pa.array(np.arange(at, at + n)), pa.array(turns, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], OUT)
+
+
+def _rendered(conv, kind: pa.DataType, at: int, turns: list[tuple], *how) -> pa.RecordBatch:
+    """turns: (turn, role number, text) of one conversation's stretch; how: see render."""
+    rows = list(render([(r, t) for _, r, t in turns], *how))
+    return _rows(conv, kind, at, [t for t, _, _ in turns], [[r[k] for r in rows] for k in range(5)])
+
+
+def _first_pass(costs: Costs):
+    """Of a sorted partition (conv_id, turn, role, text): rendered rows, with the columns part, edge and matrix null.  Of its first and its last
+    conversation (edge 0 and 1) the turns as they are, with the role's number in n_inserted and the text in piece; and one row without a place
+    for each, with the product of their matrices."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        mats, end = [matrix(r, costs) for r in range(4)], _end_costs(costs)
+        at, now, turns, number, total, kind = part << 40, None, [], 0, None, None
+
+        def out(rows: pa.RecordBatch, edge: int | None = None, values: list | None = None) -> pa.RecordBatch:
+            n = rows.num_rows
+            more = [pa.array([part] * n, pa.int32()), pa.array([edge] * n, pa.int32()), pa.array([values] * n, pa.list_(pa.float64()))]
+            return pa.record_batch([*rows.columns, *more], [*OUT, "part", "edge", "matrix"])
+
+        def left(edge: int) -> pa.RecordBatch:
+            n = len(turns)
+            return out(_rows(now, kind, at, [t for t, _, _ in turns], [[None] * n, [None] * n, [r for _, r, _ in turns], [None] * n, [x for _, _, x in turns]]), edge)
+
+        def product_of(edge: int) -> pa.RecordBatch:
+            row = _rows(now, kind, 0, [None], [[None]] * 5)
+            return out(row.set_column(1, "place", pa.nulls(1, pa.int64())), edge, total.ravel().tolist())
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for conv, turn, role, text in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if number == 0 or conv != now:
+                    if number == 1:
+                        yield left(0)
+                        yield product_of(0)
+                    elif number > 1:
+                        yield out(_rendered(now, kind, at, turns, START, end, True, False, costs))
+                    at, now, turns, number, total = at + len(turns), conv, [], number + 1, None
+                r = role_number(role)
+                turns.append((turn, r, text or ""))
+                total = mats[r] if total is None else product(total, mats[r])
+            if number == 1:  # the first conversation's turns go on as they come
+                yield left(0)
+                at, turns = at + len(turns), []
+        if number:
+            yield left(min(1, number - 1))
+            yield product_of(min(1, number - 1))
+
+    return run
+
+
+def _second_pass(where, costs: Costs):
+    """Of the turns left over, (conv_id, place, turn, role number, text, edge) sorted by place: rendered rows."""
+
     def run(batches):
-        known = where.value
-        part, now, row = None, None, 0
-        convs: list[list] = []  # of the conversation that is being read: turn, role, text
-
-        def done(is_last_of_part: bool, is_first_of_part: bool):
-            nonlocal row
-            state, began, rest, goes_on = known[part]
-            if not is_first_of_part:
+        known, end = where.value, _end_costs(costs)
+        key, now, at, turns, kind = None, None, 0, [], None
+
+        def done() -> pa.RecordBatch:
+            part, edge = key
+            state, began, rest, goes_on, lone = known[part]
+            if edge:
                 state, began = START, False
-            if not is_last_of_part:
-                rest, goes_on = _end_costs(costs), False
-            rows = list(render([(r, t) for _, r, t in convs], state, rest, not goes_on, began, costs))
-            places = np.arange(row, row + len(rows)) + (part << 40)
-            row = 0 if is_last_of_part else row + len(rows)
-            return pa.record_batch(
-                [pa.array([now] * len(rows), pa.int64()), pa.array(places), pa.array([c[0] for c in convs], pa.int64()), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]),
-                 pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.float64()), pa.array([r[4] for r in rows])],
-                ["conv_id", "place", "turn", "role", "action", "n_inserted", "cost", "piece"],
-            )
-
-        first = True
+            elif not lone:
+                rest, goes_on = end, False
+            return _rendered(now, kind, at, turns, state, rest, not goes_on, began, costs)
+
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in range(5)]
-            for p, conv, turn, role, text in zip(*cols, strict=True):
-                if part is not None and (p != part or conv != now):
-                    yield done(p != part, first)
-                    first, convs = p != part, []
-                part, now = p, conv
-                convs.append((turn, role_number(role), text or ""))
-        if convs:
-            yield done(True, first)
+            kind = batch.column(0).type
+            for conv, place, turn, role, text, edge in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                if key != (place >> 40, edge):
+                    if turns:
+                        yield done()
+                    key, now, at, turns = (place >> 40, edge), conv, place, []
+                turns.append((turn, role, text))
+        if turns:
+            yield done()
 
     return run
 
@@ -255,16 +285,19 @@ def _format(where, costs: Costs):
 def format_chats(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
     """Per row of turns: (conv_id, place, turn, role, action, n_inserted, cost, piece); place orders the pieces of a conversation."""
     spark = turns.sparkSession
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    small_batches(spark)
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    schema = _schema(rows.schema["conv_id"].dataType.simpleString())
     order = ["conv_id", "turn", "role", "text"]
-    dealt = rows.repartitionByRange(*order).select(F.spark_partition_id().alias("part"), *order)
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_first_pass(costs), f"{schema}, part int, edge int, matrix array<double>")
     dealt = stage(dealt, "chat-turns")
-    by_part = lambda df, *keys: df.repartition("part").sortWithinPartitions("part", *keys)
-    edges = by_part(dealt.select("part", "conv_id", "turn", "role"), "conv_id", "turn", "role").select("part", "conv_id", "role")
-    found = edges.mapInArrow(_edges(costs), "part int, place int, conv_id long, matrix array<double>").collect()
-    found = sorted(((r[0], r[1], r[2], np.array(r[3]).reshape(4, 4)) for r in found), key=lambda r: r[:2])
-    where = spark.sparkContext.broadcast(boundaries(found, costs))
-    return by_part(dealt, *order).select("part", *order).mapInArrow(_format(where, costs), "conv_id long, place long, turn long, role string, action string, n_inserted int, cost double, piece string")
+    found = dealt.where("place IS NULL").select("part", "edge", "conv_id", "matrix").collect()
+    edges = sorted(((r[0], r[1], r[2], np.array(r[3]).reshape(4, 4)) for r in found), key=lambda r: r[:2])
+    several = {p for p, edge, _, _ in edges if edge}
+    where = spark.sparkContext.broadcast({p: (*known, p not in several) for p, known in boundaries(edges, costs).items()})
+    rest = dealt.where("edge IS NOT NULL AND place IS NOT NULL").repartitionByRange("part").sortWithinPartitions("place")
+    rest = rest.select("conv_id", "place", "turn", "n_inserted", "piece", "edge").mapInArrow(_second_pass(where, costs), schema)
+    return dealt.where("edge IS NULL").select(*OUT).union(rest)
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
