@@ -120,6 +120,43 @@ def test_ngram_join_with_small_blocks(spark, monkeypatch):
     assert joined(frame(spark, texts).repartition(3)) == sorted(components(texts))
 
 
+def test_large_groups_of_near_copies_grow_in_rounds(spark, monkeypatch):
+    """Groups spread one copy a partition, with far more near copies than a block holds: their shingles are seen, and few rows reach pass 2."""
+    rng = random.Random(18)
+    texts = near_copies(rng, prose(rng, 220), 150, 2) + near_copies(rng, prose(rng, 220), 90, 1) + corpus(rng)
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 5)
+    seen = []
+    blocks = ngram_join._blocks_joined
+    monkeypatch.setattr(ngram_join, "_blocks_joined", lambda members, *rest: seen.append(members.count()) or blocks(members, *rest))
+    df = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 40), "doc_id long, text string")
+    assert joined(df) == sorted(components(texts))
+    grown = seen.pop()
+    monkeypatch.setattr(ngram_join, "_grown", lambda members, near, *rest: (members, near))
+    assert joined(df) == sorted(components(texts)) and grown < 0.5 * seen.pop()
+    base = df.select("doc_id", "text")
+    described = base.mapInArrow(ngram_join._describe(5), "doc_id long, n long, d1 long, d2 long, times long")
+    tokens, counts = ngram_join._frequent(base, described, 5, len(texts))
+    assert len(tokens) >= 80 and counts.max() >= 100
+
+
+def test_links_are_counted(spark, monkeypatch):
+    rng = random.Random(19)
+    texts = corpus(rng) + near_copies(rng, prose(rng, 60), 12, 2) + [None, "a b"]
+    ids = list(range(len(texts)))
+    sets = [shingles(t) for t in texts]
+    want = {i: sum(1 for j in ids if j != i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in ids}
+    for size in (512, 4):
+        monkeypatch.setattr(ngram_join, "BLOCK_DOCS", size)
+        rows = ngram_join.ngram_jaccard_join(frame(spark, texts).repartition(3), count_links=True).collect()
+        assert {r["doc_id"]: r["n_links"] for r in rows} == want
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows) == sorted(components(texts))
+
+
+def test_huge_classes_of_equal_sets(spark):
+    texts = ["one text that is copied very often"] * 2500 + ["one text that is copied thrice only"] * 3
+    assert joined(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")) == [(i, 3, 0 if i < 2500 else 2500) for i in range(2503)]
+
+
 def test_ngram_join_of_copies_in_any_order(spark):
     """Groups of exact copies keep their near copies where the smallest doc_id of a partition is not read first."""
     rng = random.Random(16)

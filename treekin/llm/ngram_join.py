@@ -9,12 +9,17 @@ overlaps, and a subtree is left as soon as the overlap so far plus the remaining
 Two passes over the buckets keep the work linear where groups of near copies are huge:
 
 1. each document visits only the first bucket it shares with another one; the links found there give provisional
-   components;
+   components.  Where a shingle of more than ``BLOCK_DOCS`` rows still has several, one document of each goes on to a round among these, and so on
+   as long as components grow together: a group of c near copies takes c rows, then c / ``BLOCK_DOCS``, and so on;
 2. buckets that still hold several components are joined in full, block against block; pairs that are known to be in one
    component are skipped, since another link between them changes no component.  Before texts are dealt out, the prefixes
    (16 bits a shingle) tell which rows cannot have a partner in their block.
 
-No bucket is capped.  A frequent bucket is dealt out by salt in pass 1 and by pairs of blocks in pass 2.
+No bucket is capped.  A frequent bucket is dealt out by salt in pass 1 and by pairs of blocks in pass 2.  Which shingles are frequent is told by
+counts within partitions, and by counts over all partitions of a sample of ``SAMPLE`` texts, so a group that is spread one copy a partition
+is seen as well; this decides the order and the salts only, never a link.
+
+With ``count_links`` pass 2 is run once more over all buckets without skipping any pair, and each document's links are counted.
 
 Edge cases.  Null or empty text, or white space only: n_shingles 0, linked with nothing.  Fewer than five words: the whole
 sequence is one shingle.  Rows that share a doc_id count as one node; each keeps its own n_shingles.  A null doc_id cannot
@@ -41,6 +46,8 @@ COUNTED = 4_000_000
 #: At most so many shingles are held as frequent (12 bytes each, broadcast), and half as many come from one partition; the rest
 #: of the order is by hash.  Which shingles are held changes the order and the time, never the links.
 FREQUENT = 1 << 18
+#: Texts in which shingles are counted over all partitions, and the least count that tells a frequent one.
+SAMPLE, SEEN = 1 << 14, 4
 #: A trie holds at most so many documents in pass 1, and about so many in each block of pass 2.
 BLOCK_DOCS = 512
 BLOCK_SHINGLES = 2_000_000
@@ -148,7 +155,7 @@ def _prefixes(k: int, percent: int, hot):
                 bucket, salted = t, np.zeros(p, bool)
                 if len(tokens):
                     at, there = _known(tokens, t)
-                    salts = np.where(there, counts[at] // (4 * BLOCK_DOCS), 0).astype(np.uint64) + np.uint64(1)
+                    salts = np.where(there, counts[at] // BLOCK_DOCS, 0).astype(np.uint64) + np.uint64(1)
                     salt = mix(np.full(p, ids[r], np.int64).view(np.uint64)) % salts
                     salted = salts > 1
                     bucket = np.where(salted, mix(t + salt), t)
@@ -316,8 +323,8 @@ class Trie:
         return out
 
 
-def linked(sets: list[np.ndarray], labels: list[int], percent: int) -> list[tuple[int, int]]:
-    """Pairs (i, j) of linked sets that join everything linked, directly or not, and not yet of one label.
+def linked(sets: list[np.ndarray], labels: list[int], percent: int, every: bool = False) -> list[tuple[int, int]]:
+    """Pairs (i, j) of linked sets that join everything linked, directly or not, and not yet of one label; or every linked pair.
 
     sets: ordered alike; labels: sets with one label are known to be connected.
     """
@@ -380,7 +387,7 @@ def linked(sets: list[np.ndarray], labels: list[int], percent: int) -> list[tupl
             if 100 * large < percent * n or 100 * n < percent * small:
                 i = after[i]
                 continue
-            if hi - lo == 1 and (lo == me or root(labels[trie.order[lo]]) == own):
+            if hi - lo == 1 and (lo == me or not every and root(labels[trie.order[lo]]) == own):
                 i = after[i]
                 continue
             if end > start:
@@ -395,8 +402,9 @@ def linked(sets: list[np.ndarray], labels: list[int], percent: int) -> list[tupl
                 if 100 * overlap >= percent * (n + small - overlap):
                     other = root(labels[trie.order[lo]])
                     out.append((trie.order[me], trie.order[lo]))
-                    parent[max(own, other)] = min(own, other)
-                    own = min(own, other)
+                    if other != own:
+                        parent[max(own, other)] = min(own, other)
+                        own = min(own, other)
             else:
                 path.append((hi, overlap, used))
             i += 1
@@ -404,10 +412,10 @@ def linked(sets: list[np.ndarray], labels: list[int], percent: int) -> list[tupl
     return out
 
 
-def _join_groups(k: int, percent: int, hot, whole: bool):
+def _join_groups(k: int, percent: int, hot, whole: bool, every: bool = False):
     """Rows sorted by (grp): (grp, doc_id, label, packed) -> links (src, dst).
 
-    whole: a group is joined as a whole; else in runs of BLOCK_DOCS, each with the group's first document.
+    whole: a group is joined as a whole; else in runs of BLOCK_DOCS, each with the group's first document.  every: see linked.
     """
 
     def run(batches):
@@ -424,7 +432,7 @@ def _join_groups(k: int, percent: int, hot, whole: bool):
             low = np.unique(np.concatenate([c[0] for c in coded]))
             high = np.unique(np.concatenate([c[1] for c in coded]))
             whole_sets = [np.concatenate([np.searchsorted(low, a), len(low) + np.searchsorted(high, b)]) for a, b in coded]
-            return [(ids[i], ids[j]) for i, j in linked(whole_sets, labels, percent)]
+            return [(ids[i], ids[j]) for i, j in linked(whole_sets, labels, percent, every)]
 
         group, ids, labels, packed, size = None, [], [], [], 0
 
@@ -476,48 +484,56 @@ def _most_frequent(counts: DataFrame) -> list:
     return out
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of docs: (doc_id, n_shingles, component_id); see the module for the method and the edge cases."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    small_batches(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = stage(base.mapInArrow(_describe(k), "doc_id long, n long, d1 long, d2 long, times long"), "ngram-sets")
-    rows = described.where("times = 0")
-    top = _most_frequent(described.where("times > 0").groupBy("d1").agg(F.sum("times").alias("times")))
-    tokens = np.array([r[0] for r in top], np.uint32)
+def _sampled(k: int):
+    """(hash, text) -> (hash, the upper 32 bits of the text's shingles), each text once a task."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            hashes, ids, out = batch.column(0).to_pylist(), [], []
+            new = [r for r, h in enumerate(hashes) if h not in seen and not seen.add(h)]
+            for r, s in _sets(batch.column(1).take(pa.array(new, pa.int64())), k) if new else ():
+                ids.append(hashes[new[r]])
+                out.append(np.unique((s >> np.uint64(32)).astype(np.int64)))
+            if ids:
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["h", "shingles"])
+
+    return run
+
+
+def _frequent(base: DataFrame, described: DataFrame, k: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles (upper 32 bits, ascending) and about how many different sets have them."""
+    found = {r[0]: r[1] for r in _most_frequent(described.where("times > 0").groupBy("d1").agg(F.sum("times").alias("times")))}
+    share = min(1.0, SAMPLE / max(1, total))
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    cut = ((1 << 64) - 1) * SAMPLE // max(SAMPLE, total) - (1 << 63)
+    some = base.select(h.alias("h"), "text").where(F.col("h") <= cut).mapInArrow(_sampled(k), "h long, shingles array<long>").dropDuplicates(["h"])
+    counts = some.select(F.explode("shingles").alias("d1")).groupBy("d1").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= SEEN)
+    for token, times in _most_frequent(counts):
+        found[token] = max(found.get(token, 0), int(times / share))
+    tokens = np.array(list(found), np.uint32)
     by = np.argsort(tokens)
-    hot = sc.broadcast((tokens[by], np.array([r[1] for r in top], np.int64)[by]))
+    return tokens[by], np.array(list(found.values()), np.int64)[by]
 
-    # one document stands for each class of equal sets; those that stand for none are left out by their doc_id, not by the order of rows
-    reps = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    standing = reps.select(F.col("rep").alias("doc_id")).distinct()
-    copies = stage(rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id").distinct().join(standing, "doc_id", "left_anti"), "ngram-copies")
-    buckets = anti_join(base, copies, "doc_id").mapInArrow(_prefixes(k, percent, hot), "bucket long, shingle long, doc_id long, n int, pos int")
-    buckets = buckets.repartition("bucket").sortWithinPartitions("bucket", "n").mapInArrow(_with_partners(percent), buckets.schema)
-    # a salted bucket holds a part of its shingle's rows: a row alone in it goes only if the shingle has no other one
-    same = "PARTITION BY bucket"
-    held = stage(buckets.withColumn("alone", F.expr(f"count(*) OVER ({same}) = 1")).where("NOT alone OR shingle IS NOT NULL"), "ngram-buckets")
-    lone = stage(held.where("shingle IS NOT NULL").groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c = 1").select("shingle"), "ngram-lone")
-    buckets = held.join(F.broadcast(lone), "shingle", "left_anti")
-    first = buckets.groupBy("doc_id").agg(F.min_by("bucket", F.struct("alone", "pos", "bucket")).alias("grp"))
-    packed = base.where("doc_id IS NOT NULL").mapInArrow(_pack, "doc_id long, packed binary")
-    packed = packed.join(first, "doc_id").select("grp", "doc_id", "packed")
-    packed = stage(packed.mapInArrow(_with_prefix(k, percent, hot), "grp long, doc_id long, packed binary, n int, prefix binary"), "ngram-texts", "none")
-    links = packed.select("grp", "doc_id", F.col("doc_id").alias("label"), "packed").repartition("grp").sortWithinPartitions("grp", "doc_id")
-    links = stage(links.mapInArrow(_join_groups(k, percent, hot, False), "src long, dst long"), "ngram-links")
-    near = stage(connected_components(links), "ngram-near")
 
-    # pass 2: shingles under which several components meet
-    label = F.coalesce("component", "doc_id").alias("label")
-    members = buckets.join(near, buckets.doc_id == near.node, "left").select("bucket", "shingle", buckets.doc_id, "n", "pos", label)
-    members = stage(members, "ngram-members")
-    whole = F.coalesce("shingle", "bucket")
-    mixed = members.groupBy(whole.alias("of")).agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed")
-    opened = members.join(mixed, whole == F.col("of"), "left_semi").repartition("bucket").sortWithinPartitions("bucket")
-    opened = stage(opened.mapInArrow(_with_partners(percent), members.schema), "ngram-open")
-    drop_stage(members)
-    members = opened.withColumn("shingle", whole)
+def _representatives(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal sets, (n, d1, d2, rep, c); and (src, dst), each other document with the one that stands for its class.
+
+    Classes that hold a ten-thousandth of all rows or more, so ten thousand at most, are broadcast to their documents instead of meeting them in
+    one task.
+    """
+    named = rows.where("n > 0 AND doc_id IS NOT NULL")
+    reps = stage(named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")), "ngram-classes")
+    huge = F.col("c") >= max(1000, total // 10_000)
+    many = reps.where("c > 1").withColumnRenamed("rep", "dst")
+    known = named.join(F.broadcast(many.where(huge).drop("c")), ["n", "d1", "d2"], "left")
+    rest = known.where("dst IS NULL").drop("dst").join(many.where(~huge).drop("c"), ["n", "d1", "d2"])
+    edges = known.where("dst IS NOT NULL").select(F.col("doc_id").alias("src"), "dst").union(rest.select(F.col("doc_id").alias("src"), "dst"))
+    return reps, edges.where("src != dst")
+
+
+def _blocks_joined(members: DataFrame, packed: DataFrame, hot, k: int, percent: int, every: bool) -> DataFrame:
+    """Pass 2.  members: (shingle, doc_id, n, label).  Links (src, dst) between documents of one shingle and different labels."""
     parts = members.groupBy("shingle", "label").agg(
         F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sig")
     )
@@ -549,21 +565,114 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     dealt = dealt.select(F.explode("cells").alias("cell"), "shingle", "doc_id", "label").select(F.xxhash64("shingle", "cell").alias("grp"), "doc_id", "label")
     dealt = dealt.join(packed.select("doc_id", "n", "prefix"), "doc_id").select("grp", "doc_id", "label", "n", "prefix")
-    dealt = dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(_plausible(percent), "grp long, doc_id long, label long")
+    # ranges of cells: tasks get about as many rows, where hashes would give some of them several large cells
+    dealt = dealt.repartitionByRange("grp").sortWithinPartitions("grp").mapInArrow(_plausible(percent), "grp long, doc_id long, label long")
     dealt = stage(dealt, "ngram-dealt")
     # what is left of a block is often the same few rows under many shingles: one of these blocks is joined
     alike = dealt.groupBy("grp").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("t"))
     one = alike.groupBy("c", "s", "t").agg(F.min("grp").alias("grp")).select("grp")
-    dealt = dealt.join(one, "grp", "left_semi").join(packed.select("doc_id", "packed"), "doc_id").select("grp", "doc_id", "label", "packed")
-    more = stage(dealt.repartition("grp").sortWithinPartitions("grp", "label").mapInArrow(_join_groups(k, percent, hot, True), "src long, dst long"), "ngram-links")
-    named = rows.where("n > 0 AND doc_id IS NOT NULL").join(reps, ["n", "d1", "d2"]).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
-    edges = near.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(more).union(named.where("src != dst"))
+    left = stage(dealt.join(one, "grp", "left_semi").select("grp", "doc_id", "label"), "ngram-left")
+    texts = left.join(packed.select("doc_id", "packed"), "doc_id").select("grp", "doc_id", "label", "packed")
+    links = stage(texts.repartitionByRange("grp").sortWithinPartitions("grp", "label").mapInArrow(_join_groups(k, percent, hot, True, every), "src long, dst long"), "ngram-links")
+    drop_stage(dealt)
+    drop_stage(left)
+    return links
+
+
+def _labelled(buckets: DataFrame, near: DataFrame) -> DataFrame:
+    """The rows of buckets with the component that is known for their document."""
+    rows = buckets.join(near, buckets.doc_id == near.node, "left")
+    return stage(rows.select("bucket", "shingle", buckets.doc_id, "n", "pos", F.coalesce("component", "doc_id").alias("label")), "ngram-members")
+
+
+def _grown(members: DataFrame, near: DataFrame, packed: DataFrame, buckets: DataFrame, hot, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rounds among one document of each component, while some shingle of many rows has several components and they grow together."""
+    whole, before = F.coalesce("shingle", "bucket"), None
+    for turn in range(8):
+        reps = members.groupBy(whole.alias("of"), "label").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("c"))
+        large = reps.groupBy("of").agg(F.count(F.lit(1)).alias("labels"), F.sum("c").alias("rows")).where((F.col("labels") > 1) & (F.col("rows") > BLOCK_DOCS)).drop("rows")
+        # a component takes part under the shingle that has most of them
+        mine = reps.join(large, "of").groupBy("label").agg(F.max_by(F.struct("of", "doc_id", "labels"), F.struct("labels", "of")).alias("x")).select("label", "x.*")
+        mine = stage(mine, "ngram-large")
+        count = mine.count()
+        if not count or before is not None and count > 0.9 * before:
+            drop_stage(mine)
+            break
+        before = count
+        grp = F.xxhash64("of", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.ceil(F.col("labels") / BLOCK_DOCS)))
+        rows = mine.select(grp.alias("grp"), "doc_id", "label").join(packed.select("doc_id", "packed"), "doc_id").select("grp", "doc_id", "label", "packed")
+        links = stage(rows.repartition("grp").sortWithinPartitions("grp", "doc_id").mapInArrow(_join_groups(k, percent, hot, False), "src long, dst long"), "ngram-links")
+        new = stage(connected_components(near.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(links)), "ngram-near")
+        for t in (mine, links, near, members):
+            drop_stage(t)
+        near, members = new, _labelled(buckets, new)
+    return members, near
+
+
+def _link_counts(rows: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(n, d1, d2, n_links): documents linked with a set, those of equal sets included, the document itself not.  pairs: (src, dst) of representatives."""
+    size = rows.where("n > 0 AND doc_id IS NOT NULL").select("n", "d1", "d2", "doc_id").distinct().groupBy("n", "d1", "d2").agg(F.count(F.lit(1)).alias("size"))
+    classes = reps.select("n", "d1", "d2", "rep").join(size, ["n", "d1", "d2"])
+    both = pairs.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    both = both.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(both.select("b", "a"))
+    sums = both.join(classes.select(F.col("rep").alias("other"), "size"), "other").groupBy("rep").agg(F.sum("size").alias("linked"))
+    return classes.join(sums, "rep", "left").select("n", "d1", "d2", (F.coalesce("linked", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+
+
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, count_links: bool = False) -> DataFrame:
+    """Per row of docs: (doc_id, n_shingles, component_id), and n_links if asked for; see the module for the method and the edge cases.
+
+    n_links counts the other documents with a linked set, and is 0 for those without an id or a set.  It takes all pairs of a group of near
+    copies, where components take one link for each; documents whose id has several texts count once for each set.
+    """
+    spark = docs.sparkSession
+    sc = spark.sparkContext
+    small_batches(spark)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    described = stage(base.mapInArrow(_describe(k), "doc_id long, n long, d1 long, d2 long, times long"), "ngram-sets")
+    rows = described.where("times = 0")
+    total = rows.count()
+    hot = sc.broadcast(_frequent(base, described, k, total))
+
+    # one document stands for each class of equal sets; those that stand for none are left out by their doc_id, not by the order of rows
+    reps, named = _representatives(rows, total)
+    standing = reps.select(F.col("rep").alias("doc_id")).distinct()
+    copies = stage(rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id").distinct().join(standing, "doc_id", "left_anti"), "ngram-copies")
+    buckets = anti_join(base, copies, "doc_id").mapInArrow(_prefixes(k, percent, hot), "bucket long, shingle long, doc_id long, n int, pos int")
+    buckets = buckets.repartition("bucket").sortWithinPartitions("bucket", "n").mapInArrow(_with_partners(percent), buckets.schema)
+    # a salted bucket holds a part of its shingle's rows: a row alone in it goes only if the shingle has no other one
+    same = "PARTITION BY bucket"
+    held = stage(buckets.withColumn("alone", F.expr(f"count(*) OVER ({same}) = 1")).where("NOT alone OR shingle IS NOT NULL"), "ngram-buckets")
+    lone = stage(held.where("shingle IS NOT NULL").groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c = 1").select("shingle"), "ngram-lone")
+    buckets = held.join(F.broadcast(lone), "shingle", "left_anti")
+    first = buckets.groupBy("doc_id").agg(F.min_by("bucket", F.struct("alone", "pos", "bucket")).alias("grp"))
+    packed = base.where("doc_id IS NOT NULL").mapInArrow(_pack, "doc_id long, packed binary")
+    packed = packed.join(first, "doc_id").select("grp", "doc_id", "packed")
+    packed = stage(packed.mapInArrow(_with_prefix(k, percent, hot), "grp long, doc_id long, packed binary, n int, prefix binary"), "ngram-texts", "none")
+    links = packed.select("grp", "doc_id", F.col("doc_id").alias("label"), "packed").repartition("grp").sortWithinPartitions("grp", "doc_id")
+    links = stage(links.mapInArrow(_join_groups(k, percent, hot, False), "src long, dst long"), "ngram-links")
+    near = stage(connected_components(links), "ngram-near")
+    members, near = _grown(_labelled(buckets, near), near, packed, buckets, hot, k, percent)
+
+    # pass 2: shingles under which several components meet
+    whole = F.coalesce("shingle", "bucket")
+    mixed = members.groupBy(whole.alias("of")).agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed")
+    opened = members.join(mixed, whole == F.col("of"), "left_semi").repartition("bucket").sortWithinPartitions("bucket")
+    opened = stage(opened.mapInArrow(_with_partners(percent), members.schema), "ngram-open")
+    more = _blocks_joined(opened.withColumn("shingle", whole), packed, hot, k, percent, False)
+    edges = near.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(more).union(named)
     components = connected_components(edges)
     out = rows.join(components, rows.doc_id == components.node, "left").select(
-        rows.doc_id, F.col("n").alias("n_shingles"), F.coalesce("component", rows.doc_id).alias("component_id")
+        rows.doc_id, F.col("n").alias("n_shingles"), F.coalesce("component", rows.doc_id).alias("component_id"), "n", "d1", "d2"
     )
-    out = stage(out, "ngram-components")
-    for t in (copies, held, lone, packed, links, opened, more, described):
+    used = [held, lone, packed, members, opened, more, near, links]
+    if count_links:
+        every = _blocks_joined(buckets.select(whole.alias("shingle"), "doc_id", "n", F.col("doc_id").alias("label")), packed, hot, k, percent, True)
+        counts = _link_counts(rows, reps, every).where("n_links > 0")
+        out = out.join(counts, ["n", "d1", "d2"], "left").withColumn("n_links", F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long"))
+        used.append(every)
+    out = stage(out.drop("n", "d1", "d2"), "ngram-components")
+    for t in (*used, copies, reps, described):
         drop_stage(t)
     return out
 
