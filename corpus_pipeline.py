@@ -1,4 +1,11 @@
-"""The corpus pipeline: quality rules, near-duplicate removal, decontamination, mixing, token output."""
+"""The corpus pipeline: quality rules, near-duplicate removal, decontamination, mixing, token output.
+
+Each stage's result is a table of its own, and the one before goes as soon as it is written; the token file stays, as the result reads it.
+
+Edge cases.  Null and empty texts have too few words and go in the first stage.  Rows that share a doc_id are one document to the second stage
+and rows of their own to the others; a null doc_id links nothing and stays.  Null sources are one source.  An empty table gives an empty
+result.  Documents may have more columns, of any names: all stages but the last keep them, in their order.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +17,7 @@ from treekin.llm.ngram_join import ngram_jaccard_join
 from treekin.llm.quality import quality_filter
 from treekin.llm.tokens import read_token_file, write_token_file
 from treekin.operators.prefilter import anti_join
-from treekin.shared import new_path, stage, table
+from treekin.shared import drop_stage, new_path, stage, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage_of) in enumerate(STAGES):
         docs = stage_of(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stage(docs, f"pipeline-{k}")
+        if before is not None:
+            drop_stage(before)
+        before = docs if k < len(STAGES) - 1 else None
     return docs

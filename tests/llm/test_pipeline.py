@@ -1,5 +1,8 @@
 """The pipeline's stages on the smallest tables, each held against brute force on its own input; and the operators' SQL."""
 
+import random
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -31,6 +34,50 @@ def test_stages(spark):
     assert out.count() == mixed.count()
 
 
+def test_run_drops_its_stages(spark):
+    before = set(stages())
+    out = corpus_pipeline.run(spark, SMALL)
+    n = out.count()
+    left = {p.split("-")[0] for p in set(stages()) - before}
+    assert n > 0 and "pipeline" not in left and "token" in left
+    documents = stage(table(spark, SMALL, "documents"), "t")
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        documents = stage(f(spark, documents, SMALL), "t")
+    assert n == documents.count()
+
+
+def stages():
+    import treekin.shared as shared
+    from pyspark.sql import SparkSession
+
+    folder = Path(shared.shared_dir(SparkSession.active()).removeprefix("file://")) / "treekin" / shared._RUN
+    return [p.name for p in folder.iterdir()] if folder.exists() else []
+
+
+@pytest.mark.parametrize("rows", ["empty", "odd"])
+def test_odd_tables(spark, tmp_path, rows):
+    """Nulls in any column, repeated rows, equal ids, and columns whose names the operators use."""
+    rng = random.Random(61)
+    good = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80)) for _ in range(6)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, _bits string, _maybe string, key string, component_id long, label long, place string, `a.b` int, document string, copies long"
+    extra = ("b", "m", "k", 9, 8, "p", 3, "d", 7)
+    data = [(1, good[0], "en", "s", 5), (1, good[0], "en", "s", 5), (None, good[0], None, None, None), (2, good[0] + " tail", "en", "s", 5), (3, good[1], None, "t", None), (3, good[2], "en", "t", 1), (4, None, None, None, None), (5, "", "en", "s", 0), (6, good[3] + " " + good[4], "en", None, 2), (7, good[5], "en", "u", 2)]
+    df = spark.createDataFrame([(*r, *extra) for r in (data if rows == "odd" else [])], kind)
+    df.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, good[4]), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    docs = table(spark, f"file://{tmp_path}", "documents")
+    seen = []
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        docs = stage(f(spark, docs, f"file://{tmp_path}"), "t")
+        assert docs.columns == df.columns and all(tuple(r)[5:] == extra for r in docs.collect())
+        seen.append(sorted((str(r["doc_id"]) for r in docs.collect())))
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert out.count() == docs.count()
+    if rows == "odd":
+        assert seen[0] == ["1", "1", "2", "3", "3", "6", "7", "None"] and seen[1] == ["1", "1", "3", "3", "6", "7", "None"] and seen[2] == ["1", "1", "3", "3", "7", "None"]
+        assert set(seen[3]) <= set(seen[2])
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()

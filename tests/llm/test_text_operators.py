@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from urllib.parse import unquote
 
 import numpy as np
 import pytest
@@ -273,6 +274,18 @@ def test_mixed_documents_are_those_of_the_mix(spark):
     assert Counter(r["doc_id"] for r in mixing.mix_documents(docs).collect()) == want
 
 
+def test_mixing_of_repeated_rows_and_null_ids(spark):
+    """Equal rows, equal ids with other sizes, null ids and sources: rows keep their number, budgets hold, and reruns agree."""
+    rows = [(None, "a", 5, 1.0), (None, "a", 5, 1.0), (3, "a", 5, 1.0), (3, "a", 9, 1.0), (3, "a", 5, 1.0), (4, None, 7, None), (4, None, 7, -1.0), (5, "b", 0, 1.0), *[(k, "b", 3, 1.0) for k in range(10, 40)]]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, quality double")
+    got = mixing.mix(df).collect()
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in got) == Counter(r[:3] for r in rows)
+    for source in ("a", "b", None):
+        mine = [r for r in got if r["source"] == source]
+        assert sum(r["taken"] for r in mine) == int(mine[0]["target"] + 1e-9) and all(0 <= r["taken"] <= 3 * r["size"] for r in mine)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(5)).collect()))
+
+
 def test_quality_weights(spark):
     docs = frame(spark, ["a", "b", "c"])
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, 0)], "doc_id long, quality int")
@@ -741,10 +754,38 @@ def test_token_counts(spark, block):
     assert tokens.token_counts(df.where("file < 0"), 99).count() == 0
 
 
-def test_flat_files(spark, tmp_path):
-    np.array([1, 2, 99, 3, 99, 99, 4, 4, 4, 99], "<u4").tofile(tmp_path / "a.bin")
-    got = tokens.token_counts(tokens.flat_blocks_from_files(spark, str(tmp_path), 3), 99).orderBy("doc_no").collect()
-    assert [r["n_tokens"] for r in got] == [2, 1, 0, 3]
+def test_flat_files(spark, tmp_path, monkeypatch):
+    rng = random.Random(51)
+    want = {}
+    for name in ("a.bin", "b c.bin", "é.bin"):
+        lengths = [rng.randrange(6) for _ in range(40)]
+        ids = [x for n in lengths for x in [*[rng.randrange(9) for _ in range(n)], 99]]
+        np.array(ids, "<u4").tofile(tmp_path / name)
+        want |= {(name, i): n for i, n in enumerate(lengths)}
+    (tmp_path / "empty.bin").write_bytes(b"")
+    for schemes in (tokens.RANGED, ("none",)):  # byte ranges, and whole files
+        monkeypatch.setattr(tokens, "RANGED", schemes)
+        for block in (3, 1000):
+            rows = tokens.token_counts(tokens.flat_blocks_from_files(spark, str(tmp_path), block), 99).collect()
+            assert {(unquote(r["file"].rsplit("/", 1)[1]), r["doc_no"]): r["n_tokens"] for r in rows} == want
+
+
+def test_tokens_of_repeated_documents(spark, monkeypatch):
+    """Equal ids, ids that are null, repeated rows: each row is a document of its own."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.tokenizer_path())
+    docs = frame(spark, ["b text", "a text", "a text", "none", None], ids=[7, 7, 7, None, 3])
+    monkeypatch.setattr(tokens, "table", lambda *a: docs)
+    rows = sorted(tokens.op9_token_output(spark, "").collect(), key=lambda r: r["start"])
+    want, start = [], 0
+    for i, text in ((None, "none"), (3, ""), (7, "a text"), (7, "a text"), (7, "b text")):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows] == want
+    counts = Counter((r["doc_id"], r["n_tokens"]) for r in tokens.op3_token_counts(spark, "").collect())
+    assert counts == Counter((i, n - 1) for i, _, n, _ in want)
 
 
 def test_token_count_query(spark, monkeypatch):

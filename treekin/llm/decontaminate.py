@@ -301,7 +301,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", thr
                 keep[list(bad)] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        # by place, as names may hold dots
+        names = docs.columns
+        plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+        docs = plain.mapInArrow(run, plain.schema).toDF(*names)
     return docs
 
 

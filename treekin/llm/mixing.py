@@ -32,6 +32,10 @@ WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_size(text: Column) -> Column:
     """Words of a text, without making an array of them."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -78,7 +82,7 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     key = order_key(F.col("doc_id"), F.col("quality"), seed)
     # 1 - exp(-key) is uniform for weight 1, and monotone in the key for all
     place = F.least(F.floor((F.lit(1.0) - F.exp(-key)) * BINS), F.lit(BINS - 1)).cast("int")
-    keyed = rows.select("doc_id", "source", "size", F.struct(F.lit(0).alias("_"), *extra).alias("rest"), key.alias("k"), place.alias("bin"))
+    keyed = rows.select("doc_id", "source", "size", F.struct(F.lit(0).alias("_"), *[_quoted(c) for c in extra]).alias("rest"), key.alias("k"), place.alias("bin"))
     bins = stage(keyed.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "mix-bins")
     targets = source_targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -142,7 +146,7 @@ def mix_documents(docs: DataFrame, quality: Column | None = None, seed: int = 0)
     """
     names = docs.columns
     weight = text_quality(F.col("text").cast("string")) if quality is None else quality
-    rows = docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), weight.alias("quality"), F.struct(*names).alias("document"))
+    rows = docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), weight.alias("quality"), F.struct(*[_quoted(c) for c in names]).alias("document"))
     rows = rows.withColumn("place", F.struct(order_key(F.col("doc_id"), F.col("quality"), seed).alias("k"), "doc_id", "size"))
     sizes = stage(rows.select("doc_id", "source", "size", "quality", "place"), "mix-sizes")
     more = F.when(F.col("copies") > F.col("epochs"), F.col("place"))

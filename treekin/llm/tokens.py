@@ -25,6 +25,7 @@ import functools
 import json
 import os
 import zlib
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -274,12 +275,49 @@ def _flat_writer(path: str, separator: int, block: int):
 FLAT = "file int, block long, data binary, doc_ids array<long>"
 
 
+def _ranges(size: int):
+    """(file, block, offset, length) -> (file, block, data): byte ranges of files, read by pyarrow, whole files never."""
+
+    def run(batches):
+        import pyarrow.fs as fs
+
+        name, source = None, None
+        for batch in batches:
+            for path, block, at, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if path != name:
+                    if source is not None:
+                        source.close()
+                    scheme, rest = path.split(":", 1)
+                    where, inside = fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+                    name, source = path, where.open_input_file(inside)
+                source.seek(at)
+                data = source.read(min(size, length - at))
+                yield pa.record_batch([pa.array([path]), pa.array([block], pa.int64()), pa.array([data], pa.binary())], ["file", "block", "data"])
+        if source is not None:
+            source.close()
+
+    return run
+
+
+#: Stores of which pyarrow reads byte ranges; of others, Spark reads each file as a whole, up to 2 GB.
+RANGED = ("file", "hdfs", "s3", "gs", "abfss")
+
+
 def flat_blocks_from_files(spark: SparkSession, path: str, ids_in_block: int = BLOCK_IDS) -> DataFrame:
-    """(file, block, data) of flat files of little-endian 32-bit ids; a shorter last block is what is left."""
+    """(file, block, data) of flat files of little-endian 32-bit ids, of any size; a shorter last block is what is left.
+
+    Only names and lengths of files are listed; blocks are dealt out, and each task reads the ranges of its own.
+    """
     size = 4 * ids_in_block
-    files = spark.read.format("binaryFile").load(path)
-    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("length") / size) - 1, F.lit(0))))
-    return files.where("length > 0").select(F.col("path").alias("file"), blocks.alias("block"), "content").select("file", "block", F.expr(f"substring(content, cast(block * {size} + 1 as int), {size})").alias("data"))
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("file"), "length")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size)))
+    places = files.select("file", blocks.alias("block"), "length").select("file", "block", (F.col("block") * size).alias("offset"), "length")
+    ranged = F.col("file").rlike(rf"^(?:{'|'.join(RANGED)}):")
+    dealt = places.where(ranged).repartitionByRange("file", "block").sortWithinPartitions("file", "block")
+    near = dealt.mapInArrow(_ranges(size), "file string, block long, data binary")
+    whole = spark.read.format("binaryFile").load(path).where("length > 0").withColumnRenamed("path", "file").where(~ranged)
+    whole = whole.select("file", blocks.alias("block"), "content").select("file", "block", F.expr(f"substring(content, cast(block * {size} + 1 as int), {size})").alias("data"))
+    return near.union(whole)
 
 
 def _scan(separator: int):
