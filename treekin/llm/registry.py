@@ -6,10 +6,10 @@ from treekin.llm import mixing, quality, sql
 from treekin.llm.chat import op7_chat_formatting
 from treekin.llm.decontaminate import op6_benchmark_decontamination
 from treekin.llm.html_text import op8_html_extraction
-from treekin.llm.licenses import op10_license_scan
+from treekin.llm.licenses import license_base_places, op10_license_scan
 from treekin.llm.mixing import op2_mixing
 from treekin.llm.ngram_join import op1_ngram_jaccard_join
-from treekin.llm.pii import op4_pii
+from treekin.llm.pii import op4_pii, pii_base_counts
 from treekin.llm.quality import op5_quality_rules
 from treekin.llm.tokens import op3_token_counts, op9_token_output
 
@@ -24,10 +24,15 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_token_output": op9_token_output,
     "op10_license_scan": op10_license_scan,
+    # what SQL can express of operators 4 and 10
+    "pii_base_counts": pii_base_counts,
+    "license_base_places": license_base_places,
 }
 
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": sql.NGRAM_JOIN,
     "op2_mixing": mixing.ORACLE,
     "op5_quality_rules": quality.ORACLE,
+    "pii_base_counts": sql.PII_COUNTS,
+    "license_base_places": sql.LICENSE_BASE,
 }

@@ -22,3 +22,34 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(k.component, d.doc_id) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.node = d.doc_id
 """
+
+LICENSE_BASE = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), p AS (
+  SELECT doc_id, len(words) AS n_words, list_filter(range(1, len(words) + 1), lambda i: words[i] = 'mit' AND words[i + 1] = 'license') AS mit,
+         list_filter(range(1, len(words) + 1), lambda i: words[i] = 'apache' AND words[i + 1] = 'license') AS apache,
+         list_filter(range(1, len(words) + 1), lambda i: words[i] = 'general' AND words[i + 1] = 'public' AND words[i + 2] = 'license') AS gpl FROM w
+), q AS (
+  SELECT *, list_concat(list_concat(mit, apache), gpl) AS places FROM p
+)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
+       concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels
+FROM q
+"""
+
+PII_COUNTS = r"""
+WITH m AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email,
+         regexp_extract_all(coalesce(text, ''), '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+         list_transform(regexp_extract_all(coalesce(text, ''), '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card,
+         list_transform(regexp_extract_all(coalesce(text, ''), '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phone
+  FROM documents
+)
+SELECT doc_id, len(email) AS n_email,
+       len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda y: length(ltrim(y, '0')) > 3 OR coalesce(TRY_CAST(y AS DOUBLE), 1000) > 255)) = 0)) AS n_ip,
+       len(list_filter(card, lambda x: length(x) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(x) + 1), lambda i:
+           CASE WHEN i % 2 = 1 THEN CAST(x[length(x) - i + 1] AS INT) ELSE CAST(x[length(x) - i + 1] AS INT) * 2 - CASE WHEN CAST(x[length(x) - i + 1] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0)) AS n_card,
+       len(list_filter(phone, lambda x: length(x) BETWEEN 9 AND 15)) AS n_phone
+FROM m
+"""
