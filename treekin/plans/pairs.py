@@ -79,6 +79,13 @@ def function_matches(functions: DataFrame, others: DataFrame, pairs: DataFrame,
     )
 
 
+def submission_shapes(functions: DataFrame) -> DataFrame:
+    """(submission_id, n, graph): the number of functions and the shape of the call graph of each submission."""
+    counts = functions.groupBy("submission_id").agg(F.count(F.lit(1)).alias("n"))
+    shapes = graph_shapes(functions.select("submission_id", "name"), call_edges(functions))
+    return stage(counts.join(shapes, "submission_id").select("submission_id", "n", F.struct("degrees", "n_nodes", "n_edges", "n_components").alias("graph")), "call-graphs")
+
+
 def compare(functions: DataFrame, pairs: DataFrame, settings: Settings = Settings(), others: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """functions (and others): analyzed; pairs: (a, b).  The scores of all pairs, and their aligned functions.
 
@@ -95,11 +102,10 @@ def compare(functions: DataFrame, pairs: DataFrame, settings: Settings = Setting
     # similarities have six places: as whole millionths their sum is exact, in whatever order they come
     total = lambda c: (F.sum(F.round(F.col(c) * 1e6).cast("long")) / 1e6).alias(c.replace("similarity", "sum"))
     sums = matches.groupBy("a", "b").agg(total("ted_similarity"), total("winnow_similarity"), F.count(F.lit(1)).alias("aligned_function_count"))
-    count = lambda df, side: df.groupBy(F.col("submission_id").alias(side)).agg(F.count(F.lit(1)).alias(f"n_{side}"))
-    graph = lambda df, side: graph_shapes(df.select("submission_id", "name"), call_edges(df)).select(F.col("submission_id").alias(side), F.struct("degrees", "n_nodes", "n_edges", "n_components").alias(f"g_{side}"))
     rows = pairs.select("a", "b").join(sums, ["a", "b"], "left")
-    for df, side in ((functions, "a"), (others, "b")):
-        rows = rows.join(count(df, side), side, "left").join(graph(df, side), side, "left")
+    known = submission_shapes(functions)
+    for side, df in (("a", known), ("b", known if others is functions else submission_shapes(others))):
+        rows = rows.join(df.select(F.col("submission_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("graph").alias(f"g_{side}")), side, "left")
     none = F.struct(F.create_map().cast("map<string,bigint>").alias("degrees"), *[F.lit(0).cast("long").alias(c) for c in ("n_nodes", "n_edges", "n_components")])
     rows = rows.withColumn("g_a", F.coalesce("g_a", none)).withColumn("g_b", F.coalesce("g_b", none))
     most = F.greatest(F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0)))
