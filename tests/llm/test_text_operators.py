@@ -126,6 +126,7 @@ def test_large_groups_of_near_copies_grow_in_rounds(spark, monkeypatch):
     rng = random.Random(18)
     texts = near_copies(rng, prose(rng, 220), 150, 2) + near_copies(rng, prose(rng, 220), 90, 1) + corpus(rng)
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 5)
+    monkeypatch.setattr(ngram_join, "ROUND_DOCS", 5)
     seen = []
     blocks = ngram_join._blocks_joined
     monkeypatch.setattr(ngram_join, "_blocks_joined", lambda members, *rest: seen.append(members.count()) or blocks(members, *rest))

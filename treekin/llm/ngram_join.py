@@ -10,7 +10,7 @@ Two passes over the buckets keep the work linear where groups of near copies are
 
 1. each document visits only the first bucket it shares with another one; the links found there give provisional
    components.  Where a shingle of more than ``BLOCK_DOCS`` rows still has several, one document of each goes on to a round among these, and so on
-   as long as components grow together: a group of c near copies takes c rows, then c / ``BLOCK_DOCS``, and so on;
+   as long as components grow together: the rows of a group of near copies fall ``ROUND_DOCS`` times with each round;
 2. buckets that still hold several components are joined in full, block against block; pairs that are known to be in one
    component are skipped, since another link between them changes no component.  Before texts are dealt out, the prefixes
    (16 bits a shingle) tell which rows cannot have a partner in their block.
@@ -50,6 +50,8 @@ FREQUENT = 1 << 18
 SAMPLE, SEEN = 1 << 14, 4
 #: A trie holds at most so many documents in pass 1, and about so many in each block of pass 2.
 BLOCK_DOCS = 512
+#: Components that meet in a group of a round.
+ROUND_DOCS = 512
 BLOCK_SHINGLES = 2_000_000
 #: Buckets of more rows are not tested for possible partners; all their rows go on.
 LARGE = 4096
@@ -586,27 +588,45 @@ def _labelled(buckets: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def _grown(members: DataFrame, near: DataFrame, packed: DataFrame, buckets: DataFrame, hot, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rounds among one document of each component, while some shingle of many rows has several components and they grow together."""
-    whole, before = F.coalesce("shingle", "bucket"), None
+    """Rounds among one document of each component, while some shingle of many rows has several components and they grow together.
+
+    Rounds handle (shingle, component) only; the documents learn their components once, at the end.
+    """
+    every = members.groupBy(F.coalesce("shingle", "bucket").alias("of"), "label").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("c"))
+    large = every.groupBy("of").agg(F.count(F.lit(1)).alias("labels"), F.sum("c").alias("rows")).where((F.col("labels") > 1) & (F.col("rows") > BLOCK_DOCS))
+    reps, known, before = stage(every.join(large, "of", "left_semi").select("of", "label", "doc_id"), "ngram-reps"), [], None
     for turn in range(8):
-        reps = members.groupBy(whole.alias("of"), "label").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("c"))
-        large = reps.groupBy("of").agg(F.count(F.lit(1)).alias("labels"), F.sum("c").alias("rows")).where((F.col("labels") > 1) & (F.col("rows") > BLOCK_DOCS)).drop("rows")
+        labels = reps.groupBy("of").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1")
         # a component takes part under the shingle that has most of them
-        mine = reps.join(large, "of").groupBy("label").agg(F.max_by(F.struct("of", "doc_id", "labels"), F.struct("labels", "of")).alias("x")).select("label", "x.*")
+        mine = reps.join(labels, "of").groupBy("label").agg(F.max_by(F.struct("of", "doc_id", "labels"), F.struct("labels", "of")).alias("x")).select("label", "x.*")
         mine = stage(mine, "ngram-large")
         count = mine.count()
         if not count or before is not None and count > 0.9 * before:
             drop_stage(mine)
             break
         before = count
-        grp = F.xxhash64("of", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.ceil(F.col("labels") / BLOCK_DOCS)))
+        grp = F.xxhash64("of", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.ceil(F.col("labels") / ROUND_DOCS)))
         rows = mine.select(grp.alias("grp"), "doc_id", "label").join(packed.select("doc_id", "packed"), "doc_id").select("grp", "doc_id", "label", "packed")
-        links = stage(rows.repartition("grp").sortWithinPartitions("grp", "doc_id").mapInArrow(_join_groups(k, percent, hot, False), "src long, dst long"), "ngram-links")
-        new = stage(connected_components(near.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(links)), "ngram-near")
-        for t in (mine, links, near, members):
-            drop_stage(t)
-        near, members = new, _labelled(buckets, new)
-    return members, near
+        found = rows.repartition("grp").sortWithinPartitions("grp", "doc_id").mapInArrow(_join_groups(k, percent, hot, False), "src long, dst long")
+        names = [mine.select(F.col("doc_id").alias(end), F.col("label").alias(to)) for end, to in (("src", "a"), ("dst", "b"))]
+        links = stage(stage(found, "ngram-links").join(names[0], "src").join(names[1], "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")), "ngram-links")
+        known.append(links)
+        to = connected_components(links)
+        moved = reps.join(to, reps.label == to.node, "left").groupBy("of", F.coalesce("component", "label").alias("label")).agg(F.min("doc_id").alias("doc_id"))
+        moved = stage(moved, "ngram-reps")
+        drop_stage(reps)
+        drop_stage(mine)
+        reps = moved
+    drop_stage(reps)
+    if not known:
+        return members, near
+    edges = near.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+    for links in known:
+        edges = edges.union(links)
+    new = stage(connected_components(edges), "ngram-near")
+    for t in (near, members, *known):
+        drop_stage(t)
+    return _labelled(buckets, new), new
 
 
 def _link_counts(rows: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
