@@ -51,7 +51,7 @@ SAMPLE, SEEN = 1 << 14, 4
 #: A trie holds at most so many documents in pass 1, and about so many in each block of pass 2.
 BLOCK_DOCS = 512
 #: Components that meet in a group of a round.
-ROUND_DOCS = 512
+ROUND_DOCS = 256
 BLOCK_SHINGLES = 2_000_000
 #: Buckets of more rows are not tested for possible partners; all their rows go on.
 LARGE = 4096
