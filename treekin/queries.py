@@ -20,7 +20,7 @@ from treekin.plans import store
 from treekin.plans.cohort import AnalysisRequest, analyze_cohort, clusters, ranked_pairs, reference_summary
 from treekin.plans.migrations import migrate
 from treekin.plans.pairs import analyze, compare
-from treekin.shared import stage, table
+from treekin.shared import spread, stage, table
 from treekin.sources.normalize import parse_functions
 from treekin.sources.submissions import reject_reason
 
@@ -32,7 +32,8 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, elements): the fingerprints of every document."""
-    return tokens(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), hashing.fingerprints(F.col("tokens")).alias("elements"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return tokens(docs).select(F.col("doc_id").alias("id"), hashing.fingerprints(F.col("tokens")).alias("elements"))
 
 
 def token_stream(spark, sf_dir):

@@ -56,6 +56,13 @@ def drop_all(spark: SparkSession) -> None:
     _delete(spark, f"{shared_dir(spark)}/treekin/{_RUN}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as the session has cores at least: a small file is one task, however much there is to do for each row.
+    Larger inputs have more partitions than that, and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
