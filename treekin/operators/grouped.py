@@ -15,7 +15,10 @@ def _changes(rows: pa.Table, keys: int) -> np.ndarray:
     for c in range(keys):
         column = rows.column(c).combine_chunks()
         a, b = column.slice(0, len(out)), column.slice(1)
-        out |= pc.not_equal(a, b).fill_null(False).to_numpy(zero_copy_only=False)
+        differ = pc.not_equal(a, b).fill_null(False)
+        if pa.types.is_floating(column.type):  # Spark groups NaN with NaN
+            differ = pc.and_not(differ, pc.and_(pc.is_nan(a), pc.is_nan(b)).fill_null(False))
+        out |= differ.to_numpy(zero_copy_only=False)
         out |= a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False)
     return out
 
