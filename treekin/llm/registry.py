@@ -12,6 +12,7 @@ from treekin.llm.ngram_join import op1_ngram_jaccard_join
 from treekin.llm.pii import op4_pii, pii_base_counts
 from treekin.llm.quality import op5_quality_rules
 from treekin.llm.repair import op13_conversation_repair
+from treekin.llm.rule_model import op12_quality_classifier
 from treekin.llm.tokens import op3_token_counts, op9_token_output
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_token_output": op9_token_output,
     "op10_license_scan": op10_license_scan,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_conversation_repair": op13_conversation_repair,
     # what SQL can express of operators 4 and 10
     "pii_base_counts": pii_base_counts,
@@ -35,6 +37,7 @@ ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": sql.NGRAM_JOIN,
     "op2_mixing": mixing.ORACLE,
     "op5_quality_rules": quality.ORACLE,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_conversation_repair": sql.REPAIR,
     "pii_base_counts": sql.PII_COUNTS,
     "license_base_places": sql.LICENSE_BASE,
