@@ -101,10 +101,9 @@ def got(df):
 
 
 @pytest.mark.parametrize("turns", [256, 3, 1])
-def test_brute_force(spark, monkeypatch, turns):
+def test_brute_force(spark, turns):
     """Whole conversations, and conversations of which some or all are cut into stretches."""
     for seed in (1, 2):
-        monkeypatch.setattr(repair, "QUERY_ROWS", 40)
         rows = table_of(random.Random(seed))
         found = repair.repair_conversations(repair.damage(frame(spark, rows)), turns)
         assert found.count() == len({r[0] for r in rows}) and got(found) == expected(rows)

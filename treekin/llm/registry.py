@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from treekin.llm import mixing, quality, sql
+from treekin.llm import collocations, mixing, quality, sql
 from treekin.llm.chat import op7_chat_formatting
+from treekin.llm.collocations import op11_phrase_collocations
 from treekin.llm.decontaminate import op6_benchmark_decontamination
 from treekin.llm.html_text import op8_html_extraction
 from treekin.llm.licenses import license_base_places, op10_license_scan
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_token_output": op9_token_output,
     "op10_license_scan": op10_license_scan,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_quality_classifier": op12_quality_classifier,
     "op13_conversation_repair": op13_conversation_repair,
     # what SQL can express of operators 4 and 10
@@ -37,7 +39,9 @@ ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": sql.NGRAM_JOIN,
     "op2_mixing": mixing.ORACLE,
     "op5_quality_rules": quality.ORACLE,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_quality_classifier": op12_quality_classifier,
+    "op11_phrase_collocations": collocations.ORACLE,
     "op13_conversation_repair": sql.REPAIR,
     "pii_base_counts": sql.PII_COUNTS,
     "license_base_places": sql.LICENSE_BASE,
