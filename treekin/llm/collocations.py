@@ -119,6 +119,15 @@ class Bits:
     bits: int  # as a power of two
     data: np.ndarray
 
+    @staticmethod
+    def of(bits: int, pieces: list[bytes | None]) -> Bits:
+        size = (1 << bits) // 8 // len(pieces)
+        data = np.zeros(size * len(pieces), np.uint8)
+        for k, piece in enumerate(pieces):
+            if piece is not None:
+                data[k * size : (k + 1) * size] = np.frombuffer(zlib.decompress(piece), np.uint8)
+        return Bits(bits, data)
+
     def has(self, hashes: np.ndarray) -> np.ndarray:
         at = hashes & np.uint64((1 << self.bits) - 1)
         return (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -142,7 +151,7 @@ def _emit(maps, shards: int, bits: int, most: int):
     shift = np.uint64(bits - (shards.bit_length() - 1))
 
     def run(batches):
-        known = [Bits(b, np.frombuffer(x, np.uint8)) for b, x in maps.value]
+        known = [Bits.of(bits, x) for x in maps.value]
 
         def row(shard, lang=None, n=None, hashes=None, counts=None):
             return (shard, lang, n, hashes, counts)
@@ -203,13 +212,12 @@ def _frequent(least: int, shards: int, bits: int):
     return run
 
 
-def _map_of(found: DataFrame, shards: int, bits: int) -> bytes:
-    """The level's map, of 2 ** bits bits: the shards' pieces, one after the other."""
-    out = bytearray((1 << bits) // 8)
-    size = len(out) // shards
+def _map_of(found: DataFrame, shards: int) -> list[bytes | None]:
+    """The level's map in pieces as shards have made them, compressed: a few bytes for each bit that is set."""
+    out: list[bytes | None] = [None] * shards
     for r in found.select("shard", "map").toLocalIterator():
-        out[r[0] * size : (r[0] + 1) * size] = zlib.decompress(r[1])
-    return bytes(out)
+        out[r[0]] = bytes(r[1])
+    return out
 
 
 # --- the minimal perfect hash
@@ -366,13 +374,13 @@ def _phrases(t: Texts, maps: list[Bits]) -> Iterator[tuple[np.ndarray, pa.Array,
         yield hashes[at], pc.binary_join_element_wise(prefix.take(pa.array(t.lang[at])), joined, pa.scalar("", pa.large_string())), counts
 
 
-def _count(maps, table_of, piece: int, most: int):
+def _count(maps, table_of, bits: int, piece: int, most: int):
     """Of texts: rows of ARRAYS, the task's counts by slot and the phrases that have no slot of their own."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        known, mph = [Bits(b, np.frombuffer(x, np.uint8)) for b, x in maps.value], table_of.value
+        known, mph = [Bits.of(bits, x) for x in maps.value], table_of.value
         task, sums = TaskContext.get().partitionId(), SlotCounts(len(mph.keys))
         for t in _read(batches, most):
             for hashes, names, counts in _phrases(t, known):
@@ -541,11 +549,11 @@ def phrase_collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, slo
         found = stage(dealt.mapInArrow(_frequent(least, shards, bits), "shard int, hashes binary, counts binary, map binary"), "frequent-hashes")
         if words == 1:
             drop_stage(made)
-        maps.append((bits, _map_of(found, shards, bits)))
+        maps.append(_map_of(found, shards))
         levels.append(found)
     mph = PerfectHash(_head(levels, slots))
     known = spark.sparkContext.broadcast(maps)
-    arrays = stage(rows.mapInArrow(_count(known, spark.sparkContext.broadcast(mph), piece, most), ARRAYS), "slot-arrays")
+    arrays = stage(rows.mapInArrow(_count(known, spark.sparkContext.broadcast(mph), bits, piece, most), ARRAYS), "slot-arrays")
     arrays = _tree_sum(arrays, rows._jdf.queryExecution().toRdd().getNumPartitions(), piece)
     for df in levels:
         drop_stage(df)
