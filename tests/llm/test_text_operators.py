@@ -62,6 +62,53 @@ def test_words(monkeypatch, size):
     assert len(set(seen.values())) == len(seen)
 
 
+def thue_morse(k):
+    """A word of 2 ** k letters whose complement has the same polynomial hash modulo 2 ** 64, whatever the base, from k = 10 on."""
+    word = "a"
+    for _ in range(k):
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("k", [3, 10, 12])
+def test_regular_words_have_hashes_of_their_own(k):
+    data = "\n".join(thue_morse(k)).encode()
+    for table in (SPACED, ALNUM):
+        w = words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]), table)
+        assert len(set(w.hashes.tolist())) == 2
+
+
+def test_regular_words_in_operators(spark):
+    """Documents that share no shingle, no item and no id but for two words that a weak hash takes for one."""
+    x, y = thue_morse(10)
+    texts = [f"{x} p q r t", f"{y} p q r t", f"{x} p q r t"]
+    assert joined(frame(spark, texts)) == [(0, 1, 0), (1, 1, 1), (2, 1, 0)]
+    items = spark.createDataFrame([(1, f"{x} one two three four")], "item_id long, text string")
+    docs = frame(spark, [f"a b {w} one two three four c d" for w in (x, y)])
+    assert {r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()} == {1}
+    path = new_path(spark, "test-tokens")
+    tokens.write_token_file(frame(spark, texts), path)
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.tokenizer_path())
+    want = [zlib.crc32(np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4").tobytes()) for text in texts]
+    assert [r["ids_crc32"] for r in tokens.read_token_file(spark, path).orderBy("doc_id").collect()] == want
+
+
+def test_words_that_stand_alone():
+    import json
+
+    spec = json.load(open(tokens.tokenizer_path()))
+    assert tokens.words_stand_alone(spec)
+    split = spec["pre_tokenizer"]["pretokenizers"][0]
+    changes = [
+        {"normalizer": {"type": "Prepend", "prepend": "_"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}},
+        {"pre_tokenizer": {**split, "behavior": "Isolated"}}, {"pre_tokenizer": {**split, "pattern": {"Regex": r"\s?[\p{L}]+"}}}, {"pre_tokenizer": {**split, "pattern": {"Regex": r"[^\p{L}]+"}}},
+        {"added_tokens": [{"content": "a b"}]}, {"added_tokens": [{"content": "x", "lstrip": True}]}, {"truncation": {"max_length": 5}},
+    ]
+    assert not any(tokens.words_stand_alone(spec | c) for c in changes)
+
+
 def shingles(text, k=5):
     w = WORD.findall((text or "").translate(LOWER))
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()

@@ -2,7 +2,8 @@
 
 Encoding.  Public tokenizers whose pieces never cross ASCII white space give a text the ids of its words, one after the
 other.  So distinct words are encoded once for each Python worker, and texts are put together from a table of words by
-NumPy.  ``Encoder`` checks that property of the tokenizer file and encodes whole texts where it doesn't hold.
+NumPy.  Words are told apart by their characters, not by hashes.  ``words_stand_alone`` reads that property from the tokenizer's file;
+where it doesn't hold, whole texts are encoded.
 
 Operator 9: bit-plane shuffling.  A token file is a Parquet table of segments; a segment holds whole documents in ascending
 doc_id order, cut into blocks of ``BLOCK_IDS`` ids.  A block's ids are transposed into byte or bit planes, each plane is
@@ -24,6 +25,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import zlib
 from urllib.parse import quote
 
@@ -33,13 +35,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treekin.llm.wordhash import SPACED, text_groups, words_of
+from treekin.llm.wordhash import distinct_words, text_groups
 from treekin.shared import small_batches, stage, table
 
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 21
 #: Distinct words that a Python worker remembers; beyond that it starts anew.
-WORDS_HELD = 1_500_000
+WORDS_HELD = 500_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -48,6 +50,37 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Parts of a tokenizer that look at one character, or at white space, at a time.
+_LOCAL_NORMALIZERS = {"NFC", "NFD", "Lowercase", "StripAccents"}
+#: Alternatives of a split pattern that match no white space: plain letters, Unicode classes, and all but white space and some classes.
+_NO_SPACE = re.compile(r"'?[A-Za-z]+|\[(?:\\p\{\w+\})+\]\+?|\[\^\\s(?:\\p\{\w+\})*\]\+?")
+
+
+def _sequence(part: dict | None, name: str) -> list[dict]:
+    return [] if part is None else part[name] if part["type"] == "Sequence" else [part]
+
+
+def words_stand_alone(spec: dict) -> bool:
+    """Whether a tokenizer gives each text the ids of its words, as its file says; False where it isn't clear.
+
+    Normalizers must keep words apart, the first pre-tokenizer must drop white space, and no added token may hold or eat any.
+    """
+    for step in _sequence(spec.get("normalizer"), "normalizers"):
+        spaces = step["type"] == "Replace" and step.get("pattern") == {"Regex": "\\s+"} and step.get("content") == " "
+        if step["type"] not in _LOCAL_NORMALIZERS and not spaces:
+            return False
+    steps = _sequence(spec.get("pre_tokenizer"), "pretokenizers")
+    if not steps:
+        return False
+    pattern = steps[0].get("pattern", {}).get("Regex", "")
+    drops = steps[0]["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
+    drops |= steps[0]["type"] == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True and bool(pattern) and all(_NO_SPACE.fullmatch(x) for x in pattern.split("|"))
+    rest = all(x["type"] == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in steps[1:])
+    plain = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) and not re.search(r"\s", t["content"]) for t in spec.get("added_tokens") or [])
+    whole = not spec.get("truncation") and not spec.get("padding") and not spec.get("model", {}).get("dropout")
+    return drops and rest and plain and whole
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, without special tokens."""
 
@@ -56,25 +89,25 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
-        probes = [("Ab", "ab"), ("a1", ".b"), ("x's", "\u0301y"), ("", "é,")]
-        self.by_word = all(ids(s + a + s + b + s) == ids(a) + ids(b) for a, b in probes for s in (" ", "\n", "\t ", "\r\n", "\x0b\x0c"))
+        with open(path, encoding="utf-8") as f:
+            self.by_word = words_stand_alone(json.load(f))
         self.size = self.tokenizer.get_vocab_size()
         self._clear()
 
     def _clear(self):
-        self.keys = np.zeros(0, np.uint64)
+        self.places: dict[str, int] = {}  # by the word itself
         self.begin = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
-    def _learn(self, keys: np.ndarray, words: list[str]):
+    def _learn(self, words: list[str]):
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         count = np.array([len(x) for x in ids], np.int64)
         begin = len(self.flat) + np.concatenate([[0], np.cumsum(count)[:-1]])
         self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.int32)])
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.begin, self.count = np.insert(self.keys, at, keys), np.insert(self.begin, at, begin), np.insert(self.count, at, count)
+        for k, x in enumerate(words, len(self.begin)):
+            self.places[x] = k
+        self.begin, self.count = np.concatenate([self.begin, begin]), np.concatenate([self.count, count])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of consecutive texts, each followed by `end`, and where each begins (and the end of the last)."""
@@ -83,21 +116,18 @@ class Encoder:
             texts = [raw[a:b].decode() for a, b in zip(offsets, offsets[1:], strict=False)]
             ids = [np.array([*e.ids, end], np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             return np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-        w = words_of(data, offsets, SPACED)
-        u, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(u) > WORDS_HELD:
+        first, codes, words = distinct_words(data, offsets)
+        if len(self.places) + len(words) > WORDS_HELD:
             self._clear()
-        at = np.minimum(np.searchsorted(self.keys, u), max(0, len(self.keys) - 1))
-        new = np.flatnonzero(self.keys[at] != u) if len(self.keys) else np.arange(len(u))
-        if len(new):
-            raw = data.tobytes()
-            self._learn(u[new], [raw[a:b].decode() for a, b in zip(w.starts[first[new]].tolist(), w.ends[first[new]].tolist(), strict=True)])
-            at = np.searchsorted(self.keys, u)
-        count, begin = self.count[at][inverse], self.begin[at][inverse]
+        new = [x for x in words if x not in self.places]
+        if new:
+            self._learn(new)
+        at = np.fromiter((self.places[x] for x in words), np.int64, len(words))[codes]
+        count, begin = self.count[at], self.begin[at]
         # every text gets one more "word": its end
-        n = np.diff(w.first)
-        slots = np.arange(len(inverse)) + np.repeat(np.arange(len(n)), n)
-        sizes = np.ones(len(inverse) + len(n), np.int64)
+        n = np.diff(first)
+        slots = np.arange(len(at)) + np.repeat(np.arange(len(n)), n)
+        sizes = np.ones(len(at) + len(n), np.int64)
         sizes[slots] = count
         stops = np.concatenate([[0], np.cumsum(sizes)])
         out = np.full(stops[-1], end, np.int32)
@@ -108,7 +138,7 @@ class Encoder:
         inside[stops[ends]] = False
         places = places[inside]
         out[places] = self.flat[places + shift]
-        return out, stops[np.concatenate([[0], w.first[1:] + np.arange(1, len(n) + 1)])]
+        return out, stops[np.concatenate([[0], first[1:] + np.arange(1, len(n) + 1)])]
 
 
 @functools.lru_cache(maxsize=4)

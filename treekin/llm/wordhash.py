@@ -1,8 +1,9 @@
 """Words of whole Arrow string columns and their 64-bit hashes, vectorised with NumPy.
 
 A word is a longest run of bytes outside a delimiter set.  Every delimiter is an ASCII byte, so cutting UTF-8 text at
-bytes never splits a code point.  A word's hash is a polynomial over random 64-bit values of its bytes, taken from
-prefix sums over a whole block, and then finalised; equal words have equal hashes in every process.
+bytes never splits a code point.  A word's hash is the sum, over its bytes, of mixed 64-bit values of the byte and its place in the word,
+taken from prefix sums over a whole block, and then finalised; equal words have equal hashes in every process.  Mixing is not
+linear in the place, so that regular words (repeated or mirrored patterns) have no more collisions than others.
 """
 
 from __future__ import annotations
@@ -23,10 +24,7 @@ with contextlib.suppress(OSError, AttributeError):
 
 #: Bytes of text handled at once; a longer document is cut at a delimiter, a longer word is kept whole.
 BLOCK = 1 << 19
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def _table(delimiters: str) -> np.ndarray:
@@ -54,19 +52,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        n = max(n, BLOCK + 4096)
-        out = []
-        for base in (_BASE, _INVERSE):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _powers = (out[0], out[1])
-    return _powers
-
-
 @dataclass
 class Words:
     """Words of consecutive texts: byte offsets from the first text's start, hashes, and where each text's words begin."""
@@ -113,11 +98,19 @@ def words_of(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED, l
         after[n - 1] = False
         after[:-1] = inside[1:]
         e = np.flatnonzero(inside & (~after | border[1:])) + 1
-        power, inverse = _power_tables(n + 1)
+        begin = np.zeros(n, np.int64)
+        begin[s] = s
+        np.maximum.accumulate(begin, out=begin)
+        each = (np.arange(n) - begin).astype(np.uint64)
+        each *= np.uint64(0x9E3779B97F4A7C15)
+        each += _VALUES[part]
+        each ^= each >> np.uint64(32)
+        each *= np.uint64(0xD6E8FEB86659FD93)
+        each ^= each >> np.uint64(29)
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
-        np.cumsum(_VALUES[part] * power[:n], out=sums[1:])
-        h = (sums[e] - sums[s]) * inverse[s]
+        np.cumsum(each, out=sums[1:])
+        h = sums[e] - sums[s]
         hashes.append(mix(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
         starts.append(s + at)
         ends.append(e + at)
@@ -129,6 +122,25 @@ def words_of(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED, l
     return Words(s, np.concatenate(ends), np.concatenate(hashes), np.searchsorted(s, offsets))
 
 
+def distinct_words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of consecutive texts: where each one's words begin (and the end of the last), each word's place in the distinct words, and these.
+
+    Words are compared as they are, by Arrow.
+    """
+    inside = word[data]
+    n = len(inside)
+    border = np.zeros(n + 1, bool)
+    border[offsets] = True
+    before = np.concatenate([[False], inside[:-1]])
+    starts = np.flatnonzero(inside & (~before | border[:n]))
+    sizes = np.concatenate([[0], np.cumsum(inside, dtype=np.int64)])
+    # the words one after the other, without what lies between
+    ends = np.concatenate([sizes[starts], sizes[-1:]])
+    words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data[inside])])
+    coded = words.dictionary_encode()
+    return np.searchsorted(starts, offsets), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+
+
 def text_groups(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of groups of rows with about `size` bytes of text; null is empty."""
     column = column.cast(pa.large_string()).fill_null("") if column.null_count or column.type != pa.large_string() else column
