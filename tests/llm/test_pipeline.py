@@ -1,14 +1,19 @@
 """The pipeline's stages on the smallest tables, each held against brute force on its own input; and the operators' SQL."""
 
 import random
+import zlib
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.conftest import SMALL
 from tests.llm.test_text_operators import alnum, components, stats
+from treekin.llm import mixing, tokens
 from treekin.llm.registry import ORACLES, QUERIES
 from treekin.shared import stage, table
 
@@ -28,10 +33,17 @@ def test_stages(spark):
     assert {r["doc_id"] for r in free.collect()} == {r["doc_id"] for r in single.collect()} - dirty
     mixed = stage(steps[3](spark, free, SMALL), "t3")
     assert mixed.columns == docs.columns and mixed.groupBy("doc_id").count().agg({"count": "max"}).first()[0] <= 3
-    total = lambda df: sum(len(r["text"].split()) for r in df.collect())
-    assert abs(total(mixed) - total(free)) < 0.1 * total(free)
-    out = steps[4](spark, mixed, SMALL)
-    assert out.count() == mixed.count()
+    sized = free.select("doc_id", "source", mixing.text_size(F.col("text")).alias("size"), mixing.text_quality(F.col("text")).alias("quality"))
+    targets = {r["source"]: (r["target"], r["size"]) for r in mixing.mix(sized).groupBy("source").agg(F.max("target").alias("target"), F.max("size").alias("size")).collect()}
+    words = {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.sum(mixing.text_size(F.col("text"))).alias("n")).collect()}
+    assert all(abs(words.get(s, 0) - target) <= size / 2 + 1 for s, (target, size) in targets.items())
+    out, t = [tuple(r) for r in steps[4](spark, mixed, SMALL).select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("start").collect()], Tokenizer.from_file(tokens.tokenizer_path())
+    want, start = [], 0
+    for r in sorted(mixed.collect(), key=lambda r: (r["doc_id"], r["text"])):
+        ids = np.array([*t.encode(r["text"], add_special_tokens=False).ids, 2], "<u4")
+        want.append((r["doc_id"], start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert out == want
 
 
 def test_run_drops_its_stages(spark):

@@ -334,6 +334,21 @@ def test_mixing_of_repeated_rows_and_null_ids(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(5)).collect()))
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_mixed_documents_with_one_id(spark, same):
+    """All ids null or equal: each source's words come within half a document of its target."""
+    rng = random.Random(31)
+    rows = [(None if k % 2 else 7, "one two three four five six seven eight nine ten" if same else prose(rng, 10), "a" if k < 200 else "b" if k < 250 else None, k) for k in range(330)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k long").repartition(6)
+    targets = {r["source"]: r["target"] for r in mixing.mix(docs.select("doc_id", "source", F.lit(10).cast("long").alias("size"), F.lit(1.0).alias("quality"))).collect()}
+    out = mixing.mix_documents(docs).collect()
+    taken = Counter(r["source"] for r in out)
+    assert all(abs(10 * taken[s] - t) <= 5 for s, t in targets.items())
+    assert max(Counter(r["k"] for r in out).values()) <= 3
+    if not same:
+        assert sorted(r["text"] for r in out) == sorted(r["text"] for r in mixing.mix_documents(docs.repartition(3)).collect())
+
+
 def test_quality_weights(spark):
     docs = frame(spark, ["a", "b", "c"])
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, 0)], "doc_id long, quality int")

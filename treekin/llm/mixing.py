@@ -14,9 +14,10 @@ and only the one bin of each source in which the budget ends is sorted.
 
 Edge cases.  Null or empty text has size 0 and takes 0 words.  Null sources are one source, after all others.  A null or
 non-positive quality weight counts as 1.  A null doc_id has a key of its own, like any value.  Rows with equal keys are
-taken by doc_id, then by size; equal rows are interchangeable, so reruns agree as sets of rows.  Sizes of 0 in all rows,
-or an empty table, give targets of 0.  Other columns pass through under their names; a name that the operator itself uses
-is kept apart in a struct.
+taken by doc_id, then by size; equal rows are interchangeable, so reruns agree as sets of rows.  ``mix_documents`` orders
+rows of equal id and size by a hash of their text, and counts off rows that are equal in that as well, so that budgets
+hold.  Sizes of 0 in all rows, or an empty table, give targets of 0.  Other columns pass through under their names; a
+name that the operator itself uses is kept apart in a struct.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
 
 
 def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: int = 0, whole: bool = False) -> DataFrame:
-    """rows: (doc_id, source, size, quality, ...).  Adds source_size, target and taken: how many words of the row the mix takes.
+    """rows: (doc_id, source, size, quality, ...); a column tie orders rows of equal id and size.  Adds source_size, target and taken: how many words of the row the mix takes.
 
     whole: a document is taken as a whole or not at all in an incomplete epoch, whichever is nearer to the budget;
     otherwise the last one gives the words that are left.  The columns copies and epochs hold the whole copies of the row and the
@@ -103,7 +104,7 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     whole_bin = F.when(F.col("end_bin").isNull() | (F.col("bin") > F.col("end_bin")), 0).otherwise(F.col("size"))
     whole_bin = F.when(F.col("left") == 0, 0).otherwise(whole_bin).cast("long")
     sure = joined.where(~open_).select("*", whole_bin.alias("part"))
-    last = Window.partitionBy("source").orderBy("k", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    last = Window.partitionBy("source").orderBy("k", "doc_id", "size", *([F.col("rest")["tie"]] if "tie" in extra else [])).rowsBetween(Window.unboundedPreceding, -1)
     room = F.col("left") - F.col("end_before") - F.coalesce(F.sum("size").over(last), F.lit(0))
     part = F.when(2 * room >= F.col("size"), F.when(room > 0, F.col("size")).otherwise(0)).otherwise(0) if whole else F.greatest(F.least(room, F.col("size")), F.lit(0))
     fine = joined.where(open_).select("*", part.cast("long").alias("part"))
@@ -138,25 +139,48 @@ def text_quality(text: Column) -> Column:
     return F.greatest(share, F.lit(0.05))
 
 
+def _ranked_in_source(rows: DataFrame) -> DataFrame:
+    """rows with rank, 1, 2, 3 ... within each source, in the order in which they lie: nothing is shuffled but a count of each partition."""
+    rows = stage(rows.sortWithinPartitions("source").withColumn("at", F.monotonically_increasing_id()), "mix-ties")
+    counts = rows.groupBy("source", F.shiftright("at", 33).alias("part")).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = stage(counts.select(F.col("source").alias("s"), "part", "first", before.alias("before")), "mix-ties")
+    found = rows.join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("at", 33) == F.col("part")))
+    return found.withColumn("rank", F.col("before") + F.col("at") - F.col("first") + 1).drop("at", "s", "part", "first", "before")
+
+
 def mix_documents(docs: DataFrame, quality: Column | None = None, seed: int = 0) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it, with the columns it had.
 
-    The mix is made of the documents' sizes alone.  What it takes of an incomplete epoch is all up to one key of each source, so
-    the texts are read once more and compared with it, and never shuffled.
+    The mix is made of the documents' sizes alone.  What it takes of an incomplete epoch is all up to one place of each source's order, so
+    the texts are read once more and compared with it, and never shuffled.  Rows at that place have one id, size and text; where only some
+    of them are taken they are counted off, and so many are.
     """
     names = docs.columns
-    weight = text_quality(F.col("text").cast("string")) if quality is None else quality
-    rows = docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), weight.alias("quality"), F.struct(*[_quoted(c) for c in names]).alias("document"))
-    rows = rows.withColumn("place", F.struct(order_key(F.col("doc_id"), F.col("quality"), seed).alias("k"), "doc_id", "size"))
-    sizes = stage(rows.select("doc_id", "source", "size", "quality", "place"), "mix-sizes")
-    more = F.when(F.col("copies") > F.col("epochs"), F.col("place"))
-    cuts = stage(mix(sizes, seed=seed, whole=True).groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(more).alias("cut")), "mix-cuts")
+    text = F.col("text").cast("string")
+    weight = text_quality(text) if quality is None else quality
+    rows = docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), weight.alias("quality"), F.xxhash64(text).alias("tie"), F.struct(*[_quoted(c) for c in names]).alias("document"))
+    rows = rows.withColumn("place", F.struct(order_key(F.col("doc_id"), F.col("quality"), seed).alias("k"), "doc_id", "size", "tie"))
+    sizes = stage(rows.select("doc_id", "source", "size", "quality", "place", "tie"), "mix-sizes")
+    mixed = stage(mix(sizes, seed=seed, whole=True).select("source", "place", "copies", "epochs"), "mix-places")
     drop_stage(sizes)
+    once_more = F.col("copies") > F.col("epochs")
+    cuts = mixed.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when(once_more, F.col("place"))).alias("cut"))
+    m, c = mixed.alias("m"), cuts.alias("c")
+    there = m.join(c, F.col("m.source").eqNullSafe(F.col("c.source")) & (F.col("m.place") == F.col("c.cut")))
+    there = there.groupBy(F.col("c.source").alias("s")).agg(F.count(F.lit(1)).alias("every"), F.count(F.when(F.col("m.copies") > F.col("m.epochs"), 1)).alias("some"))
+    cuts = stage(cuts.join(there, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "mix-cuts")
+    drop_stage(mixed)
     r, c = rows.select("source", "size", "place", "document").alias("r"), cuts.alias("c")
-    joined = r.join(c, F.col("r.source").eqNullSafe(F.col("c.source"))).select("document", "size", "place", "epochs", "cut")
-    taken = F.col("epochs") + F.when(F.col("cut").isNotNull() & (F.col("size") > 0) & (F.col("place") <= F.col("cut")), 1).otherwise(0)
-    copies = F.explode(F.sequence(F.lit(1), taken.cast("int")))
-    return joined.where(taken > 0).select("document", copies.alias("copy")).select("document.*")
+    joined = r.join(c, F.col("r.source").eqNullSafe(F.col("c.source"))).select("r.source", "document", "size", "place", "epochs", "cut", "every", "some")
+    tied = F.coalesce((F.col("place") == F.col("cut")) & (F.col("some") < F.col("every")), F.lit(False))
+    up_to = F.when(F.col("cut").isNotNull() & (F.col("size") > 0) & (F.col("place") <= F.col("cut")), 1).otherwise(0)
+    out = joined.where(~tied).select("document", (F.col("epochs") + up_to).alias("taken"))
+    if not cuts.where("some < every").isEmpty():
+        counted = _ranked_in_source(joined.where(tied))
+        out = out.union(counted.select("document", (F.col("epochs") + F.when(F.col("rank") <= F.col("some"), 1).otherwise(0)).alias("taken")))
+    copies = F.explode(F.sequence(F.lit(1), F.col("taken").cast("int")))
+    return out.where("taken > 0").select("document", copies.alias("copy")).select("document.*")
 
 
 ORACLE = r"""
