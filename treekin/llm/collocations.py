@@ -12,7 +12,7 @@ as they are, so a phrase that has another one's hash is told apart.  The tasks'
 slots, or in another one's slot, are counted by name with groupBy, which is the exact way for the rest at any size.  Cuts are then
 read by slot from the summed array; those that have none of their own by a join.
 
-Memory.  Tasks hold a batch of texts, the bitmaps and 20 bytes or so for each slot; shards grow in number with the text, not in size.
+Memory.  Tasks hold a batch of texts, the bitmaps and 60 bytes or so for each slot, its phrase included; shards grow in number with the text, not in size.
 
 Edge cases.  Null text is empty; a null language is ``und``.  Languages are kept apart and may be any strings.  Words are bytes
 outside the delimiters, so NUL and other control characters are part of words.  Repeated rows count as often as they occur.  Phrases
@@ -38,7 +38,7 @@ from treekin.shared import drop_stage, small_batches, spread, stage, table
 
 LEAST, TOP = 10, 2000
 #: Candidates that tasks count in arrays; slots of one piece of an array.
-SLOTS, PIECE = 1 << 20, 1 << 16
+SLOTS, PIECE = 1 << 22, 1 << 16
 #: Bits of a level's map, and bytes of text for one shard and for one batch.
 MOST_BITS, SHARD_BYTES, BATCH_BYTES = 1 << 28, 16 << 20, 8 << 20
 _PIECES = ".,;:!?\n\x0b\x0c\r"
@@ -267,8 +267,9 @@ class PerfectHash:
         return np.where(known, n, -1)
 
 
-def _head(levels: list[DataFrame], slots: int) -> np.ndarray:
-    """The hashes with the highest counts, `slots` of them at most: all whose count is in the same eighth of a power of two, or none."""
+def _head(levels: list[DataFrame], slots: int) -> tuple[np.ndarray, bool]:
+    """The hashes with the highest counts, `slots` of them at most: all whose count is in the same eighth of a power of two, or none; and whether
+    these are all hashes."""
 
     def bins(n: np.ndarray) -> np.ndarray:
         return np.floor(8 * np.log2(n)).astype(np.int64)
@@ -299,7 +300,7 @@ def _head(levels: list[DataFrame], slots: int) -> np.ndarray:
             break
         least, total = b, total + sizes[b]
     found = [np.frombuffer(r[0], np.uint64) for r in every.mapInArrow(taken(least), "h binary").toLocalIterator()]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64), total == sum(sizes.values())
 
 
 # --- counts by slot
@@ -313,7 +314,7 @@ class SlotCounts:
     """Counts by slot, and the phrase that each slot stands for."""
 
     def __init__(self, n: int):
-        self.counts, self.where, self.held = np.zeros(n, np.int64), np.full(n, -1, np.int64), pa.array([], pa.large_string())
+        self.counts, self.where, self.held = np.zeros(n, np.int64), np.full(n, -1, np.int32), pa.array([], pa.large_string())
 
     def own(self, slots: np.ndarray, names: pa.Array) -> np.ndarray:
         """Whether each phrase is the one that its slot stands for; a free slot takes the first that comes."""
@@ -374,8 +375,11 @@ def _phrases(t: Texts, maps: list[Bits]) -> Iterator[tuple[np.ndarray, pa.Array,
         yield hashes[at], pc.binary_join_element_wise(prefix.take(pa.array(t.lang[at])), joined, pa.scalar("", pa.large_string())), counts
 
 
-def _count(maps, table_of, bits: int, piece: int, most: int):
-    """Of texts: rows of ARRAYS, the task's counts by slot and the phrases that have no slot of their own."""
+def _count(maps, table_of, bits: int, piece: int, most: int, complete: bool):
+    """Of texts: rows of ARRAYS, the task's counts by slot and the phrases that have no slot of their own.
+
+    complete: whether all candidates have slots, so that a phrase without one is none.
+    """
 
     def run(batches):
         from pyspark import TaskContext
@@ -389,9 +393,9 @@ def _count(maps, table_of, bits: int, piece: int, most: int):
                 mine = np.zeros(len(slots), bool)
                 mine[inside] = sums.own(slots[inside], names.filter(pa.array(inside)))
                 sums.counts += np.bincount(np.repeat(slots[mine], counts[mine]), minlength=len(sums.counts))
-                if not mine.all():
-                    rest = pa.array(~mine)
-                    yield _batch([(task, -1, None, None, None, names.filter(rest).cast(pa.string()), counts[~mine].tolist(), slots[~mine].tolist())])
+                rest = inside & ~mine if complete else ~mine
+                if rest.any():
+                    yield _batch([(task, -1, None, None, None, names.filter(pa.array(rest)).cast(pa.string()), counts[rest].tolist(), slots[rest].tolist())])
         for row in sums.pieces(task, piece):
             yield _batch([row])
 
@@ -551,7 +555,8 @@ def phrase_collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, slo
             drop_stage(made)
         maps.append(_map_of(found, shards))
         levels.append(found)
-    mph = PerfectHash(_head(levels, slots))
+    head, complete = _head(levels, slots)
+    mph = PerfectHash(head)
     known = spark.sparkContext.broadcast(maps)
     arrays = stage(rows.mapInArrow(_count(known, spark.sparkContext.broadcast(mph), bits, piece, most), ARRAYS), "slot-arrays")
     arrays = _tree_sum(arrays, rows._jdf.queryExecution().toRdd().getNumPartitions(), piece)
@@ -562,7 +567,7 @@ def phrase_collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, slo
     for r in arrays.where("piece >= 0").select("piece", "counts").toLocalIterator():
         part = np.frombuffer(r[1], np.int64)
         counts[r[0] * piece : r[0] * piece + len(part)] = part
-    for r in arrays.where("piece < 0").select(F.explode("slot").alias("s")).where("s >= 0").distinct().toLocalIterator():
+    for r in arrays.where("piece < 0").select(F.explode(F.filter("slot", lambda x: x >= 0)).alias("s")).distinct().toLocalIterator():
         shared[r[0]] = True
     names = arrays.mapInArrow(_named, "name string, a long").groupBy("name").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
     at = F.instr("name", ":")
