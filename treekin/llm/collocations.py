@@ -558,7 +558,7 @@ def phrase_collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, slo
     head, complete = _head(levels, slots)
     mph = PerfectHash(head)
     known = spark.sparkContext.broadcast(maps)
-    arrays = stage(rows.mapInArrow(_count(known, spark.sparkContext.broadcast(mph), bits, piece, most), ARRAYS), "slot-arrays")
+    arrays = stage(rows.mapInArrow(_count(known, spark.sparkContext.broadcast(mph), bits, piece, most, complete), ARRAYS), "slot-arrays")
     arrays = _tree_sum(arrays, rows._jdf.queryExecution().toRdd().getNumPartitions(), piece)
     for df in levels:
         drop_stage(df)
