@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from treekin.config import Settings
 from treekin.functions import scalar
+from treekin.functions.scalar import percent
+from treekin.operators.callgraph import component_counts
+from treekin.operators.trees import annotate, tree_distance
 from treekin.plans.cohort import AnalysisRequest, analyze_cohort
 from treekin.plans.pairs import analyze, compare
 from treekin.plans.store import Store, Transaction
@@ -315,3 +318,111 @@ def test_component_count(spark):
 def test_keys():
     assert scalar.provider_configured(" k ") and not scalar.provider_configured(" ") and not scalar.provider_configured("your-key", "your-key")
     assert scalar.workspace_token() != scalar.workspace_token()
+
+
+def _trees_of(rng, n):
+    """Functions of n submissions over a few statements, as analyze() takes them."""
+    rows = []
+    for i in range(n):
+        for k in range(3):
+            nodes = [("function", None, 0, 0)]
+            for _ in range(rng.randint(4, 14)):
+                nodes.append(("call", rng.choice("fgh"), 1, 1))
+                nodes.append((rng.choice(["x", "y", "z"]), None, 2, 0))
+            nodes[0] = ("function", None, 0, (len(nodes) - 1) // 2)
+            rows.append((i, f"f{k}", k, nodes, [f"f{(k + 1) % 3}"] if rng.random() < 0.5 else []))
+    return rows
+
+
+FUNCTIONS = "submission_id long, name string, order_index int, ast array<struct<label:string,value:string,depth:int,n_children:int>>, callees array<string>"
+
+
+def test_only_asked_shapes_are_measured(spark, monkeypatch):
+    """Shape pairs are those of asked pairs; bounds lose none that reaches the threshold; brute force agrees."""
+    import treekin.plans.pairs as plan
+
+    rng = random.Random(17)
+    functions = analyze(spark.createDataFrame(_trees_of(rng, 12), FUNCTIONS)).cache()
+    listed = {(r["submission_id"], r["order_index"]): r for r in functions.collect()}
+    measured = []
+    real = plan.tree_distances
+    monkeypatch.setattr(plan, "tree_distances", lambda shapes, pairs: measured.append({(r["a"], r["b"]) for r in pairs.collect()}) or real(shapes, pairs))
+    for settings in (Settings(), Settings(match_threshold=0.4)):
+        for asked in ([(0, i) for i in range(1, 12)], [(1, 2), (3, 4)]):
+            measured.clear()
+            pairs = spark.createDataFrame(asked, "a long, b long")
+            scores = plan.shape_scores(functions, functions, pairs, settings)
+            got = {(r["x"], r["y"]): r["combined"] for r in scores.collect() if r["x"] != r["y"]}
+            possible, want = set(), {}
+            for a, b in asked:
+                for f in (listed[a, k] for k in range(3)):
+                    for g in (listed[b, k] for k in range(3)):
+                        if f["tree_id"] != g["tree_id"]:
+                            x, y = sorted((f["tree_id"], g["tree_id"]))
+                            possible.add((x, y))
+                            s, t = set(f["fingerprints"]), set(g["fingerprints"])
+                            n = len(f["ast"]) + len(g["ast"])
+                            d = tree_distance(*[annotate([x["sig"] for x in r["shape"]], [x["n_children"] for x in r["shape"]]) for r in (f, g)])
+                            combined = settings.ted_share * (1 - d / n) + (1 - settings.ted_share) * len(s & t) / len(s | t)
+                            if combined >= settings.match_threshold:
+                                want[x, y] = want[y, x] = combined
+            assert len(measured) == 1 and measured[0] <= possible and len(measured[0]) < len(possible)
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_sides_are_kept_apart(spark):
+    """Pairs of one side's own shapes are no candidates."""
+    import treekin.plans.pairs as plan
+
+    functions = analyze(spark.createDataFrame(_trees_of(random.Random(3), 9), FUNCTIONS))
+    left, right = functions.where("submission_id < 8"), functions.where("submission_id = 8")
+    pairs = spark.createDataFrame([(i, 8) for i in range(8)], "a long, b long")
+    asked = plan.asked_shapes(left, right, pairs).collect()
+    mine = {r["tree_id"] for r in right.collect()}
+    assert asked and all(mine & {r["lo"], r["hi"]} for r in asked) and len(asked) <= 8 * 3 * 3
+
+
+def test_component_counts_of_large_groups(spark):
+    rng = random.Random(8)
+    nodes = [(g, f"n{i}") for g in range(6) for i in range(rng.randint(1, 30))] + [(9, "alone")]
+    names = {}
+    for g, x in nodes:
+        names.setdefault(g, []).append(x)
+    edges = sorted({(g, rng.choice(names[g]), rng.choice(names[g])) for g in range(6) for _ in range(12)})
+    want = {}
+    for g, mine in names.items():
+        root = {x: x for x in mine}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for _, x, y in (e for e in edges if e[0] == g):
+            root[find(x)] = find(y)
+        want[g] = len({find(x) for x in mine})
+    n, e = spark.createDataFrame(nodes, "submission_id long, name string"), spark.createDataFrame(edges, "submission_id long, caller string, callee string")
+    for most in (10**6, 25, 0):
+        assert {r[0]: r[1] for r in component_counts(n, e, most=most).collect()} == want
+
+
+def test_percent(spark):
+    """As toFixed(1) gives it: the nearest tenth to the exact value, the larger of two."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    scores = [k / 2000 for k in range(2001)] + [0.0025, 0.1275, 1 / 3, 0.99999, 1e-9, 0.0, 1.0] + [random.Random(2).random() for _ in range(500)]
+    rows = spark.createDataFrame([(s,) for s in scores], "s double").select("s", percent(F.col("s")).alias("p")).collect()
+    assert all(r["p"] == f"{Decimal(r['s'] * 100).quantize(Decimal('0.1'), ROUND_HALF_UP)}%" for r in rows)
+
+
+def test_requests_and_ids_are_checked_where_they_are_stored(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    code = "int f(int a) { return a + 1; }"
+    kind = "id long, name string, filename string, source_code string"
+    rows = [(1, "a", "a.c", code), (1, "b", "b.c", code), (2, "", "c.c", code), (3, "n" * 300, "d.c", code), (4, "e", "f" * 600, code), (None, "g", "g.c", code), (5, "h", "h.c", "int x;"), (6, "i", "i.c", None), (7, "j", "j.c", code), (7, "j", "j.c", code)]
+    lost = {(r["id"], r["reject_reason"]) for r in store.add_submissions("w", spark.createDataFrame(rows, kind)).collect()}
+    assert lost == {(1, "id is repeated"), (2, "name is missing"), (3, "name is too long"), (4, "filename is too long"), (None, "id is missing"), (5, "no functions"), (6, "source_code is missing"), (7, "id is repeated")}
+    again = {(r["id"], r["reject_reason"]) for r in store.add_submissions("other", spark.createDataFrame([(1, "a", "a.c", code), (8, "k", "k.c", code)], kind)).collect()}
+    assert again == {(1, "id is taken")}
+    assert sorted((r["id"], r["name"]) for r in store.table("submissions").collect()) == [(1, "a"), (7, "j"), (8, "k")]
+    assert store.table("functions").count() == 3

@@ -97,6 +97,48 @@ def test_tree_distance_equals_the_recurrence():
         assert distance(listed(a), listed(b)) == forest_distance((a,), (b,), {})
 
 
+def test_bounded_distance():
+    """The distance where it is within the bound, None beyond it, and fewer cells the lower the bound."""
+    rng = random.Random(5)
+    listed = lambda t: (t[0], [listed(c) for c in t[1]]) if t[1] else t[0]
+    for _ in range(120):
+        a, b = (trees.annotate(*tree(listed(random_tree(rng, rng.randint(1, 14))))) for _ in range(2))
+        d = trees.tree_distance(a, b)
+        for most in range(0, d + 3):
+            assert trees.tree_distance(a, b, most) == (d if d <= most else None)
+    big = [trees.annotate(*tree(listed(random_tree(rng, 150)))) for _ in range(2)]
+    cells = []
+    for most in (None, 150, 40, 10, 3):
+        work = [0]
+        found = trees.tree_distance(*big, most, work)
+        assert found is None or found == trees.tree_distance(*big)
+        cells.append(work[0])
+    assert cells[1] <= cells[0] and cells[1] > 2 * cells[2] > 4 * cells[3] > cells[4] >= 0
+
+
+def test_bounds_of_the_distance(spark):
+    """No bound is above the distance; binary branches tell apart what labels can't."""
+    rng = random.Random(6)
+    listed = lambda t: (t[0], [listed(c) for c in t[1]]) if t[1] else t[0]
+    rows, want = [], []
+    for i in range(150):
+        x = random_tree(rng, rng.randint(1, 16))
+        y = random_tree(rng, rng.randint(1, 16))
+        pair = [tree(listed(t)) for t in (x, y)]
+        rows.append((i, *[[(s, n) for s, n in zip(*p, strict=True)] for p in pair]))
+        want.append(trees.tree_distance(*[trees.annotate(*p) for p in pair]))
+    # one order of many leaves against another: the labels are the same
+    leaves = ["a", "b"] * 15
+    pair = [tree(("r", sorted(leaves))), tree(("r", leaves))]
+    rows.append((150, *[[(s, n) for s, n in zip(*p, strict=True)] for p in pair]))
+    want.append(trees.tree_distance(*[trees.annotate(*p) for p in pair]))
+    kind = "array<struct<sig:string,n_children:int>>"
+    df = spark.createDataFrame(rows, f"i long, x {kind}, y {kind}").select("i", trees.annotated(F.col("x")).alias("x"), trees.annotated(F.col("y")).alias("y"))
+    found = {r["i"]: (r["bound"], r["labels"]) for r in df.select("i", trees.distance_bound(F.col("x"), F.col("y")).alias("bound"), (F.greatest(F.size("x.labels"), F.size("y.labels")) - F.size(F.array_intersect("x.bag", "y.bag"))).alias("labels")).collect()}
+    assert all(labels <= found[i][0] <= want[i] for i, (_, labels) in found.items())
+    assert found[150][1] == 0 < found[150][0]
+
+
 def test_matching():
     m = matching.maximum_matching
     assert m({7: [3, 4], 8: [3]}, [7, 8], [3, 4]) == {7: 4, 8: 3}  # an augmenting path moves the first one

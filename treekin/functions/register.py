@@ -17,13 +17,13 @@ _EXPRESSIONS = (
     ("tree_signatures(ast ARRAY<STRUCT<label: STRING, value: STRING, depth: INT, n_children: INT>>)", "ARRAY<STRING>", "transform(ast, x -> concat_ws(':', x.label, x.value))"),
     (
         "annotated_tree(ast ARRAY<STRUCT<label: STRING, value: STRING, depth: INT, n_children: INT>>)",
-        "STRUCT<labels: ARRAY<BIGINT>, leftmost: ARRAY<INT>, keyroots: ARRAY<INT>>",
+        "STRUCT<labels: ARRAY<BIGINT>, leftmost: ARRAY<INT>, keyroots: ARRAY<INT>, bag: ARRAY<BIGINT>, branches: ARRAY<BIGINT>>",
         "annotate_codes(transform(ast, x -> xxhash64(concat_ws(':', x.label, x.value))), transform(ast, x -> x.n_children))",
     ),
     (
         "tree_distance(a ARRAY<STRUCT<label: STRING, value: STRING, depth: INT, n_children: INT>>, b ARRAY<STRUCT<label: STRING, value: STRING, depth: INT, n_children: INT>>)",
         "INT",
-        "annotated_distance(annotated_tree(a), annotated_tree(b))",
+        "annotated_distance(annotated_tree(a), annotated_tree(b), CAST(NULL AS INT))",
     ),
     (
         "tree_similarity(a ARRAY<STRUCT<label: STRING, value: STRING, depth: INT, n_children: INT>>, b ARRAY<STRUCT<label: STRING, value: STRING, depth: INT, n_children: INT>>)",

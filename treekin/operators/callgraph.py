@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treekin.functions.scalar import clamp, ratio
+from treekin.operators.grouped import whole_groups
 from treekin.operators.sets import multiset_jaccard
+from treekin.shared import stage
 
 # Fixed shares of degrees, edges and components.
 SHARES = (0.6, 0.2, 0.2)
@@ -30,8 +33,55 @@ def degree_counts(nodes: DataFrame, edges: DataFrame, by: str = "submission_id")
     return each.groupBy(by, "in_degree", "out_degree").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
-def component_counts(nodes: DataFrame, edges: DataFrame, by: str = "submission_id") -> DataFrame:
-    """(by, n_components): weak components, loops ignored.  All groups are solved at once, as one graph."""
+#: Groups with more nodes and edges than that are solved together, by rounds over the whole graph.
+GROUP_ROWS = 200_000
+
+
+def _count_components(batches):
+    """Of rows (by, name, other), sorted by `by`: each group's components; a row without other is a node alone."""
+    for rows, begin in whole_groups(batches, 1):
+        codes = pa.chunked_array([*rows.column(1).chunks, *rows.column(2).chunks]).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        u, v = codes[: rows.num_rows], codes[rows.num_rows :]
+        counts = []
+        for a, b in zip(begin, begin[1:], strict=False):
+            parent: dict[int, int] = {}
+            loose = 0
+            for x, y in zip(u[a:b].tolist(), v[a:b].tolist(), strict=True):
+                for z in (x, y):
+                    if z == z and z not in parent:
+                        parent[z] = z
+                        loose += 1
+                if y == y:
+                    while parent[x] != x:
+                        parent[x] = x = parent[parent[x]]
+                    while parent[y] != y:
+                        parent[y] = y = parent[parent[y]]
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        loose -= 1
+            counts.append(loose)
+        yield pa.record_batch([rows.column(0).take(pa.array(begin[:-1])).combine_chunks(), pa.array(counts, pa.int64())], ["key", "n_components"])
+
+
+def component_counts(nodes: DataFrame, edges: DataFrame, by: str = "submission_id", most: int = GROUP_ROWS) -> DataFrame:
+    """(by, n_components): weak components of the groups' nodes, loops ignored.
+
+    A call graph is small: each group of `most` nodes and edges at most is solved in one task, many of them from one batch.  Larger
+    ones are solved at once, as one graph, by connected_components.
+    """
+    kind = nodes.schema[by].dataType.simpleString()
+    rows = nodes.select(F.col(by).alias("key"), F.col("name").cast("string").alias("name"), F.lit(None).cast("string").alias("other"))
+    rows = rows.union(edges.select(by, F.col("caller").cast("string"), F.col("callee").cast("string"))).where("key IS NOT NULL")
+    large = stage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(F.col("key").alias(by)), "large-graphs")
+    some = not large.isEmpty()
+    small = rows.join(large.withColumnRenamed(by, "key"), "key", "left_anti") if some else rows
+    out = small.repartition("key").sortWithinPartitions("key").mapInArrow(_count_components, f"key {kind}, n_components long").withColumnRenamed("key", by)
+    if some:
+        out = out.union(_large_component_counts(nodes.join(large, by, "left_semi"), edges.join(large, by, "left_semi"), by))
+    return out
+
+
+def _large_component_counts(nodes: DataFrame, edges: DataFrame, by: str) -> DataFrame:
     from treekin.operators.components import connected_components
 
     key = lambda c: F.to_json(F.array(F.col(by).cast("string"), F.col(c).cast("string")))

@@ -69,3 +69,18 @@ def anti_join(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
     bits = min(MOST_BITS, 1 << (BITS_A_MEMBER * count - 1).bit_length())
     flagged, maybe = maybe_member(rows, key, gone.select(_quoted(own).alias(key)), bits)
     return flagged.where(~maybe).select(*columns).union(left(flagged.where(maybe).select(*columns), gone))
+
+
+def known_members(asked: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """(key): the asked keys that are among the stored ones, each once.  The stored table is scanned for its key and never shuffled while
+    the asked keys fit a broadcast or a bitmap; of a bitmap only rows that it lets through go on."""
+    own = stage(asked.select(_quoted(key).cast("long").alias(key)).where(_quoted(key).isNotNull()).distinct(), "asked-keys")
+    count = own.count()
+    rows = stored.select(_quoted(key).cast("long").alias(key))
+    if count <= MOST_KEYS:
+        return rows.join(F.broadcast(own), key, "left_semi").distinct()
+    if 4 * count > MOST_BITS:
+        return own.join(rows, key, "left_semi")
+    bits = min(MOST_BITS, 1 << (BITS_A_MEMBER * count - 1).bit_length())
+    flagged, maybe = maybe_member(rows, key, own, bits)
+    return own.join(flagged.where(maybe).select(key), key, "left_semi")

@@ -22,11 +22,11 @@ def global_rank(rows: DataFrame, *order: Column, name: str = "rank") -> DataFram
     sizes = sorted((r[0], r[1]) for r in at.groupBy(part.alias("p")).agg(F.count(F.lit(1))).collect())
     if not sizes:
         drop_stage(at)
-        return rows.withColumn(name, F.lit(0).cast("int"))
+        return rows.withColumn(name, F.lit(0).cast("long"))
     before, total = [], 0
     for p, n in sizes:
         before.append((p, total))
         total += n
     starts = rows.sparkSession.createDataFrame(before, "p long, before long")
-    place = (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1).cast("int")
+    place = (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1).cast("long")
     return at.join(F.broadcast(starts), part == F.col("p")).select("row.*", place.alias(name))

@@ -48,21 +48,34 @@ def _leaf_rows(ca: np.ndarray, left_a: np.ndarray, cb: np.ndarray, left_b: np.nd
     return leaves, (np.arange(len(cb)) - left_b + 1 - there).astype(np.int32)
 
 
-def tree_distance(a: tuple, b: tuple) -> int:
+#: More than any distance.
+_FAR = 1 << 28
+
+
+def tree_distance(a: tuple, b: tuple, most: int | None = None, work: list[int] | None = None) -> int | None:
     """Zhang and Shasha's recurrence over annotated trees; the rows of a forest table are NumPy vectors.
 
     Distances of leaves come for all of them at once.  Of a row, the costs without an insertion come from the row above; insertions are
     then one running minimum.
+
+    most: distances beyond it are None.  Where a mapping of cost `most` at most ends two forests with nodes x and y, their places in postorder
+    differ by `most` at most, as every node that one side has more is deleted or inserted.  So only a band of each table is filled, pairs of
+    subtrees that begin outside of it are left out, and the last table ends at a row from which the rest can't be reached.
+    work: the cells filled are added to its first item.
     """
     (la, left_a, keys_a), (lb, left_b, keys_b) = a, b
     if not len(la) or not len(lb):
-        return len(la) + len(lb)
+        total = len(la) + len(lb)
+        return total if most is None or total <= most else None
+    if most is not None and abs(len(la) - len(lb)) > most:
+        return None
+    band = len(la) + len(lb) if most is None else most
     if isinstance(la, np.ndarray) and isinstance(lb, np.ndarray):
         ca, cb = la, lb
     else:
         codes = {x: i for i, x in enumerate(dict.fromkeys([*la, *lb]))}
         ca, cb = np.array([codes[x] for x in la]), np.array([codes[x] for x in lb])
-    trees = np.zeros((len(la), len(lb)), np.int32)
+    trees = np.full((len(la), len(lb)), _FAR, np.int32)
     leaves, costs = _leaf_rows(ca, left_a, cb, left_b)
     trees[leaves] = costs
     leaves, costs = _leaf_rows(cb, left_b, ca, left_a)
@@ -73,29 +86,43 @@ def tree_distance(a: tuple, b: tuple) -> int:
             continue
         for j in keys_b:
             j0 = int(left_b[j])
-            if j0 == j:
+            if j0 == j or abs(i0 - j0) > band:
                 continue
             m, n = int(i) - i0 + 1, int(j) - j0 + 1
             steps = np.arange(n + 1, dtype=np.int32)
-            forest = np.empty((m + 1, n + 1), np.int32)
-            forest[0] = steps
+            forest = np.full((m + 1, n + 1), _FAR, np.int32)
+            reach = min(n, i0 + band - j0)
+            forest[0, : reach + 1] = steps[: reach + 1]
             spine_b = left_b[j0 : j + 1] == j0
             jump_b = left_b[j0 : j + 1] - j0
+            last = most is not None and i == len(la) - 1 and j == len(lb) - 1
             for x in range(1, m + 1):
                 at = i0 + x - 1
-                row = np.empty(n + 1, np.int32)
-                row[0] = x
-                row[1:] = forest[x - 1, 1:] + 1
+                lo, hi = max(1, at - band - j0 + 1), min(n, at + band - j0 + 1)
+                if lo > hi:
+                    if lo > n:
+                        break
+                    continue
+                if work is not None:
+                    work[0] += hi - lo + 1
+                row = np.empty(hi - lo + 2, np.int32)
+                row[0] = x if lo == 1 and at - j0 + 1 <= band else _FAR
+                forest[x, lo - 1] = row[0]
+                row[1:] = forest[x - 1, lo : hi + 1] + 1
+                on_b, jump = spine_b[lo - 1 : hi], jump_b[lo - 1 : hi]
+                there = trees[at, j0 + lo - 1 : j0 + hi]
+                swap = forest[int(left_a[at]) - i0, jump] + there
                 if left_a[at] == i0:
-                    swap = np.where(spine_b, forest[x - 1, :-1] + (cb[j0 : j + 1] != ca[at]), forest[int(left_a[at]) - i0, jump_b] + trees[at, j0 : j + 1])
-                else:
-                    swap = forest[int(left_a[at]) - i0, jump_b] + trees[at, j0 : j + 1]
+                    swap = np.where(on_b, forest[x - 1, lo - 1 : hi] + (cb[j0 + lo - 1 : j0 + hi] != ca[at]), swap)
                 np.minimum(row[1:], swap, out=row[1:])
-                row = np.minimum.accumulate(row - steps) + steps
-                forest[x] = row
+                row = np.minimum.accumulate(row - steps[lo - 1 : hi + 1]) + steps[lo - 1 : hi + 1]
+                forest[x, lo : hi + 1] = row[1:]
                 if left_a[at] == i0:
-                    trees[at, j0 : j + 1] = np.where(spine_b, row[1:], trees[at, j0 : j + 1])
-    return int(trees[-1, -1])
+                    trees[at, j0 + lo - 1 : j0 + hi] = np.where(on_b, row[1:], there)
+                if last and (row + np.abs((m - x) - (n - np.arange(lo - 1, hi + 1)))).min() > most:
+                    return None
+    found = int(trees[-1, -1])
+    return found if most is None or found <= most else None
 
 
 def shape(ast: Column) -> Column:
@@ -103,7 +130,57 @@ def shape(ast: Column) -> Column:
     return F.transform(ast, lambda x: F.struct(F.concat_ws(":", x["label"], x["value"]).alias("sig"), x["n_children"].alias("n_children")))
 
 
-TREE = StructType([StructField("labels", ArrayType(LongType())), StructField("leftmost", ArrayType(IntegerType())), StructField("keyroots", ArrayType(IntegerType()))])
+TREE = StructType(
+    [
+        StructField("labels", ArrayType(LongType())), StructField("leftmost", ArrayType(IntegerType())), StructField("keyroots", ArrayType(IntegerType())),
+        StructField("bag", ArrayType(LongType())), StructField("branches", ArrayType(LongType())),
+    ]
+)
+
+
+def numbered(codes: np.ndarray) -> np.ndarray:
+    """A set for a multiset: each code mixed with the number of equal ones before it.  Sets share as many elements as the multisets do, and
+    seldom more."""
+    order = np.argsort(codes, kind="stable")
+    ordered = codes[order]
+    first = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(codes) else np.zeros(0, bool)
+    place = np.arange(len(codes)) - np.maximum.accumulate(np.where(first, np.arange(len(codes)), 0)) if len(codes) else np.zeros(0, np.int64)
+    return _mixed(ordered.astype(np.uint64), place.astype(np.uint64)).view(np.int64)
+
+
+def _mixed(*parts: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(parts[0]), np.uint64)
+    for part in parts:
+        out = (out ^ part) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0x94D049BB133111EB)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def branches(codes: list[int], counts: list[int]) -> np.ndarray:
+    """Of a preorder, each node's binary branch: its label, the one of its first child and the one of its next sibling, as one code.
+
+    An edit changes five branches at most, so the distance of two trees is a fifth at least of the branches that they don't share.
+    """
+    n = len(codes)
+    child, sibling = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    before: list[list[int]] = []  # of each open node: children left, the child before
+    for i, c in enumerate(counts):
+        while before and before[-1][0] == 0:
+            before.pop()
+        if before:
+            top = before[-1]
+            if top[1] < 0:
+                child[i - 1] = i
+            else:
+                sibling[top[1]] = i
+            top[0] -= 1
+            top[1] = i
+        before.append([c, -1])
+    labels = np.array([*codes, 0], np.int64).view(np.uint64)
+    none = np.uint64(0x5851F42D4C957F2D)
+    return _mixed(labels[:-1], np.where(child >= 0, labels[child], none), np.where(sibling >= 0, labels[sibling], none)).view(np.int64)
 
 
 @F.arrow_udf(TREE)
@@ -111,12 +188,14 @@ def _annotated(codes: pa.Array, counts: pa.Array) -> pa.Array:
     out = []
     for c, n in zip(codes.to_pylist(), counts.to_pylist(), strict=True):
         labels, leftmost, keyroots = annotate(c or [], n or [])
-        out.append({"labels": labels, "leftmost": leftmost.tolist(), "keyroots": keyroots})
-    return pa.array(out, pa.struct([("labels", pa.list_(pa.int64())), ("leftmost", pa.list_(pa.int32())), ("keyroots", pa.list_(pa.int32()))]))
+        bag, profile = numbered(np.array(c or [], np.int64)), numbered(branches(c or [], n or []))
+        out.append({"labels": labels, "leftmost": leftmost.tolist(), "keyroots": keyroots, "bag": bag.tolist(), "branches": profile.tolist()})
+    return pa.array(out, pa.struct([(f.name, pa.list_(pa.int64() if f.dataType.elementType == LongType() else pa.int32())) for f in TREE.fields]))
 
 
 def annotated(shape_col: Column) -> Column:
-    """A shape as the distance takes it: hashes of the signatures in postorder, leftmost leaves, keyroots."""
+    """A shape as the distance takes it: hashes of the signatures in postorder, leftmost leaves, keyroots; and as bounds take it: its labels and its
+    binary branches as sets."""
     return _annotated(F.transform(shape_col, lambda x: F.xxhash64(x["sig"])), F.transform(shape_col, lambda x: x["n_children"].cast("int")))
 
 
@@ -128,8 +207,17 @@ def _parts(trees: pa.Array) -> list:
 
 
 @F.arrow_udf(IntegerType())
-def _distance(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([None if x is None or y is None else tree_distance(x, y) for x, y in zip(_parts(a), _parts(b), strict=True)], pa.int32())
+def _distance(a: pa.Array, b: pa.Array, most: pa.Array) -> pa.Array:
+    rows = zip(_parts(a), _parts(b), most.to_pylist(), strict=True)
+    return pa.array([None if x is None or y is None else tree_distance(x, y, k) for x, y, k in rows], pa.int32())
+
+
+def distance_bound(a: Column, b: Column) -> Column:
+    """The least that the distance of two annotated trees can be, by their sizes and labels and by their binary branches."""
+    n, m = F.size(a["labels"]), F.size(b["labels"])
+    labels = F.greatest(n, m) - F.size(F.array_intersect(a["bag"], b["bag"]))
+    shared = F.size(F.array_intersect(a["branches"], b["branches"]))
+    return F.greatest(labels, F.ceil((n + m - 2 * shared) / 5).cast("int"))
 
 
 def label_counts(ast: Column) -> Column:
@@ -143,14 +231,17 @@ def ted_score(distance: Column, n: Column, m: Column) -> Column:
 
 
 def tree_distances(trees: DataFrame, pairs: DataFrame) -> DataFrame:
-    """trees: (tree_id, shape), or (tree_id, tree) with the shape annotated; pairs: (a, b) of tree ids, a <= b.  Adds distance, na, nb, ted."""
+    """trees: (tree_id, shape), or (tree_id, tree) with the shape annotated; pairs: (a, b) of tree ids, a <= b.  Adds distance, na, nb, ted.
+
+    pairs may have a column most: where the distance is beyond it, distance and ted are null."""
     tree = F.col("tree") if "tree" in trees.columns else annotated(F.col("shape"))
     t = trees.select("tree_id", tree.alias("tree")).select("tree_id", "tree", F.size("tree.labels").alias("n"))
     rows = pairs.join(t.select(F.col("tree_id").alias("a"), F.col("tree").alias("ta"), F.col("n").alias("na")), "a")
     rows = rows.join(t.select(F.col("tree_id").alias("b"), F.col("tree").alias("tb"), F.col("n").alias("nb")), "b")
     same = F.col("a") == F.col("b")
     # a null on one side keeps equal trees out of the recurrence
-    distance = F.when(same, F.lit(0)).otherwise(_distance(F.when(~same, F.col("ta")), F.col("tb")))
+    most = F.col("most").cast("int") if "most" in pairs.columns else F.lit(None).cast("int")
+    distance = F.when(same, F.lit(0)).otherwise(_distance(F.when(~same, F.col("ta")), F.col("tb"), most))
     rows = rows.withColumn("distance", distance.cast("int"))
     return rows.select("a", "b", "distance", "na", "nb", ted_score(F.col("distance"), F.col("na"), F.col("nb")).alias("ted"))
 

@@ -1,8 +1,10 @@
 """Scores of pairs of submissions: trees, fingerprints and call graphs, put together.
 
-Similarity is computed once for each pair of distinct tree shapes, as fingerprints and distances depend on the shape only.  While
-the tree share does not exceed the match threshold, two functions without a common fingerprint cannot reach it, so candidates come
-from an inverted index; bounds on sizes and common labels drop further pairs before any distance is computed.
+Similarity is computed once for each pair of distinct tree shapes that stand on the two sides of a pair asked for, as fingerprints and
+distances depend on the shape only.  While the tree share does not exceed the match threshold, two functions without a common fingerprint
+cannot reach it, so candidates come from an inverted index.  The threshold, the sizes and the fingerprints' score give each candidate the largest
+distance that would do; lower bounds of the distance, by labels and by binary branches, drop pairs beyond it, and the distance itself is
+computed no further than that.
 """
 
 from __future__ import annotations
@@ -15,9 +17,8 @@ from treekin.functions.hashing import fingerprints, token_stream
 from treekin.functions.scalar import clamp, round6
 from treekin.operators.callgraph import call_edges, graph_shapes, graph_similarity
 from treekin.operators.matching import match_groups
-from treekin.operators.sets import jaccard_pairs
-from treekin.operators.trees import annotated, shape, tree_distances
-from treekin.shared import stage
+from treekin.operators.trees import annotated, distance_bound, shape, tree_distances
+from treekin.shared import drop_stage, stage
 
 
 def analyze(functions: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -31,44 +32,73 @@ def analyze(functions: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
 
 
-def shape_scores(functions: DataFrame, settings: Settings) -> DataFrame:
-    """(x, y, ted, winnow, combined) of distinct shapes that may reach the threshold, in both directions and with themselves."""
-    shapes = functions.groupBy("tree_id").agg(F.first("shape").alias("shape"), F.first("fingerprints").alias("elements"))
-    labels = F.transform("shape", lambda x: x["sig"])
-    shapes = stage(shapes.select("tree_id", "elements", F.size("shape").alias("n"), labels.alias("labels"), annotated(F.col("shape")).alias("tree")), "shapes")
-    share, least = settings.ted_share, settings.match_threshold
-    sides = [shapes.select(F.col("tree_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("labels").alias(f"l_{k}")) for k in "ab"]
-    if share <= least:
-        pairs = jaccard_pairs(shapes.select(F.col("tree_id").alias("id"), "elements")).select("a", "b", F.col("score").alias("winnow"))
-        pairs = pairs.join(sides[0], "a").join(sides[1], "b")
+def asked_shapes(functions: DataFrame, others: DataFrame, pairs: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Distinct (lo, hi) of the shapes that the submissions of a pair have, lo from one side and hi from the other.
+
+    of: (x, y), the shapes of the first and of the second side that matter; all without it.  A first side's shape is joined with the
+    submissions it is asked against, not with their functions, so a pair of submissions costs its functions' number and not its square.
+    """
+    fa = functions.select(F.col("submission_id").alias("a"), F.col("tree_id").alias("x")).distinct()
+    fb = others.select(F.col("submission_id").alias("b"), F.col("tree_id").alias("y")).distinct()
+    against = pairs.select("a", "b").join(fa, "a").select("x", "b").distinct()
+    found = against.join(fb, "b") if of is None else of.join(fb, "y").join(against, ["x", "b"], "left_semi")
+    return found.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct()
+
+
+def shape_pairs(functions: DataFrame, others: DataFrame, pairs: DataFrame, shapes: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b, winnow) of different shapes, a < b, that stand on both sides of an asked pair and whose score might reach the threshold.
+
+    shapes: (tree_id, elements, n, tree).  Both sides' fingerprints are joined with each other, never one side's with its own.
+    """
+    prints = shapes.select("tree_id", F.size("elements").cast("long").alias("k"), F.explode("elements").alias("e"))
+    sides = []
+    for df, name in ((functions, "x"), (others, "y")):
+        mine = df.select("tree_id").distinct()
+        sides.append(prints.join(mine, "tree_id", "left_semi").select(F.col("tree_id").alias(name), F.col("k").alias(f"k{name}"), "e"))
+    common = sides[0].join(sides[1], "e").where("x != y").groupBy("x", "y", "kx", "ky").agg(F.count(F.lit(1)).alias("shared"))
+    scored = common.select("x", "y", (F.col("shared") / (F.col("kx") + F.col("ky") - F.col("shared"))).alias("winnow"))
+    both = scored.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "winnow").distinct()
+    if settings.ted_share <= settings.match_threshold:
+        asked = asked_shapes(functions, others, pairs, scored.select("x", "y"))
+        out = asked.join(both, ["lo", "hi"])
     else:
-        pairs = sides[0].join(sides[1], F.col("a") < F.col("b"))
-        scored = jaccard_pairs(shapes.select(F.col("tree_id").alias("id"), "elements")).select("a", "b", F.col("score").alias("winnow"))
-        pairs = pairs.join(scored, ["a", "b"], "left").withColumn("winnow", F.coalesce("winnow", F.lit(0.0)))
-
-    def upper(common):
-        """The most that the combined score can be with that many common labels: unmatched nodes of the larger tree cost one each."""
-        ted = 1 - (F.greatest("n_a", "n_b") - common) / (F.col("n_a") + F.col("n_b"))
-        return share * ted + (1 - share) * F.col("winnow")
-
-    pairs = pairs.where(upper(F.least("n_a", "n_b")) >= least - 1e-9)
-    distinct = F.array_intersect("l_a", "l_b")
-    count = lambda side, t: F.size(F.filter(side, lambda x: x == t))
-    common = F.aggregate(distinct, F.lit(0), lambda s, t: s + F.least(count("l_a", t), count("l_b", t)))
-    pairs = pairs.where(upper(common) >= least - 1e-9).select("a", "b", "winnow")
-    pairs = stage(pairs.repartition("a", "b"), "shape-pairs")
-    ted = tree_distances(shapes, pairs.select("a", "b")).select("a", "b", "ted")
-    scored = pairs.join(ted, ["a", "b"]).withColumn("combined", share * F.col("ted") + (1 - share) * F.col("winnow")).where(F.col("combined") >= least)
+        out = asked_shapes(functions, others, pairs).where("lo != hi").join(both, ["lo", "hi"], "left").withColumn("winnow", F.coalesce("winnow", F.lit(0.0)))
+    return out.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "winnow")
+
+
+def bounded_pairs(candidates: DataFrame, shapes: DataFrame, settings: Settings) -> DataFrame:
+    """candidates (a, b, winnow) with most, the largest distance with which the score reaches the threshold; those that a lower bound of
+    the distance rules out are gone: sizes alone first, then labels and binary branches."""
+    share, least = settings.ted_share, settings.match_threshold
+    for side in "ab":
+        candidates = candidates.join(shapes.select(F.col("tree_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("tree").alias(f"t_{side}")), side)
+    total = F.col("n_a") + F.col("n_b")
+    # share * (1 - distance / total) + (1 - share) * winnow >= least; without a share of trees any distance will do
+    most = F.floor(total * (1 - (F.lit(least) - (1 - share) * F.col("winnow")) / share) + 1e-6) if share > 0 else F.when((1 - share) * F.col("winnow") >= least - 1e-9, total).otherwise(-1)
+    rows = candidates.withColumn("most", F.least(most, total).cast("int")).where((F.col("most") >= 0) & (F.abs(F.col("n_a") - F.col("n_b")) <= F.col("most")))
+    return rows.where(distance_bound(F.col("t_a"), F.col("t_b")) <= F.col("most")).select("a", "b", "winnow", "most")
+
+
+def shape_scores(functions: DataFrame, others: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
+    """(x, y, ted, winnow, combined) of shapes that stand on the two sides of asked pairs and reach the threshold, in both directions."""
+    every = functions if others is functions else functions.select("tree_id", "shape", "fingerprints").union(others.select("tree_id", "shape", "fingerprints"))
+    shapes = every.groupBy("tree_id").agg(F.first("shape").alias("shape"), F.first("fingerprints").alias("elements"))
+    shapes = stage(shapes.select("tree_id", "elements", F.size("shape").alias("n"), annotated(F.col("shape")).alias("tree")), "shapes")
+    share, least = settings.ted_share, settings.match_threshold
+    kept = stage(bounded_pairs(shape_pairs(functions, others, pairs, shapes, settings), shapes, settings).repartition("a", "b"), "shape-pairs")
+    ted = tree_distances(shapes, kept.select("a", "b", "most")).where("ted IS NOT NULL").select("a", "b", "ted")
+    scored = kept.select("a", "b", "winnow").join(ted, ["a", "b"]).withColumn("combined", share * F.col("ted") + (1 - share) * F.col("winnow")).where(F.col("combined") >= least)
+    scored = stage(scored, "shape-scores")
+    drop_stage(kept)
     both = scored.select(F.col("a").alias("x"), F.col("b").alias("y"), "ted", "winnow", "combined")
     both = both.union(scored.select("b", "a", "ted", "winnow", "combined"))
     itself = shapes.select(F.col("tree_id").alias("x"), F.col("tree_id").alias("y"), F.lit(1.0), F.lit(1.0), F.lit(share * 1.0 + (1 - share) * 1.0)).where(F.lit(1.0) >= least)
-    return stage(both.union(itself), "shape-scores")
+    return both.union(itself)
 
 
 def function_matches(functions: DataFrame, others: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
     """The aligned functions of each pair (a, b): a in functions, b in others, both analyzed."""
-    every = functions if others is functions else functions.select("tree_id", "shape", "fingerprints").union(others.select("tree_id", "shape", "fingerprints"))
-    scores = shape_scores(every, settings)
+    scores = shape_scores(functions, others, pairs, settings)
     fa = functions.select(F.col("submission_id").alias("a"), F.col("order_index").cast("long").alias("left"), F.col("tree_id").alias("x"))
     fb = others.select(F.col("submission_id").alias("b"), F.col("order_index").cast("long").alias("right"), F.col("tree_id").alias("y"))
     edges = fa.join(scores, "x").join(fb, "y").join(pairs.select("a", "b"), ["a", "b"], "left_semi")

@@ -13,17 +13,18 @@ import json
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treekin.config import Settings
 from treekin.functions.scalar import hash_password, strip, verify_password
+from treekin.operators.prefilter import known_members
 from treekin.plans.cohort import AnalysisRequest, Report, analyze_cohort
 from treekin.plans.migrations import migrate
 from treekin.plans.pairs import analyze, compare
 from treekin.shared import drop_stage, stage
 from treekin.sources.normalize import parse_functions
-from treekin.sources.submissions import accepted, rejected
+from treekin.sources.submissions import accepted, rejected, request_reason
 
 SCHEMAS = {
     "submissions": "id long, workspace string, name string, filename string, language string, source_code string, ast_node_count int, created_at timestamp",
@@ -231,18 +232,33 @@ class Store:
     def add_submissions(self, workspace: str, rows: DataFrame) -> DataFrame:
         """rows: (id, name, filename, source_code).  Stores those that are accepted; returns the others with their reason.
 
-        Sources are parsed once; submissions and their functions appear together.
+        Rejected: requests with a field that is missing or too long, ids that are null, stored already (in any workspace) or taken by an earlier row
+        (the first by name, filename and source of equal ids stays), sources that are blank or without a function.  Only what passes
+        the checks before is parsed, and only ids are compared with the stored table.  Submissions and their functions appear together.
         """
         workspace = _workspace(workspace)
-        functions = stage(parse_functions(rows), "parsed")
+        fields = ("id", "name", "filename", "source_code")
+        # each row once: equal rows are told apart by their number
+        same = Window.partitionBy("id").orderBy(*[F.col(c).asc_nulls_last() for c in fields[1:]])
+        asked = stage(rows.select(F.col("id").cast("long").alias("id"), *fields[1:], request_reason().alias("reject_reason")), "asked-requests")
+        sound = asked.where("reject_reason IS NULL AND id IS NOT NULL")
+        numbered = sound.withColumn("nth", F.row_number().over(same))
+        stored = known_members(sound.select("id"), self.table("submissions").select("id"), "id").withColumn("stored", F.lit(True))
+        numbered = numbered.join(stored, "id", "left")
+        reason = F.when(F.col("stored"), "id is taken").when(F.col("nth") > 1, "id is repeated")
+        numbered = stage(numbered.select(*fields, reason.alias("reject_reason")), "numbered-requests")
+        fresh = numbered.where("reject_reason IS NULL").drop("reject_reason")
+        functions = stage(parse_functions(fresh), "parsed")
         counts = functions.groupBy(F.col("submission_id").alias("id")).agg(F.count(F.lit(1)).alias("n_functions"), F.sum(F.size("ast")).cast("int").alias("ast_node_count"))
-        checked = stage(rows.select("id", "name", "filename", "source_code").join(counts, "id", "left"), "checked")
+        checked = stage(fresh.join(counts, "id", "left"), "checked")
         good = accepted(checked)
         with self.transaction() as t:
             t.append("functions", analyze(functions.join(good.select(F.col("id").alias("submission_id")), "submission_id", "left_semi"), self.settings))
             t.append("submissions", good.select("id", F.lit(workspace).alias("workspace"), "name", "filename", F.lit("c").alias("language"), "source_code", "ast_node_count", F.current_timestamp().alias("created_at")))
         drop_stage(functions)
-        return rejected(checked)
+        lost = asked.where("reject_reason IS NOT NULL OR id IS NULL").withColumn("reject_reason", F.coalesce("reject_reason", F.lit("id is missing")))
+        lost = lost.union(numbered.where("reject_reason IS NOT NULL")).withColumn("n_functions", F.lit(None).cast("long")).withColumn("ast_node_count", F.lit(None).cast("int"))
+        return lost.unionByName(rejected(checked))
 
     def list_submissions(self, workspace: str, limit: int = 100, offset: int = 0) -> DataFrame:
         mine = self.table("submissions").where(F.col("workspace") == _workspace(workspace))

@@ -261,7 +261,7 @@ def presentation(spark, sf_dir):
     """Risk, color, percent and names of the line items' discounts, as scores."""
     score = F.col("l_discount") * 10
     return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", scalar.risk_level(score).alias("risk"), scalar.risk_color(score).alias("color"), scalar.percent(F.floor(score * 8) / 8).alias("shown"), scalar.ratio(F.col("l_discount"), F.col("l_tax")).alias("balance")
+        "l_orderkey", "l_linenumber", scalar.risk_level(score).alias("risk"), scalar.risk_color(score).alias("color"), scalar.percent(score * F.col("l_extendedprice") / 100003).alias("shown"), scalar.ratio(F.col("l_discount"), F.col("l_tax")).alias("balance")
     )
 
 
@@ -541,9 +541,9 @@ ORACLES = {
     "cache_misses": "SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem x WHERE l_returnflag = 'R' AND NOT EXISTS (SELECT 1 FROM lineitem y WHERE y.l_returnflag = 'N' AND least(y.l_partkey, y.l_suppkey) = least(x.l_partkey, x.l_suppkey) AND greatest(y.l_partkey, y.l_suppkey) = greatest(x.l_partkey, x.l_suppkey))",
     "label_lookup": "SELECT n_nationkey, n_name FROM nation WHERE lower(n_name) = (SELECT lower(min(n_name)) FROM nation)",
     "comparison_matches": "SELECT o_orderkey AS id, coalesce(string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_extendedprice DESC, l_linenumber), '') AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey",
-    "best_of_group": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) SELECT c_custkey, coalesce(o_totalprice, 0.0::DOUBLE) AS price, o_orderkey, CAST(row_number() OVER (ORDER BY coalesce(o_totalprice, 0) DESC, c_custkey) AS INTEGER) AS rank FROM customer LEFT JOIN r ON o_custkey = c_custkey AND k = 1",
-    "presentation": "WITH t AS (SELECT *, l_discount * 10 AS s FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN s >= 0.8 THEN 'high' WHEN s >= 0.5 THEN 'medium' ELSE 'low' END AS risk, "
-    "CASE WHEN s >= 0.8 THEN '#dc2626' WHEN s >= 0.5 THEN '#d97706' ELSE '#16a34a' END AS color, printf('%.1f%%', floor(s * 8) / 8 * 100) AS shown, "
+    "best_of_group": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) SELECT c_custkey, coalesce(o_totalprice, 0.0::DOUBLE) AS price, o_orderkey, row_number() OVER (ORDER BY coalesce(o_totalprice, 0) DESC, c_custkey) AS rank FROM customer LEFT JOIN r ON o_custkey = c_custkey AND k = 1",
+    "presentation": "WITH t AS (SELECT *, l_discount * 10 AS s, l_discount * 10 * l_extendedprice / 100003 * 100 AS x FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN s >= 0.8 THEN 'high' WHEN s >= 0.5 THEN 'medium' ELSE 'low' END AS risk, "
+    "CASE WHEN s >= 0.8 THEN '#dc2626' WHEN s >= 0.5 THEN '#d97706' ELSE '#16a34a' END AS color, CASE WHEN x * 4 = floor(x * 4) AND floor(x * 4) % 2 = 1 THEN format('{:.1f}%', x + 0.05) ELSE format('{:.1f}%', x) END AS shown, "
     "CASE WHEN l_discount = 0 AND l_tax = 0 THEN 1.0::DOUBLE ELSE least(l_discount, l_tax) / greatest(l_discount, l_tax) END AS balance FROM t",
     "source_names": "WITH t AS (SELECT p_partkey, regexp_replace(regexp_replace(lower('  ' || p_name || ' -- ' || p_type || ' '), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS x FROM part) SELECT p_partkey, CASE WHEN x = '' THEN 'submission.c' ELSE x || '.c' END AS filename FROM t",
     "source_validation": "SELECT doc_id, CASE WHEN " + _STRIP.format(x="coalesce(text, '')") + " = '' THEN 'empty source' WHEN NOT contains(text, '(') THEN 'no functions' ELSE 'accepted' END AS result FROM documents",
@@ -560,7 +560,7 @@ ORACLES = {
     )
     + "SELECT (SELECT count(*) FROM gn) AS submission_count, (SELECT count(*) FROM fu) AS n_pairs, highest, (SELECT count(*) FROM fu WHERE overall_score = highest) AS n_highest, "
     "(SELECT count(DISTINCT c) FROM (SELECT node, min(seen) AS c FROM r GROUP BY node)) AS n_clusters, false AS ai_reference_enabled FROM h",
-    "rank_pairs": "WITH t AS (SELECT p_type, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS returned, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_type) SELECT CAST(row_number() OVER (ORDER BY returned / n DESC, p_type) AS INTEGER) AS rank, p_type, returned, n FROM t",
+    "rank_pairs": "WITH t AS (SELECT p_type, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS returned, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_type) SELECT row_number() OVER (ORDER BY returned / n DESC, p_type) AS rank, p_type, returned, n FROM t",
 }
 
 

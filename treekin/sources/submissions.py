@@ -17,14 +17,19 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return check_requests(spark.read.schema(JSON).json(path))
 
 
-def check_requests(rows: DataFrame) -> DataFrame:
-    """rows with the column reject_reason: the first field that is missing, empty or too long, or null."""
+def request_reason() -> Column:
+    """The first field of a request that is missing, empty or too long, or null."""
     reason = None
     for name, most in LENGTHS.items():
         size = F.coalesce(F.char_length(name), F.lit(0))
         for wrong, why in ((size == 0, "is missing"), *([(size > most, "is too long")] if most else [])):
             reason = F.when(wrong, f"{name} {why}") if reason is None else reason.when(wrong, f"{name} {why}")
-    return rows.withColumn("reject_reason", reason)
+    return reason
+
+
+def check_requests(rows: DataFrame) -> DataFrame:
+    """rows with the column reject_reason: why a request is rejected, or null."""
+    return rows.withColumn("reject_reason", request_reason())
 
 
 def _empty_files(spark: SparkSession, path: str) -> list[str]:
