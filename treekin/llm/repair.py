@@ -187,7 +187,7 @@ def _batches(batches, keys: int, text: str) -> Iterator[tuple[pa.Table, list[int
 
 def _result(db, query: str, schema: pa.Schema, keys: list[tuple[str, pa.ChunkedArray]], begin: list[int]) -> list[pa.RecordBatch]:
     """A query's rows as batches; its column seg becomes the group's keys."""
-    out = db.execute(query).to_arrow_table()
+    out = db.sql(query).to_arrow_table()
     at = pa.array(begin[:-1]).take(out.column("seg").combine_chunks().cast(pa.int64()))
     named = [column.take(at) for _, column in keys]
     rest = [out.column(f.name).cast(f.type) for f in schema]
@@ -390,8 +390,8 @@ def repair_conversations(rows: DataFrame, turns: int = TURNS) -> DataFrame:
     short = rows.join(other, _same("conv_id", "long_id"), "left_anti") if some else rows
     # the window needs no further shuffle, as rows of one conversation are in one partition
     dealt = short.repartition("conv_id")
-    own = F.row_number().over(_window())
-    named = dealt.withColumn("fault", _fault((own > 1) & ~F.col("gone"))).sortWithinPartitions("conv_id", "turn", "role", "text")
+    numbered = dealt.withColumn("nth", F.row_number().over(_window()))
+    named = numbered.withColumn("fault", _fault((F.col("nth") > 1) & ~F.col("gone"))).sortWithinPartitions("conv_id", "turn", "role", "text", "nth")
     out = named.select("conv_id", "turn", "role", "text", "fault", "gone").mapInArrow(_solve, f"conv_id {kind}, {RESULT}")
     if some:
         left = rows.where(~F.col("gone")).join(other, _same("conv_id", "long_id"), "left_semi").drop("gone")

@@ -69,10 +69,12 @@ WITH RECURSIVE inserts(came, state, cost, letters) AS (
   SELECT c, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
   FROM raw, range(2) copies(k) WHERE how <> 0 AND (k = 0 OR how = 3)
 ), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST) AS copy FROM damaged
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), copies AS (
+  SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) AS copy FROM placed
 ), turns AS (
   SELECT c, i, turn, role, text, left(role, 1) AS head, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) || left(role, 1) AS pair,
-         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN copy > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM placed
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN copy > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM copies
 ), counts AS (
   SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
          count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY c
