@@ -52,11 +52,72 @@ def _leaf_rows(ca: np.ndarray, left_a: np.ndarray, cb: np.ndarray, left_b: np.nd
 _FAR = 1 << 28
 
 
+class _Level:
+    """Forest tables of several keyroots side by side, none of which lies within another: each has a column for the empty forest and one for each
+    node.  All arrays are by column."""
+
+    def __init__(self, keys: list[int], left: np.ndarray, codes: np.ndarray):
+        sizes = np.array([j - int(left[j]) + 1 for j in keys])
+        ends = np.cumsum(sizes + 1)
+        self.zero = ends - sizes - 1
+        of = np.repeat(np.arange(len(keys)), sizes + 1)
+        self.steps = np.arange(int(ends[-1])) - self.zero[of]
+        first = np.array([int(left[j]) for j in keys])[of]
+        self.node = np.maximum(first + self.steps - 1, 0)
+        self.before = np.maximum(np.arange(int(ends[-1])) - 1, 0)
+        self.jump = self.zero[of] + np.maximum(left[self.node] - first, 0)
+        self.spine = (left[self.node] == first) & (self.steps > 0)
+        self.spine_nodes = self.node[self.spine]
+        self.codes = codes[self.node]
+        # a running minimum over all columns stays within a keyroot's own when each next one's values are far below
+        self.slope = self.steps + of.astype(np.int64) * _FAR
+
+
+def _levels(left: np.ndarray, keys: list[int], codes: np.ndarray) -> list[_Level]:
+    """The keyroots that are no leaves, those within others first."""
+    height: dict[int, int] = {}
+    for j in keys:
+        if left[j] != j:
+            height[int(j)] = 1 + max((h for k, h in height.items() if k >= left[j]), default=-1)
+    return [_Level([j for j, h in height.items() if h == level], left, codes) for level in range(1 + max(height.values(), default=-1))]
+
+
+def _fill(trees: np.ndarray, ca: np.ndarray, left_a: np.ndarray, keys_a: list[int], levels: list[_Level]) -> int:
+    """Fills the distances of all pairs of subtrees, row by row for all keyroots of the second tree at once; the number of cells."""
+    cells = 0
+    for i in keys_a:
+        i0 = int(left_a[i])
+        if i0 == i:
+            continue
+        m = int(i) - i0 + 1
+        tables = [np.empty((m + 1, len(v.steps)), np.int64) for v in levels]
+        for table, v in zip(tables, levels, strict=True):
+            table[0] = v.steps
+            cells += m * (len(v.steps) - len(v.zero))
+        for x in range(1, m + 1):
+            at = i0 + x - 1
+            back, on_a = int(left_a[at]) - i0, left_a[at] == i0
+            for table, v in zip(tables, levels, strict=True):
+                above = table[x - 1]
+                swap = table[back][v.jump] + trees[at, v.node]
+                if on_a:
+                    swap = np.where(v.spine, above[v.before] + (v.codes != ca[at]), swap)
+                row = np.minimum(above + 1, swap)
+                row[v.zero] = x
+                row -= v.slope
+                np.minimum.accumulate(row, out=row)
+                row += v.slope
+                table[x] = row
+                if on_a:
+                    trees[at, v.spine_nodes] = row[v.spine]
+    return cells
+
+
 def tree_distance(a: tuple, b: tuple, most: int | None = None, work: list[int] | None = None) -> int | None:
     """Zhang and Shasha's recurrence over annotated trees; the rows of a forest table are NumPy vectors.
 
     Distances of leaves come for all of them at once.  Of a row, the costs without an insertion come from the row above; insertions are
-    then one running minimum.
+    then one running minimum.  Keyroots of the second tree that don't lie within each other are handled side by side.
 
     most: distances beyond it are None.  Where a mapping of cost `most` at most ends two forests with nodes x and y, their places in postorder
     differ by `most` at most, as every node that one side has more is deleted or inserted.  So only a band of each table is filled, pairs of
@@ -80,6 +141,15 @@ def tree_distance(a: tuple, b: tuple, most: int | None = None, work: list[int] |
     trees[leaves] = costs
     leaves, costs = _leaf_rows(cb, left_b, ca, left_a)
     trees[:, leaves] = costs.T
+    levels = _levels(left_b, keys_b, cb)
+    inner_a, inner_b = (np.array([int(left[k]) for k in keys if left[k] != k], np.int64) for left, keys in ((left_a, keys_a), (left_b, keys_b)))
+    # tables of pairs cost by the pairs in the band, tables side by side by the levels, which are wider
+    if most is None or 2 * len(levels) * len(inner_a) < (np.abs(inner_a[:, None] - inner_b) <= band).sum():
+        cells = _fill(trees, ca, left_a, keys_a, levels)
+        if work is not None:
+            work[0] += cells
+        found = int(trees[-1, -1])
+        return found if most is None or found <= most else None
     for i in keys_a:
         i0 = int(left_a[i])
         if i0 == i:
