@@ -95,6 +95,22 @@ def test_regular_words_in_operators(spark):
     assert [r["ids_crc32"] for r in tokens.read_token_file(spark, path).orderBy("doc_id").collect()] == want
 
 
+def test_words_with_one_hash(monkeypatch):
+    """Ids are those of the words, whatever the hashes."""
+    from tokenizers import Tokenizer
+
+    texts = ["the cat sat", "a mat", "the mat sat on the cat", "cat cat dog"]
+    raw = [x.encode() for x in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    real = tokens.array_hashes
+    for weak in (lambda w: real(w) % np.uint64(2), lambda w: real(w) % np.uint64(4)):
+        monkeypatch.setattr(tokens, "array_hashes", weak)
+        e, t = tokens.Encoder(tokens.tokenizer_path()), Tokenizer.from_file(tokens.tokenizer_path())
+        for _ in range(3):
+            out, stops = e.encode(data, offsets, 7)
+            assert [out[a:b].tolist() for a, b in zip(stops, stops[1:], strict=False)] == [[*t.encode(x, add_special_tokens=False).ids, 7] for x in texts]
+
+
 def test_words_that_stand_alone():
     import json
 

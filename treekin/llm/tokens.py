@@ -2,7 +2,7 @@
 
 Encoding.  Public tokenizers whose pieces never cross ASCII white space give a text the ids of its words, one after the
 other.  So distinct words are encoded once for each Python worker, and texts are put together from a table of words by
-NumPy.  Words are told apart by their characters, not by hashes.  ``words_stand_alone`` reads that property from the tokenizer's file;
+NumPy.  A hash finds a word, and words are then compared as they are.  ``words_stand_alone`` reads that property from the tokenizer's file;
 where it doesn't hold, whole texts are encoded.
 
 Operator 9: bit-plane shuffling.  A token file is a Parquet table of segments; a segment holds whole documents in ascending
@@ -31,17 +31,18 @@ from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treekin.llm.wordhash import distinct_words, text_groups
+from treekin.llm.wordhash import array_hashes, distinct_words, text_groups
 from treekin.shared import small_batches, stage, table
 
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 21
 #: Distinct words that a Python worker remembers; beyond that it starts anew.
-WORDS_HELD = 500_000
+WORDS_HELD = 1_500_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -95,19 +96,36 @@ class Encoder:
         self._clear()
 
     def _clear(self):
-        self.places: dict[str, int] = {}  # by the word itself
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes of the words, and where these are
+        self.words = pa.array([], pa.large_string())
         self.begin = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
-    def _learn(self, words: list[str]):
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _find(self, keys: np.ndarray, words: pa.Array) -> np.ndarray:
+        """The place of each word, -1 where it isn't known: a hash finds a word, and the words themselves are compared."""
+        if not len(self.keys):
+            return np.full(len(words), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        found = np.where(self.keys[at] == keys, self.places[at], -1)
+        hit = np.flatnonzero(found >= 0)
+        same = pc.equal(self.words.take(pa.array(found[hit])), words.take(pa.array(hit))).to_numpy(zero_copy_only=False)
+        found[hit[~same]] = -1
+        return found
+
+    def _learn(self, keys: np.ndarray, words: pa.Array) -> np.ndarray:
+        """The places of new words.  A word whose hash is another's gets a place too, though it won't be found again."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
         count = np.array([len(x) for x in ids], np.int64)
         begin = len(self.flat) + np.concatenate([[0], np.cumsum(count)[:-1]])
+        places = len(self.begin) + np.arange(len(words))
         self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.int32)])
-        for k, x in enumerate(words, len(self.begin)):
-            self.places[x] = k
         self.begin, self.count = np.concatenate([self.begin, begin]), np.concatenate([self.count, count])
+        self.words = pa.concat_arrays([self.words, words])
+        order = np.argsort(keys, kind="stable")
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.places = np.insert(self.keys, at, keys[order]), np.insert(self.places, at, places[order])
+        return places
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of consecutive texts, each followed by `end`, and where each begins (and the end of the last)."""
@@ -117,12 +135,14 @@ class Encoder:
             ids = [np.array([*e.ids, end], np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             return np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
         first, codes, words = distinct_words(data, offsets)
-        if len(self.places) + len(words) > WORDS_HELD:
+        if len(self.words) + len(words) > WORDS_HELD:
             self._clear()
-        new = [x for x in words if x not in self.places]
-        if new:
-            self._learn(new)
-        at = np.fromiter((self.places[x] for x in words), np.int64, len(words))[codes]
+        keys = array_hashes(words)
+        at = self._find(keys, words)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = self._learn(keys[new], words.take(pa.array(new)))
+        at = at[codes]
         count, begin = self.count[at], self.begin[at]
         # every text gets one more "word": its end
         n = np.diff(first)

@@ -101,17 +101,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED, l
         begin = np.zeros(n, np.int64)
         begin[s] = s
         np.maximum.accumulate(begin, out=begin)
-        each = (np.arange(n) - begin).astype(np.uint64)
-        each *= np.uint64(0x9E3779B97F4A7C15)
-        each += _VALUES[part]
-        each ^= each >> np.uint64(32)
-        each *= np.uint64(0xD6E8FEB86659FD93)
-        each ^= each >> np.uint64(29)
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(each, out=sums[1:])
-        h = sums[e] - sums[s]
-        hashes.append(mix(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        hashes.append(_sum_hashes(part, s, e, begin))
         starts.append(s + at)
         ends.append(e + at)
         at = stop
@@ -122,7 +112,29 @@ def words_of(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED, l
     return Words(s, np.concatenate(ends), np.concatenate(hashes), np.searchsorted(s, offsets))
 
 
-def distinct_words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def _sum_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Hashes of words: begin tells each byte where its word begins."""
+    each = (np.arange(len(data)) - begin).astype(np.uint64)
+    each *= np.uint64(0x9E3779B97F4A7C15)
+    each += _VALUES[data]
+    each ^= each >> np.uint64(32)
+    each *= np.uint64(0xD6E8FEB86659FD93)
+    each ^= each >> np.uint64(29)
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(each, out=sums[1:])
+    return mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def array_hashes(words: pa.Array) -> np.ndarray:
+    """The hashes of whole strings (large_string), as words_of gives them to words."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    starts, ends = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+    return _sum_hashes(data, starts, ends, np.repeat(starts, ends - starts))
+
+
+def distinct_words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Of consecutive texts: where each one's words begin (and the end of the last), each word's place in the distinct words, and these.
 
     Words are compared as they are, by Arrow.
@@ -138,7 +150,7 @@ def distinct_words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPA
     ends = np.concatenate([sizes[starts], sizes[-1:]])
     words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data[inside])])
     coded = words.dictionary_encode()
-    return np.searchsorted(starts, offsets), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    return np.searchsorted(starts, offsets), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
 def text_groups(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
