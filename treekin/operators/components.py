@@ -57,6 +57,25 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("v", "v"))
 
 
+def extend_components(known: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, component) of the nodes whose component new edges change, and of new nodes.
+
+    known: (node, component), as connected_components gives it for the edges before.  The new edges are drawn between the known components of
+    their ends, and only this smaller graph is solved; of the known rows those of merged components are returned, with the smaller component.
+    """
+    new = edges.where(f"`{src}` IS NOT NULL AND `{dst}` IS NOT NULL AND `{src}` != `{dst}`").select(F.col(src).alias("u"), F.col(dst).alias("v"))
+    new = stage(new.distinct(), "new-edges")
+    ends = stage(new.select(F.col("u").alias("node")).union(new.select("v")).distinct(), "ends")
+    at = stage(known.join(ends, "node", "left_semi").select("node", "component"), "known-ends")
+    for end in "uv":
+        of = at.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        new = new.join(of, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    merged = stage(connected_components(new, "cu", "cv").select(F.col("node").alias("old"), "component"), "merged")
+    moved = known.select("node", F.col("component").alias("old")).join(merged.where("old != component"), "old").select("node", "component")
+    fresh = ends.join(at, "node", "left_anti").withColumnRenamed("node", "old").join(merged, "old").select(F.col("old").alias("node"), "component")
+    return moved.union(fresh)
+
+
 #: The partition doesn't depend on how a graph is walked; both names of the walk mean this operator.
 STRATEGIES = {"dfs": connected_components, "bfs": connected_components}
 

@@ -116,19 +116,44 @@ def ranked_pairs(scores: DataFrame, *ties: str) -> DataFrame:
     return global_rank(scores, F.desc("overall_score"), *[F.col(c) for c in ties])
 
 
-def clusters(scores: DataFrame, names: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """scores: (a, b, overall_score); names: (id, name).  Components of the pairs at or above the threshold, of two members or more.
+def cluster_summaries(scores: DataFrame, member: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """(component, size, average_similarity, rank): one row for each component, largest first.
 
-    The average is over the pairs at or above the threshold.
+    scores: (a, b, overall_score); member: (node, component) of the pairs at or above the threshold, over which the average is taken.  Sizes and
+    means are added up before rows are shuffled.
     """
-    strong = scores.where(F.col("overall_score") >= threshold).select("a", "b", "overall_score")
-    member = stage(connected_components(strong, "a", "b"), "clusters")
+    sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    strong = scores.where(F.col("overall_score") >= threshold).select("a", "overall_score")
+    inside = strong.join(member.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.avg("overall_score").alias("mean"))
+    rows = sizes.join(inside, "component").select("component", "size", round6("mean").alias("average_similarity"))
+    return global_rank(rows, F.desc("size"), F.desc("average_similarity"), F.col("component"))
+
+
+def cluster_members(member: DataFrame, names: DataFrame) -> DataFrame:
+    """(component, place, submission_id, name): one row for each member, places from 1 by id; a component of any size is spread over partitions.
+
+    member: (node, component); names: (id, name).  The place is that in the order of all members less that of the component's first one.
+    """
+    rows = global_rank(member.select("component", F.col("node").alias("submission_id")), F.col("component"), F.col("submission_id"), name="at")
+    first = rows.groupBy("component").agg(F.min("at").alias("first"))
+    rows = rows.join(first, "component").join(names.select(F.col("id").alias("submission_id"), "name"), "submission_id", "left")
+    return rows.select("component", (F.col("at") - F.col("first") + 1).alias("place"), "submission_id", "name")
+
+
+def cluster_nodes(scores: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """(node, component) of the components that the pairs at or above the threshold make."""
+    return stage(connected_components(scores.where(F.col("overall_score") >= threshold).select("a", "b"), "a", "b"), "clusters")
+
+
+def clusters(scores: DataFrame, names: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """scores: (a, b, overall_score); names: (id, name).  Components of the pairs at or above the threshold, of two members or more, each with
+    its members in one row: for a cohort, whose size has a bound.  cluster_summaries and cluster_members are for more.
+    """
+    member = cluster_nodes(scores, threshold)
     people = member.join(names.select(F.col("id").alias("node"), "name"), "node", "left").groupBy("component").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("node").alias("submission_id"), "name"))).alias("members"), F.count(F.lit(1)).alias("size")
+        F.sort_array(F.collect_list(F.struct(F.col("node").alias("submission_id"), "name"))).alias("members")
     )
-    inside = strong.join(member.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.avg("overall_score").alias("mean"))
-    out = people.join(inside, "component").select("members", "size", round6("mean").alias("average_similarity"), "component")
-    return global_rank(out, F.desc("size"), F.desc("average_similarity"), F.col("component"))
+    return cluster_summaries(scores, member, threshold).join(people, "component").select("members", "size", "average_similarity", "component", "rank")
 
 
 def reference_summary(submissions: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from treekin.operators.prefilter import known_members
 from treekin.plans.cohort import AnalysisRequest, Report, analyze_cohort
 from treekin.plans.migrations import migrate
 from treekin.plans.pairs import analyze, compare
+from treekin.plans.postings import Postings
 from treekin.shared import drop_stage, stage
 from treekin.sources.normalize import parse_functions
 from treekin.sources.submissions import accepted, rejected, request_reason
@@ -224,6 +225,8 @@ class Store:
 
     def adopt(self, name: str, rows: DataFrame) -> None:
         """Appends rows of an older layout of the table."""
+        if name == "functions":
+            self.postings().add(migrate(rows, SCHEMAS[name]))
         with self.transaction() as t:
             t.append(name, migrate(rows, SCHEMAS[name]))
 
@@ -252,14 +255,24 @@ class Store:
         counts = functions.groupBy(F.col("submission_id").alias("id")).agg(F.count(F.lit(1)).alias("n_functions"), F.sum(F.size("ast")).cast("int").alias("ast_node_count"))
         checked = stage(fresh.join(counts, "id", "left"), "checked")
         good = accepted(checked)
+        kept = stage(analyze(functions.join(good.select(F.col("id").alias("submission_id")), "submission_id", "left_semi"), self.settings), "analyzed")
+        self.postings().add(kept)  # before the functions appear, so that none is without its postings
         with self.transaction() as t:
-            t.append("functions", analyze(functions.join(good.select(F.col("id").alias("submission_id")), "submission_id", "left_semi"), self.settings))
+            t.append("functions", kept)
             t.append("submissions", good.select("id", F.lit(workspace).alias("workspace"), "name", "filename", F.lit("c").alias("language"), "source_code", "ast_node_count", F.current_timestamp().alias("created_at")))
-        drop_stage(functions)
+        for done in (functions, kept):
+            drop_stage(done)
         lost = asked.where("reject_reason IS NOT NULL OR id IS NULL").withColumn("reject_reason", F.coalesce("reject_reason", F.lit("id is missing")))
         lost = lost.union(numbered.where("reject_reason IS NOT NULL")).withColumn("n_functions", F.lit(None).cast("long")).withColumn("ast_node_count", F.lit(None).cast("int"))
         return lost.unionByName(rejected(checked))
 
+    def postings(self) -> Postings:
+        """The postings of all stored functions' shapes; a store that has none yet gets them."""
+        found = Postings(self.spark, f"{self.path}/postings")
+        if not found.parts.folders():
+            found.add(self.table("functions"))
+        return found
+
     def list_submissions(self, workspace: str, limit: int = 100, offset: int = 0) -> DataFrame:
         mine = self.table("submissions").where(F.col("workspace") == _workspace(workspace))
         return page(list_with_counts(mine, self.table("functions"), "id", "submission_id"), F.desc("created_at"), F.desc("id"), limit=limit, offset=offset)
