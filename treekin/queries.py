@@ -6,6 +6,8 @@ name the leaves of a flat tree.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +19,15 @@ from treekin.operators.components import connected_components
 from treekin.operators.matching import match_groups
 from treekin.operators.trees import tree_distances
 from treekin.plans import store
-from treekin.plans.cohort import AnalysisRequest, analyze_cohort, clusters, ranked_pairs, reference_summary
+from treekin.plans.cohort import AnalysisRequest, analyze_cohort, cluster_members, cluster_nodes, cluster_summaries, clusters, ranked_pairs, reference_summary
+from treekin.plans.linked import Components
 from treekin.plans.migrations import migrate
 from treekin.plans.pairs import analyze, compare
-from treekin.shared import spread, stage, table
+from treekin.plans.store import Store
+from treekin.shared import new_path, spread, stage, table
 from treekin.sources.normalize import parse_functions
 from treekin.sources.submissions import reject_reason
+from treekin.streaming.ingest import similar_new
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -103,6 +108,31 @@ def suspicious_clusters(spark, sf_dir):
     return found.select("component", "size", F.array_join(F.transform("members", lambda m: m["submission_id"].cast("string")), ",").alias("ids"))
 
 
+def _cluster_parts(spark, sf_dir):
+    pairs = stage(_similar_edges(spark, sf_dir).withColumnRenamed("score", "overall_score"), "similar")
+    return pairs, cluster_nodes(pairs, 0.75)
+
+
+def cluster_averages(spark, sf_dir):
+    """Size, mean score and place of each cluster of similar documents."""
+    return cluster_summaries(*_cluster_parts(spark, sf_dir), 0.75)
+
+
+def cluster_rows(spark, sf_dir):
+    """Each member of a cluster of similar documents in a row."""
+    names = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name"))
+    return cluster_members(_cluster_parts(spark, sf_dir)[1], names)
+
+
+def grown_components(spark, sf_dir):
+    """document_components, from edges that come in three batches."""
+    edges = stage(_similar_edges(spark, sf_dir), "similar")
+    held = Components(spark, new_path(spark, "held-components"))
+    for batch in range(3):
+        held.add(edges.where((F.col("a") + F.col("b")) % 3 == batch), "a", "b")
+    return held.read()
+
+
 def reference_best(spark, sf_dir):
     """Of each document, as a submission, the benchmark item, as a reference, with the most common fingerprints, in share of all."""
     docs = stage(prints(spark, sf_dir), "prints")
@@ -359,6 +389,16 @@ def fused_matches(spark, sf_dir):
     return _fused(spark, sf_dir)[1]
 
 
+def similar_to_new(spark, sf_dir):
+    """Programs of nations from 20 on, stored after the others, with the earlier ones that are similar; looked up in stored postings."""
+    held = Store(spark, new_path(spark, "store"), Settings())
+    functions = stage(analyze(parse_functions(_family_programs(spark, sf_dir))), "functions")
+    stored = F.when(F.col("submission_id") < 20, F.lit("2024-01-01")).otherwise(F.lit("2024-03-01")).cast("timestamp")
+    held.adopt("functions", functions)
+    held.adopt("submissions", functions.select("submission_id").distinct().select(F.col("submission_id").alias("id"), F.lit("all").alias("workspace"), stored.alias("created_at")))
+    return similar_new(held, "all", datetime.datetime(2024, 2, 1))
+
+
 def cohort_report(spark, sf_dir):
     """What the JSON of a report on all programs says."""
     rows = _family_programs(spark, sf_dir).select("id", F.lit("all").alias("workspace"), F.concat(F.lit("n"), "id").alias("name"), "source_code", F.lit("2024-01-01").cast("timestamp").alias("created_at"))
@@ -379,7 +419,7 @@ QUERIES = {
         token_stream, token_hash, kgram_hash, winnow_fingerprints, fingerprint_count, similar_members, jaccard_pairs, similar_documents, document_components, suspicious_clusters, reference_best,
         call_graph_edges, degree_signature, component_count, call_graph_members, call_graph_similarity, multiset_jaccard, ted_flat, ted_chains, matching_size, list_submissions, find_pair, comparisons_of, cascade_delete,
         cache_misses, label_lookup, comparison_matches, best_of_group, presentation, source_names, source_validation, fenced_replies, report_json, schema_migration, rank_pairs, parsed_functions,
-        parsed_call_edges, fused_pairs, fused_matches, cohort_report,
+        parsed_call_edges, fused_pairs, fused_matches, cohort_report, cluster_averages, cluster_rows, grown_components, similar_to_new,
     )
 }
 
@@ -552,6 +592,15 @@ ORACLES = {
     "schema_migration": "SELECT CAST(s_suppkey AS BIGINT) AS id, s_name AS name, 'legacy' AS workspace FROM supplier UNION ALL SELECT c_custkey, c_name, coalesce(c_mktsegment, 'legacy') FROM customer",
     "parsed_functions": "SELECT CAST(c_nationkey AS BIGINT) AS submission_id, 'f' || c_custkey AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS order_index, 14 + 4 * (c_custkey % 4) AS n_nodes, 'f' || (c_custkey + 4) AS callees FROM customer",
     "parsed_call_edges": "SELECT CAST(a.c_nationkey AS BIGINT) AS submission_id, 'f' || a.c_custkey AS caller, 'f' || b.c_custkey AS callee FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND b.c_custkey = a.c_custkey + 4",
+    "cluster_averages": _with(*_JACCARD, *_COMPONENTS, recursive=True)
+    + ", es AS (SELECT a, score FROM j WHERE score >= 0.75 UNION ALL SELECT representative, 1.0 FROM m WHERE doc_id <> representative AND fps IS NOT NULL), "
+    "sz AS (SELECT component, count(*) AS size FROM c GROUP BY component), av AS (SELECT component, avg(score) AS mean FROM es JOIN c ON node = a GROUP BY component), "
+    f"cs AS (SELECT component, size, {_round6('mean')} AS average_similarity FROM sz JOIN av USING (component)) "
+    "SELECT *, row_number() OVER (ORDER BY size DESC, average_similarity DESC, component) AS rank FROM cs",
+    "cluster_rows": _with(*_JACCARD, *_COMPONENTS, recursive=True)
+    + "SELECT component, row_number() OVER (PARTITION BY component ORDER BY node) AS place, node AS submission_id, source AS name FROM c JOIN documents ON doc_id = node",
+    "grown_components": _with(*_JACCARD, *_COMPONENTS, recursive=True) + "SELECT node, component FROM c",
+    "similar_to_new": _with(*_FUSED) + "SELECT * FROM fu WHERE b >= 20 AND overall_score >= 0.75",
     "fused_pairs": _with(*_FUSED) + "SELECT * FROM fu",
     "fused_matches": _with(*_FUSED) + "SELECT a, b, CAST(index_a AS INTEGER) AS index_a, CAST(index_b AS INTEGER) AS index_b, similarity, ted_similarity, winnow_similarity FROM ma",
     "cohort_report": _with(
