@@ -664,7 +664,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = "PARTITION BY bucket"
     held = stage(buckets.withColumn("alone", F.expr(f"count(*) OVER ({same}) = 1")).where("NOT alone OR shingle IS NOT NULL"), "ngram-buckets")
     lone = stage(held.where("shingle IS NOT NULL").groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c = 1").select("shingle"), "ngram-lone")
-    buckets = held.join(F.broadcast(lone), "shingle", "left_anti")
+    # a shingle's only row is alone in its bucket, so only such rows are joined, at most one of each bucket; the join is broadcast where Spark finds `lone` small
+    single = held.where("alone AND shingle IS NOT NULL").join(lone, "shingle", "left_anti").select(*held.columns)
+    buckets = held.where("NOT alone").union(single)
     first = buckets.groupBy("doc_id").agg(F.min_by("bucket", F.struct("alone", "pos", "bucket")).alias("grp"))
     packed = base.where("doc_id IS NOT NULL").mapInArrow(_pack, "doc_id long, packed binary")
     packed = packed.join(first, "doc_id").select("grp", "doc_id", "packed")
