@@ -716,6 +716,28 @@ def test_licenses(spark):
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_common_notices(spark):
+    openbsd = "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    kernel = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."
+    conditions = "This file is free software; you can redistribute it and/or modify it under the terms and conditions of the GNU General Public License, version 2, as published by the Free Software Foundation"
+    of_version = "this program is free software: you can redistribute it and/or modify it under the terms of version 3 of the GNU General Public License as published by the Free Software Foundation"
+    four = (
+        licenses._BSD.replace("[[1|a]]", "1.").replace("[[2|b]]", "2.") + "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: "
+        "This product includes software developed by the University. 4. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission."
+    )
+    head = "SPDX-License-Identifier: "
+    cases = [
+        (openbsd, "isc", True), (kernel, "gpl", False), (conditions, "gpl", False), (of_version, "gpl", False), (four, "bsd", True), (head + "MIT OR Apache-2.0", "apache,mit", True),
+        (head + "(GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause OR (MIT AND Zlib)", "bsd,gpl,mit,zlib", True), (head + " OR ".join(["MIT"] * 50 + ["ISC"]), "isc,mit", True),
+        (head + "MIT OR Unheard-Of OR ISC", "mit", False), (head + "MIT and more", "mit", False), (head + "unknown", "", False), (head, "", False), (head + "MIT or", "mit", False),
+        ("Licensed under the Eclipse Public License v2.0", "epl", True), ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "ofl", True), ("released under the WTFPL", "wtfpl", True),
+        ("distributed under the Artistic License 2.0", "artistic", True), ("under the PostgreSQL License", "postgresql", True),
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(frame(spark, [c[0] for c in cases])).collect()}
+    assert [(got[i]["labels"], got[i]["score"] == 1.0) for i in sorted(got)] == [c[1:] for c in cases]
+
+
 def test_license_query(spark, monkeypatch):
     docs = frame(spark, ["Mit license, mit license", None, "Mit license, mit license", "Mit license, mit license"], ids=[4, 4, None, 4])
     monkeypatch.setattr(licenses, "table", lambda *a: docs)

@@ -7,6 +7,8 @@ automaton's mandatory wording matches exactly; the longest text that is accepted
 can begin is found with NumPy, for all texts of a block at once: at a stretch of mandatory words, the regions before it being matched
 backwards from there.
 
+Names after `spdx license identifier` may be a list, joined by and, or, with: all its labels count, up to the first name that is not known.
+
 Base: places where the words of a phrase stand one after the other (``PHRASES``); they are counted whole.
 
 score: the share of the text's words that base phrases and accepted templates cover.  An accepted text that lies within a longer one of another template gives no label
@@ -38,7 +40,7 @@ _GNU_TAIL = (
 )
 _GNU = [
     "[[released|licensed|distributed|available]] under the [[terms of the]] [[gnu]] {name} " + _VERSION,
-    "<<1>> is free software you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software foundation [[either]] " + _VERSION + " " + _GNU_TAIL,
+    "<<1>> is free software you can redistribute it and or modify it under the terms [[and conditions]] of [[version <<0:1|2|2 0|2 1|3|3 0>> of]] the gnu {name} " + _VERSION + " as published by the free software foundation [[either]] " + _VERSION + " " + _GNU_TAIL,
 ]
 _NO_WARRANTY = (
     "[[this software is provided by the <<8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
@@ -52,10 +54,12 @@ _BSD = (
     "[[2|b]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
 )
 _CC = "[[creative commons]] <<0:{name}>> [[license]] [[version]] [[<<0:1 0|2 0|2 5|3 0|4 0>>]] [[international|unported]] [[license]]"
+_NUMBER = "[[[[version|v]] <<0:1 0|1 1|2 0|v1 0|v1 1|v2 0>>]]"
 #: Fixed wordings: license texts, their notices and names.
 TEMPLATES = {
-    "0bsd": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"],
+    "0bsd": ["permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted the software is provided as is"],
     "agpl": [x.format(name="affero general public license") for x in _GNU] + ["gnu affero general public license " + _VERSION],
+    "artistic": ["[[released|licensed|distributed]] under the [[terms of the]] artistic license " + _NUMBER],
     "apache": [
         "[[released|licensed]] under the apache license [[[[version]] <<0:1 0|1 1|2 0|v2|v2 0>>]] [[the license]] "
         "[[you may not use this file except in compliance with the license [[you may obtain a copy of the license at <<12>>]] unless required by applicable law or agreed to in writing software distributed under the license "
@@ -69,16 +73,22 @@ TEMPLATES = {
         "execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
     ],
     "bsd": [
-        _BSD + "[[[[3|c]] neither the name of <<12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]] " + _NO_WARRANTY,
+        _BSD + "[[[[3|c]] all advertising materials mentioning features or use of this software must display the following [[acknowledgement|acknowledgment]] this product includes software developed by <<12>>]] "
+        "[[[[3|4|c|d]] neither the name of <<12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]] "
+        + _NO_WARRANTY,
         "[[released|licensed]] under the [[<<0:0|2|3|4|two|three|new|simplified|modified|revised>>]] [[clause]] bsd license",
     ],
     "cc-by": ["licensed under [[a|the]] " + _CC.format(name="cc by|attribution")],
     "cc-by-nc": ["licensed under [[a|the]] " + _CC.format(name="cc by nc|cc by nc sa|cc by nc nd|attribution noncommercial|attribution non commercial|attribution noncommercial sharealike|attribution noncommercial noderivatives")],
     "cc-by-sa": ["licensed under [[a|the]] " + _CC.format(name="cc by sa|attribution sharealike|attribution share alike")],
     "cc0": ["cc0 1 0 universal [[public domain dedication]]", "creative commons zero [[v1 0 universal|1 0 universal]] [[public domain dedication]]", "dedicated to the public domain under cc0 [[1 0]]"],
+    "epl": [
+        "[[released|licensed]] under the [[terms of the]] eclipse public license " + _NUMBER,
+        "this program and the accompanying materials are made available under the terms of the eclipse public license " + _NUMBER + " [[which accompanies this distribution [[and is available at <<8>>]]]]",
+    ],
     "gpl": [x.format(name="general public license") for x in _GNU],
     "isc": [
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
         "[[the software is provided as is and <<4>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<4>> be liable for any special direct "
         "indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use "
         "or performance of this software]]",
@@ -98,10 +108,21 @@ TEMPLATES = {
         "this source code form is subject to the terms of the mozilla public license [[v|version]] [[<<0:1 1|2 0|v2 0>>]] [[if a copy of the mpl was not distributed with this file you can obtain one at <<6>>]]",
         "[[released|licensed]] under the mozilla public license [[v|version]] [[<<0:1 1|2 0|v2 0>>]]",
     ],
+    "ofl": ["[[this font software is]] licensed under the sil open font license " + _NUMBER],
+    "postgresql": [
+        "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this "
+        "paragraph and the following two paragraphs appear in all copies",
+        "[[released|licensed]] under the postgresql license",
+    ],
     "unlicense": [
         "this is free and unencumbered software released into the public domain [[anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
         "for any purpose commercial or non commercial and by any means]]",
     ],
+    "wtfpl": [
+        "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed "
+        "[[do what the fuck you want to public license terms and conditions for copying distribution and modification [[0]] you just do what the fuck you want to]]",
+        "[[released|licensed]] under the wtfpl",
+    ],
     "zlib": [
         "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
         "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
@@ -112,11 +133,15 @@ TEMPLATES = {
 }
 #: Names in a file's head, by label: `spdx license identifier` and one of these.
 SPDX = {
-    "0bsd": "0bsd", "agpl": "agpl 3 0", "apache": "apache 2 0", "boost": "bsl 1 0", "bsd": "bsd <<0:2|3>> clause", "cc-by": "cc by <<0:3 0|4 0>>", "cc-by-nc": "cc by nc <<0:3 0|4 0>>", "cc-by-sa": "cc by sa <<0:3 0|4 0>>",
-    "cc0": "cc0 1 0", "gpl": "gpl <<0:2 0|3 0>>", "isc": "isc", "lgpl": "lgpl <<0:2 0|2 1|3 0>>", "mit": "mit", "mpl": "mpl 2 0", "unlicense": "unlicense", "zlib": "zlib",
+    "0bsd": "0bsd", "agpl": "agpl 3 0", "apache": "apache 2 0", "boost": "bsl 1 0", "artistic": "artistic <<0:1 0|2 0>>", "bsd": "bsd <<0:2|3|4>> clause", "cc-by": "cc by <<0:3 0|4 0>>", "cc-by-nc": "cc by nc <<0:3 0|4 0>>", "cc-by-sa": "cc by sa <<0:3 0|4 0>>",
+    "cc0": "cc0 1 0", "epl": "epl <<0:1 0|2 0>>", "gpl": "gpl <<0:2 0|3 0>>", "isc": "isc", "lgpl": "lgpl <<0:2 0|2 1|3 0>>", "mit": "mit", "mpl": "mpl 2 0", "ofl": "ofl 1 1", "postgresql": "postgresql",
+    "unlicense": "unlicense", "wtfpl": "wtfpl", "zlib": "zlib",
 }
+#: Exceptions that may follow `with` in a list of names.
+EXCEPTIONS = ("classpath exception 2 0", "linux syscall note", "llvm exception", "gcc exception <<0:2 0|3 1>>", "autoconf exception <<0:2 0|3 0>>", "bison exception 2 2", "font exception 2 0")
+_HEAD = "spdx license identifier"
 for _label, _name in SPDX.items():
-    TEMPLATES[_label] = [*TEMPLATES[_label], f"spdx license identifier {_name} [[only|or later]]"]
+    TEMPLATES[_label] = [*TEMPLATES[_label], f"{_HEAD} {_name} [[only|or later]]"]
 
 
 def _hashes(text: str) -> list[int]:
@@ -274,10 +299,36 @@ def _places(hashes: np.ndarray, text_of: np.ndarray, words: list[int]) -> np.nda
     return at[text_of[at] == text_of[at + n - 1]]
 
 
-def _scan(phrases: tuple, templates: tuple):
+class Names:
+    """Lists of names after `spdx license identifier`, joined by and, or, with: a list of any length, up to a name that is not known."""
+
+    def __init__(self, names: tuple[tuple[str, str], ...]):
+        self.head = _hashes(_HEAD)
+        self.names = compiled(tuple((label, f"{name} [[only|or later]]") for label, name in names))
+        self.exceptions = compiled(tuple(("", name) for name in EXCEPTIONS))
+        self.joint = {_hashes(x)[0]: self.exceptions if x == "with" else self.names for x in ("and", "or", "with")}
+
+    def read(self, words: np.ndarray, at: int, stop: int) -> tuple[int, set[str]]:
+        """The end of the list that begins at `at`, and its labels."""
+        labels, end, known = set(), at, self.names
+        while True:
+            to, label = max(((machine.run(words, at, stop), label) for label, machine in known), key=lambda x: x[0])
+            if to < 0:
+                return end, labels
+            end = to
+            if label:
+                labels.add(label)
+            known = self.joint.get(int(words[end])) if end < stop else None
+            if known is None:
+                return end, labels
+            at = end + 1
+
+
+def _scan(phrases: tuple, templates: tuple, names: tuple):
     def run(batches):
         base = [(_hashes(p), label) for p, label in phrases]
         machines = compiled(templates)
+        lists = Names(names) if names else None
         for batch in batches:
             rows: list[tuple] = [()] * batch.num_rows
             for i, j, data, offsets in text_groups(batch.column(1)):
@@ -298,6 +349,10 @@ def _scan(phrases: tuple, templates: tuple):
                         if end > p:
                             reach[t] = end
                             hits.setdefault(t, []).append((begin, end, label, False))
+                for p in _places(w.hashes, text_of, lists.head).tolist() if lists else ():
+                    t = int(text_of[p])
+                    end, labels = lists.read(w.hashes, p + len(lists.head), int(w.first[t + 1]))
+                    hits.setdefault(t, []).extend((p, end, label, False) for label in labels)
                 for t in range(j - i):
                     n, found = int(w.first[t + 1] - w.first[t]), hits.get(t, [])
                     found = sorted([x for x in found if x[3]] + outermost([x for x in found if not x[3]]))
@@ -315,11 +370,15 @@ def _scan(phrases: tuple, templates: tuple):
     return run
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: tuple = PHRASES, templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: tuple = PHRASES, templates: dict[str, list[str]] | None = None, names: dict[str, str] | None = None) -> DataFrame:
+    """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+
+    names: names by label, as templates, that stand in lists after `spdx license identifier`; without own templates those of SPDX.
+    """
+    names = (SPDX if templates is None else {}) if names is None else names
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return rows.mapInArrow(_scan(phrases, _all_templates(TEMPLATES if templates is None else templates)), schema)
+    return rows.mapInArrow(_scan(phrases, _all_templates(TEMPLATES if templates is None else templates), tuple(sorted(names.items()))), schema)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
