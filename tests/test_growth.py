@@ -14,7 +14,7 @@ from treekin.plans.cohort import cluster_members, cluster_nodes, cluster_summari
 from treekin.plans.linked import Components
 from treekin.plans.pairs import analyze
 from treekin.plans.postings import Postings
-from treekin.plans.store import Store
+from treekin.plans.store import Store, page_after
 from treekin.streaming.ingest import compare_new, similar_new
 
 
@@ -161,3 +161,28 @@ def test_postings_come_with_stored_submissions(spark, tmp_path):
     store.add_submissions("w", spark.createDataFrame([(2, "b", "b.c", code.replace("a", "b"))], kind))
     assert store.postings().shapes().count() == store.table("functions").select("tree_id").distinct().count()
     assert [(r["a"], r["b"], r["overall_score"]) for r in similar_new(store, "w", OLD).collect()] == [(1, 2, 1.0)]
+
+
+def test_pages_by_cursor(spark, tmp_path):
+    """All pages give every row once, in the order of the offsets; later files are left out by their statistics."""
+    store, day = Store(spark, f"{tmp_path}/s"), lambda d: datetime.datetime(2020, 1, 1) + datetime.timedelta(days=d)
+    kind = "id long, workspace string, name string, created_at timestamp"
+    for start in range(0, 30, 6):  # a folder for each six days; ids tie on a day, and run against time
+        store.adopt("submissions", spark.createDataFrame([(100 * (9 - start // 6) + i, "w", "x", day(start + i // 2)) for i in range(6)], kind))
+    store.adopt("submissions", spark.createDataFrame([(i, "w", "x", None) for i in range(3)] + [(999, "other", "x", day(1))], kind))
+    store.adopt("functions", spark.createDataFrame([(901, "f"), (901, "g"), (2, "h")], "submission_id long, name string"))
+    want = [(r["id"], r["function_count"]) for r in store.list_submissions("w", limit=500).collect()]
+    got, after = [], None
+    while rows := store.submissions_after("w", after, 4).collect():
+        got += [(r["id"], r["function_count"]) for r in rows]
+        after = (rows[-1]["created_at"], rows[-1]["id"])
+        store.adopt("submissions", spark.createDataFrame([(5000 + len(got), "w", "new", day(400))], kind))  # a newer one moves none
+    assert got == want and len(got) == 33 and dict(got)[901] == 2
+    page = page_after(store.table("submissions"), (day(2), 3), 4)
+    assert page._jdf.collectAsList().size() == 4
+    leaves = page._jdf.queryExecution().executedPlan().collectLeaves()
+    read = sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+    assert read <= 10 < store.table("submissions").count()  # of the folders that begin by that day, and those without times
+    for bad in (0, 501):
+        with pytest.raises(ValueError):
+            store.submissions_after("w", None, bad)

@@ -23,7 +23,7 @@ from treekin.plans.cohort import AnalysisRequest, Report, analyze_cohort
 from treekin.plans.migrations import migrate
 from treekin.plans.pairs import analyze, compare
 from treekin.plans.postings import Postings
-from treekin.shared import drop_stage, stage
+from treekin.shared import drop_stage, setting, stage
 from treekin.sources.normalize import parse_functions
 from treekin.sources.submissions import accepted, rejected, request_reason
 
@@ -54,6 +54,24 @@ def page(rows: DataFrame, *order, limit: int = 100, offset: int = 0) -> DataFram
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_after(rows: DataFrame, after: tuple | None, limit: int = 100, time: str = "created_at", key: str = "id") -> DataFrame:
+    """The page that follows the row with this (time, key), newest first, rows without a time last; the first page without one.
+
+    Unlike an offset it sorts no row of an earlier page, and files whose times are all later than the cursor's are not read: the condition on the
+    time alone reaches the scan.  Rows that come or go meanwhile move no other row to another page.
+    """
+    if not 1 <= limit <= 500:
+        raise ValueError("limit must be 1 to 500")
+    if after is not None:
+        when, last = after
+        if when is None:
+            rows = rows.where(F.col(time).isNull() & (F.col(key) < F.lit(last)))
+        else:
+            at, untimed = F.lit(when).cast("timestamp"), F.col(time).isNull()
+            rows = rows.where((F.col(time) <= at) | untimed).where((F.col(time) < at) | (F.col(key) < F.lit(last)) | untimed)
+    return rows.orderBy(F.desc_nulls_last(time), F.desc(key)).limit(limit)
+
+
 def list_with_counts(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, count: str = "function_count") -> DataFrame:
     counts = children.groupBy(F.col(child_key).alias(parent_key)).agg(F.count(F.lit(1)).alias(count))
     return parents.join(counts, parent_key, "left").withColumn(count, F.coalesce(count, F.lit(0)))
@@ -123,7 +141,8 @@ class Transaction:
         rows = migrate(rows, SCHEMAS[name], {})
         if name in SORTED:
             rows = rows.sortWithinPartitions(SORTED[name])
-        rows.write.partitionBy(*PARTITIONS.get(name, ())).parquet(self.made[-1])
+        with setting(self.store.spark, "spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS"):  # the other type has no statistics
+            rows.write.partitionBy(*PARTITIONS.get(name, ())).parquet(self.made[-1])
         return folder
 
     def append(self, name: str, rows: DataFrame) -> None:
@@ -277,6 +296,13 @@ class Store:
         mine = self.table("submissions").where(F.col("workspace") == _workspace(workspace))
         return page(list_with_counts(mine, self.table("functions"), "id", "submission_id"), F.desc("created_at"), F.desc("id"), limit=limit, offset=offset)
 
+    def submissions_after(self, workspace: str, after: tuple | None = None, limit: int = 100) -> DataFrame:
+        """list_submissions by a cursor: the page after the submission with this (created_at, id).  Only the page's functions are counted."""
+        mine = self.table("submissions").where(F.col("workspace") == _workspace(workspace))
+        found = stage(page_after(mine, after, limit), "page")
+        functions = self.table("functions").join(found.select(F.col("id").alias("submission_id")), "submission_id", "left_semi")
+        return list_with_counts(found, functions, "id", "submission_id").orderBy(F.desc_nulls_last("created_at"), F.desc("id"))
+
     def get_submission(self, workspace: str, key: int) -> DataFrame:
         one = by_id(self.table("submissions").where(F.col("workspace") == _workspace(workspace)), key)
         functions = self.table("functions").where(F.col("submission_id") == key).groupBy(F.col("submission_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("order_index", "name", "ast_node_count", "callees"))).alias("functions"))

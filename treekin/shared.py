@@ -7,8 +7,10 @@ lineage of what follows.  Results may read such tables lazily, so a caller that
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +58,20 @@ def drop_all(spark: SparkSession) -> None:
     _delete(spark, f"{shared_dir(spark)}/treekin/{_RUN}")
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session's setting for as long as the block runs; then it is what it was."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as the session has cores at least: a small file is one task, however much there is to do for each row.
     Larger inputs have more partitions than that, and stay as they are."""
