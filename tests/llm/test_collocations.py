@@ -71,6 +71,24 @@ def test_brute_force(spark, slots):
     assert got(collocations.phrase_collocations(docs, least=3, top=7, **small)) == expected(rows, 3, 7)
 
 
+def test_a_task_holds_few_phrases(spark, monkeypatch):
+    """A task writes its counts whenever it holds many phrases, not once at its end: the result is the same."""
+    rows = corpus(random.Random(5))
+    staged = {}
+    stage = collocations.stage
+
+    def noted(df, name, *more):
+        out = stage(df, name, *more)
+        staged.setdefault(name, out.count() if name == "slot-arrays" else 0)
+        return out
+
+    monkeypatch.setattr(collocations, "stage", noted)
+    docs = frame(spark, rows).coalesce(1)
+    monkeypatch.setattr(collocations, "spread", lambda df: df)
+    assert got(collocations.phrase_collocations(docs, most=2000, held=500)) == expected(rows, 10, 2000)
+    assert staged["slot-arrays"] > 2
+
+
 def test_colliding_hashes():
     """Phrases with one hash: each slot counts its own, the others are counted by name."""
     import pyarrow as pa

@@ -12,7 +12,8 @@ as they are, so a phrase that has another one's hash is told apart.  The tasks'
 slots, or in another one's slot, are counted by name with groupBy, which is the exact way for the rest at any size.  Cuts are then
 read by slot from the summed array; those that have none of their own by a join.
 
-Memory.  Tasks hold a batch of texts, the bitmaps and 60 bytes or so for each slot, its phrase included; shards grow in number with the text, not in size.
+Memory.  Tasks hold a batch of texts, the bitmaps, 22 bytes or so for each slot and ``HELD_BYTES`` of phrases: with more of them they write what they
+have counted and begin anew.  Shards grow in number with the text, not in size.
 
 Edge cases.  Null text is empty; a null language is ``und``.  Languages are kept apart and may be any strings.  Words are bytes
 outside the delimiters, so NUL and other control characters are part of words.  Repeated rows count as often as they occur.  Phrases
@@ -41,6 +42,8 @@ LEAST, TOP = 10, 2000
 SLOTS, PIECE = 1 << 22, 1 << 16
 #: Bits of a level's map, and bytes of text for one shard and for one batch.
 MOST_BITS, SHARD_BYTES, BATCH_BYTES = 1 << 28, 16 << 20, 8 << 20
+#: Bytes of the phrases of slots that a task holds before it writes its counts and begins anew.
+HELD_BYTES = 32 << 20
 _PIECES = ".,;:!?\n\x0b\x0c\r"
 _WORD = _table(" \t" + _PIECES)
 _BREAK = ~_table(_PIECES)
@@ -225,7 +228,8 @@ def _map_of(found: DataFrame, shards: int) -> list[bytes | None]:
 
 class PerfectHash:
     """Distinct 64-bit keys to 0 .. n - 1 without gaps.  Each level has a bit array; keys that meet no other there get a bit, and the rest go on to the
-    next level.  A key's number is the number of bits before its own.  Keys are stored by number, so that others are known to be others."""
+    next level.  A key's number is the number of bits before its own: those in earlier words of 64, which are stored, and those in its word.  Keys
+    are stored by number, so that others are known to be others."""
 
     def __init__(self, keys: np.ndarray, gamma: float = 2.0):
         left, self.sizes, flags = keys, [], []
@@ -238,8 +242,9 @@ class PerfectHash:
             self.sizes.append(m)
             flags.append(alone)
             left = left[~alone[at]]
-        self.flags = np.concatenate(flags) if flags else np.zeros(0, bool)
-        self.ranks = np.cumsum(self.flags, dtype=np.int32) - 1
+        every = np.concatenate([*flags, np.zeros(-sum(self.sizes) % 64, bool)])
+        self.words = np.packbits(every, bitorder="little").view(np.dtype("<u8")).astype(np.uint64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)[:-1]]).astype(np.int32)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
         self.keys = np.zeros(len(keys), np.uint64)
         self.keys[self._number(keys)] = keys
@@ -252,8 +257,9 @@ class PerfectHash:
         out, left = np.full(len(keys), -1, np.int64), np.arange(len(keys))
         for level, m in enumerate(self.sizes):
             at = self._at(keys[left], level, m) + self.starts[level]
-            hit = self.flags[at]
-            out[left[hit]] = self.ranks[at[hit]]
+            word, bit = self.words[at >> 6], np.uint64(1) << (at & 63).astype(np.uint64)
+            hit = word & bit != 0
+            out[left[hit]] = self.before[at[hit] >> 6] + np.bitwise_count(word[hit] & (bit[hit] - np.uint64(1)))
             left = left[~hit]
             if not len(left):
                 break
@@ -375,10 +381,10 @@ def _phrases(t: Texts, maps: list[Bits]) -> Iterator[tuple[np.ndarray, pa.Array,
         yield hashes[at], pc.binary_join_element_wise(prefix.take(pa.array(t.lang[at])), joined, pa.scalar("", pa.large_string())), counts
 
 
-def _count(maps, table_of, bits: int, piece: int, most: int, complete: bool):
+def _count(maps, table_of, bits: int, piece: int, most: int, complete: bool, held: int):
     """Of texts: rows of ARRAYS, the task's counts by slot and the phrases that have no slot of their own.
 
-    complete: whether all candidates have slots, so that a phrase without one is none.
+    complete: whether all candidates have slots, so that a phrase without one is none.  held: bytes of phrases after which counts are written.
     """
 
     def run(batches):
@@ -392,10 +398,15 @@ def _count(maps, table_of, bits: int, piece: int, most: int, complete: bool):
                 inside = slots >= 0
                 mine = np.zeros(len(slots), bool)
                 mine[inside] = sums.own(slots[inside], names.filter(pa.array(inside)))
-                sums.counts += np.bincount(np.repeat(slots[mine], counts[mine]), minlength=len(sums.counts))
+                sums.counts[slots[mine]] += counts[mine]  # a batch's phrases are distinct, and so are the slots of their own
                 rest = inside & ~mine if complete else ~mine
                 if rest.any():
                     yield _batch([(task, -1, None, None, None, names.filter(pa.array(rest)).cast(pa.string()), counts[rest].tolist(), slots[rest].tolist())])
+                del slots, inside, mine, rest, names
+            if sums.held.nbytes > held:
+                for row in sums.pieces(task, piece):
+                    yield _batch([row])
+                sums = SlotCounts(len(mph.keys))
         for row in sums.pieces(task, piece):
             yield _batch([row])
 
@@ -535,7 +546,7 @@ def _best(rows: DataFrame, top: int) -> DataFrame:
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
 
 
-def phrase_collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, slots: int = SLOTS, lang_col: str = "lang", text_col: str = "text", piece: int = PIECE, most: int = BATCH_BYTES) -> DataFrame:
+def phrase_collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, slots: int = SLOTS, lang_col: str = "lang", text_col: str = "text", piece: int = PIECE, most: int = BATCH_BYTES, held: int = HELD_BYTES) -> DataFrame:
     """Per language its best phrases: (lang, rank, phrase, a, l, r, n, score)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -558,7 +569,7 @@ def phrase_collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, slo
     head, complete = _head(levels, slots)
     mph = PerfectHash(head)
     known = spark.sparkContext.broadcast(maps)
-    arrays = stage(rows.mapInArrow(_count(known, spark.sparkContext.broadcast(mph), bits, piece, most, complete), ARRAYS), "slot-arrays")
+    arrays = stage(rows.mapInArrow(_count(known, spark.sparkContext.broadcast(mph), bits, piece, most, complete, held), ARRAYS), "slot-arrays")
     arrays = _tree_sum(arrays, rows._jdf.queryExecution().toRdd().getNumPartitions(), piece)
     for df in levels:
         drop_stage(df)
