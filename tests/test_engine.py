@@ -13,7 +13,7 @@ from treekin.operators.trees import annotate, tree_distance
 from treekin.plans.cohort import AnalysisRequest, analyze_cohort
 from treekin.plans.pairs import analyze, compare
 from treekin.plans.store import Store, Transaction
-from treekin.sources.normalize import functions_of, parse_functions
+from treekin.sources.normalize import each_function, functions_of, parse_functions
 from treekin.sources.submissions import file_names, read_json, read_uploads
 
 MAX = "int max(int p, int q) {\n    if (p > q) return p; // the larger one\n    return q;\n}\n"
@@ -46,6 +46,18 @@ def test_functions_in_containers_come_after_the_others():
     assert [f["name"] for f in functions_of(source)] == ["d", "b", "c", "a"]
 
 
+def test_functions_are_passed_on_as_they_are_parsed():
+    """A long program is neither read whole nor kept."""
+    import tracemalloc
+
+    source = "\n".join(f"int f{i}(int a) {{ a = 1; return f{i + 1}(a); }}" for i in range(4000))
+    tracemalloc.start()
+    found = sum(f["order_index"] == i and f["name"] == f"f{i}" and f["callees"] == [f"f{i + 1}"] for i, f in enumerate(each_function(source)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 4000 and peak < 8 << 20
+
+
 @pytest.mark.parametrize("source", ["", "   ", "int", "}}}{{{", "int f( {", "int f(void) { @@@ ; return 1; }", "x" * 10_000, "int f(void) { return " + "(" * 3000 + "1" + ")" * 3000 + "; }", "\x00é\"'"])
 def test_broken_sources_do_not_raise(source):
     functions_of(source)

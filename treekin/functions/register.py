@@ -45,11 +45,11 @@ def register(spark: SparkSession) -> None:
     as a table function."""
     from pyspark.sql.functions import udtf
 
-    from treekin.sources.normalize import FUNCTION, functions_of
+    from treekin.sources.normalize import FUNCTION, each_function
 
     class ParseC:
         def eval(self, source: str):
-            for f in functions_of(source or ""):
+            for f in each_function(source or ""):
                 yield f["name"], f["order_index"], f["ast"], f["callees"]
 
     def by_size(apply):
