@@ -65,6 +65,22 @@ def test_parts_of_the_hash(spark):
         assert r["h"] == hs and r["g"] == grams and r["w"] == sorted({min(grams[i : i + 3]) for i in range(max(1, len(grams) - 2))} if grams else [])
 
 
+def test_batches_are_handled_in_parts(monkeypatch):
+    """So that what a task needs does not grow with the batch that it is given."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(hashing, "TOGETHER", 10)
+    column = pa.array([[1] * n if n is not None else None for n in (3, 7, None, 0, 25, 4, 4, 4, 0)], pa.list_(pa.int64()))
+    seen = []
+
+    def run(part):
+        seen.append(len(part.flatten()))
+        return part
+
+    assert hashing._in_parts(run)(column).to_pylist() == column.to_pylist() and seen == [10, 25, 8, 4]
+    assert hashing._in_parts(run)(column[:0]).to_pylist() == []
+
+
 @pytest.mark.parametrize("k, w", [(0, 4), (5, 0)])
 def test_parameters_are_checked(k, w):
     with pytest.raises(ValueError):
