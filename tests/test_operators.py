@@ -174,6 +174,25 @@ def test_global_rank(spark):
     assert sorted(r["place"] for r in got) == list(range(1, 501)) and global_rank(df.where("id < 0"), F.col("id"), name="place").count() == 0
 
 
+def test_prefixes_hold_few_elements_and_rare_ones(spark, monkeypatch):
+    """Only a set's prefix of hashes is shuffled, and an element that all sets have is not in it."""
+    rng = random.Random(8)
+    data = {i: sorted({0, *(rng.randrange(1, 400) for _ in range(rng.randrange(1, 9)))}) for i in range(120)}
+    data |= {200: [], 201: [0], 202: [0, None], 203: [0, None, 7], 204: [None, 7, 0, 9]}
+    staged, write = {}, sets.stage
+    monkeypatch.setattr(sets, "stage", lambda df, name: staged.setdefault(name, write(df, name)))
+    for kind in ("long", "string"):
+        staged.clear()
+        rows = [(i, v if kind == "long" else [None if x is None else str(x) for x in v]) for i, v in data.items()]
+        df = spark.createDataFrame(rows, f"id long, elements array<{kind}>").repartition(3)
+        want = {(a, b): len(set(x) & set(y)) / len(set(x) | set(y)) for (a, x), (b, y) in itertools.combinations(sorted(data.items()), 2) if x and y}
+        assert {(r["a"], r["b"]): r["score"] for r in sets.similar_pairs(df, 0.75).collect()} == {k: v for k, v in want.items() if v >= 0.75}
+        for r in staged["prefixes"].collect():
+            n = len(data[r["id"]])
+            assert r["n"] == n and len(r["p"]) == n - -(-3 * n // 4) + 1
+            assert kind == "string" or n < 4 or r["id"] > 199 or 0 not in r["p"]
+
+
 def test_representatives(spark):
     data = [(5, [1, 2]), (3, [2, 1, 1]), (9, [12]), (4, []), (7, None), (8, [3])]
     got = sets.representatives(spark.createDataFrame(data, "id long, elements array<long>")).collect()
