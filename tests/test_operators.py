@@ -174,6 +174,26 @@ def test_global_rank(spark):
     assert sorted(r["place"] for r in got) == list(range(1, 501)) and global_rank(df.where("id < 0"), F.col("id"), name="place").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_pairs_by_cells(spark, monkeypatch, kind):
+    """Every pair of blocks is compared once, empty blocks too, and what is shuffled is a copy of the common elements for each block."""
+    rng = random.Random(9)
+    data = {i: sorted({rng.randrange(1, 60) for _ in range(rng.randrange(7))}) for i in range(40)} | {90: [None], 91: [None, 5], 92: list(range(1000, 1100))}
+    made = (lambda v: v) if kind == "long" else (lambda v: None if v is None else f"w{v}")
+    staged, write = {}, sets.stage
+    monkeypatch.setattr(sets, "stage", lambda df, name: staged.setdefault(name, write(df, name)))
+    df = spark.createDataFrame([(made(i), [made(x) for x in v]) for i, v in data.items()], f"id {kind}, elements array<{kind}>").repartition(3)
+    want = []
+    for (a, x), (b, y) in itertools.combinations([(made(i), v) for i, v in data.items()], 2):
+        shared, union = len({*x} & {*y} - {None}), len(set(x)) + len(set(y)) - len({*x} & {*y} - {None})
+        if shared:
+            want.append((min(a, b), max(a, b), shared, union, shared / union))
+    for cell in (20, 1 << 20):
+        staged.clear()
+        assert sorted(tuple(r) for r in sets.jaccard_pairs(df, cell=cell).collect()) == sorted(want)
+        assert made(92) not in {r["id"] for r in staged["common-elements"].collect()}
+
+
 def test_prefixes_hold_few_elements_and_rare_ones(spark, monkeypatch):
     """Only a set's prefix of hashes is shuffled, and an element that all sets have is not in it."""
     rng = random.Random(8)
