@@ -27,6 +27,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from urllib.parse import quote
 
 import numpy as np
@@ -100,13 +101,15 @@ class Encoder:
         self.words = pa.array([], pa.large_string())
         self.begin = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.flat = np.zeros(1, np.int32)  # the end id, and the ids of the words
 
     def _find(self, keys: np.ndarray, words: pa.Array) -> np.ndarray:
         """The place of each word, -1 where it isn't known: a hash finds a word, and the words themselves are compared."""
         if not len(self.keys):
             return np.full(len(words), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        order, at = np.argsort(keys), np.empty(len(keys), np.int64)
+        at[order] = np.searchsorted(self.keys, keys[order])  # in order, it reads the keys from one end to the other
+        at = np.minimum(at, len(self.keys) - 1)
         found = np.where(self.keys[at] == keys, self.places[at], -1)
         hit = np.flatnonzero(found >= 0)
         same = pc.equal(self.words.take(pa.array(found[hit])), words.take(pa.array(hit))).to_numpy(zero_copy_only=False)
@@ -115,11 +118,15 @@ class Encoder:
 
     def _learn(self, keys: np.ndarray, words: pa.Array) -> np.ndarray:
         """The places of new words.  A word whose hash is another's gets a place too, though it won't be found again."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
-        count = np.array([len(x) for x in ids], np.int64)
+        ids, sizes = array("i"), []
+        for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False):
+            one = e.ids
+            sizes.append(len(one))
+            ids.fromlist(one)
+        count = np.array(sizes, np.int64)
         begin = len(self.flat) + np.concatenate([[0], np.cumsum(count)[:-1]])
         places = len(self.begin) + np.arange(len(words))
-        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.int32)])
+        self.flat = np.concatenate([self.flat, np.frombuffer(ids, np.int32)])
         self.begin, self.count = np.concatenate([self.begin, begin]), np.concatenate([self.count, count])
         self.words = pa.concat_arrays([self.words, words])
         order = np.argsort(keys, kind="stable")
@@ -143,21 +150,14 @@ class Encoder:
         if len(new):
             at[new] = self._learn(keys[new], words.take(pa.array(new)))
         at = at[codes]
-        count, begin = self.count[at], self.begin[at]
-        # every text gets one more "word": its end
+        # every text gets one more "word": its end, the first of the flat ids
         n = np.diff(first)
         slots = np.arange(len(at)) + np.repeat(np.arange(len(n)), n)
-        sizes = np.ones(len(at) + len(n), np.int64)
-        sizes[slots] = count
+        sizes, begin = np.ones(len(at) + len(n), np.int64), np.zeros(len(at) + len(n), np.int64)
+        sizes[slots], begin[slots] = self.count[at], self.begin[at]
         stops = np.concatenate([[0], np.cumsum(sizes)])
-        out = np.full(stops[-1], end, np.int32)
-        shift = np.repeat(begin - stops[slots], count)
-        places = np.arange(stops[-1])
-        inside = np.ones(stops[-1], bool)
-        ends = np.flatnonzero(~np.isin(np.arange(len(sizes)), slots, assume_unique=True))
-        inside[stops[ends]] = False
-        places = places[inside]
-        out[places] = self.flat[places + shift]
+        self.flat[0] = end
+        out = self.flat[np.repeat(begin - stops[:-1], sizes) + np.arange(stops[-1])]
         return out, stops[np.concatenate([[0], first[1:] + np.arange(1, len(n) + 1)])]
 
 
