@@ -89,6 +89,34 @@ def test_a_task_holds_few_phrases(spark, monkeypatch):
     assert staged["slot-arrays"] > 2
 
 
+@pytest.mark.parametrize("slots", [1 << 20, 40, 0])
+def test_rows_of_phrases_are_short(spark, monkeypatch, slots):
+    """However many phrases a batch has, with slots or without, no row that is written holds all of them, and the result is the same."""
+    from pyspark import cloudpickle
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(collocations, "ROW_BYTES", 4000, raising=False)
+    monkeypatch.setattr(collocations, "NAMED", 30, raising=False)
+    longest, stage = [], collocations.stage
+
+    def noted(df, name, *more):
+        out = stage(df, name, *more)
+        if name == "slot-arrays":
+            bytes_of = [F.coalesce(F.octet_length(F.concat_ws("", c)), F.lit(0)) for c in ("names", "other")]
+            longest.append(out.select(F.max(bytes_of[0] + bytes_of[1])).first()[0])
+        return out
+
+    monkeypatch.setattr(collocations, "stage", noted)
+    rows = corpus(random.Random(6)) + [("long", " ".join(f"word{k}" for k in range(600)))] * 10
+    # tasks import the module anew, unless it goes with the functions that run there
+    cloudpickle.register_pickle_by_value(collocations)
+    try:
+        assert got(collocations.phrase_collocations(frame(spark, rows).repartition(2), slots=slots)) == expected(rows, 10, 2000)
+    finally:
+        cloudpickle.unregister_pickle_by_value(collocations)
+    assert len(longest) == 3 and max(longest) < 5000
+
+
 def test_colliding_hashes():
     """Phrases with one hash: each slot counts its own, the others are counted by name."""
     import pyarrow as pa

@@ -13,7 +13,8 @@ slots, or in another one's slot, are counted by name with groupBy, which is the
 read by slot from the summed array; those that have none of their own by a join.
 
 Memory.  Tasks hold a batch of texts, the bitmaps, 22 bytes or so for each slot and ``HELD_BYTES`` of phrases: with more of them they write what they
-have counted and begin anew.  Shards grow in number with the text, not in size.
+have counted and begin anew.  Phrases are named ``NAMED`` at a time, and a row that is written has ``ROW_BYTES`` of them or so; such rows are
+read ``ROWS`` at a time.  Shards grow in number with the text, not in size.
 
 Edge cases.  Null text is empty; a null language is ``und``.  Languages are kept apart and may be any strings.  Words are bytes
 outside the delimiters, so NUL and other control characters are part of words.  Repeated rows count as often as they occur.  Phrases
@@ -25,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,15 +37,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treekin.llm.wordhash import _LOWER, _table, mix, text_groups, words_of
-from treekin.shared import drop_stage, small_batches, spread, stage, table
+from treekin.shared import drop_stage, setting, small_batches, spread, stage, table
 
 LEAST, TOP = 10, 2000
 #: Candidates that tasks count in arrays; slots of one piece of an array.
 SLOTS, PIECE = 1 << 22, 1 << 16
 #: Bits of a level's map, and bytes of text for one shard and for one batch.
 MOST_BITS, SHARD_BYTES, BATCH_BYTES = 1 << 28, 16 << 20, 8 << 20
+#: Parts of a batch that are read one after another: what is made of a text is many times its size.
+PARTS = 4
 #: Bytes of the phrases of slots that a task holds before it writes its counts and begins anew.
 HELD_BYTES = 32 << 20
+#: Phrases of a batch that are named at once, bytes of phrases in a row of ARRAYS, and rows that are read at once where rows are long.
+NAMED, ROW_BYTES, ROWS = 1 << 17, 1 << 19, 16
 _PIECES = ".,;:!?\n\x0b\x0c\r"
 _WORD = _table(" \t" + _PIECES)
 _BREAK = ~_table(_PIECES)
@@ -159,11 +165,9 @@ def _emit(maps, shards: int, bits: int, most: int):
         def row(shard, lang=None, n=None, hashes=None, counts=None):
             return (shard, lang, n, hashes, counts)
 
-        for t in _read(batches, most):
-            out = []
-            if not known:
-                out += [row(-1, t.langs[k], int(n)) for k, n in enumerate(np.bincount(t.lang, minlength=len(t.langs))) if n]
-            hashes, counts = np.unique(_level(t, known), return_counts=True)
+        def made(words: dict[str, int], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            out = [row(-1, lang, n) for lang, n in words.items()]
+            hashes, counts = np.unique(np.concatenate(parts), return_counts=True)
             shard = ((hashes & np.uint64((1 << bits) - 1)) >> shift).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             hashes, counts, shard = hashes[order], np.minimum(counts[order], 65535).astype(np.uint16), shard[order]
@@ -172,6 +176,18 @@ def _emit(maps, shards: int, bits: int, most: int):
             if out:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "lang", "n", "hashes", "counts"])
 
+        words, parts, size = Counter(), [], 0
+        for t in _read(batches, most // PARTS):
+            if not known:
+                words.update({t.langs[k]: int(n) for k, n in enumerate(np.bincount(t.lang, minlength=len(t.langs))) if n})
+            parts.append(_level(t, known))
+            size += len(t.data)
+            if size >= most:
+                yield from made(words, parts)
+                words, parts, size = Counter(), [], 0
+        if parts:
+            yield from made(words, parts)
+
     return run
 
 
@@ -334,21 +350,45 @@ class SlotCounts:
             return first
         return pc.equal(self.held.take(pa.array(self.where[slots])), names).to_numpy(zero_copy_only=False)
 
-    def pieces(self, task: int, piece: int) -> Iterator[tuple]:
-        """Rows of ARRAYS, one for each `piece` slots that have a phrase."""
+    def pieces(self, task: int, first: int, piece: int) -> Iterator[pa.RecordBatch]:
+        """Rows of ARRAYS, one or more for each `piece` slots that have a phrase: the counts of these slots, as many rows as names ask for.
+        first: the number of the first piece."""
         for k in range(0, len(self.counts), piece):
             where = self.where[k : k + piece]
-            seen = where >= 0
-            if seen.any():
-                yield (task, k // piece, self.counts[k : k + piece].tobytes(), np.packbits(seen).tobytes(), self.held.take(pa.array(where[seen])).cast(pa.string()), None, None, None)
+            at = np.flatnonzero(where >= 0)
+            names = self.held.take(pa.array(where[at]))
+            for a, b in _spans(names):
+                seen = np.zeros(len(where), bool)
+                seen[at[a:b]] = True
+                yield _batch((task, first + k // piece, self.counts[k + at[a:b]].tobytes(), np.packbits(seen).tobytes(), names[a:b], None, None, None))
+
+
+def _spans(names: pa.Array) -> Iterator[tuple[int, int]]:
+    """Consecutive names, of ROW_BYTES or so."""
+    part = np.cumsum(pc.binary_length(names).to_numpy(zero_copy_only=False).astype(np.int64) + 16) // ROW_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(names)]
+    return ((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
+
 
+def _batch(row: tuple) -> pa.RecordBatch:
+    """One row of ARRAYS."""
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([x.to_pylist() if isinstance(x, pa.Array) else x for x in c], k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
+    def column(x, kind: pa.DataType) -> pa.Array:
+        if x is None or not pa.types.is_list(kind):
+            return pa.array([x], kind)
+        return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x).cast(kind.value_type))
+
+    return pa.record_batch([column(x, kind) for x, kind in zip(row, _KINDS, strict=True)], _NAMES)
+
+
+def _others(task: int, names: pa.Array, n: np.ndarray, slots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of ARRAYS of phrases that are counted by name."""
+    for a, b in _spans(names):
+        yield _batch((task, -1, None, None, None, names[a:b], n[a:b], slots[a:b]))
 
 
 def _phrases(t: Texts, maps: list[Bits]) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
-    """For one, two and three words: hashes, names and numbers of occurrences of the distinct phrases that may be frequent.
+    """For one, two and three words: hashes, names and numbers of occurrences of the distinct phrases that may be frequent, NAMED at a time.
 
     Distinct means distinct words, whatever their hashes.  A name begins with the length and the name of the language.
     """
@@ -375,10 +415,13 @@ def _phrases(t: Texts, maps: list[Bits]) -> Iterator[tuple[np.ndarray, pa.Array,
         for k in range(1, size):
             key = (np.unique(key, return_inverse=True)[1] if k > 1 else key) * n + own[at + k]
         _, first, counts = np.unique(key, return_index=True, return_counts=True)
-        at = at[first]
-        parts = [words.take(pa.array(code[at + k])) for k in range(size)]
-        joined = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if size > 1 else parts[0]
-        yield hashes[at], pc.binary_join_element_wise(prefix.take(pa.array(t.lang[at])), joined, pa.scalar("", pa.large_string())), counts
+        every = at[first]
+        del key, first
+        for k in range(0, len(every), NAMED):
+            at = every[k : k + NAMED]
+            parts = [words.take(pa.array(code[at + i])) for i in range(size)]
+            joined = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if size > 1 else parts[0]
+            yield hashes[at], pc.binary_join_element_wise(prefix.take(pa.array(t.lang[at])), joined, pa.scalar("", pa.large_string())), counts[k : k + NAMED]
 
 
 def _count(maps, table_of, bits: int, piece: int, most: int, complete: bool, held: int):
@@ -392,7 +435,7 @@ def _count(maps, table_of, bits: int, piece: int, most: int, complete: bool, hel
 
         known, mph = [Bits.of(bits, x) for x in maps.value], table_of.value
         task, sums = TaskContext.get().partitionId(), SlotCounts(len(mph.keys))
-        for t in _read(batches, most):
+        for t in _read(batches, most // PARTS):
             for hashes, names, counts in _phrases(t, known):
                 slots = mph.slots(hashes)
                 inside = slots >= 0
@@ -401,18 +444,20 @@ def _count(maps, table_of, bits: int, piece: int, most: int, complete: bool, hel
                 sums.counts[slots[mine]] += counts[mine]  # a batch's phrases are distinct, and so are the slots of their own
                 rest = inside & ~mine if complete else ~mine
                 if rest.any():
-                    yield _batch([(task, -1, None, None, None, names.filter(pa.array(rest)).cast(pa.string()), counts[rest].tolist(), slots[rest].tolist())])
+                    yield from _others(task, names.filter(pa.array(rest)), counts[rest], slots[rest])
                 del slots, inside, mine, rest, names
             if sums.held.nbytes > held:
-                for row in sums.pieces(task, piece):
-                    yield _batch([row])
+                yield from sums.pieces(task, 0, piece)
                 sums = SlotCounts(len(mph.keys))
-        for row in sums.pieces(task, piece):
-            yield _batch([row])
+        yield from sums.pieces(task, 0, piece)
 
     return run
 
 
+def _seen(bits) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))
+
+
 def _add(size: int):
     """Of rows (task, piece, ...) of ARRAYS, sorted: one row for each (task, piece) of `size` slots, the sum.  One row is held at a time."""
 
@@ -421,22 +466,18 @@ def _add(size: int):
         for batch in batches:
             tasks, pieces = batch.column("task").to_pylist(), batch.column("piece").to_pylist()
             for k, here in enumerate(zip(tasks, pieces, strict=True)):
-                counts = np.frombuffer(batch.column("counts")[k].as_buffer(), np.int64)
                 if here != key:
                     if key is not None:
-                        yield _batch([(*key, *row[2:]) for row in sums.pieces(0, size)])
-                    key, sums = here, SlotCounts(len(counts))
-                slots = np.flatnonzero(np.unpackbits(np.frombuffer(batch.column("seen")[k].as_buffer(), np.uint8), count=len(counts)))
+                        yield from sums.pieces(*key, size)
+                    key, sums = here, SlotCounts(size)
+                slots, counts = _seen(batch.column("seen")[k].as_buffer()), np.frombuffer(batch.column("counts")[k].as_buffer(), np.int64)
                 names = batch.column("names")[k].values.cast(pa.large_string())
                 same = sums.own(slots, names)
+                sums.counts[slots[same]] += counts[same]
                 if not same.all():
-                    rest = slots[~same]
-                    yield _batch([(key[0], -1, None, None, None, names.filter(pa.array(~same)).cast(pa.string()), counts[rest].tolist(), (rest + key[1] * size).tolist())])
-                    counts = counts.copy()
-                    counts[rest] = 0
-                sums.counts += counts
+                    yield from _others(key[0], names.filter(pa.array(~same)), counts[~same], slots[~same] + key[1] * size)
         if key is not None:
-            yield _batch([(*key, *row[2:]) for row in sums.pieces(0, size)])
+            yield from sums.pieces(*key, size)
 
     return run
 
@@ -458,9 +499,7 @@ def _named(batches):
             if batch.column("piece")[k].as_py() < 0:
                 yield pa.record_batch([batch.column("other")[k].values, batch.column("n")[k].values], ["name", "a"])
             else:
-                counts = np.frombuffer(batch.column("counts")[k].as_buffer(), np.int64)
-                seen = np.unpackbits(np.frombuffer(batch.column("seen")[k].as_buffer(), np.uint8), count=len(counts)).astype(bool)
-                yield pa.record_batch([batch.column("names")[k].values, pa.array(counts[seen])], ["name", "a"])
+                yield pa.record_batch([batch.column("names")[k].values, pa.array(np.frombuffer(batch.column("counts")[k].as_buffer(), np.int64))], ["name", "a"])
 
 
 # --- cuts
@@ -554,6 +593,7 @@ def phrase_collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, slo
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     shards = 1 << max(3, (size // SHARD_BYTES).bit_length())
     bits = max(shards.bit_length() + 5, min(MOST_BITS.bit_length() - 1, (4 * size + 1024).bit_length()))
+    few = lambda: setting(spark, "spark.sql.parquet.columnarReaderBatchSize", str(ROWS))  # noqa: E731  # rows with long arrays
     maps, levels, totals = [], [], None
     for words in (1, 2, 3):
         made = rows.mapInArrow(_emit(spark.sparkContext.broadcast(list(maps)), shards, bits, most), "shard int, lang string, n long, hashes binary, counts binary")
@@ -564,27 +604,31 @@ def phrase_collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, slo
         found = stage(dealt.mapInArrow(_frequent(least, shards, bits), "shard int, hashes binary, counts binary, map binary"), "frequent-hashes")
         if words == 1:
             drop_stage(made)
-        maps.append(_map_of(found, shards))
+        with few():
+            maps.append(_map_of(found, shards))
         levels.append(found)
-    head, complete = _head(levels, slots)
+    with few():
+        head, complete = _head(levels, slots)
     mph = PerfectHash(head)
     known = spark.sparkContext.broadcast(maps)
     arrays = stage(rows.mapInArrow(_count(known, spark.sparkContext.broadcast(mph), bits, piece, most, complete, held), ARRAYS), "slot-arrays")
-    arrays = _tree_sum(arrays, rows._jdf.queryExecution().toRdd().getNumPartitions(), piece)
+    with few():
+        arrays = _tree_sum(arrays, rows._jdf.queryExecution().toRdd().getNumPartitions(), piece)
     for df in levels:
         drop_stage(df)
     # the summed array, 8 bytes a slot, and the slots that more than one phrase fell on
     counts, shared = np.zeros(len(mph.keys), np.int64), np.zeros(len(mph.keys), bool)
-    for r in arrays.where("piece >= 0").select("piece", "counts").toLocalIterator():
-        part = np.frombuffer(r[1], np.int64)
-        counts[r[0] * piece : r[0] * piece + len(part)] = part
-    for r in arrays.where("piece < 0").select(F.explode(F.filter("slot", lambda x: x >= 0)).alias("s")).distinct().toLocalIterator():
-        shared[r[0]] = True
+    with few():
+        for r in arrays.where("piece >= 0").select("piece", "counts", "seen").toLocalIterator():
+            counts[_seen(r[2]) + r[0] * piece] = np.frombuffer(r[1], np.int64)
+        for r in arrays.where("piece < 0").select(F.explode(F.filter("slot", lambda x: x >= 0)).alias("s")).distinct().toLocalIterator():
+            shared[r[0]] = True
     names = arrays.mapInArrow(_named, "name string, a long").groupBy("name").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
     at = F.instr("name", ":")
     length = F.substring_index("name", ":", 1).cast("int")
     named = names.select(F.substring("name", at + 1, length).alias("lang"), F.expr("substring(name, instr(name, ':') + 1 + cast(substring_index(name, ':', 1) as int))").alias("phrase"), "a")
-    named = stage(named.withColumn("words", F.size(F.split("phrase", " "))), "phrases")
+    with few():
+        named = stage(named.withColumn("words", F.size(F.split("phrase", " "))), "phrases")
     drop_stage(arrays)
     read = stage(named.where("words > 1").select("lang", "phrase", "words", "a").mapInArrow(_cuts(spark.sparkContext.broadcast((mph, counts, shared))), "lang string, phrase string, words int, a long, l1 long, r1 long, l2 long, r2 long"), "cuts")
     lacking = "l1 IS NULL OR r1 IS NULL OR (words = 3 AND (l2 IS NULL OR r2 IS NULL))"
