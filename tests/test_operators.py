@@ -194,6 +194,21 @@ def test_pairs_by_cells(spark, monkeypatch, kind):
         assert made(92) not in {r["id"] for r in staged["common-elements"].collect()}
 
 
+def test_pairs_shuffle_no_copies(spark, monkeypatch):
+    """However many blocks there are, each is staged once, and comparing them shuffles nothing."""
+    rng = random.Random(10)
+    data = {i: sorted({rng.randrange(90) for _ in range(rng.randrange(9))}) for i in range(70)}
+    staged, write = {}, sets.stage
+    monkeypatch.setattr(sets, "stage", lambda df, name: staged.setdefault(name, write(df, name)))
+    df = spark.createDataFrame(list(data.items()), "id long, elements array<long>").repartition(3)
+    found = sets.jaccard_pairs(df, cell=30)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = sorted((a, b, len(set(x) & set(y))) for (a, x), (b, y) in itertools.combinations(data.items(), 2) if set(x) & set(y))
+    assert sorted(tuple(r) for r in found.select("a", "b", "n_shared").collect()) == want
+    blocks = [r["block"] for r in staged["blocks"].collect()]
+    assert len(blocks) == len(set(blocks)) > 10
+
+
 def test_prefixes_hold_few_elements_and_rare_ones(spark, monkeypatch):
     """Only a set's prefix of hashes is shuffled, and an element that all sets have is not in it."""
     rng = random.Random(8)
